@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from loomscribe.llm import mixing, packing, sampling, splits
+from loomscribe.llm import mixing, packing, sampling, spans, splits
 
 QUERIES = {
     "p1_found": splits.p1_found,
     "p1_splits": splits.p1_splits,
     "p1_report": splits.p1_report,
+    "p4_found": spans.p4_found,
+    "p4_spans": spans.p4_spans,
+    "p4_report": spans.p4_report,
     "p5_found": sampling.p5_found,
     "p5_sample": sampling.p5_sample,
     "p5_report": sampling.p5_report,
