@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from loomscribe.llm import mixing, packing, sampling, spans, splits
+from loomscribe.llm import mixing, packing, sampling, spans, splits, truncation
 
 QUERIES = {
     "p1_found": splits.p1_found,
     "p1_splits": splits.p1_splits,
     "p1_report": splits.p1_report,
+    "p2_found": truncation.p2_found,
+    "p2_report": truncation.p2_report,
     "p4_found": spans.p4_found,
     "p4_spans": spans.p4_spans,
     "p4_report": spans.p4_report,
