@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomscribe.llm import mixing, packing, sampling, spans, splits, truncation
+from loomscribe.llm import mixing, packing, pairs, sampling, spans, splits, truncation
 
 QUERIES = {
     "p1_found": splits.p1_found,
@@ -10,6 +10,8 @@ QUERIES = {
     "p1_report": splits.p1_report,
     "p2_found": truncation.p2_found,
     "p2_report": truncation.p2_report,
+    "p3_found": pairs.p3_found,
+    "p3_report": pairs.p3_report,
     "p4_found": spans.p4_found,
     "p4_spans": spans.p4_spans,
     "p4_report": spans.p4_report,
