@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomscribe.llm import mixing, packing, pairs, sampling, spans, splits, truncation
+from loomscribe.llm import abuse, mixing, packing, pairs, sampling, spans, splits, truncation
 
 QUERIES = {
     "p1_found": splits.p1_found,
@@ -24,6 +24,9 @@ QUERIES = {
     "p7_found": mixing.p7_found,
     "p7_mixture": mixing.p7_mixture,
     "p7_report": mixing.p7_report,
+    "p8_found": abuse.p8_found,
+    "p8_scores": abuse.p8_scores,
+    "p8_report": abuse.p8_report,
 }
 
 _LABEL = r"regexp_replace(regexp_replace(lower({0}), '^\s+|\s+$', '', 'g'), '[\s-]+', '_', 'g')"
