@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = None
+from loomscribe.plans import base, corpus
+
+QUERIES = base.QUERIES
+ORACLE = base.ORACLE
+FLAGSHIP = corpus.f12_drop_cascade
