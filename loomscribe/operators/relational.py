@@ -48,7 +48,8 @@ def prefix_sum_split(groups: DataFrame, size: str, order: Sequence[Column], cuts
     return groups.withColumn("split", out.otherwise(F.lit(cuts[-1][0])))
 
 
-def average_rank(order: Column, partition: Sequence[str] = ()) -> Column:
+def average_rank(value: str, partition: Sequence[str] = (), descending: bool = False) -> Column:
     """Rank with ties averaged."""
     w = W.partitionBy(*partition)
-    return F.rank().over(w.orderBy(order)) + (F.count("*").over(w.partitionBy(*partition, order)) - 1) / 2.0
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    return F.rank().over(w.orderBy(order)) + (F.count("*").over(W.partitionBy(*partition, value)) - 1) / 2.0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomscribe.plans import base, corpus
+from loomscribe.plans import base, corpus, stats  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLE = base.ORACLE
