@@ -21,6 +21,9 @@ BROKEN_TAG = re.compile(r"<[a-zA-Z/!][^<>\n]{0,200}$")
 BROKEN_ENTITY = re.compile(r"\w&#?\w{0,8}$")
 BROKEN_CHARS = re.compile(r"(?:�|[ÂÃâÄÅ])$")
 
+_TAG = re.compile(r"<[^<>]{0,40}>")
+_WORDS = re.compile(r"[^\W\d_]{2,}")
+
 COMPLETE, CUT, OPEN = "complete", "cut", "open"
 
 
@@ -28,25 +31,27 @@ def has_content(text: str | None) -> bool:
     """False for null and blank texts and for placeholders such as N/A, {}, [], <p></p>, (empty), ##."""
     if not text:
         return False
-    bare = BLANK.sub(" ", re.sub(r"<[^<>]{0,40}>", " ", text)).strip(" .,:;!?-–—_*#|()[]{}<>`\"'“”«»…~=+/\\")
+    if len(_WORDS.findall(_TAG.sub(" ", text[:400]))) >= 6:
+        return True
+    bare = BLANK.sub(" ", _TAG.sub(" ", text)).strip(" .,:;!?-–—_*#|()[]{}<>`\"'“”«»…~=+/\\")
     if not bare or not any(c.isalnum() for c in bare):
         return False
     return bare.lower() not in PLACEHOLDER_WORDS
 
 
 def is_abbreviation(line: str) -> bool:
-    return bool(ABBREVIATION.search(line))
+    return bool(ABBREVIATION.search(line[-24:]))
 
 
 def ending(text: str) -> str:
     """complete, cut, or open, of a text with content; open endings lack punctuation and need evidence."""
     t = text.strip(EDGE)
-    left_out = OMISSION.search(t)
+    left_out = OMISSION.search(t, max(0, len(t) - 40))
     if left_out:
-        base = t[: left_out.start()].rstrip(EDGE)
+        base = t[: left_out.start()].rstrip(EDGE).rsplit("\n", 1)[-1][-200:]
         return COMPLETE if not base or (TERMINAL.search(base) and not is_abbreviation(base)) else CUT
     line = t.rsplit("\n", 1)[-1].strip(EDGE)
-    if t.count("```") % 2 or BROKEN_CHARS.search(t):
+    if t.count("```") % 2 or BROKEN_CHARS.search(t, max(0, len(t) - 4)):
         return CUT
     if line.startswith("|"):
         before = t.rsplit("\n", 2)[-2].strip() if t.count("\n") else ""
@@ -55,11 +60,12 @@ def ending(text: str) -> str:
         return CUT if before.startswith("|") and before.count("|") != line.count("|") else COMPLETE
     if line.count("`") % 2 or line.count("**") % 2 or line.count("(") > line.count(")") or line.count("[") > line.count("]"):
         return CUT
-    if BROKEN_TAG.search(line) or BROKEN_ENTITY.search(line):
+    end = line[-240:]
+    if BROKEN_TAG.search(end) or BROKEN_ENTITY.search(end[-16:]):
         return CUT
-    if TERMINAL.search(line):
-        return CUT if is_abbreviation(line.rstrip("\"'”’»)]*_`")) else COMPLETE
-    if TAG_LINE.match(line) or URL_END.search(line) or EMOJI_END.search(line):
+    if TERMINAL.search(end[-16:]):
+        return CUT if is_abbreviation(end.rstrip("\"'”’»)]*_`")) else COMPLETE
+    if TAG_LINE.match(line) or URL_END.search(line) or EMOJI_END.search(end):
         return COMPLETE
     if line.endswith((")", "]", "**", ">", "|", "`")):
         return COMPLETE

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 # Frequent function words that few other languages of the four share.
 FUNCTION_WORDS = {
@@ -29,11 +30,11 @@ _WORD = re.compile(r"\w+")
 def votes(words: list[str]) -> list[float]:
     """Function words of each language; a word of several languages counts in parts."""
     got = [0.0] * len(LANGUAGES)
-    for w in words:
-        v = _VOTES.get(w)
-        if v:
-            for i in v:
-                got[i] += 1 / len(v)
+    counts = Counter(words)
+    for w in counts.keys() & _VOTES.keys():
+        v = _VOTES[w]
+        for i in v:
+            got[i] += counts[w] / len(v)
     return got
 
 

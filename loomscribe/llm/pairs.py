@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 
 from loomscribe.functions.labels import canon_label
 from loomscribe.llm.endings import COMPLETE, ending, has_content
-from loomscribe.llm.language import by_pieces, language, share_by_sentence
+from loomscribe.llm.language import LANGUAGES, best, by_pieces, share_by_sentence
+from loomscribe.llm.language import votes as function_words
 from loomscribe.llm.refusals import is_refusal
 from loomscribe.llm.truncation import truncated
 from loomscribe.runtime import cut, table
@@ -26,8 +26,19 @@ LEADING, OTHER = (0.985, 0.002), (0.75, 0.12)
 LEADING_WEIGHT, OTHER_WEIGHT = 1.0, 0.02
 PRIOR = 0.04
 
-_WORD = re.compile(r"\w+")
-_SOFT = re.compile(r"\b(?:sorry|unfortunately|apologi[sz]e|afraid|decline|unable|guidelines|leider|bedaure|tut mir leid|désolée?|regrette|malheureusement|lo siento|lamentablemente|lamento|instead|happy to help|let me know|excerpt)\b", re.I)
+# Punctuation that separates words, and words that often stand in refusals.
+_SEPARATORS = str.maketrans({c: " " for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~“”„«»…•–—·\u00a0'’"})
+_SOFT = ("sorry", "unfortunately", "apologi", "afraid", "declin", "unable", "guidelines", "leider", "bedaure", "tut mir leid", "désolé", "regrette", "malheureusement", "lo siento", "lamentablemente", "lamento",
+         "happy to help", "let me know", "excerpt")
+
+
+def _words(text: str) -> list[str]:
+    return text.lower().translate(_SEPARATORS).split()
+
+
+def _soft(text: str) -> bool:
+    low = text.lower()
+    return any(m in low for m in _SOFT)
 
 
 def _vote(yes: bool | None) -> str:
@@ -38,25 +49,35 @@ def pair_votes(original: str | None, rewritten: str | None, logged: float | None
     """The votes (+, -, or 0 to abstain) of each defect's labelling functions; the first is the leading one."""
     full = has_content(rewritten)
     text = rewritten or ""
-    wr, wo = _WORD.findall(text.lower()), _WORD.findall((original or "").lower())
+    wr, wo = _words(text), _words(original or "")
     votes = {"empty": _vote(not full) + _vote(len(wr) <= 2) + _vote(None if logged is None else logged <= 2)}
     if not full:
         return votes | {k: "----" for k in ("refusal", "copy", "language", "truncated")}
     ratio = len(wr) / len(wo) if wo else None
     tri, other = set(zip(wr, wr[1:], wr[2:])), set(zip(wo, wo[1:], wo[2:]))
     shared3 = len(tri & other) / len(tri) if tri and other else None
-    bi, other2 = set(zip(wr, wr[1:])), set(zip(wo, wo[1:]))
-    shared2 = len(bi & other2) / len(bi) if bi and other2 else None
+    shared2 = None
+    if shared3 is not None:  # far fewer shared 3-grams than a copy has: no need to count 2-grams
+        shared2 = 0.0
+        if shared3 >= 0.3:
+            bi = set(zip(wr, wr[1:]))
+            shared2 = len(bi & set(zip(wo, wo[1:]))) / len(bi)
     vocabulary = set(wo)
     shared1 = sum(w in vocabulary for w in wr) / len(wr) if wr and wo else None
     declines = is_refusal(text)
-    votes["refusal"] = _vote(declines) + _vote(None if ratio is None else ratio < 0.4) + _vote(None if shared3 is None else shared3 < 0.02) + _vote(bool(_SOFT.search(text)))
+    votes["refusal"] = _vote(declines) + _vote(None if ratio is None else ratio < 0.4) + _vote(None if shared3 is None else shared3 < 0.02) + _vote(_soft(text))
     votes["copy"] = (_vote(None if shared3 is None else shared3 >= 0.7) + _vote(None if shared2 is None else shared2 >= 0.8)
                      + _vote(None if shared1 is None else shared1 >= 0.93) + _vote(None if ratio is None or shared3 is None else 0.85 <= ratio <= 1.2 and shared3 >= 0.5))
-    lo, lr = language(original), language(text)
-    here = share_by_sentence(text)
-    in_own = here.get(lo, 0.0) if lo and sum(here.values()) else None
-    po, pr = by_pieces(original or ""), by_pieces(text)
+    tally = function_words(wr)
+    lo, lr = best(function_words(wo)), best(tally)
+    if lo is None:
+        in_own = po = pr = None
+    elif lr == lo and tally[LANGUAGES.index(lo)] >= 0.9 * sum(tally):  # clear: sentences need not be asked
+        in_own, po, pr = 1.0, lo, lo
+    else:
+        here = share_by_sentence(text)
+        in_own = here[lo] if sum(here.values()) else None
+        po, pr = by_pieces(original or ""), by_pieces(text)
     votes["language"] = (_vote(None if in_own is None else in_own < 0.5) + _vote(None if lo is None or lr is None else lo != lr)
                          + _vote(None if po is None or pr is None else po != pr) + _vote(None if shared1 is None else shared1 < 0.12))
     words = len(text.split())

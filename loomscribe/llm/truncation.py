@@ -23,6 +23,8 @@ from loomscribe.llm.refusals import is_refusal
 from loomscribe.runtime import cut, table
 
 PREFIX = 2
+#: Texts counted at once, and rows of counts that a task holds before it passes them on.
+CHUNK, HELD_ROWS = 2500, 600_000
 #: A tail that ends lines at least this often, among all its copies, may end a text.
 END_SHARE = 0.2
 #: A last line whose form ends at least so many texts, and at least that share of all lines that begin like it.
@@ -31,27 +33,24 @@ SIGN_OFFS, SIGN_OFF_SHARE = 5, 0.5
 LINE_WORDS, LINES = 8, 2
 
 
-class _Words:
-    """Codes, hashes and end marks of raw words, kept for the words met so far."""
+class _Words(dict):
+    """The code of each raw word met so far, with the hash, end mark, normal form and masked form by code."""
 
     def __init__(self) -> None:
-        self.code: dict[str, int] = {}
         self.hash: list[int] = []
         self.ends: list[bool] = []
         self.text: list[str] = []
         self.mask: list[int] = []
 
-    def __call__(self, raw: str) -> int:
+    def __missing__(self, raw: str) -> int:
         import xxhash
 
-        c = self.code.get(raw)
-        if c is None:
-            w = norm(raw)
-            c = self.code[raw] = len(self.hash)
-            self.hash.append(xxhash.xxh64_intdigest(w) if w else 0)
-            self.ends.append(bool(TERMINAL.search(raw)) and not is_abbreviation(raw))
-            self.text.append(w)
-            self.mask.append(xxhash.xxh64_intdigest(mask(raw)))
+        w = norm(raw)
+        c = self[raw] = len(self.hash)
+        self.hash.append(xxhash.xxh64_intdigest(w) if w else 0)
+        self.ends.append(bool(TERMINAL.search(raw)) and not is_abbreviation(raw))
+        self.text.append(w)
+        self.mask.append(xxhash.xxh64_intdigest(mask(raw)))
         return c
 
 
@@ -91,12 +90,12 @@ def window_counts(texts: list[str], words: _Words) -> pd.DataFrame:
     unsure: list[int] = []
     for t in texts:
         for line in t.split("\n"):
-            raw = line.split()
-            while raw and not norm(raw[0]):  # list marks, heading marks
+            raw = list(map(words.__getitem__, line.split()))
+            while raw and not words.text[raw[0]]:  # list marks, heading marks
                 raw.pop(0)
             if raw:
                 starts.append(len(codes))
-                codes += [words(w) for w in raw]
+                codes += raw
                 stops.append(len(codes) - 1)
         if stops:
             unsure.append(stops[-1])
@@ -122,7 +121,9 @@ def window_counts(texts: list[str], words: _Words) -> pd.DataFrame:
     for level, ctx in ((2, context_hash(two, one)), (1, context_hash(zero, one)), (0, zero)):
         key = context_hash(ctx ^ np.uint64(level + 1), h)
         keep = ~drop
-        _, first, inverse = np.unique(key[keep], return_index=True, return_inverse=True)
+        inverse, values = pd.factorize(key[keep])
+        first = np.empty(len(values), dtype=np.int64)
+        first[inverse[::-1]] = np.arange(len(inverse))[::-1]
         at = np.flatnonzero(keep)[first]
         ends = np.bincount(inverse, weights=end[keep], minlength=len(at)).astype(np.int64)
         total = np.bincount(inverse, minlength=len(at))
@@ -142,11 +143,23 @@ def window_counts(texts: list[str], words: _Words) -> pd.DataFrame:
 
 
 def _count_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    words, held, size = _Words(), [], 0
+    by = ["level", "ctx", "word"]
     for pdf in batches:
-        words = _Words()
         texts = [t for t in pdf["text"] if t]
-        for i in range(0, len(texts), 2000):
-            yield window_counts(texts[i : i + 2000], words)
+        for i in range(0, len(texts), CHUNK):
+            if len(words) > 500_000:
+                words = _Words()
+            held.append(window_counts(texts[i : i + CHUNK], words))
+            size += len(held[-1])
+            if size > HELD_ROWS:
+                one = pd.concat(held).groupby(by, as_index=False, sort=False).sum()
+                held, size = [one], len(one)
+                if size > HELD_ROWS / 2:
+                    yield one
+                    held, size = [], 0
+    if held:
+        yield pd.concat(held).groupby(by, as_index=False, sort=False).sum()
 
 
 def windows(texts: DataFrame) -> DataFrame:
