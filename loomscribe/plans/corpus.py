@@ -395,9 +395,9 @@ def w7_cap_per_site(spark, d):
 
 @query()
 def w8_greedy_near_duplicates(spark, d):
-    """Order-dependent near duplicates within each site: five-word shingles, likeness 0.8 or more."""
-    docs = table(spark, d, "documents").select(F.coalesce(site_of("domain"), F.concat(F.lit("-"), F.col("doc_id").cast("string"))).alias("site"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return greedy_near_duplicates(docs, "site", "doc_id", "text").where("NOT kept").select("site", "doc_id")
+    """Order-dependent near duplicates within each source: five-word shingles, likeness 0.8 or more."""
+    docs = table(spark, d, "documents").select(F.coalesce(canon_label("source"), F.lit("-")).alias("source"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return greedy_near_duplicates(docs, "source", "doc_id", "text").where("NOT kept").select("source", "doc_id")
 
 
 @query(f"""WITH {POSTS_SQL}, s AS (SELECT site, count(*) AS n FROM posts WHERE site IS NOT NULL GROUP BY 1),
