@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomscribe.plans import base, corpus, learning, stats  # noqa: F401
+from loomscribe.plans import base, corpus, learning, stats, streams  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLE = base.ORACLE
