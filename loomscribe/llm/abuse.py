@@ -40,6 +40,7 @@ HOMOGLYPHS = str.maketrans("аеорсухіјѕԁһԛѡтмкнвзгΑΒΕΖΗ
 LEET = str.maketrans("@$013457!|€£", "asoieastiiel")
 _INVISIBLE = re.compile(r"[­​-‏⁠﻿︀-️]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_]([ .\-_*·]))(?:[^\W\d_]\1){1,}[^\W\d_](?![^\W_])")
+_NUMBERED = re.compile(r"(?<=[^\W\d_])\d{2,}$")
 _REPEATED = re.compile(r"([^\W\d_])\1{2,}")
 _EDGE = ".,;:?\"'“”‘’«»()[]{}<>…_`~#+=–—-"
 _STOP = re.compile(r"[.!?]+[\"'”’»)\]*_]*$")
@@ -65,6 +66,7 @@ def term(raw: str) -> str:
     if not w:
         return ""
     if not w.isalpha():
+        w = _NUMBERED.sub("", w)  # guest272 is guest
         letters = sum(c.isalpha() for c in w)
         if not letters:
             return ""
@@ -283,6 +285,11 @@ def choose_examples(docs: list[tuple[str, str]], tokens: Tokens, weights: np.nda
         other = len({i for i, c in enumerate(codes) if c == -1}) * default
         return float((w @ share[t] + other * base) / (w.sum() + other)) if len(t) else 0.0
 
+    def core(codes: list[int]) -> list[int]:
+        """The part from the first to the last telling term, with two words around: a sentence may run into a harmless one."""
+        telling = [i for i, c in enumerate(codes) if c >= 0 and share[c] >= 0.5]
+        return codes[max(0, telling[0] - 2) : telling[-1] + 3] if telling else codes
+
     rows, bad, kinds, texts = [], [], [], []
     seen: set[tuple] = set()
     for kind, got in parts:
@@ -291,7 +298,10 @@ def choose_examples(docs: list[tuple[str, str]], tokens: Tokens, weights: np.nda
         scored = [(evidence(codes), codes, s) for codes, s in got]
         top = max((e for e, _, _ in scored), default=0.0)
         for e, codes, s in scored:
-            if e >= max(0.3, 0.7 * top, 2 * base) and (key := (True, *sorted(set(codes)))) not in seen:
+            if e < max(0.3, 0.7 * top, 2 * base):
+                continue
+            codes = core(codes)
+            if (key := (True, *sorted(set(codes)))) not in seen:
                 seen.add(key)
                 rows.append(codes)
                 bad.append(True)

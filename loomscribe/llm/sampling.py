@@ -102,6 +102,7 @@ def draw(posts: DataFrame, plan: DataFrame, seed: int = 7, rows_per_bucket: int
     are taken, and only the records of the bucket that holds the cut are ranked.
     """
     cells = F.broadcast(plan.where("quota > 0").select(F.col("stratum").alias("_s"), F.col("vertical").alias("_v"), "fitted", "have", "quota"))  # a row a cell
+    posts = posts.select("doc_id", "stratum", "vertical")
     rows = posts.join(cells, (F.col("stratum") == F.col("_s")) & (F.col("vertical") == F.col("_v")))
     weight = F.greatest(F.col("fitted") / F.col("have"), F.lit(1e-12))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 1) / F.lit(float(2**53))

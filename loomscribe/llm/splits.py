@@ -74,7 +74,7 @@ def rank_alike(groups: DataFrame, rows_per_bucket: int = 100_000) -> DataFrame:
     number of rows in the buckets before it, and no window holds more than about rows_per_bucket rows.
     """
     n = max(1, math.ceil(groups.count() / rows_per_bucket))
-    g = groups.withColumn("_h", F.xxhash64("owner")).withColumn("_b", F.pmod(F.col("_h"), F.lit(n)))
+    g = groups.select("owner", "size").withColumn("_h", F.xxhash64("owner")).withColumn("_b", F.pmod(F.col("_h"), F.lit(n)))
     counts = g.groupBy("size", "_b").agg(F.count("*").alias("_n"))
     before = W.partitionBy("size").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select("size", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -29,9 +29,10 @@ def with_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", path:
     """Replaces the text column by its 64-bit hash `text_hash` and its number of tokens.
 
     Null and empty texts have 0 tokens. A text is encoded whole, however long; strings of special tokens
-    are ordinary text. The other columns are kept.
+    are ordinary text. The other columns are kept; any with the names of the new ones are replaced.
     """
-    keep = [f for f in df.schema.fields if f.name != text]
+    keep = [f for f in df.schema.fields if f.name not in (text, out, "text_hash")]
+    df = df.select(*[f"`{f.name}`" for f in keep], text)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [f"`{out}` long"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
