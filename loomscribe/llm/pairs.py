@@ -24,6 +24,8 @@ CUTOFFS = {"empty": 0.5, "refusal": 0.5, "copy": 0.5, "language": 0.5, "truncate
 #: before any data; the others only help where it abstains or is in doubt.
 LEADING, OTHER = (0.985, 0.002), (0.75, 0.12)
 LEADING_WEIGHT, OTHER_WEIGHT = 1.0, 0.02
+#: Where the leading function votes, all others together count for at most this odds ratio: they are not independent.
+OUTVOTE = 8.0
 PRIOR = 0.04
 
 # Punctuation that separates words, and words that often stand in refusals.
@@ -69,6 +71,8 @@ def pair_votes(original: str | None, rewritten: str | None, logged: float | None
     votes["copy"] = (_vote(None if shared3 is None else shared3 >= 0.7) + _vote(None if shared2 is None else shared2 >= 0.8)
                      + _vote(None if shared1 is None else shared1 >= 0.93) + _vote(None if ratio is None or shared3 is None else 0.85 <= ratio <= 1.2 and shared3 >= 0.5))
     tally = function_words(wr)
+    if declines:  # a refusal counts as one in any language: it answers nothing that could be in the wrong one
+        wo = []
     lo, lr = best(function_words(wo)), best(tally)
     if lo is None:
         in_own = po = pr = None
@@ -79,7 +83,7 @@ def pair_votes(original: str | None, rewritten: str | None, logged: float | None
         in_own = here[lo] if sum(here.values()) else None
         po, pr = by_pieces(original or ""), by_pieces(text)
     votes["language"] = (_vote(None if in_own is None else in_own < 0.5) + _vote(None if lo is None or lr is None else lo != lr)
-                         + _vote(None if po is None or pr is None else po != pr) + _vote(None if shared1 is None else shared1 < 0.12))
+                         + _vote(None if po is None or pr is None else po != pr) + _vote(None if shared1 is None or declines else shared1 < 0.12))
     words = len(text.split())
     votes["truncated"] = (_vote(was_cut) + _vote(None if logged is None else logged > words + 2)
                           + _vote(ending(text) != COMPLETE) + _vote(None if ratio is None else ratio < 0.6))
@@ -99,7 +103,7 @@ def label_model(counts: dict[str, float], rounds: int = 200, tol: float = 1e-8)
     """The posterior of the defect for each pattern of votes, by expectation-maximization.
 
     counts: how many pairs show each pattern. Given the class, labelling functions vote independently, with
-    rates for +, - and 0 of their own. The rates start from LEADING and OTHER and keep these as pseudo-counts,
+    rates of their own; 0 abstains and tells nothing. Where the leading function votes, the others are held to OUTVOTE. The rates start from LEADING and OTHER and keep these as pseudo-counts,
     which fixes which class is the defect and keeps the model whole where a defect does not occur.
     """
     patterns = sorted(counts)
@@ -107,25 +111,28 @@ def label_model(counts: dict[str, float], rounds: int = 200, tol: float = 1e-8)
         return {}
     n = np.array([counts[p] for p in patterns], dtype=float)
     width = max(map(len, patterns))
-    onehot = np.array([[[c == s for s in "+-0"] for c in p.ljust(width, "0")] for p in patterns], dtype=float)  # pattern, function, vote
+    onehot = np.array([[[c == s for s in "+-"] for c in p.ljust(width, "0")] for p in patterns], dtype=float)  # pattern, function, vote
     total = n.sum()
-    start = np.empty((2, width, 3))
+    start = np.empty((2, width, 2))
     for f in range(width):
         hit, noise = LEADING if f == 0 else OTHER
-        start[1, f], start[0, f] = (hit * 0.95, (1 - hit) * 0.95, 0.05), (noise * 0.95, (1 - noise) * 0.95, 0.05)
+        start[1, f], start[0, f] = (hit, 1 - hit), (noise, 1 - noise)
     strength = total * np.array([LEADING_WEIGHT if f == 0 else OTHER_WEIGHT for f in range(width)])[:, None]
     rates, prior = start.copy(), PRIOR
     post = np.zeros(len(patterns))
+    led = np.array([p[0] != "0" for p in patterns])
     for _ in range(rounds):
-        ll = np.einsum("pfv,kfv->kp", onehot, np.log(rates)) + np.log([[1 - prior], [prior]])
-        new = 1 / (1 + np.exp(np.clip(ll[0] - ll[1], -500, 500)))
+        odds = np.einsum("pfv,fv->pf", onehot, np.log(rates[1]) - np.log(rates[0]))
+        others = odds[:, 1:].sum(axis=1)
+        others = np.where(led, np.clip(others, -np.log(OUTVOTE), np.log(OUTVOTE)), others)
+        new = 1 / (1 + np.exp(np.clip(-(odds[:, 0] + others + np.log(prior / (1 - prior))), -500, 500)))
         if np.abs(new - post).max() < tol:
             post = new
             break
         post = new
         for k, w in ((1, n * post), (0, n * (1 - post))):
             seen = np.einsum("p,pfv->fv", w, onehot)
-            rates[k] = (seen + strength * start[k] + 1e-6) / (seen.sum(axis=1, keepdims=True) + strength + 3e-6)
+            rates[k] = (seen + strength * start[k] + 1e-6) / (seen.sum(axis=1, keepdims=True) + strength + 2e-6)
         prior = float(np.clip((np.sum(n * post) + 0.02 * total * PRIOR) / (1.02 * total), 1e-6, 0.5))
     return dict(zip(patterns, post.tolist()))
 

@@ -1,8 +1,8 @@
 """Problem 2: texts that stop before their end.
 
 An ending without punctuation is judged by a self-join by prefix: its last words are looked up among all
-windows of three words of the corpus, keyed by the hash of the two words before and a prefix of fixed
-length of the last one. Where the tail is a strict prefix of longer copies elsewhere (the last word goes on, or
+windows of three words of the corpus, keyed by the hash of the words before and a prefix of fixed length of
+the last one. Where the tail is a strict prefix of longer copies elsewhere (the last word goes on, or
 the sentence does) and hardly ever ends a line or sentence itself, the text was cut. Shorter windows are asked
 where the longer ones have never been seen. A last line that stands whole inside other texts (a list item, a
 heading) is complete, and so is a sign-off: a form that ends many texts but begins few other lines.
@@ -29,7 +29,7 @@ CHUNK, HELD_ROWS = 2500, 600_000
 END_SHARE = 0.2
 #: A last line whose form ends at least so many texts, and at least that share of all lines that begin like it.
 SIGN_OFFS, SIGN_OFF_SHARE = 5, 0.5
-#: A last line of at most LINE_WORDS words that stands whole at least LINES times inside texts is complete.
+#: A last line of two to LINE_WORDS words that stands whole at least LINES times inside texts is complete.
 LINE_WORDS, LINES = 8, 2
 
 
@@ -185,7 +185,7 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if how == OPEN:
                 form, words = skeleton(t), last_words(t)
                 h = np.array([word_hash(w) for w in words], dtype=np.uint64)
-                c3 = line_hash(h, np.array([0]), np.array([len(h)])).view(np.int64)[0] if len(words) <= LINE_WORDS else 0
+                c3 = line_hash(h, np.array([0]), np.array([len(h)])).view(np.int64)[0] if 2 <= len(words) <= LINE_WORDS else 0
                 two_words = form.split()[:2]
                 if len(two_words) == 2:
                     c4 = context_hash(h[:1], np.array([word_hash(two_words[1])], dtype=np.uint64)).view(np.int64)[0]
@@ -205,29 +205,27 @@ def truncated(texts: DataFrame, corpus: DataFrame) -> DataFrame:
     judged = cut(keyed.mapInPandas(_judge, "key long, how string, c2 long, c1 long, c3 long, c4 long, p string, form string").distinct(), "endings")
     open_ = judged.where(F.col("how") == OPEN)
     level = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), c.alias("ctx")) for k, c in ((2, F.col("c2")), (1, F.col("c1")), (0, F.lit(0).cast("long")))]))
-    asks = open_.select("p", "c2", "c1").distinct().select("p", "c2", "c1", level.alias("a")).select("p", "c2", "c1", "a.level", "a.ctx")
-    head = F.substring(F.col("p"), 1, PREFIX)
-    asks = asks.withColumn("head", head).withColumn("word_is", F.col("p"))
+    asks = open_.select("p", level.alias("a")).select("p", "a.level", "a.ctx").distinct()
+    head = lambda c: F.when(F.col("level") == 0, F.substring(c, 1, PREFIX)).otherwise(F.substring(c, 1, 1))
     w = cut(windows(corpus), "windows")
-    longer = w.where("level <= 2").withColumn("head", F.substring("word", 1, PREFIX))
-    hit = asks.join(longer, ["level", "ctx", "head"]).where(F.startswith("word", "p"))
+    hit = asks.withColumn("head", head("p")).join(w.where("level <= 2").withColumn("head", head("word")), ["level", "ctx", "head"]).where(F.startswith("word", "p"))
     same = F.col("word") == F.col("p")
-    seen = hit.groupBy("p", "c2", "c1", "level").agg(
+    seen = cut(hit.groupBy("level", "ctx", "p").agg(
         F.sum(F.when(same, F.col("ends")).otherwise(0)).alias("ends"),
         F.sum(F.when(same, F.col("goes_on")).otherwise(F.col("goes_on") + F.col("ends"))).alias("longer"),
-        F.sum(F.when(same, F.col("ends") + F.col("goes_on")).otherwise(0)).alias("whole"))
-    by = seen.groupBy("p", "c2", "c1").agg(*[F.max(F.when(F.col("level") == k, F.struct("ends", "longer", "whole"))).alias(f"l{k}") for k in (2, 1, 0)])
+        F.sum(F.when(same, F.col("ends") + F.col("goes_on")).otherwise(0)).alias("whole")), "seen")
+    by = lambda k, c: seen.where(F.col("level") == k).select("p", F.col("ctx").alias(c), F.struct("ends", "longer", "whole").alias(f"l{k}"))
     forms = open_.groupBy("form").agg(F.count_distinct("key").alias("n_form"))
     whole_line = w.where("level = 3").select(F.col("ctx").alias("c3"), F.col("ends").alias("lines"))
     begins = w.where("level = 4").select(F.col("ctx").alias("c4"), F.col("goes_on").alias("heads"))
-    got = open_.join(by, ["p", "c2", "c1"], "left").join(forms, "form", "left").join(whole_line, "c3", "left").join(begins, "c4", "left")
+    got = open_.join(by(2, "c2"), ["p", "c2"], "left").join(by(1, "c1"), ["p", "c1"], "left").join(by(0, "c0").drop("c0"), "p", "left").join(forms, "form", "left").join(whole_line, "c3", "left").join(begins, "c4", "left")
     ends_here = lambda x: F.col(f"{x}.ends") >= END_SHARE * (F.col(f"{x}.ends") + F.col(f"{x}.longer"))
     known = lambda x: F.col(f"{x}.ends") + F.col(f"{x}.longer") > 0
     sign_off = (F.col("n_form") >= SIGN_OFFS) & (F.col("n_form") >= SIGN_OFF_SHARE * (F.col("n_form") + F.coalesce("heads", F.lit(0))))
     verdict = (F.when(F.coalesce(F.col("lines") >= LINES, F.lit(False)) | sign_off, F.lit(False))
                .when(F.coalesce(known("l2"), F.lit(False)), ~ends_here("l2"))
                .when(F.coalesce(known("l1"), F.lit(False)), ~ends_here("l1"))
-               .when(F.coalesce(F.col("l0.whole") > 0, F.lit(False)), ~ends_here("l0"))
+               .when(F.coalesce((F.col("l0.whole") > 0) & (F.length("p") > 1), F.lit(False)), ~ends_here("l0"))
                .otherwise(F.lit(True)))
     got = got.withColumn("is_cut", verdict)
     by_prefix = got.where("is_cut").select("key", F.lit("prefix").alias("why"))
