@@ -221,8 +221,10 @@ def truncated(texts: DataFrame, corpus: DataFrame) -> DataFrame:
     got = open_.join(by(2, "c2"), ["p", "c2"], "left").join(by(1, "c1"), ["p", "c1"], "left").join(by(0, "c0").drop("c0"), "p", "left").join(forms, "form", "left").join(whole_line, "c3", "left").join(begins, "c4", "left")
     ends_here = lambda x: F.col(f"{x}.ends") >= END_SHARE * (F.col(f"{x}.ends") + F.col(f"{x}.longer"))
     known = lambda x: F.col(f"{x}.ends") + F.col(f"{x}.longer") > 0
-    sign_off = (F.col("n_form") >= SIGN_OFFS) & (F.col("n_form") >= SIGN_OFF_SHARE * (F.col("n_form") + F.coalesce("heads", F.lit(0))))
-    verdict = (F.when(F.coalesce(F.col("lines") >= LINES, F.lit(False)) | sign_off, F.lit(False))
+    sign_off = (F.col("c4") != 0) & (F.col("n_form") >= SIGN_OFFS) & (F.col("n_form") >= SIGN_OFF_SHARE * (F.col("n_form") + F.coalesce("heads", F.lit(0))))
+    fragment = F.coalesce((F.col("l2.whole") == 0) & (F.col("l2.longer") > 0), F.lit(False))  # the last word is only ever part of longer ones
+    verdict = (F.when(F.coalesce(F.col("lines") >= LINES, F.lit(False)), F.lit(False))
+               .when(fragment, F.lit(True)).when(sign_off, F.lit(False))
                .when(F.coalesce(known("l2"), F.lit(False)), ~ends_here("l2"))
                .when(F.coalesce(known("l1"), F.lit(False)), ~ends_here("l1"))
                .when(F.coalesce((F.col("l0.whole") > 0) & (F.length("p") > 1), F.lit(False)), ~ends_here("l0"))
