@@ -58,6 +58,8 @@ def ending(text: str) -> str:
         if not line.endswith("|") or re.fullmatch(r"[|\s:-]+", line):
             return CUT
         return CUT if before.startswith("|") and before.count("|") != line.count("|") else COMPLETE
+    if line.startswith("```"):
+        return COMPLETE
     if line.count("`") % 2 or line.count("**") % 2 or line.count("(") > line.count(")") or line.count("[") > line.count("]"):
         return CUT
     end = line[-240:]

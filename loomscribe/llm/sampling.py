@@ -31,7 +31,7 @@ def rake(cells: list[dict], margins=MARGINS, rounds: int = 200, tol: float = 1e-
     groups = []
     for margin in margins:
         keys: dict = {}
-        groups.append(np.array([keys.setdefault(tuple(c[m] for m in margin), len(keys)) for c in cells]))
+        groups.append(np.array([keys.setdefault(tuple(c[m] for m in margin), len(keys)) for c in cells], dtype=np.int64))
     for _ in range(rounds):
         old = fit.copy()
         for g in groups:
