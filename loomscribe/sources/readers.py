@@ -35,7 +35,7 @@ def json_map(spark: SparkSession, path: str, field: str, key: str = "key", value
 
 def fenced_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The first fenced JSON block of each Markdown file, parsed."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     block = F.regexp_extract("value", r"(?s)```json\s*(.*?)```", 1)
     return raw.select(F.from_json(block, schema).alias("x")).where("x IS NOT NULL").select("x.*")
 
