@@ -25,6 +25,8 @@ def rake(cells: list[dict], margins=MARGINS, rounds: int = 200, tol: float = 1e-
     its own margins and does not push other cells off their targets. The fit ends when no cell moves by more
     than tol from one round to the next.
     """
+    if not cells:
+        return []
     want = np.array([c["target"] for c in cells], dtype=float)
     have = np.array([c["have"] for c in cells], dtype=float)
     fit = np.where(want > 0, have, 0.0)
@@ -36,7 +38,7 @@ def rake(cells: list[dict], margins=MARGINS, rounds: int = 200, tol: float = 1e-
         old = fit.copy()
         for g in groups:
             goal, now = np.bincount(g, want), np.bincount(g, fit)
-            scale = np.divide(goal, now, out=np.ones_like(goal), where=now > 0)[g]
+            scale = np.divide(goal, now, out=np.ones(len(goal)), where=now > 0)[g]
             fit = np.minimum(fit * scale, have)
         if np.abs(fit - old).max(initial=0.0) <= tol:
             break
