@@ -7,7 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from loomscribe.operators.relational import running_sums
 
 
 def class_f1(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
@@ -33,15 +34,13 @@ def score_curve(df: DataFrame, y: str, score: str) -> DataFrame:
 
 def average_precision(df: DataFrame, y: str, score: str) -> DataFrame:
     """Sum of precision times recall gained, over distinct scores from the highest."""
-    w = W.orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
-    c = score_curve(df, y, score).withColumn("tp", F.sum("pos").over(w)).withColumn("n", F.sum(F.col("pos") + F.col("neg")).over(w))
+    c = running_sums(score_curve(df, y, score), [F.col("score").desc()], {"tp": F.col("pos"), "n": F.col("pos") + F.col("neg")}, inclusive=True)
     return c.agg((F.sum(F.col("pos") * F.col("tp") / F.col("n")) / F.sum("pos")).alias("auprc"))
 
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """Chance that a positive scores above a negative, ties counting half."""
-    w = W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    c = score_curve(df, y, score).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    c = running_sums(score_curve(df, y, score), [F.col("score")], {"below": F.col("neg")})
     return c.agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
@@ -68,12 +67,6 @@ def krippendorff_alpha(df: DataFrame, unit: str, value: str) -> DataFrame:
                                    (1 - F.try_divide(F.try_divide(F.col("d"), F.col("total")), 1 - F.col("sq") / (F.col("total") * F.col("total")))).alias("alpha"))
 
 
-def floor_quantile(values, q: float):
-    """The value at index min(n - 1, floor(q n)) of the sorted values."""
-    s = F.array_sort(F.collect_list(values))
-    return F.element_at(s, F.least(F.size(s), F.floor(F.lit(q) * F.size(s)).cast("int") + 1))
-
-
 def total_variation(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """Half the sum of differences of two columns' value shares for each key; a missing value is a value."""
     sides = df.select(key, F.coalesce(F.col(a).cast("string"), F.lit("(none)")).alias("v"), F.lit(1).alias("x"))
@@ -85,8 +78,8 @@ def total_variation(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
     """H with tie correction. Ranks come from counts of distinct values, so no window holds the rows."""
     v = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    w = W.orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-    t = v.groupBy("v").agg(F.sum("n").alias("t")).withColumn("rank", F.coalesce(F.sum("t").over(w), F.lit(0)) + (F.col("t") + 1) / 2.0)
+    t = running_sums(v.groupBy("v").agg(F.sum("n").alias("t")), [F.col("v")], {"below": F.col("t")})
+    t = t.select("v", "t", (F.col("below") + (F.col("t") + 1) / 2.0).alias("rank"))
     r = v.join(t, "v").groupBy(group).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("r"))
     h = r.agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"))
     ties = t.agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from loomscribe.runtime import cut
+
 
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in the given order, by an aggregate that combines before the shuffle.
@@ -38,14 +40,40 @@ def quota(df: DataFrame, capped_if: Column, order: Sequence[Column], share: floa
     return df.where(capped_if).orderBy(*order).limit(n).unionByName(others)
 
 
+ROWS_PER_TASK = 1_000_000
+
+
+def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], inclusive: bool = False, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """df with, for each name, the sum of its column over all rows before (inclusive: and including) a row in order.
+
+    Rows are split into ranges of the order of about rows_per_task rows; each task sums inside its range and adds the
+    totals of the ranges before. Only a table that fits one task's bound is summed in one. The order must be total
+    where sums of tied rows may not mix.
+    """
+    ranges = math.ceil(df.count() / rows_per_task)
+    upto = 0 if inclusive else -1
+    if ranges <= 1:
+        w = W.orderBy(*order).rowsBetween(W.unboundedPreceding, upto)
+        return df.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(k) for k, c in sums.items()])
+    parts = cut(df.repartitionByRange(ranges, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    totals = parts.groupBy("_p").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"_t_{k}") for k, c in sums.items()])
+    over = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # a row a range
+    totals = totals.select("_p", *[F.coalesce(F.sum(f"_t_{k}").over(over), F.lit(0)).alias(f"_b_{k}") for k in sums])
+    w = W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, upto)
+    inside = parts.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_i_{k}") for k, c in sums.items()])
+    out = inside.join(F.broadcast(totals), "_p")
+    return out.select(*df.columns, *[(F.col(f"_b_{k}") + F.col(f"_i_{k}")).alias(k) for k in sums])
+
+
 def prefix_sum_split(groups: DataFrame, size: str, order: Sequence[Column], cuts: Sequence[tuple[str, float]]) -> DataFrame:
-    """The split of each group by the share of all rows before it in order; one row a group, so groups must be few."""
-    w = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(size).over(w), F.lit(0)) / F.sum(size).over(W.partitionBy(F.lit(1)))
+    """The split of each group by the share of all rows before it in order."""
+    total = groups.agg(F.sum(size).alias("_all"))
+    before = F.col("_before") / F.col("_all")
     out = None
     for name, upto in cuts[:-1]:
         out = F.when(before < upto, F.lit(name)) if out is None else out.when(before < upto, F.lit(name))
-    return groups.withColumn("split", out.otherwise(F.lit(cuts[-1][0])))
+    summed = running_sums(groups, order, {"_before": F.col(size)}).crossJoin(F.broadcast(total))  # total is one row
+    return summed.withColumn("split", out.otherwise(F.lit(cuts[-1][0]))).drop("_before", "_all")
 
 
 def average_rank(value: str, partition: Sequence[str] = (), descending: bool = False) -> Column:

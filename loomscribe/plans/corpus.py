@@ -9,7 +9,7 @@ from loomscribe.functions import text as T
 from loomscribe.functions.hashing import draw
 from loomscribe.functions.urls import LEGAL_FORMS, company_key, host_of
 from loomscribe.operators.dedup import greedy_near_duplicates
-from loomscribe.operators.relational import capped, keep_last, keep_one, prefix_sum_split, quota
+from loomscribe.operators.relational import capped, keep_last, keep_one, prefix_sum_split, quota, running_sums
 from loomscribe.plans.base import (MIRRORS_SQL, POSTS_SQL, canon_label, canon_vertical, host_sql, in_sql, known, label_sql, mirror_texts, posts, query, r6,
                                    site_of, site_sql, table, vertical_sql)
 
@@ -436,10 +436,9 @@ def t3_top_k_overlap(spark, d):
 @query(f"""WITH {POSTS_SQL}, s AS (SELECT site, count(*) >= 3 AS ok FROM posts WHERE site IS NOT NULL GROUP BY 1), r AS (SELECT *, sum(ok::INT) OVER (ORDER BY site ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s)
 SELECT site, ok FROM r WHERE coalesce(before, 0) < 50""")
 def t4_early_stop(spark, d):
-    """Sites in order until fifty qualify; one row a site."""
+    """Sites in order until fifty qualify."""
     s = posts(spark, d).where("site IS NOT NULL").groupBy("site").agg((F.count("*") >= 3).alias("ok"))
-    before = F.sum(F.col("ok").cast("int")).over(W.orderBy("site").rowsBetween(W.unboundedPreceding, -1))
-    return s.withColumn("before", F.coalesce(before, F.lit(0))).where("before < 50").select("site", "ok")
+    return running_sums(s, [F.col("site")], {"before": F.col("ok").cast("int")}).where("before < 50").select("site", "ok")
 
 
 @query("""SELECT doc_id FROM documents ORDER BY ('0x' || substr(md5('7|' || doc_id), 1, 8))::UBIGINT, doc_id LIMIT 100""")

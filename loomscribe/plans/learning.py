@@ -10,6 +10,7 @@ from loomscribe.functions.hashing import draw
 from loomscribe.operators import geometry as G
 from loomscribe.operators import metrics as M
 from loomscribe.operators import models as L
+from loomscribe.operators.relational import running_sums
 from loomscribe.plans.base import ENCODED_SQL, FEATURES, encoded, predicted, query, r6, table
 from loomscribe.plans.corpus import doc_splits
 
@@ -80,7 +81,8 @@ def ml11_rarity(spark, d):
     q, e = _queries_and_rows(spark, d)
     m = G.nearest(q, e, 25).groupBy("query").agg(F.avg("distance").alias("m")).join(q.select(F.col("id").alias("query"), "label"), "query")
     c = m.groupBy(F.round("m", 9).alias("x")).agg(F.count("*").alias("n"))
-    c = c.withColumn("percentile", F.sum("n").over(W.orderBy("x").rowsBetween(W.unboundedPreceding, 0)) / F.sum("n").over(W.partitionBy(F.lit(1))))
+    total = m.agg(F.count("*").alias("t"))
+    c = running_sums(c, [F.col("x")], {"upto": F.col("n")}, inclusive=True).crossJoin(F.broadcast(total)).select("x", (F.col("upto") / F.col("t")).alias("percentile"))  # total is one row
     return m.withColumn("x", F.round("m", 9)).join(c, "x").select(F.col("query").alias("vec_id"), "label", F.round("m", 5).alias("rarity"), r6("percentile").alias("percentile"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window as W
 
 from loomscribe.functions import text as T
 from loomscribe.operators import metrics as M
-from loomscribe.operators.relational import average_rank, keep_one
+from loomscribe.operators.relational import average_rank, keep_one, running_sums
 from loomscribe.operators.resample import binary_macro_f1, bootstrap_counts, unit_counts
 from loomscribe.plans.base import (ENCODED_SQL, FEATURES, MIRRORS_SQL, POSTS_SQL, canon_label, encoded, label_sql, mirror_texts, posts, predicted, query, r6, table)
 from loomscribe.plans.corpus import BLANKS, doc_splits
@@ -337,8 +337,9 @@ def m24_tertile_f1(spark, d):
 def w1_percentile_against_reference(spark, d):
     """Share of the human texts at or below each score, also for scores no human text has."""
     c = predicted(spark, d).groupBy("score").agg(F.count("*").alias("n"), F.count_if(F.col("label_ai") == 0).alias("h"))
-    upto = F.sum("h").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, 0))
-    return c.select("score", "n", r6(upto / F.sum("h").over(W.partitionBy(F.lit(1)))).alias("percentile"))
+    total = c.agg(F.sum("h").alias("t"))
+    c = running_sums(c, [F.col("score")], {"upto": F.col("h")}, inclusive=True).crossJoin(F.broadcast(total))  # total is one row
+    return c.select("score", "n", r6(F.col("upto") / F.col("t")).alias("percentile"))
 
 
 @query(f"""WITH {ENCODED_SQL}, l AS (UNPIVOT (SELECT source, {', '.join(f'avg({c}) AS {c}' for c in FEATURES)} FROM enc GROUP BY 1) ON {', '.join(FEATURES)} INTO NAME feature VALUE v), r AS (SELECT *, rank() OVER (PARTITION BY source ORDER BY v DESC) + (count(*) OVER (PARTITION BY source, v) - 1) / 2.0 AS rk, quantile_cont(v, 0.75) OVER (PARTITION BY source) AS q FROM l)

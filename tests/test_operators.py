@@ -124,3 +124,17 @@ def test_label_propagation(spark):
     edges = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 29)]
     got = {r["node"]: r["cluster"] for r in geometry.smallest_reachable(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(21)) and got[31] == 29
+
+
+def test_running_sums_in_ranges(spark):
+    r = random.Random(4)
+    rows = [(i, r.randrange(9), r.random()) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, n int, k double").repartition(4)
+    for per in (60, 10_000):
+        for inclusive in (False, True):
+            got = {x["id"]: x["s"] for x in relational.running_sums(df, [F.col("k").desc()], {"s": F.col("n")}, inclusive, per).collect()}
+            acc, want = 0, {}
+            for i, n, _ in sorted(rows, key=lambda x: -x[2]):
+                want[i] = acc + (n if inclusive else 0)
+                acc += n
+            assert got == want
