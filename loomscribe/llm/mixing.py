@@ -104,7 +104,8 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return mix_plan(_sizes(spark, d), table(spark, d, "mix_targets")).where("NOT met").select("source")
+    """Sources whose share of the finished mixture stays below the target; met compares whole tokens, without rounding."""
+    return p7_report(spark, d).where("mixed <= wanted AND NOT met").select("source")
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +114,7 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     """Of each source: target and reached share of the mixture, copies used, and whether the target is met."""
-    sizes, targets = cut(_sizes(spark, d), "sizes"), table(spark, d, "mix_targets")
+    sizes, targets = cut(_sizes(spark, d).select("doc_id", "source", "n_tokens"), "sizes"), table(spark, d, "mix_targets")
     got = mix(sizes, targets).groupBy("source").agg(F.sum("n_tokens").alias("mixed"), (F.max("copy") + 1).alias("copies"))
     plan = mix_plan(sizes, targets).join(got, "source", "left")
     share = F.coalesce(F.col("mixed"), F.lit(0)) / F.sum("mixed").over(W.partitionBy(F.lit(1)))

@@ -135,7 +135,7 @@ def _targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return cell_plan(usable_posts(spark, d), _targets(spark, d)).where("unmet").select("stratum", "vertical")
+    return p5_report(spark, d).where("unmet").select("stratum", "vertical")
 
 
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:
