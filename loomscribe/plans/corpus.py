@@ -12,6 +12,7 @@ from loomscribe.operators.dedup import greedy_near_duplicates
 from loomscribe.operators.relational import capped, keep_last, keep_one, prefix_sum_split, quota, running_sums
 from loomscribe.plans.base import (MIRRORS_SQL, POSTS_SQL, canon_label, canon_vertical, host_sql, in_sql, known, label_sql, mirror_texts, posts, query, r6,
                                    site_of, site_sql, table, vertical_sql)
+from loomscribe.runtime import cut, spread
 
 WORDS2 = r"len(regexp_extract_all(coalesce({0}, ''), '[\p{{L}}\p{{N}}_]{{2,}}'))"
 BLANKS = r"len(regexp_extract_all(coalesce({0}, ''), '[^ \t\r\n\f\x0b]+'))"
@@ -36,11 +37,11 @@ SELECT found AS language, why AS outcome, count(*) AS n, round(count(*) / sum(co
 @query(CASCADE_SQL)
 def f12_drop_cascade(spark, d):
     """By language: what the ordered cascade fetch, language, length, genre, cap does with documents; the first failing reason counts."""
-    t = table(spark, d, "documents")
+    t = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
     s = t.select("doc_id", F.nullif(F.lower(F.trim("source")), F.lit("")).alias("src"), "text", T.word_count("text").alias("n"), T.language(T.language_votes("text")).alias("found"))
     why = (F.when(F.col("text").isNull() | ~F.col("text").rlike(r"[^ \t\r\n]"), "fetch").when(F.col("found") != "en", "language")
            .when(~F.col("n").between(60, 2500), "length").when(F.col("text").rlike(r"(?i)<div|<p>"), "genre"))
-    f = s.select("doc_id", "src", "found", why.alias("why"))
+    f = cut(s.select("doc_id", "src", "found", why.alias("why")), "cascade")  # read three times below, without the texts
     # the cap needs only the 200 first kept rows of a source: Spark stops each group there before the shuffle
     kept = capped(f.where("why IS NULL").select("doc_id", "src", "found"), ["src"], [F.col("doc_id")], 200).groupBy("found").agg(F.count("*").alias("n"))
     total = f.groupBy("found", "why").agg(F.count("*").alias("n"))
@@ -396,7 +397,7 @@ def w7_cap_per_site(spark, d):
 @query()
 def w8_greedy_near_duplicates(spark, d):
     """Order-dependent near duplicates within each source: five-word shingles, likeness 0.8 or more."""
-    docs = table(spark, d, "documents").select(F.coalesce(canon_label("source"), F.lit("-")).alias("source"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = spread(table(spark, d, "documents").select("source", "doc_id", "text")).select(F.coalesce(canon_label("source"), F.lit("-")).alias("source"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return greedy_near_duplicates(docs, "source", "doc_id", "text").where("NOT kept").select("source", "doc_id")
 
 
@@ -569,7 +570,7 @@ def x4_marker_audit(spark, d):
 
 @query(f"""SELECT found, coalesce(nullif(lower(substr(trim(lang), 1, 2)), ''), '-') AS given, count(*) AS n FROM (SELECT lang, {lang_sql('text')} AS found FROM documents) GROUP BY 1, 2""")
 def x5_language_id(spark, d):
-    t = table(spark, d, "documents").select("lang", T.language(T.language_votes("text")).alias("found"))
+    t = spread(table(spark, d, "documents").select("lang", "text")).select("lang", T.language(T.language_votes("text")).alias("found"))
     return t.groupBy("found", F.coalesce(F.nullif(F.lower(F.substring(F.trim("lang"), 1, 2)), F.lit("")), F.lit("-")).alias("given")).agg(F.count("*").alias("n"))
 
 
@@ -619,7 +620,7 @@ round(len(regexp_extract_all(text, ','))::DOUBLE / n, 6) AS commas, round(len(re
 @query(_STY)
 def x11_stylometry(spark, d):
     """Length, vocabulary, punctuation and readability measures of each document."""
-    t = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text", T.words("text").alias("w"), T.sentence_count("text").alias("s"), T.syllables("text").alias("syl"))
+    t = spread(table(spark, d, "documents").select("doc_id", "text").where("text IS NOT NULL")).select("doc_id", "text", T.words("text").alias("w"), T.sentence_count("text").alias("s"), T.syllables("text").alias("syl"))
     t = t.select("*", F.size("w").alias("n"), F.size(F.array_distinct("w")).alias("v"), F.length(F.array_join("w", "")).alias("chars")).where("n > 0")
     n, s, syl, chars = F.col("n"), F.greatest("s", F.lit(1)), F.col("syl"), F.col("chars")
     return t.select("doc_id", n.alias("n_words"), F.col("s").alias("n_sentences"), r6(F.col("v") / n).alias("type_token"), r6(chars / n).alias("word_length"), r6(n / s).alias("sentence_length"), r6(F.col("v") / F.sqrt(n)).alias("root_ttr"),
@@ -632,8 +633,8 @@ v AS (SELECT w, d FROM df ORDER BY c DESC, w LIMIT 2000), x AS (SELECT doc_id, w
 SELECT doc_id, count(*) AS terms, round(sqrt(sum(x * x)), 5) AS length, arg_max(w, (round(x, 6), w)) AS top_term FROM x GROUP BY 1""")
 def x14_tfidf(spark, d):
     """Sublinear TF-IDF over the 2000 most frequent words, smooth IDF plus one: length and heaviest word of each document."""
-    docs = table(spark, d, "documents")
-    tf = docs.select("doc_id", F.explode(T.words("text")).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("c"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    tf = spread(docs).select("doc_id", F.explode(T.words("text")).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("c"))
     n = docs.count()
     v = tf.groupBy("w").agg(F.count("*").alias("d"), F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(2000)
     x = tf.join(F.broadcast(v.select("w", "d")), "w").withColumn("x", (1 + F.log("c")) * (F.log(F.lit(1 + n) / (1.0 + F.col("d"))) + 1))  # 2000 rows

@@ -30,6 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has far fewer tasks than there are cores (one small file); else df itself.
+
+    For text functions that cost far more than a shuffle of their input. A large table has more scan tasks than cores
+    and is never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def workdir(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
