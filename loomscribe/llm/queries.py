@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomscribe.functions.urls import LEGAL_FORMS
 from loomscribe.llm import abuse, mixing, packing, pairs, sampling, spans, splits, truncation
 
 QUERIES = {
@@ -31,7 +32,30 @@ QUERIES = {
 
 _LABEL = r"regexp_replace(regexp_replace(lower({0}), '^\s+|\s+$', '', 'g'), '[\s-]+', '_', 'g')"
 
+_HOST = (
+    r"rtrim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(domain, '\s+', '', 'g')), '^[a-z][a-z0-9+.-]*://', ''), '[/?#].*$', ''), '^.*@', ''), ':[0-9]*$', ''), '.')"
+)
+_SITE = f"nullif(array_to_string(string_split({_HOST}, '.')[-2:], '.'), '')"
+_COMPANY = (
+    r"nullif(replace(regexp_replace(trim(regexp_replace(lower(regexp_replace(company, '[.''’]', '', 'g')), '[^\p{L}\p{N}]+', ' ', 'g')), '(?: (?:"
+    + "|".join(LEGAL_FORMS)
+    + r"))+$', ''), ' ', ''), '')"
+)
+
 ORACLE = {
+    "p1_found": f"""
+WITH RECURSIVE c AS (SELECT DISTINCT {_SITE} AS site, {_COMPANY} AS k FROM site_frame),
+r(a, b) AS (SELECT DISTINCT site, site FROM c WHERE site IS NOT NULL UNION SELECT r.a, y.site FROM r JOIN c x ON x.site = r.b JOIN c y ON y.k = x.k WHERE y.site IS NOT NULL),
+o AS (SELECT a AS site, min(b) AS owner FROM r GROUP BY 1),
+l AS (SELECT doc_id, min({_SITE}) AS site FROM (SELECT doc_id, domain FROM splits UNION ALL SELECT doc_id, domain FROM features_encoded UNION ALL SELECT doc_id, domain FROM story_human_frozen UNION ALL SELECT doc_id, domain FROM mirrors) WHERE doc_id IS NOT NULL GROUP BY 1),
+p AS (SELECT s.doc_id, CASE WHEN {_LABEL.format('doc_split')} IN ('train', 'val', 'test') THEN {_LABEL.format('doc_split')} END AS split, coalesce(o.owner, l.site, 'd:' || s.doc_id) AS owner FROM splits s JOIN l USING (doc_id) LEFT JOIN o USING (site))
+SELECT DISTINCT doc_id FROM p WHERE owner IN (SELECT owner FROM p GROUP BY 1 HAVING count(DISTINCT split) > 1)""",
+    "p4_found": r"""
+WITH t AS (SELECT call_id, text FROM mirrors UNION ALL SELECT call_id, rewritten_text FROM rewrites),
+w AS (SELECT DISTINCT call_id, list_filter(string_split_regex(text, '[\s\p{Z}\x1c-\x1f\x0b\x85]+'), lambda x: x <> '') AS w FROM t WHERE text IS NOT NULL),
+g AS (SELECT call_id, unnest(list_transform(generate_series(1, len(w) - 49), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS h FROM w WHERE len(w) >= 50),
+s AS (SELECT h FROM g GROUP BY 1 HAVING min(call_id) <> max(call_id))
+SELECT DISTINCT call_id FROM g WHERE h IN (SELECT h FROM s)""",
     "p5_found": f"""
 WITH r AS (
   SELECT doc_id, {_LABEL.format('stratum')} AS s, {_LABEL.format('vertical')} AS v0,
