@@ -18,7 +18,8 @@ QUERY_BLOCK = 4096
 def unit_vector(c: Column) -> Column:
     """The vector divided by its length; a zero vector stays."""
     length = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(c, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double")))
+    scaled = lambda n: F.transform(c, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return F.element_at(F.transform(F.array(length), scaled), 1)  # bound once: inside the inner lambda it would be summed for every element
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
