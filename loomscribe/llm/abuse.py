@@ -34,6 +34,8 @@ BLOCK = 64
 #: Terms in fewer than one of so many sentences keep the weight of the rarest, unless a labelled text has them.
 RARE = 20_000
 SENTENCE_WORDS = 40
+#: The evidence that a bad example needs is never set higher than this by a high share of bad labels.
+MOST_EVIDENCE = 0.8
 
 # Letters of other scripts that look like Latin ones, and signs written for letters.
 HOMOGLYPHS = str.maketrans("аеорсухіјѕԁһԛѡтмкнвзгΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορτυχνικ", "aeopcyxijsdhqwtmkhb3rABEZHIKMNOPTYXaoptuxvik")
@@ -261,15 +263,25 @@ class Index:
         return float((w @ self.bad[near] + PRIOR_WEIGHT * prior) / (w.sum() + PRIOR_WEIGHT))
 
 
-def choose_examples(docs: list[tuple[str, str]], tokens: Tokens, weights: np.ndarray, default: float) -> tuple[list, np.ndarray, list, list]:
+def bad_share(docs: list[tuple[str, str]], stands_for: tuple[float, float]) -> float:
+    """Share of bad among all labelled documents, of which docs (kind, text) are a sample."""
+    n_bad = sum(k != "ok" for k, _ in docs)
+    bad, ok = n_bad * stands_for[0], (len(docs) - n_bad) * stands_for[1]
+    return bad / (bad + ok) if docs else 0.0
+
+
+def choose_examples(docs: list[tuple[str, str]], tokens: Tokens, weights: np.ndarray, default: float, stands_for: tuple[float, float] = (1.0, 1.0)) -> tuple[list, np.ndarray, list, list]:
     """Examples from labelled documents (kind, text): term codes, whether bad, kind, sentence.
 
+    stands_for: how many labelled documents each bad and each ok one of docs stands for, where docs are a sample.
+
     A label holds for a whole document, of which most sentences are harmless. A sentence of a bad document is a
     bad example where its terms stand mostly in bad documents; a document with no such sentence (a rater's
     error) gives none. Sentences of ok documents are ok examples where they come near any bad one.
     """
     parts, n_bad, n_ok = [], Counter(), Counter()
-    base = max(1e-3, sum(k != "ok" for k, _ in docs) / max(1, len(docs)))
+    base = max(1e-3, bad_share(docs, stands_for))
+    per_bad, per_ok = (x / min(stands_for) for x in stands_for)  # pseudo-counts below stay in documents of the sample
     for kind, text in docs:
         got = list(sentences(text, tokens))
         terms = {c for codes, _ in got for c in codes if c >= 0}
@@ -277,7 +289,8 @@ def choose_examples(docs: list[tuple[str, str]], tokens: Tokens, weights: np.nda
         parts.append((kind, got))
     share = np.full(len(weights), base)
     for c in {*n_bad, *n_ok}:
-        share[c] = (max(0.0, n_bad[c] - 0.6) + base) / (n_bad[c] + n_ok[c] + 1 - 0.6 * (n_bad[c] > 0))
+        seen_bad = per_bad * max(0.0, n_bad[c] - 0.6)
+        share[c] = (seen_bad + base) / (seen_bad + per_ok * n_ok[c] + 1)
 
     def evidence(codes: list[int]) -> float:
         t = [c for c in set(codes) if c >= 0]
@@ -292,13 +305,14 @@ def choose_examples(docs: list[tuple[str, str]], tokens: Tokens, weights: np.nda
 
     rows, bad, kinds, texts = [], [], [], []
     seen: set[tuple] = set()
+    least = max(0.3, min(2 * base / (1 + base), MOST_EVIDENCE))
     for kind, got in parts:
         if kind == "ok":
             continue
         scored = [(evidence(codes), codes, s) for codes, s in got]
         top = max((e for e, _, _ in scored), default=0.0)
         for e, codes, s in scored:
-            if e < max(0.3, 0.7 * top, 2 * base):
+            if e < max(least, 0.7 * top):
                 continue
             codes = core(codes)
             if (key := (True, *sorted(set(codes)))) not in seen:
@@ -327,15 +341,19 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     score is 0..1; kind, sentence and example are the evidence: the worst sentence and its nearest bad example.
     Null and empty texts score 0 without evidence, and so do all texts where nothing is labelled bad. Term counts are
-    made over all documents; examples come from at most MAX_LABELLED labelled documents of each kind.
+    made over all documents; examples come from at most MAX_LABELLED labelled documents of each kind, which are weighted
+    to the numbers of all labelled documents.
     """
     counts = cut(term_counts(docs), "terms")
     chosen = document_labels(labels)
-    rank = F.row_number().over(W.partitionBy(F.col("kind") == "ok").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = chosen.withColumn("_r", rank).where(F.col("_r") <= MAX_LABELLED).drop("_r")
-    sample = docs.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("kind", "text", "doc_id")  # at most 2 MAX_LABELLED rows
+    same = W.partitionBy(F.col("kind") == "ok")
+    rank = F.row_number().over(same.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = chosen.withColumn("_n", F.count("*").over(same)).withColumn("_r", rank).where(F.col("_r") <= MAX_LABELLED).drop("_r")
+    sample = docs.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("kind", "text", "doc_id", "_n")  # at most 2 MAX_LABELLED rows
     sample = sorted(tuple(r) for r in sample.dropDuplicates(["doc_id"]).collect())
-    sample = [(k, t) for k, t, _ in sample]
+    all_bad, all_ok = (max((n for k, _, _, n in sample if (k == "ok") == ok), default=1) for ok in (False, True))
+    stands_for = max(1.0, all_bad / MAX_LABELLED), max(1.0, all_ok / MAX_LABELLED)
+    sample = [(k, t) for k, t, _, _ in sample]
     own = Tokens()
     for _, t in sample:
         for _ in sentences(t, own):
@@ -350,14 +368,15 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     weights = np.array([np.log((1 + total) / (1 + n)) + 0.05 for _, n in table_] or [1.0])
     index_of = {w: i for i, (w, _) in enumerate(table_)}
     masks: dict[int, list[str]] = {}
+    per_bad = stands_for[1] / stands_for[0]
     bad_words = Counter(w for k, t in sample if k != "ok" for w in {term(x) for x in fold(t).split()} if w and "*" not in w)
     ok_words = Counter(w for k, t in sample if k == "ok" for w in {term(x) for x in fold(t).split()})
-    for w, n in sorted(bad_words.items(), key=lambda x: (-x[1] / (x[1] + ok_words[x[0]]), -x[1], x[0])):
-        if n >= 2 and n > ok_words[w] and w.isalpha() and len(w) > 3:
+    for w, n in sorted(bad_words.items(), key=lambda x: (-x[1] / (x[1] + per_bad * ok_words[x[0]]), -x[1], x[0])):
+        if n >= 2 and n > per_bad * ok_words[w] and w.isalpha() and len(w) > 3:
             masks.setdefault(len(w), []).append(w)
-    rows, bad, kinds, texts = choose_examples(sample, Tokens(index_of, masks), weights, default)
+    rows, bad, kinds, texts = choose_examples(sample, Tokens(index_of, masks), weights, default, stands_for)
     index = Index(weights, default, rows, bad, kinds, texts) if len(rows) else None
-    prior = float(np.mean([k != "ok" for k, _ in sample])) if sample else 0.0
+    prior = bad_share(sample, stands_for)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = Tokens(index_of, masks)

@@ -95,3 +95,26 @@ def test_whole_and_batched_splitting_agree():
     codes, sid, owner = A._batch_codes(texts, tokens)
     got = [[int(c) for c in codes[sid == s] if c != -2] for s in range(sid.max() + 1)]
     assert got == want and owner.tolist() == [0, 0, 0, *[2] * 5, 3]
+
+
+def test_more_labels_than_examples(spark, monkeypatch):
+    docs, labels, truth = corpus(800)
+    labels = [(i, "r1", "abusive" if i in truth else "ok", i) for i in range(600)]  # 75 bad, 525 ok
+    monkeypatch.setattr(A, "MAX_LABELLED", 40)
+    got = {r["doc_id"]: r["score"] for r in A.scores(*frames(spark, docs, labels)).collect()}
+    found, held = {k for k, s in got.items() if s >= A.CUTOFF}, {k for k in truth if k >= 600}
+    assert len(found & held) / len(held) >= 0.95, held - found
+    assert len(found - truth) <= 8, len(found - truth)
+
+
+def test_examples_are_weighted_to_all_labels():
+    r = random.Random(3)
+    half = [("abusive" if i % 2 else "ok", r.choice(GOOD) + (" " + r.choice(BAD).format(r.choice(NOUNS), r.choice(THINGS)) if i % 2 else "")) for i in range(400)]
+    own = A.Tokens()
+    for _, t in half:
+        list(A.sentences(t, own))
+    index_of = {w: i for i, w in enumerate(own.names)}
+    assert A.bad_share(half, (1.0, 9.0)) == 0.1 and A.bad_share(half, (1.0, 1.0)) == 0.5 and A.bad_share([], (1.0, 1.0)) == 0
+    for stands_for in ((1.0, 1.0), (1.0, 9.0), (2.0, 1.0)):
+        _, bad, _, texts = A.choose_examples(half, A.Tokens(index_of), np.ones(len(index_of)), 8.0, stands_for)
+        assert bad.any() and all(("you" in t or "stupid" in t) for t, b in zip(texts, bad) if b), stands_for
