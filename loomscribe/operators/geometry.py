@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 from loomscribe.runtime import cut
 
 QUERY_BLOCK = 4096
+LINK_BLOCK = 8192
 
 
 def unit_vector(c: Column) -> Column:
@@ -58,6 +59,52 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERY_BLOC
     return best.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
+def links(rows: DataFrame, least: float, block: int = LINK_BLOCK) -> DataFrame:
+    """(a, b, cosine) of all pairs of rows (id, unit vec) whose cosine is at least `least`, a < b.
+
+    Exact self-join: rows stand in blocks by hash of the id, each pair of blocks is one group, and each row goes to
+    as many groups as there are blocks. Nothing but the number of rows reaches the driver. Null vectors have no links.
+    """
+    rows = rows.where("id IS NOT NULL AND vec IS NOT NULL").select("id", "vec")
+    blocks = max(1, -(-rows.count() // block))
+    own = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    met = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = (pdf["_b"] == pdf["_i"]).to_numpy()
+        two = (pdf["_b"] == pdf["_j"]).to_numpy()
+        ids, vec = pdf["id"].to_numpy(), np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+        same = bool(pdf["_i"].iloc[0] == pdf["_j"].iloc[0])
+        a, x, b, y = ids[one], vec[one], ids[two], vec[two]
+        out = [pd.DataFrame({"a": a[:0], "b": b[:0], "cosine": np.zeros(0)})]
+        for lo in range(0, len(a), 512):
+            cosine = x[lo : lo + 512] @ y.T
+            p, q = np.nonzero(cosine >= least)
+            left, right, c = a[lo + p], b[q], cosine[p, q]
+            keep = left < right if same else left != right
+            out.append(pd.DataFrame({"a": np.minimum(left, right)[keep], "b": np.maximum(left, right)[keep], "cosine": c[keep]}))
+        return pd.concat(out)
+
+    return met.groupBy("_i", "_j").applyInPandas(run, "a long, b long, cosine double")
+
+
+def single_linkage(rows: DataFrame, least: float, sweep: Sequence[float] = ()) -> DataFrame:
+    """(id, cluster, links, and a cluster_NN for each bound of the sweep) of all rows (id, unit vec), by links at cosine `least` or more.
+
+    A cluster is named by its smallest id; a row without links is its own cluster. links counts the row's links at
+    `least`; the bounds of the sweep are above it, so its links are among these.
+    """
+    pairs = cut(links(rows, least), "links")
+    bounds = [(0, least), *enumerate(sweep, 1)]
+    holds = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(t)).alias("t")) for k, t in bounds]), lambda x: x.t <= F.col("cosine"))
+    edges = pairs.select("a", "b", F.explode(holds).alias("x")).select(F.struct("x.k", F.col("a").alias("id")).alias("a"), F.struct("x.k", F.col("b").alias("id")).alias("b"))
+    names = ["cluster", *(f"cluster_{round(100 * t)}" for t in sweep)]
+    found = smallest_reachable(edges).groupBy(F.col("node.id").alias("id")).agg(*[F.max(F.when(F.col("node.k") == k, F.col("cluster.id"))).alias(n) for k, n in enumerate(names)])
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    got = rows.select("id").join(found, "id", "left").join(degree, "id", "left")
+    return got.select("id", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("links", F.lit(0)).alias("links"), *[F.coalesce(n, "id").alias(n) for n in names[1:]])
+
+
 def dispersion(long: DataFrame, group: str, item: str, place: str, value: str) -> DataFrame:
     """(group, mean distance of the group's items to its centroid) of vectors in long form."""
     centre = long.groupBy(group, place).agg(F.avg(value).alias("_m"))

@@ -142,11 +142,9 @@ def ml14_discriminant_projection(spark, d):
 
 @query()
 def ml17_single_linkage(spark, d):
-    """Clusters of vectors linked at cosine 0.3 or more: links of the queries' 25 nearest, then label propagation."""
+    """Each vector's single-linkage cluster at cosine 0.3 or more, its number of links, and its clusters at .70 to .95."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), G.unit_vector(F.col("embedding")).alias("vec"))
-    near = G.nearest(e.where("id % 20 = 0"), e, 25)
-    edges = near.where((2 - F.col("distance") * F.col("distance")) / 2 >= 0.3).select(F.col("query").alias("a"), F.col("id").alias("b"))
-    return G.smallest_reachable(edges).groupBy("cluster").agg(F.count("*").alias("n"))
+    return G.single_linkage(e, 0.3, (0.70, 0.75, 0.80, 0.85, 0.90, 0.95)).withColumnRenamed("id", "vec_id")
 
 
 @query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings), l AS (SELECT vec_id, label, unnest(generate_series(1, 64)) AS i, unnest(u) AS x FROM e), s AS (SELECT label, i, sum(x) AS s FROM l GROUP BY 1, 2), n AS (SELECT label, count(*) AS n FROM e GROUP BY 1),

@@ -138,3 +138,35 @@ def test_running_sums_in_ranges(spark):
                 want[i] = acc + (n if inclusive else 0)
                 acc += n
             assert got == want
+
+
+def test_single_linkage_equals_brute_force(spark):
+    r = np.random.default_rng(5)
+    centre = r.normal(size=(6, 16))
+    x = np.concatenate([centre[i] + s * r.normal(size=(40, 16)) for i, s in enumerate((0.05, 0.3, 0.5, 0.7, 1.0, 1.5))] + [np.zeros((1, 16))])
+    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+    ids = [int(i) for i in r.permutation(len(x)) * 20 + 1]  # none divisible by 20
+    got = {q["id"]: q for q in geometry.single_linkage(spark.createDataFrame(list(zip(ids, x.tolist())), "id long, vec array<double>"), 0.6, (0.7, 0.9)).collect()}
+    assert sorted(got) == sorted(ids)
+    cosine = x @ x.T
+    for least, name in ((0.6, "cluster"), (0.7, "cluster_70"), (0.9, "cluster_90")):
+        near = cosine >= least
+        label = np.array(ids)
+        while (new := np.minimum(label, np.where(near, label[None, :], 10**9).min(axis=1))).tolist() != label.tolist():
+            label = new
+        assert [got[i][name] for i in ids] == label.tolist(), name
+    linked = cosine >= 0.6
+    np.fill_diagonal(linked, False)
+    assert [got[i]["links"] for i in ids] == linked.sum(axis=1).tolist() and linked.sum(axis=1).max() > 25
+
+
+def test_links_in_blocks(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(150, 5))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(999, None)], "id long, vec array<double>")
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.5, 1))
+    for block in (20, 1000):
+        got = [(q["a"], q["b"]) for q in geometry.links(df, 0.5, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == set(zip(a.tolist(), b.tolist()))
+    assert geometry.single_linkage(df.limit(0), 0.5, (0.7,)).count() == 0
