@@ -43,12 +43,12 @@ _ES = [
     r"\bno (?:puedo|voy a) (?:cumplir|ayudar)\b",
 ]
 PATTERN = re.compile("|".join(f"(?:{p})" for p in _EN + _DE + _FR + _ES), re.I)
-# One of these stands in every text that the patterns can match.
+# One of these stands in every text that the patterns can match; tests/llm/test_refusals.py asks every alternative.
 _MARKS = (
     "n't", "cannot", "can not", "could not", "will not", "do not", "refus", "declin", "unable", "not able", "not going", "not allowed", "not permitted", "not comfortable",
-    "not in a position", "willing", "rather not", "prefer not", "not something", "s outside", "s beyond", "s against", "no re", "no edit", "no version", "no para",
-    " ich ", "ich kann", "ich muss", "ich darf", "ist mir", "mir ist", "dies", "je n", "m'est", "je dois", "je me vois", "je décline", "cette ",
-    "puedo", "no me", "no podr", "no voy", "posible", "no resulta", "no quiero", "debo", "tengo que", "me es ", "me resulta", "petición", "solicitud", "esta tarea", "esta entrada",
+    "not in a position", "willing", "rather not", "prefer not", "not something", "s outside", "s beyond", "s against", "no re", "no edit", "no version", "no para", "i must",
+    " ich ", "ich kann", "ich muss", "ich darf", "ich werde", "ich möchte", "ist mir", "mir ist", "dies", "je n", "m'est", "je dois", "je me vois", "je décline", "cette ",
+    "puedo", "no me", "no podr", "no voy", "posible", "no resulta", "no quiero", "debo", "tengo que", "me es ", "me resulta", "petición", "solicitud", "esta tarea", "esta entrada", "este tarea", "este entrada",
 )
 _QUOTED = re.compile(r"[\"“„«][^\"“”„«»\n]{0,400}[\"”“»]|^\s*>.*$", re.M)
 
