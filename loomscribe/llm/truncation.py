@@ -78,17 +78,23 @@ def word_hash(word: str) -> int:
     return _START if word == "^" else xxhash.xxh64_intdigest(word)
 
 
+def _texts_with(what: np.ndarray, owner: np.ndarray) -> pd.Series:
+    """In how many texts each hash stands."""
+    return pd.DataFrame({"what": what.view(np.int64), "owner": owner}).drop_duplicates()["what"].value_counts()
+
+
 def window_counts(texts: list[str], words: _Words) -> pd.DataFrame:
     """(level, ctx, word, goes_on, ends) of all windows of the texts, but for last lines without an end mark.
 
-    level 2 has two words before as context, 1 one word, 0 none. Level 3 counts whole lines of few words, level 4
-    the first two words of lines and sentences, with names and numbers masked; both have no word.
+    level 2 has two words before as context, 1 one word, 0 none. Level 3 counts the texts with a whole line of few
+    words, level 4 those with the first two words of a line or sentence, names and numbers masked; both have no word.
     """
     codes: list[int] = []
     starts: list[int] = []
     stops: list[int] = []
+    text_of: list[int] = []
     unsure: list[int] = []
-    for t in texts:
+    for k, t in enumerate(texts):
         for line in t.split("\n"):
             raw = list(map(words.__getitem__, line.split()))
             while raw and not words.text[raw[0]]:  # list marks, heading marks
@@ -97,6 +103,7 @@ def window_counts(texts: list[str], words: _Words) -> pd.DataFrame:
                 starts.append(len(codes))
                 codes += raw
                 stops.append(len(codes) - 1)
+                text_of.append(k)
         if stops:
             unsure.append(stops[-1])
     if not codes:
@@ -131,13 +138,15 @@ def window_counts(texts: list[str], words: _Words) -> pd.DataFrame:
     starts, stops = np.array(starts), np.array(stops)
     inside = ~np.isin(stops, last)
     few = inside & (stops - starts < LINE_WORDS)
-    lines = pd.Series(line_hash(h, starts, stops - starts + 1)[few].view(np.int64)).value_counts()
+    owner = np.array(text_of)
+    lines = _texts_with(line_hash(h, starts, stops - starts + 1)[few], owner[few])
     out.append(pd.DataFrame({"level": np.int32(3), "ctx": lines.index.to_numpy(), "word": "", "goes_on": 0, "ends": lines.to_numpy()}))
     first = np.flatnonzero(start)
     own = np.searchsorted(stops, first)
-    first = first[inside[own] & (first < stops[own])]
+    real = inside[own] & (first < stops[own])
+    first, own = first[real], own[real]
     masked = np.array(words.mask, dtype=np.uint64)[c]
-    heads = pd.Series(context_hash(h[first], masked[first + 1]).view(np.int64)).value_counts()
+    heads = _texts_with(context_hash(h[first], masked[first + 1]), owner[own])
     out.append(pd.DataFrame({"level": np.int32(4), "ctx": heads.index.to_numpy(), "word": "", "goes_on": heads.to_numpy(), "ends": 0}))
     return pd.concat(out)
 
@@ -163,15 +172,15 @@ def _count_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def windows(texts: DataFrame) -> DataFrame:
-    """(level, ctx, word, goes_on, ends) of all texts(text)."""
-    raw = texts.select("text").where("text IS NOT NULL").mapInPandas(_count_windows, "level int, ctx long, word string, goes_on long, ends long")
+    """(level, ctx, word, goes_on, ends) of all texts(text); equal texts count once."""
+    raw = texts.select("text").where("text IS NOT NULL").distinct().mapInPandas(_count_windows, "level int, ctx long, word string, goes_on long, ends long")
     return raw.groupBy("level", "ctx", "word").agg(F.sum("goes_on").alias("goes_on"), F.sum("ends").alias("ends"))
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for key, t in zip(pdf["key"], pdf["text"]):
+        for key, t, same in zip(pdf["key"], pdf["text"], pdf["same"]):
             if not has_content(t) or is_refusal(t):
                 continue
             how = ending(t)
@@ -189,8 +198,8 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 two_words = form.split()[:2]
                 if len(two_words) == 2:
                     c4 = context_hash(h[:1], np.array([word_hash(two_words[1])], dtype=np.uint64)).view(np.int64)[0]
-            out.append((key, how, c2, c1, c3, c4, p, form))
-        yield pd.DataFrame(out, columns=["key", "how", "c2", "c1", "c3", "c4", "p", "form"])
+            out.append((key, same, how, c2, c1, c3, c4, p, form))
+        yield pd.DataFrame(out, columns=["key", "same", "how", "c2", "c1", "c3", "c4", "p", "form"])
 
 
 def truncated(texts: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -201,8 +210,8 @@ def truncated(texts: DataFrame, corpus: DataFrame) -> DataFrame:
     that ends in a closed sentence, link, tag line, table row, bracket or bold line is complete; unclosed markup,
     an abbreviation, a comma, a mark of omission inside a sentence is a cut; the rest is judged by prefix.
     """
-    keyed = texts.where("key IS NOT NULL AND text IS NOT NULL").select("key", "text")
-    judged = cut(keyed.mapInPandas(_judge, "key long, how string, c2 long, c1 long, c3 long, c4 long, p string, form string").distinct(), "endings")
+    keyed = texts.where("key IS NOT NULL AND text IS NOT NULL").select("key", "text", F.xxhash64("text").alias("same"))
+    judged = cut(keyed.mapInPandas(_judge, "key long, same long, how string, c2 long, c1 long, c3 long, c4 long, p string, form string").distinct(), "endings")
     open_ = judged.where(F.col("how") == OPEN)
     level = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), c.alias("ctx")) for k, c in ((2, F.col("c2")), (1, F.col("c1")), (0, F.lit(0).cast("long")))]))
     asks = open_.select("p", level.alias("a")).select("p", "a.level", "a.ctx").distinct()
@@ -215,7 +224,7 @@ def truncated(texts: DataFrame, corpus: DataFrame) -> DataFrame:
         F.sum(F.when(same, F.col("goes_on")).otherwise(F.col("goes_on") + F.col("ends"))).alias("longer"),
         F.sum(F.when(same, F.col("ends") + F.col("goes_on")).otherwise(0)).alias("whole")), "seen")
     by = lambda k, c: seen.where(F.col("level") == k).select("p", F.col("ctx").alias(c), F.struct("ends", "longer", "whole").alias(f"l{k}"))
-    forms = open_.groupBy("form").agg(F.count_distinct("key").alias("n_form"))
+    forms = open_.groupBy("form").agg(F.count_distinct("same").alias("n_form"))
     whole_line = w.where("level = 3").select(F.col("ctx").alias("c3"), F.col("ends").alias("lines"))
     begins = w.where("level = 4").select(F.col("ctx").alias("c4"), F.col("goes_on").alias("heads"))
     got = open_.join(by(2, "c2"), ["p", "c2"], "left").join(by(1, "c1"), ["p", "c1"], "left").join(by(0, "c0").drop("c0"), "p", "left").join(forms, "form", "left").join(whole_line, "c3", "left").join(begins, "c4", "left")
