@@ -89,6 +89,14 @@ def kruskal_wallis(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def mcnemar_p(b: int, c: int) -> float:
-    """Exact two-sided binomial p of b against c discordant pairs."""
+    """Exact two-sided p of b against c discordant pairs, at every size: the binomial tail from its largest term down."""
     n, k = b + c, min(b, c)
-    return 1.0 if n == 0 else min(1.0, 2.0 * sum(math.comb(n, i) for i in range(k + 1)) / 2.0**n)
+    if n == 0:
+        return 1.0
+    largest = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
+    total = term = 1.0
+    while k > 0 and term > 1e-18 * total:
+        term *= k / (n - k + 1)
+        total += term
+        k -= 1
+    return min(1.0, 2 * math.exp(largest + math.log(total)))

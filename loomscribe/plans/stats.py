@@ -246,13 +246,7 @@ def m13_m14_error_overlap(spark, d):
 def m13_mcnemar(spark, d):
     """Exact two-sided p of the discordant pairs; only the two counts reach the driver."""
     r = m13_m14_error_overlap(spark, d).first()
-    return spark.createDataFrame([(r["only_first"], r["only_second"], float(M.mcnemar_p(r["only_first"], r["only_second"]) if r["only_first"] + r["only_second"] <= 1000 else _normal_p(r["only_first"], r["only_second"])))], "only_first long, only_second long, p double")
-
-
-def _normal_p(b: int, c: int) -> float:
-    import math
-
-    return math.erfc(max(0.0, abs(b - c) - 1) / math.sqrt(2 * (b + c)))
+    return spark.createDataFrame([(r["only_first"], r["only_second"], M.mcnemar_p(r["only_first"], r["only_second"]))], "only_first long, only_second long, p double")
 
 
 @query(f"""WITH {ENCODED_SQL}, r AS (SELECT vertical, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM pred WHERE vertical IS NOT NULL), n AS (SELECT count(*)::DOUBLE AS n FROM r), g AS (SELECT count(*) AS k, sum(s * s / c) AS s FROM (SELECT vertical, sum(r) AS s, count(*) AS c FROM r GROUP BY 1)),

@@ -170,3 +170,17 @@ def test_links_in_blocks(spark):
         got = [(q["a"], q["b"]) for q in geometry.links(df, 0.5, block).collect()]
         assert len(got) == len(set(got)) and set(got) == set(zip(a.tolist(), b.tolist()))
     assert geometry.single_linkage(df.limit(0), 0.5, (0.7,)).count() == 0
+
+
+def test_mcnemar_is_exact_at_every_size(spark, monkeypatch):
+    from fractions import Fraction
+
+    from loomscribe.plans import stats
+
+    for b, c in ((0, 0), (3, 3), (0, 60), (480, 530), (900, 1100), (2600, 2400)):
+        n = b + c
+        want = min(1.0, float(Fraction(2 * sum(math.comb(n, i) for i in range(min(b, c) + 1)), 2**n)))
+        assert metrics.mcnemar_p(b, c) == pytest.approx(want, rel=1e-9), (b, c)
+        monkeypatch.setattr(stats, "m13_m14_error_overlap", lambda s, d, b=b, c=c: s.createDataFrame([(b, c)], "only_first long, only_second long"))
+        assert stats.m13_mcnemar(spark, "").first()["p"] == pytest.approx(want, rel=1e-9), (b, c)
+    assert 0 < metrics.mcnemar_p(10_000_000, 10_009_000) < 0.05
