@@ -25,6 +25,53 @@ _TAG = re.compile(r"<[^<>]{0,40}>")
 _WORDS = re.compile(r"[^\W\d_]{2,}")
 
 COMPLETE, CUT, OPEN = "complete", "cut", "open"
+SEPARATOR = re.compile(r"[|\s:-]+")
+_ENTITY = re.compile(r"&#?\w{0,8}$")
+_ESCAPE = re.compile(r"\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?$")
+_NUMBERED = re.compile(r"\d{1,3}[.)]$")
+# Codes of the mark that a word ends with; those below 8 close a sentence, link or piece of markup, 0 is none.
+_OPENERS = ",;:-–—(/&"
+
+
+def mark_of(raw: str) -> int:
+    """Which mark a raw word ends with, as a code: 1 to 7 close something, from 8 on they do not, 0 is a mere word."""
+    if raw.isalnum():
+        return 0
+    if TERMINAL.search(raw):
+        return 8 if is_abbreviation(raw) else 1
+    if raw[-1] in _OPENERS:
+        return 16 + _OPENERS.index(raw[-1])
+    if BROKEN_CHARS.search(raw) or _ESCAPE.search(raw):
+        return 9
+    if _ENTITY.search(raw) and not raw.startswith(("http", "www.")):
+        return 10
+    if URL_END.search(raw):
+        return 2
+    if raw[0] == "#" and len(raw) > 1 and raw[1].isalnum():
+        return 3
+    if EMOJI_END.search(raw):
+        return 4
+    return 5 if raw.endswith((")", "]", "**", ">", "|", "`")) else 0
+
+
+def kind_of_line(first: str) -> int:
+    """0 prose, 1 list item, 2 heading, 3 table row, 4 quotation, by the first raw word of a line."""
+    if first[0].isalpha():
+        return 0
+    if first[0] == "|":
+        return 3
+    if first[0] == ">":
+        return 4
+    if first.strip("#") == "":
+        return 2
+    return 1 if first in ("-", "*", "+", "•", "–") or _NUMBERED.fullmatch(first) else 0
+
+
+def without_omission(text: str) -> str:
+    """The text without a mark of omission at its end."""
+    t = text.strip(EDGE)
+    left_out = OMISSION.search(t, max(0, len(t) - 40))
+    return t[: left_out.start()].rstrip(EDGE) if left_out else t
 
 
 def has_content(text: str | None) -> bool:

@@ -1,11 +1,13 @@
-"""Problem 2: texts that stop before their end.
-
-An ending without punctuation is judged by a self-join by prefix: its last words are looked up among all
-windows of three words of the corpus, keyed by the hash of the words before and a prefix of fixed length of
-the last one. Where the tail is a strict prefix of longer copies elsewhere (the last word goes on, or
-the sentence does) and hardly ever ends a line or sentence itself, the text was cut. Shorter windows are asked
-where the longer ones have never been seen. A last line that stands whole inside other texts (a list item, a
-heading) is complete, and so is a sign-off: a form that ends many texts but begins few other lines.
+"""Problem 2: texts that stop before their end, by self-joins by prefix.
+
+Whole values: hashes of prefixes of fixed lengths choose the values that may be a prefix of another; these are
+sorted, and a value is a strict prefix of a longer copy exactly where the next one in order begins with it. A cut
+text seldom has a longer copy as a whole, so the same join is made on endings: the last word is looked up, as a prefix,
+among all words of the corpus that stand after the same two words, the same word, or anywhere; the last line is
+looked up among all lines that begin with it; and the shape of the ending (open markup, the mark it ends with, or
+the kind of line and how far its sentence has come) among all places of that shape. Where the longer copies go on and
+hardly ever end there, the text was cut. Every row carries the evidence that decided it. The rules of endings.py only
+leave out texts that end in a closed way; `rules=False` asks the join about every text.
 """
 
 from __future__ import annotations
@@ -16,31 +18,41 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from loomscribe.functions.labels import canon_label
-from loomscribe.llm.endings import COMPLETE, CUT, OPEN, TERMINAL, ending, has_content, is_abbreviation, last_words, mask, norm, skeleton, tail
+from loomscribe.llm.endings import (
+    COMPLETE, OPEN, SEPARATOR, TERMINAL, ending, has_content, is_abbreviation, kind_of_line, last_words, mark_of, mask, norm, skeleton, tail, without_omission)
 from loomscribe.llm.refusals import is_refusal
 from loomscribe.runtime import cut, table
 
-PREFIX = 2
+#: Lengths of the prefixes whose hashes choose candidates: 4, 16, 64, ... characters, up to the value's own length.
+SHORTEST, GROWTH = 4, 4
 #: Texts counted at once, and rows of counts that a task holds before it passes them on.
 CHUNK, HELD_ROWS = 2500, 600_000
-#: A tail that ends lines at least this often, among all its copies, may end a text.
+#: A tail, line or shape that ends lines at least this often, among all its copies, may end a text.
 END_SHARE = 0.2
 #: A last line whose form ends at least so many texts, and at least that share of all lines that begin like it.
 SIGN_OFFS, SIGN_OFF_SHARE = 5, 0.5
-#: A last line of two to LINE_WORDS words that stands whole at least LINES times inside texts is complete.
-LINE_WORDS, LINES = 8, 2
+#: A last line of two to LINE_WORDS words is complete when it stands whole inside at least LINES texts, and that share of
+#: the lines of its kind that begin with it: a cut never leaves a line inside a text.
+LINE_WORDS, LINES, LINE_SHARE = 8, 2, 0.01
+# What the counts of `windows` are about.
+AFTER_TWO, AFTER_ONE, ANYWHERE, LINE, HEAD, SHAPE, GROUP, FORM = 2, 1, 0, 3, 4, 5, 6, 7
+# Codes of shapes: below PLAIN the ending has a mark or open markup, from PLAIN on it is a mere word.
+FENCE, TABLE_RULE, TABLE, MARKUP, MARK, PLAIN = 1, 2, 8, 64, 128, 256
 
 
 class _Words(dict):
-    """The code of each raw word met so far, with the hash, end mark, normal form and masked form by code."""
+    """The code of each raw word met so far, with what is known of it by code: hashes, end mark, markup."""
 
     def __init__(self) -> None:
         self.hash: list[int] = []
         self.ends: list[bool] = []
         self.text: list[str] = []
         self.mask: list[int] = []
+        self.mark: list[int] = []
+        self.markup: list[tuple[int, int, int, int, int, int, int]] = []
 
     def __missing__(self, raw: str) -> int:
         import xxhash
@@ -51,6 +63,13 @@ class _Words(dict):
         self.ends.append(bool(TERMINAL.search(raw)) and not is_abbreviation(raw))
         self.text.append(w)
         self.mask.append(xxhash.xxh64_intdigest(mask(raw)))
+        self.mark.append(mark_of(raw))
+        if raw.isalnum():
+            self.markup.append((0, 0, 0, 0, 0, 0, 0))
+        else:
+            opens, closes = raw.rfind("<"), raw.rfind(">")
+            tag = 1 if opens > closes and raw[opens + 1 : opens + 2].isascii() and raw[opens + 1 : opens + 2].strip("0123456789=- ") else -1 if closes >= 0 else 0
+            self.markup.append((raw.count("**"), raw.count("`"), raw.count("(") - raw.count(")"), raw.count("[") - raw.count("]"), tag, raw.count("|"), raw.count("```")))
         return c
 
 
@@ -64,90 +83,172 @@ def context_hash(two: np.ndarray, one: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def line_hash(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """One hash for each line, of its words h[start : start + size]."""
-    place = (np.arange(len(h)) - np.repeat(starts, sizes)).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        x = (h ^ (h >> np.uint64(29))) * (_M1 * (np.uint64(2) * place + np.uint64(1)))
-        return np.add.reduceat(x ^ (x >> np.uint64(32)), starts)
-
-
 def word_hash(word: str) -> int:
     import xxhash
 
     return _START if word == "^" else xxhash.xxh64_intdigest(word)
 
 
-def _texts_with(what: np.ndarray, owner: np.ndarray) -> pd.Series:
-    """In how many texts each hash stands."""
-    return pd.DataFrame({"what": what.view(np.int64), "owner": owner}).drop_duplicates()["what"].value_counts()
+def line_hashes(h: np.ndarray, place: np.ndarray, first: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """At each word the hash of its line so far and of its kind; place counts words in the line, first is the line's first index."""
+    p = place.astype(np.uint64) + np.uint64(1000) * kind.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        x = (h ^ (h >> np.uint64(29))) * (_M1 * (np.uint64(2) * p + np.uint64(1)))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(x ^ (x >> np.uint64(32)), dtype=np.uint64)])
+        return sums[1:] - sums[first]
+
+
+class Places:
+    """All words of some texts, one after another, with line, sentence and markup around each."""
+
+    def __init__(self, texts: list[str], words: _Words) -> None:
+        codes: list[int] = []
+        starts: list[int] = []
+        text_of: list[int] = []
+        kinds: list[int] = []
+        pipes: list[int] = []
+        before: list[int] = []
+        fences: list[int] = []
+        rules = 0
+        final: list[int] = []
+        for k, t in enumerate(texts):
+            open_fences, last_pipes, waiting = 0, 0, 0
+            for line in t.split("\n"):
+                raw = line.split()
+                if not raw:
+                    last_pipes = 0
+                    continue
+                kind = kind_of_line(raw[0])
+                cells = line.count("|") if kind == 3 else 0
+                rules, waiting = rules + waiting, 0
+                if cells and SEPARATOR.fullmatch(line):
+                    waiting, last_pipes = 1, cells
+                    continue
+                fenced = open_fences % 2
+                open_fences += line.count("```")
+                got = list(map(words.__getitem__, raw))
+                skip = 0
+                while skip < len(got) and not words.text[got[skip]]:  # list marks, heading marks
+                    skip += 1
+                if skip < len(got):
+                    starts.append(len(codes))
+                    codes += got[skip:]
+                    text_of.append(k)
+                    kinds.append(kind)
+                    pipes.append(sum(words.markup[c][5] for c in got[:skip]))
+                    before.append(last_pipes)
+                    fences.append(fenced)
+                last_pipes = cells
+            if starts and text_of[-1] == k:
+                final.append(len(codes) - 1)
+        self.n, self.words, self.rules = len(codes), words, rules
+        if not codes:
+            return
+        self.c = c = np.array(codes)
+        self.starts, self.text_of = np.array(starts), np.array(text_of)
+        self.stops = np.append(self.starts[1:], len(c)) - 1
+        self.final = np.array(final)
+        self.h = np.array(words.hash, dtype=np.uint64)[c]
+        self.mark = np.array(words.ends)[c]
+        self.line = line = np.repeat(np.arange(len(self.starts)), self.stops - self.starts + 1)
+        self.first = first = self.starts[line]
+        self.at = at = np.arange(len(c))
+        self.end = self.mark.copy()
+        self.end[self.stops] = True
+        self.start = np.zeros(len(c), dtype=bool)
+        self.start[self.starts] = True
+        self.start[1:] |= self.end[:-1]
+        # The final word of a text tells nothing where it has no end mark: that is what is asked.
+        self.unsure = np.zeros(len(c), dtype=bool)
+        closing = np.array([0 < m < 8 for m in words.mark])[c]
+        self.unsure[self.final] = ~(self.mark | closing)[self.final]
+        markup = np.array(words.markup, dtype=np.int64)[c]
+        sums = np.concatenate([np.zeros((1, 7), np.int64), np.cumsum(markup, axis=0)])
+        run = sums[1:] - sums[first]
+        event = np.maximum.accumulate(np.where(markup[:, 4] != 0, at, -1))
+        tag = (event >= first) & (markup[np.maximum(event, 0), 4] > 0)
+        flags = (run[:, 0] % 2) + 2 * (run[:, 1] % 2) + 4 * (run[:, 2] > 0) + 8 * (run[:, 3] > 0) + 16 * tag
+        fence = (np.array(fences)[line] + run[:, 6]) % 2 == 1
+        self.kind = kind = np.array(kinds)[line]
+        wide = np.array(before)[line]
+        cells = np.array(pipes)[line] + run[:, 5]
+        closed = np.array([x == "|" or x.endswith("|") for x in words])[c]
+        # Words of the sentence so far, and whether one ended before it in the line.
+        stop = np.maximum.accumulate(np.where(np.concatenate([[False], self.mark[:-1]]), at, -1))
+        later = stop > first
+        far = np.minimum(at - np.where(later, stop, first) + 1, 20)
+        mark = np.array(words.mark)[c]
+        shape = np.where(mark > 0, MARK + mark, PLAIN + 64 * kind + 32 * later + far)
+        shape = np.where(flags > 0, MARKUP + flags, shape)
+        shape = np.where(kind == 3, TABLE + closed + 2 * (cells < wide), shape)
+        self.shape = np.where(fence, FENCE, shape)
+        # Inside a fence, and after a mark that promises more, only the end of the text counts: lines end there anyway.
+        self.over = np.where(fence | (mark >= 8), False, self.end)
+        self.over[self.final] = True
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The two words and the one word before each, none across the start of a line or sentence."""
+        caret = np.uint64(_START)
+        one = np.where(self.start, caret, np.concatenate([[caret], self.h[:-1]]))
+        return np.where(self.start, caret, np.concatenate([[caret], one[:-1]])), one
+
+
+def coarse(shape: np.ndarray) -> np.ndarray:
+    """Groups of shapes, for a shape that stands nowhere else: open, ends with a closing mark, ends with any other or none."""
+    closing = (shape > MARK) & (shape < MARK + 8)
+    return np.where(shape < MARK, 1, np.where(closing, 2, 3))
+
+
+def _counted(level: int, ctx: np.ndarray, goes_on: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+    got = pd.DataFrame({"ctx": ctx.view(np.int64), "goes_on": goes_on.astype(np.int64), "ends": ends.astype(np.int64)}).groupby("ctx", as_index=False, sort=False).sum()
+    return got.assign(level=np.int32(level), word="")[["level", "ctx", "word", "goes_on", "ends"]]
 
 
 def window_counts(texts: list[str], words: _Words) -> pd.DataFrame:
-    """(level, ctx, word, goes_on, ends) of all windows of the texts, but for last lines without an end mark.
+    """(level, ctx, word, goes_on, ends) of all places in the texts, but for final words without an end mark.
 
-    level 2 has two words before as context, 1 one word, 0 none. Level 3 counts the texts with a whole line of few
-    words, level 4 those with the first two words of a line or sentence, names and numbers masked; both have no word.
+    AFTER_TWO, AFTER_ONE, ANYWHERE: a word after two words, one word or any; LINE: a beginning of up to LINE_WORDS words of
+    a line, ends counts the texts where it is the whole line; HEAD: in how many texts two words, names and numbers masked,
+    begin a line or sentence; SHAPE and GROUP: places of a shape.
     """
-    codes: list[int] = []
-    starts: list[int] = []
-    stops: list[int] = []
-    text_of: list[int] = []
-    unsure: list[int] = []
-    for k, t in enumerate(texts):
-        for line in t.split("\n"):
-            raw = list(map(words.__getitem__, line.split()))
-            while raw and not words.text[raw[0]]:  # list marks, heading marks
-                raw.pop(0)
-            if raw:
-                starts.append(len(codes))
-                codes += raw
-                stops.append(len(codes) - 1)
-                text_of.append(k)
-        if stops:
-            unsure.append(stops[-1])
-    if not codes:
+    x = Places(texts, words)
+    if not x.n:
         return pd.DataFrame({"level": [], "ctx": [], "word": [], "goes_on": [], "ends": []})
-    c = np.array(codes)
-    h = np.array(words.hash, dtype=np.uint64)[c]
-    mark = np.array(words.ends)[c]
-    end = mark.copy()
-    end[stops] = True
-    drop = h == 0
-    last = np.unique(unsure)
-    last = last[~mark[last]]
-    drop[last] = True
-    start = np.zeros(len(c), dtype=bool)
-    start[starts] = True
-    start[1:] |= end[:-1]
-    caret = np.uint64(_START)
-    one = np.where(start, caret, np.concatenate([[caret], h[:-1]]))
-    two = np.where(start, caret, np.concatenate([[caret], one[:-1]]))
+    two, one = x.contexts()
     out = []
-    zero = np.zeros(len(c), dtype=np.uint64)
-    for level, ctx in ((2, context_hash(two, one)), (1, context_hash(zero, one)), (0, zero)):
-        key = context_hash(ctx ^ np.uint64(level + 1), h)
-        keep = ~drop
+    zero = np.zeros(x.n, dtype=np.uint64)
+    keep = (x.h != 0) & ~x.unsure
+    for level, ctx in ((AFTER_TWO, context_hash(two, one)), (AFTER_ONE, context_hash(zero, one)), (ANYWHERE, zero)):
+        key = context_hash(ctx ^ np.uint64(level + 1), x.h)
         inverse, values = pd.factorize(key[keep])
         first = np.empty(len(values), dtype=np.int64)
         first[inverse[::-1]] = np.arange(len(inverse))[::-1]
         at = np.flatnonzero(keep)[first]
-        ends = np.bincount(inverse, weights=end[keep], minlength=len(at)).astype(np.int64)
+        ends = np.bincount(inverse, weights=x.end[keep], minlength=len(at)).astype(np.int64)
         total = np.bincount(inverse, minlength=len(at))
-        out.append(pd.DataFrame({"level": np.int32(level), "ctx": ctx[at].view(np.int64), "word": [words.text[i] for i in c[at]], "goes_on": total - ends, "ends": ends}))
-    starts, stops = np.array(starts), np.array(stops)
-    inside = ~np.isin(stops, last)
-    few = inside & (stops - starts < LINE_WORDS)
-    owner = np.array(text_of)
-    lines = _texts_with(line_hash(h, starts, stops - starts + 1)[few], owner[few])
-    out.append(pd.DataFrame({"level": np.int32(3), "ctx": lines.index.to_numpy(), "word": "", "goes_on": 0, "ends": lines.to_numpy()}))
-    first = np.flatnonzero(start)
-    own = np.searchsorted(stops, first)
-    real = inside[own] & (first < stops[own])
+        out.append(pd.DataFrame({"level": np.int32(level), "ctx": ctx[at].view(np.int64), "word": [words.text[i] for i in x.c[at]], "goes_on": total - ends, "ends": ends}))
+    place = x.at - x.first
+    lines = line_hashes(x.h, place, x.first, x.kind)
+    few = (place > 0) & (place < LINE_WORDS) & ~np.isin(x.stops, x.final[x.unsure[x.final]])[x.line]
+    whole = few & (x.at == x.stops[x.line])
+    goes_on = few & ~whole
+    out.append(_counted(LINE, lines[goes_on], np.ones(goes_on.sum()), np.zeros(goes_on.sum())))
+    once = pd.DataFrame({"ctx": lines[whole].view(np.int64), "t": x.text_of[x.line[whole]]}).drop_duplicates()["ctx"].to_numpy()
+    out.append(_counted(LINE, once, np.zeros(len(once)), np.ones(len(once))))
+    inside = ~np.isin(x.stops, x.final[x.unsure[x.final]])
+    first = np.flatnonzero(x.start)
+    own = x.line[first]
+    real = inside[own] & (first < x.stops[own])
     first, own = first[real], own[real]
-    masked = np.array(words.mask, dtype=np.uint64)[c]
-    heads = _texts_with(context_hash(h[first], masked[first + 1]), owner[own])
-    out.append(pd.DataFrame({"level": np.int32(4), "ctx": heads.index.to_numpy(), "word": "", "goes_on": heads.to_numpy(), "ends": 0}))
+    masked = np.array(words.mask, dtype=np.uint64)[x.c]
+    heads = pd.DataFrame({"ctx": context_hash(x.h[first], masked[first + 1]).view(np.int64), "t": x.text_of[own]}).drop_duplicates()["ctx"].to_numpy()
+    out.append(_counted(HEAD, heads, np.ones(len(heads)), np.zeros(len(heads))))
+    sure = ~x.unsure
+    over, shape = x.over[sure], x.shape[sure].astype(np.int64)
+    out.append(_counted(SHAPE, shape, ~over, over))
+    out.append(_counted(GROUP, coarse(shape), ~over, over))
+    if x.rules:
+        out.append(_counted(SHAPE, np.array([TABLE_RULE], dtype=np.int64), np.array([x.rules]), np.array([0])))
     return pd.concat(out)
 
 
@@ -177,88 +278,211 @@ def windows(texts: DataFrame) -> DataFrame:
     return raw.groupBy("level", "ctx", "word").agg(F.sum("goes_on").alias("goes_on"), F.sum("ends").alias("ends"))
 
 
-def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+ASKED = "how string, marked boolean, c2 long, c1 long, c3 long, c4 long, p string, form long, shape long"
+_COMPLETE = (COMPLETE, None, None, None, None, None, None, None, None)
+
+
+def ask(texts: list[str | None], words: _Words, rules: bool = True, refuses: list[bool] | None = None) -> list[tuple]:
+    """What is asked about the ending of each text, in the order of ASKED; how is null for texts without content and refusals."""
+    out: list[tuple] = []
+    open_: list[tuple[int, str]] = []
+    for i, t in enumerate(texts):
+        if not has_content(t) or (refuses[i] if refuses else is_refusal(t)):
+            out.append((None, *_COMPLETE[1:]))
+            continue
+        how = ending(t)
+        out.append(_COMPLETE if how == COMPLETE else (how, *_COMPLETE[1:]))
+        if how != COMPLETE or not rules:
+            open_.append((i, without_omission(t)))
+    if not open_:
+        return out
+    x = Places([t for _, t in open_], words)
+    last_of = {}
+    if x.n:
+        last_of = dict(zip(x.text_of[x.line[x.final]].tolist(), x.final.tolist()))
+        lines = line_hashes(x.h, x.at - x.first, x.first, x.kind)
+    for k, (i, t) in enumerate(open_):
+        how = out[i][0]
+        at = last_of.get(k)
+        if at is None:
+            continue
+        rule = bool(SEPARATOR.fullmatch(t.rstrip().rsplit("\n", 1)[-1])) and "|" in t[-400:]
+        shape = TABLE_RULE if rule else int(x.shape[at])
+        a, b, p = tail(t)
+        c2 = c1 = c3 = c4 = None
+        form = None
+        if shape >= PLAIN and p:
+            two, one = np.array([word_hash(a)], dtype=np.uint64), np.array([word_hash(b)], dtype=np.uint64)
+            c2, c1 = int(context_hash(two, one).view(np.int64)[0]), int(context_hash(np.zeros(1, dtype=np.uint64), one).view(np.int64)[0])
+            masked, ws = skeleton(t), last_words(t)
+            form = int(np.uint64(word_hash(masked)).view(np.int64))
+            if 2 <= len(ws) <= LINE_WORDS:
+                c3 = int(lines[at].view(np.int64))
+            two_words = masked.split()[:2]
+            if len(two_words) == 2:
+                c4 = int(context_hash(np.array([word_hash(ws[0])], dtype=np.uint64), np.array([word_hash(two_words[1])], dtype=np.uint64)).view(np.int64)[0])
+        out[i] = (OPEN if how == COMPLETE else how, shape < PLAIN, c2, c1, c3, c4, p if c2 is not None else None, form, shape)
+    return out
+
+
+def as_frame(asked: list[tuple]) -> pd.DataFrame:
+    """The columns of ASKED; whole numbers stay whole beside nulls."""
+    kind = {"long": "Int64", "boolean": "boolean", "string": "object"}
+    names = [f.split() for f in ASKED.split(", ")]
+    columns = zip(*asked) if asked else [()] * len(names)
+    return pd.DataFrame({n: pd.array(list(c), dtype=kind[k]) for (n, k), c in zip(names, columns)})
+
+
+def _ask(rules: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = _Words()
+        for pdf in batches:
+            got = as_frame(ask(pdf["text"].tolist(), words, rules))
+            got.insert(0, "same", pdf["same"].to_numpy())
+            got.insert(0, "key", pdf["key"].to_numpy())
+            yield got
+
+    return run
+
+
+def _successors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of sorted texts, those that the next one begins with; of the last text itself and the first, for the joints of partitions."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    columns = ["part", "same", "text", "follows", "joint"]
+    first = held = None
     for pdf in batches:
         out = []
-        for key, t, same in zip(pdf["key"], pdf["text"], pdf["same"]):
-            if not has_content(t) or is_refusal(t):
-                continue
-            how = ending(t)
-            a, b, p = tail(t) if how == OPEN else ("", "", "")
-            if how == OPEN and not p:
-                how = COMPLETE
-            two, one = np.array([word_hash(a)], dtype=np.uint64), np.array([word_hash(b)], dtype=np.uint64)
-            zero = np.zeros(1, dtype=np.uint64)
-            c2, c1 = context_hash(two, one).view(np.int64)[0], context_hash(zero, one).view(np.int64)[0]
-            form, c3, c4 = None, 0, 0
-            if how == OPEN:
-                form, words = skeleton(t), last_words(t)
-                h = np.array([word_hash(w) for w in words], dtype=np.uint64)
-                c3 = line_hash(h, np.array([0]), np.array([len(h)])).view(np.int64)[0] if 2 <= len(words) <= LINE_WORDS else 0
-                two_words = form.split()[:2]
-                if len(two_words) == 2:
-                    c4 = context_hash(h[:1], np.array([word_hash(two_words[1])], dtype=np.uint64)).view(np.int64)[0]
-            out.append((key, same, how, c2, c1, c3, c4, p, form))
-        yield pd.DataFrame(out, columns=["key", "same", "how", "c2", "c1", "c3", "c4", "p", "form"])
-
-
-def truncated(texts: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(key, why): texts(key long, text) that were cut off.
-
-    corpus(text) is where longer copies are sought, usually the texts themselves and their originals. Null and
-    blank texts, placeholders and refusals are never cut; rows with one key count as cut if any of their texts is. A text
-    that ends in a closed sentence, link, tag line, table row, bracket or bold line is complete; unclosed markup,
-    an abbreviation, a comma, a mark of omission inside a sentence is a cut; the rest is judged by prefix.
+        for same, t in zip(pdf["same"].tolist(), pdf["text"]):
+            if held is None:
+                first = t
+            elif t.startswith(held[1]) and len(t) > len(held[1]):
+                out.append((part, held[0], None, t[len(held[1]) : len(held[1]) + 40], None))
+            held = (same, t)
+        yield pd.DataFrame(out, columns=columns)
+    if held is not None:
+        yield pd.DataFrame([(part, held[0], held[1], None, first)], columns=columns)
+
+
+def strict_prefixes(values: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(same, follows): values(text) that are a strict prefix of a longer text in values or corpus, and how the longer one goes on.
+
+    Blanks at the end do not count; same is the hash of the value as it is. Hashes of prefixes of 4, 16, 64, ... characters
+    choose what may match: a value's longest such prefix must begin another text. These candidates are range-sorted, where a
+    strict prefix stands right before texts that it begins; a prefix that many texts share makes no group of its own.
     """
-    keyed = texts.where("key IS NOT NULL AND text IS NOT NULL").select("key", "text", F.xxhash64("text").alias("same"))
-    judged = cut(keyed.mapInPandas(_judge, "key long, same long, how string, c2 long, c1 long, c3 long, c4 long, p string, form string").distinct(), "endings")
-    open_ = judged.where(F.col("how") == OPEN)
-    level = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), c.alias("ctx")) for k, c in ((2, F.col("c2")), (1, F.col("c1")), (0, F.lit(0).cast("long")))]))
-    asks = open_.select("p", level.alias("a")).select("p", "a.level", "a.ctx").distinct()
-    head = lambda c: F.when(F.col("level") == 0, F.substring(c, 1, PREFIX)).otherwise(F.substring(c, 1, 1))
+    bare = lambda c: F.rtrim(c, F.lit(" \n\r\t"))
+    mine = values.select(F.xxhash64("text").alias("same"), bare("text").alias("text"), F.lit(True).alias("asks"))
+    every = mine.unionByName(corpus.select(F.xxhash64("text").alias("same"), bare("text").alias("text"), F.lit(False).alias("asks"))).where(F.length("text") >= SHORTEST)
+    every = every.withColumn("tid", F.xxhash64("text"))
+    n = F.floor(F.log(float(GROWTH), F.length("text") / float(SHORTEST)) + 1e-9).cast("int")
+    sizes = F.transform(F.sequence(F.lit(0), n), lambda i: F.lit(SHORTEST) * F.pow(F.lit(GROWTH), i).cast("int"))
+    keyed = every.select("tid", "asks", F.posexplode(F.transform(sizes, lambda k: F.xxhash64(k, F.substring(F.col("text"), F.lit(1), k)))).alias("i", "h"), n.alias("n"))
+    keyed = keyed.groupBy("h", "tid").agg(F.max(F.col("asks") & (F.col("i") == F.col("n"))).alias("asks"))
+    keyed = cut(keyed, "prefixes")
+    shared = keyed.groupBy("h").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi"), F.max("asks").alias("asks")).where("asks AND lo <> hi").select("h")
+    ids = keyed.join(shared, "h", "left_semi").select("tid").distinct()
+    held = cut(every.join(ids, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text")), "candidates")
+    order = held.select(F.col("tid").alias("same"), "text").repartitionByRange("text").sortWithinPartitions("text")
+    got = cut(order.mapInPandas(_successors, "part int, same long, text string, follows string, joint string"), "successors")
+    joints = got.where("joint IS NOT NULL")  # one row for each partition
+    after = joints.withColumn("next", F.lead("joint").over(W.orderBy("part")))
+    across = after.where(F.startswith("next", "text") & (F.length("next") > F.length("text")))
+    across = across.select("same", F.expr("substring(next, length(text) + 1, 40)").alias("follows"))
+    found = got.where("follows IS NOT NULL").select("same", "follows").unionByName(across).withColumnRenamed("same", "tid")
+    return every.where("asks").select("tid", "same").join(found, "tid").select("same", "follows").distinct()
+
+
+def evidence(asked: DataFrame, corpus: DataFrame, longer: DataFrame) -> DataFrame:
+    """(same, why, is_cut, tails, shapes) of each distinct text of asked(same, ASKED) whose ending is not complete.
+
+    corpus(text) is where the endings are looked up; longer(same, follows) has texts that are strict prefixes of others.
+    why is the evidence that decides: copy (a longer copy goes on within the word or sentence), word (its last word is
+    only ever part of longer ones), line, sign-off, tail, shape or none (a text that nothing in the corpus resembles is
+    not called cut). tails and shapes are votes (+ cut, - complete, 0 unknown) of these two alone.
+    """
+    open_ = asked.where(F.col("how").isNotNull() & (F.col("how") != COMPLETE) & F.col("shape").isNotNull()).dropDuplicates(["same"])
+    ph = F.xxhash64("p")
+    zero = F.lit(0).cast("long")
+    asks = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), c.alias("ctx"), h.alias("ph")) for k, c, h in (
+        (AFTER_TWO, F.col("c2"), ph), (AFTER_ONE, F.col("c1"), ph), (ANYWHERE, F.when(F.col("p").isNotNull(), zero), ph), (LINE, F.col("c3"), zero), (HEAD, F.col("c4"), zero),
+        (FORM, F.col("form"), zero))]))
+    rows = open_.select("same", asks.alias("a")).select("same", "a.level", "a.ctx", "a.ph").where("ctx IS NOT NULL AND ph IS NOT NULL")
     w = cut(windows(corpus), "windows")
-    hit = asks.withColumn("head", head("p")).join(w.where("level <= 2").withColumn("head", head("word")), ["level", "ctx", "head"]).where(F.startswith("word", "p"))
-    same = F.col("word") == F.col("p")
-    seen = cut(hit.groupBy("level", "ctx", "p").agg(
+    contexts = rows.where(F.col("level").isin(AFTER_TWO, AFTER_ONE)).select("level", "ctx").distinct()
+    words = w.where(F.col("level").isin(AFTER_TWO, AFTER_ONE)).join(contexts, ["level", "ctx"], "left_semi").unionByName(w.where(F.col("level") == ANYWHERE))
+    prefix = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.xxhash64(F.substring(F.col("word"), F.lit(1), i))))
+    words = words.where("word <> ''").select("level", "ctx", "goes_on", "ends", F.length("word").alias("n"), prefix.alias("i", "ph"))
+    same = F.col("i") + 1 == F.col("n")
+    words = words.groupBy("level", "ctx", "ph").agg(
         F.sum(F.when(same, F.col("ends")).otherwise(0)).alias("ends"),
         F.sum(F.when(same, F.col("goes_on")).otherwise(F.col("goes_on") + F.col("ends"))).alias("longer"),
-        F.sum(F.when(same, F.col("ends") + F.col("goes_on")).otherwise(0)).alias("whole")), "seen")
-    by = lambda k, c: seen.where(F.col("level") == k).select("p", F.col("ctx").alias(c), F.struct("ends", "longer", "whole").alias(f"l{k}"))
-    forms = open_.groupBy("form").agg(F.count_distinct("same").alias("n_form"))
-    whole_line = w.where("level = 3").select(F.col("ctx").alias("c3"), F.col("ends").alias("lines"))
-    begins = w.where("level = 4").select(F.col("ctx").alias("c4"), F.col("goes_on").alias("heads"))
-    got = open_.join(by(2, "c2"), ["p", "c2"], "left").join(by(1, "c1"), ["p", "c1"], "left").join(by(0, "c0").drop("c0"), "p", "left").join(forms, "form", "left").join(whole_line, "c3", "left").join(begins, "c4", "left")
-    ends_here = lambda x: F.col(f"{x}.ends") >= END_SHARE * (F.col(f"{x}.ends") + F.col(f"{x}.longer"))
-    known = lambda x: F.col(f"{x}.ends") + F.col(f"{x}.longer") > 0
-    sign_off = (F.col("c4") != 0) & (F.col("n_form") >= SIGN_OFFS) & (F.col("n_form") >= SIGN_OFF_SHARE * (F.col("n_form") + F.coalesce("heads", F.lit(0))))
-    fragment = F.coalesce((F.col("l2.whole") == 0) & (F.col("l2.longer") > 0), F.lit(False))  # the last word is only ever part of longer ones
-    verdict = (F.when(F.coalesce(F.col("lines") >= LINES, F.lit(False)), F.lit(False))
-               .when(fragment, F.lit(True)).when(sign_off, F.lit(False))
-               .when(F.coalesce(known("l2"), F.lit(False)), ~ends_here("l2"))
-               .when(F.coalesce(known("l1"), F.lit(False)), ~ends_here("l1"))
-               .when(F.coalesce((F.col("l0.whole") > 0) & (F.length("p") > 1), F.lit(False)), ~ends_here("l0"))
-               .otherwise(F.lit(True)))
-    got = got.withColumn("is_cut", verdict)
-    by_prefix = got.where("is_cut").select("key", F.lit("prefix").alias("why"))
-    by_rule = judged.where(F.col("how") == CUT).select("key", F.lit("broken").alias("why"))
-    return by_prefix.unionByName(by_rule).groupBy("key").agg(F.min("why").alias("why"))
-
-
-def truncated_calls(rewrites: DataFrame) -> DataFrame:
-    """(key, why) of rewrites(call_id, original_text, rewritten_text) whose rewritten text was cut."""
+        F.sum(F.when(same, F.col("ends") + F.col("goes_on")).otherwise(0)).alias("whole"))
+    others = w.where(F.col("level").isin(LINE, HEAD)).select("level", "ctx", zero.alias("ph"), "ends", F.col("goes_on").alias("longer"), F.col("ends").alias("whole"))
+    forms = open_.where("form IS NOT NULL").groupBy(F.col("form").alias("ctx")).agg(F.count("*").alias("ends")).select(F.lit(FORM).alias("level"), "ctx", zero.alias("ph"), "ends", zero.alias("longer"), F.col("ends").alias("whole"))
+    seen = rows.join(words.unionByName(others).unionByName(forms), ["level", "ctx", "ph"])
+    of = lambda k, c: F.max(F.when(F.col("level") == k, F.col(c)))
+    seen = seen.groupBy("same").agg(*[of(k, c).alias(f"{c}{k}") for k in (AFTER_TWO, AFTER_ONE, ANYWHERE, LINE, HEAD, FORM) for c in ("ends", "longer", "whole")])
+    shape = w.where(F.col("level") == SHAPE).select(F.col("ctx").alias("shape"), F.col("ends").alias("s_ends"), F.col("goes_on").alias("s_on"))
+    group = w.where(F.col("level") == GROUP).select(F.col("ctx").alias("g"), F.col("ends").alias("g_ends"), F.col("goes_on").alias("g_on"))
+    near = F.when(F.col("shape") < MARK, 1).when((F.col("shape") > MARK) & (F.col("shape") < MARK + 8), 2).otherwise(3).cast("long")
+    goes = longer.select("same", (~F.startswith("follows", F.lit("\n"))).alias("on"), F.regexp_like("follows", F.lit(r"^[\p{L}\p{N}]")).alias("inside"))
+    got = open_.select("same", "marked", "p", "c4", "shape", near.alias("g")).join(F.broadcast(shape), "shape", "left").join(F.broadcast(group), "g", "left")  # there are some hundred shapes
+    got = got.join(seen, "same", "left").join(goes.groupBy("same").agg(F.max("on").alias("on"), F.max("inside").alias("inside")), "same", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    known = lambda k: n(f"ends{k}") + n(f"longer{k}") > 0
+    stops = lambda k, share=END_SHARE: n(f"ends{k}") >= share * (n(f"ends{k}") + n(f"longer{k}"))
+    vote = lambda c: F.when(c, F.lit("-")).otherwise(F.lit("+"))
+    tails = F.when(known(AFTER_TWO), vote(stops(AFTER_TWO))).when(known(AFTER_ONE), vote(stops(AFTER_ONE))).when(
+        (n(f"whole{ANYWHERE}") > 0) & (F.length("p") > 1), vote(stops(ANYWHERE))).when(n(f"longer{ANYWHERE}") > 0, F.lit("+")).otherwise(F.lit("0"))
+    shapes = F.when(n("s_ends") + n("s_on") > 0, vote(n("s_ends") >= END_SHARE * (n("s_ends") + n("s_on")))).when(
+        n("g_ends") + n("g_on") > 0, vote(n("g_ends") >= END_SHARE * (n("g_ends") + n("g_on")))).otherwise(F.lit("0"))
+    got = got.withColumn("tails", tails).withColumn("shapes", shapes)
+    line = (n(f"whole{LINE}") >= LINES) & stops(LINE, LINE_SHARE)
+    part = ((n(f"whole{AFTER_TWO}") == 0) & (n(f"longer{AFTER_TWO}") > 0))
+    sign_off = F.col("c4").isNotNull() & (n(f"whole{FORM}") >= SIGN_OFFS) & (n(f"whole{FORM}") >= SIGN_OFF_SHARE * (n(f"whole{FORM}") + n(f"longer{HEAD}")))
+    plain = ~F.col("marked")
+    closed = F.col("shape").between(MARK + 1, MARK + 7)
+    copy = F.coalesce(F.col("inside") | (F.col("on") & ~closed), F.lit(False))
+    why = (F.when(copy, F.lit("copy")).when(plain & line, F.lit("line")).when(plain & part, F.lit("word")).when(plain & sign_off, F.lit("sign-off"))
+           .when(plain & (F.col("tails") != "0"), F.lit("tail")).when(F.col("shapes") != "0", F.lit("shape")).otherwise(F.lit("none")))
+    is_cut = (F.when(F.col("why").isin("copy", "word"), True).when(F.col("why") == "tail", F.col("tails") == "+").when(F.col("why") == "shape", F.col("shapes") == "+").otherwise(False))
+    return got.withColumn("why", why).withColumn("is_cut", is_cut).select("same", "why", "is_cut", "tails", "shapes")
+
+
+def truncated(texts: DataFrame, corpus: DataFrame, longer_in: DataFrame | None = None, rules: bool = True) -> DataFrame:
+    """(key, why): texts(key long, text) that were cut off, and the evidence (copy, word, tail or shape).
+
+    corpus(text) is where endings are looked up, usually the texts themselves and their originals; longer copies are sought
+    in it and in longer_in(text). Null and blank texts, placeholders and refusals are never cut; rows with one key count
+    as cut if any of their texts is, and equal texts are judged and counted once. rules: leave out at once what ends in a closed
+    sentence, link, tag line, table row, bracket or bold line. An empty input gives an empty result.
+    """
+    keyed = texts.where("key IS NOT NULL AND text IS NOT NULL").select("key", "text", F.xxhash64("text").alias("same"))
+    judged = cut(keyed.mapInPandas(_ask(rules), "key long, same long, " + ASKED).where(f"how IS NOT NULL AND how <> '{COMPLETE}'"), "endings")
+    found = evidence(judged, corpus, strict_prefixes(keyed.select("text"), corpus if longer_in is None else corpus.unionByName(longer_in)))
+    return judged.select("key", "same").distinct().join(found.where("is_cut"), "same").groupBy("key").agg(F.min("why").alias("why"))
+
+
+def _texts(rewrites: DataFrame) -> DataFrame:
+    return rewrites.select(F.explode(F.array("original_text", "rewritten_text")).alias("text")).where("text IS NOT NULL")
+
+
+def truncated_calls(rewrites: DataFrame, mirrors: DataFrame | None = None) -> DataFrame:
+    """(key, why) of rewrites(call_id, original_text, rewritten_text) whose rewritten text was cut; longer copies may stand in mirrors(text), too."""
     texts = rewrites.select(F.col("call_id").alias("key"), F.col("rewritten_text").alias("text"))
-    corpus = rewrites.select(F.explode(F.array("original_text", "rewritten_text")).alias("text"))
-    return truncated(texts, corpus)
+    return truncated(texts, _texts(rewrites), None if mirrors is None else mirrors.select("text").where("text IS NOT NULL"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return truncated_calls(table(spark, d, "rewrites")).select(F.col("key").alias("call_id"))
+    return truncated_calls(table(spark, d, "rewrites"), table(spark, d, "mirrors")).select(F.col("key").alias("call_id"))
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    """Of each source: calls, cut calls, and their share."""
+    """Of each source: calls, cut calls, their share, and how many each kind of evidence decides."""
     rewrites = table(spark, d, "rewrites")
     calls = rewrites.select(F.col("call_id").alias("key"), canon_label("source").alias("source")).groupBy("key").agg(F.min("source").alias("source"))
-    got = calls.join(truncated_calls(rewrites), "key", "left").groupBy("source")
-    got = got.agg(F.count("*").alias("n_calls"), F.count("why").alias("n_cut"))
+    got = calls.join(truncated_calls(rewrites, table(spark, d, "mirrors")), "key", "left").groupBy("source")
+    got = got.agg(F.count("*").alias("n_calls"), F.count("why").alias("n_cut"), *[F.count_if(F.col("why") == k).alias(f"n_by_{k}") for k in ("copy", "word", "tail", "shape")])
     return got.select("*", F.round(F.col("n_cut") / F.col("n_calls"), 6).alias("cut_share"))
