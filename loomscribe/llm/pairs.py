@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -10,66 +11,90 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomscribe.functions.labels import canon_label
-from loomscribe.llm.endings import COMPLETE, ending, has_content
+from loomscribe.llm.endings import COMPLETE, CUT, has_content
 from loomscribe.llm.language import LANGUAGES, best, by_pieces, share_by_sentence
 from loomscribe.llm.language import votes as function_words
 from loomscribe.llm.refusals import is_refusal
-from loomscribe.llm.truncation import truncated
+from loomscribe.llm.truncation import ASKED, _Words, as_frame, ask, evidence, strict_prefixes
 from loomscribe.runtime import cut, table
 
 DEFECTS = ("empty", "refusal", "copy", "language", "truncated")
-#: Posterior from which a label is given; the planted pairs of tests/llm/test_pairs.py validate them.
-CUTOFFS = {"empty": 0.5, "refusal": 0.5, "copy": 0.5, "language": 0.5, "truncated": 0.5}
-#: Of the first labelling function of each defect: how often it fires on defective and on sound pairs, as believed
-#: before any data; the others only help where it abstains or is in doubt.
-LEADING, OTHER = (0.985, 0.002), (0.75, 0.12)
-LEADING_WEIGHT, OTHER_WEIGHT = 1.0, 0.02
-#: Where the leading function votes, all others together count for at most this odds ratio: they are not independent.
-OUTVOTE = 8.0
+#: Posterior from which a label is given, from the curves that `p3_cutoffs` draws on planted pairs.
+#: They are flat from .05 to .9 (no planted pair gained or lost), so any value between will do; the one for
+#: refusals is low because partial ones, which answer as well, have the least certain posteriors.
+CUTOFFS = {"empty": 0.5, "refusal": 0.2, "copy": 0.5, "language": 0.5, "truncated": 0.5}
+#: Functions of a defect that are not independent, by place: the votes of a group are one joint variable of the model.
+GROUPS = {
+    "empty": ((0, 1), (2,), (3,)),
+    "refusal": ((0,), (1, 2), (3, 4)),
+    "copy": ((0, 1), (2, 3), (4,), (5,)),
+    "language": ((0, 1), (2,), (3,)),
+    "truncated": ((0,), (1, 2), (3,), (4,)),
+}
+#: Where every function starts: how often it fires on defective and on sound pairs; kept as so many pseudo pairs of each class.
+HIT, NOISE, WEIGHT = 0.6, 0.02, 4.0
 PRIOR = 0.04
 
-# Punctuation that separates words, and words that often stand in refusals.
-_SEPARATORS = str.maketrans({c: " " for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~“”„«»…•–—·\u00a0'’"})
+# Punctuation that separates words, words that often stand in refusals, and words for the task itself.
+_SEPARATORS = str.maketrans({c: " " for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~“”„«»…•–—· '’"})
 _SOFT = ("sorry", "unfortunately", "apologi", "afraid", "declin", "unable", "guidelines", "leider", "bedaure", "tut mir leid", "désolé", "regrette", "malheureusement", "lo siento", "lamentablemente", "lamento",
          "happy to help", "let me know", "excerpt")
+_TASK = ("rewrit", "reword", "rephras", "paraphras", "this request", "this task", "your request", "this edit", "this draft", "this prompt", "umformulier", "umschreib", "überarbeit", "diese anfrage", "diese bitte", "diesen text", "diesen beitrag",
+         "reformul", "réécri", "récri", "cette demande", "ce texte", "ce billet", "reescrib", "esta solicitud", "esta petición", "esta entrada", "este texto", "parafrase")
 
 
 def _words(text: str) -> list[str]:
     return text.lower().translate(_SEPARATORS).split()
 
 
-def _soft(text: str) -> bool:
-    low = text.lower()
-    return any(m in low for m in _SOFT)
-
-
 def _vote(yes: bool | None) -> str:
     return "0" if yes is None else "+" if yes else "-"
 
 
-def pair_votes(original: str | None, rewritten: str | None, logged: float | None, was_cut: bool) -> dict[str, str]:
-    """The votes (+, -, or 0 to abstain) of each defect's labelling functions; the first is the leading one."""
-    full = has_content(rewritten)
+def _any(marks: tuple[str, ...], low: str) -> bool:
+    for m in marks:
+        if m in low:
+            return True
+    return False
+
+
+def pair_votes(original: str | None, rewritten: str | None, logged: float | None, full: bool | None = None, declines: bool | None = None) -> dict[str, str]:
+    """The votes (+, -, or 0 to abstain) of each defect's labelling functions; of `truncated` only those two that need no other text."""
+    full = has_content(rewritten) if full is None else full
     text = rewritten or ""
-    wr, wo = _words(text), _words(original or "")
-    votes = {"empty": _vote(not full) + _vote(len(wr) <= 2) + _vote(None if logged is None else logged <= 2)}
+    low = text.lower()
+    wr, wo = low.translate(_SEPARATORS).split(), _words(original or "")
+    bag = set(wo)
+    shared1 = sum(map(bag.__contains__, wr)) / len(wr) if wr and wo else None
+    votes = {"empty": _vote(not full) + _vote(len(wr) <= 2) + _vote(None if logged is None else logged <= 2) + _vote(None if not wo else not wr or shared1 == 0)}
     if not full:
-        return votes | {k: "----" for k in ("refusal", "copy", "language", "truncated")}
+        return votes | {"refusal": "-----", "copy": "------", "language": "----", "truncated": "--"}
     ratio = len(wr) / len(wo) if wo else None
     tri, other = set(zip(wr, wr[1:], wr[2:])), set(zip(wo, wo[1:], wo[2:]))
     shared3 = len(tri & other) / len(tri) if tri and other else None
-    shared2 = None
-    if shared3 is not None:  # far fewer shared 3-grams than a copy has: no need to count 2-grams
-        shared2 = 0.0
-        if shared3 >= 0.3:
-            bi = set(zip(wr, wr[1:]))
-            shared2 = len(bi & set(zip(wo, wo[1:]))) / len(bi)
-    vocabulary = set(wo)
-    shared1 = sum(w in vocabulary for w in wr) / len(wr) if wr and wo else None
-    declines = is_refusal(text)
-    votes["refusal"] = _vote(declines) + _vote(None if ratio is None else ratio < 0.4) + _vote(None if shared3 is None else shared3 < 0.02) + _vote(_soft(text))
-    votes["copy"] = (_vote(None if shared3 is None else shared3 >= 0.7) + _vote(None if shared2 is None else shared2 >= 0.8)
-                     + _vote(None if shared1 is None else shared1 >= 0.93) + _vote(None if ratio is None or shared3 is None else 0.85 <= ratio <= 1.2 and shared3 >= 0.5))
+    shared2 = overlap = kept = None
+    if shared1 is not None and shared1 < 0.5:  # far from a copy by its single words: no need to count more
+        shared2 = overlap = kept = 0.0
+    elif shared1 is not None:
+        two = set(zip(wr, wr[1:]))
+        shared2 = len(two & set(zip(wo, wo[1:]))) / len(two) if two else None
+        counts: dict[str, int] = {}
+        for w in wo:
+            counts[w] = counts.get(w, 0) + 1
+        spare, here = dict(counts), 0
+        for w in wr:
+            if spare.get(w, 0) > 0:
+                spare[w] -= 1
+                here += 1
+        overlap = here / len(wr)
+        long_ = [(w, n) for w, n in counts.items() if len(w) >= 7]
+        total = sum(n for _, n in long_)
+        kept = sum(n - spare[w] for w, n in long_) / total if total else None
+    declines = is_refusal(text) if declines is None else declines
+    votes["refusal"] = (_vote(declines) + _vote(None if ratio is None else ratio < 0.4) + _vote(None if shared3 is None else shared3 < 0.02)
+                        + _vote(_any(_SOFT, low)) + _vote(_any(_TASK, low)))
+    votes["copy"] = (_vote(None if shared3 is None else shared3 >= 0.7) + _vote(None if shared2 is None else shared2 >= 0.8) + _vote(None if shared1 is None else shared1 >= 0.93)
+                     + _vote(None if overlap is None else overlap >= 0.9) + _vote(None if kept is None else kept >= 0.9) + _vote(None if ratio is None else 0.85 <= ratio <= 1.2))
     tally = function_words(wr)
     if declines:  # a refusal counts as one in any language: it answers nothing that could be in the wrong one
         wo = []
@@ -79,86 +104,204 @@ def pair_votes(original: str | None, rewritten: str | None, logged: float | None
     elif lr == lo and tally[LANGUAGES.index(lo)] >= 0.9 * sum(tally):  # clear: sentences need not be asked
         in_own, po, pr = 1.0, lo, lo
     else:
-        here = share_by_sentence(text)
-        in_own = here[lo] if sum(here.values()) else None
+        here_ = share_by_sentence(text)
+        in_own = here_[lo] if sum(here_.values()) else None
         po, pr = by_pieces(original or ""), by_pieces(text)
     votes["language"] = (_vote(None if in_own is None else in_own < 0.5) + _vote(None if lo is None or lr is None else lo != lr)
                          + _vote(None if po is None or pr is None else po != pr) + _vote(None if shared1 is None or declines else shared1 < 0.12))
-    words = len(text.split())
-    votes["truncated"] = (_vote(was_cut) + _vote(None if logged is None else logged > words + 2)
-                          + _vote(ending(text) != COMPLETE) + _vote(None if ratio is None else ratio < 0.6))
+    votes["truncated"] = _vote(None if logged is None else logged > len(text.split()) + 2) + _vote(None if ratio is None else ratio < 0.6)
     return votes
 
 
-def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One pass over the texts: votes that need only the pair, and what is asked about its ending."""
+    words = _Words()
     for pdf in batches:
-        out = []
-        for key, o, r, n, was_cut in zip(pdf["key"], pdf["original"], pdf["rewritten"], pdf["logged"], pdf["was_cut"]):
-            votes = pair_votes(o, r, None if pd.isna(n) else n, bool(was_cut))
-            out += [(key, k, v) for k, v in votes.items()]
-        yield pd.DataFrame(out, columns=["key", "defect", "votes"])
+        texts = pdf["rewritten"].tolist()
+        full = [has_content(t) for t in texts]
+        declines = [f and is_refusal(t) for t, f in zip(texts, full)]
+        votes = [pair_votes(o, t, None if pd.isna(n) else n, f, d) for o, t, n, f, d in zip(pdf["original"], texts, pdf["logged"], full, declines)]
+        out = as_frame(ask([t if f else None for t, f in zip(texts, full)], words, refuses=declines))
+        for k in DEFECTS:
+            out[f"v_{k}"] = [v[k] for v in votes]
+        out.insert(0, "same", pdf["same"].to_numpy())
+        out.insert(0, "key", pdf["key"].to_numpy())
+        yield out
+
 
+def pair_votes_of(pairs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """(key, defect, votes) of pairs(key, original, rewritten, logged); corpus(text) is where endings are looked up, by default the pairs' texts."""
+    pairs = pairs.where("key IS NOT NULL").select("key", "original", "rewritten", F.col("logged").cast("double").alias("logged"), F.xxhash64("rewritten").alias("same"))
+    if corpus is None:
+        corpus = pairs.select(F.explode(F.array("original", "rewritten")).alias("text")).where("text IS NOT NULL")
+    looked = cut(pairs.mapInPandas(_look, "key long, same long, " + ASKED + "".join(f", v_{k} string" for k in DEFECTS)), "votes")
+    found = evidence(looked, corpus, strict_prefixes(pairs.select(F.col("rewritten").alias("text")).where("text IS NOT NULL"), corpus))
+    found = found.select("same", F.col("is_cut").alias("is_cut"), "shapes")
+    looked = looked.join(found, "same", "left")
+    ends = (F.when(F.col("how").isNull() | (F.col("how") == COMPLETE), "---").otherwise(F.concat(
+        F.when(F.col("is_cut"), "+").otherwise("-"), F.when(F.col("how") == CUT, "+").otherwise("0"), F.coalesce("shapes", F.lit("0")))))
+    votes = F.array(*[F.struct(F.lit(k).alias("defect"), (F.concat(ends, f"v_{k}") if k == "truncated" else F.col(f"v_{k}")).alias("votes")) for k in DEFECTS])
+    return looked.select("key", F.explode(votes).alias("v")).select("key", "v.defect", "v.votes")
 
-def label_model(counts: dict[str, float], rounds: int = 200, tol: float = 1e-8) -> dict[str, float]:
-    """The posterior of the defect for each pattern of votes, by expectation-maximization.
 
-    counts: how many pairs show each pattern. Given the class, labelling functions vote independently, with
-    rates of their own; 0 abstains and tells nothing. Where the leading function votes, the others are held to OUTVOTE. The rates start from LEADING and OTHER and keep these as pseudo-counts,
-    which fixes which class is the defect and keeps the model whole where a defect does not occur.
+class LabelModel:
+    """The posterior of a defect given a pattern of votes, fitted by expectation-maximization to the counts of patterns.
+
+    Given the class, groups of functions vote independently, the functions of one group jointly, with rates of
+    their own; a pattern in which all of a group abstain tells nothing. All functions start alike, a fired one telling
+    more than a silent one, and keep this start as a few pseudo pairs, which fixes which class is the defect and keeps the model whole where
+    a defect does not occur. No function is trusted: how far each is, the counts decide.
     """
-    patterns = sorted(counts)
-    if not patterns:
-        return {}
-    n = np.array([counts[p] for p in patterns], dtype=float)
-    width = max(map(len, patterns))
-    onehot = np.array([[[c == s for s in "+-"] for c in p.ljust(width, "0")] for p in patterns], dtype=float)  # pattern, function, vote
-    total = n.sum()
-    start = np.empty((2, width, 2))
-    for f in range(width):
-        hit, noise = LEADING if f == 0 else OTHER
-        start[1, f], start[0, f] = (hit, 1 - hit), (noise, 1 - noise)
-    strength = total * np.array([LEADING_WEIGHT if f == 0 else OTHER_WEIGHT for f in range(width)])[:, None]
-    rates, prior = start.copy(), PRIOR
-    post = np.zeros(len(patterns))
-    led = np.array([p[0] != "0" for p in patterns])
-    for _ in range(rounds):
-        odds = np.einsum("pfv,fv->pf", onehot, np.log(rates[1]) - np.log(rates[0]))
-        others = odds[:, 1:].sum(axis=1)
-        others = np.where(led, np.clip(others, -np.log(OUTVOTE), np.log(OUTVOTE)), others)
-        new = 1 / (1 + np.exp(np.clip(-(odds[:, 0] + others + np.log(prior / (1 - prior))), -500, 500)))
-        if np.abs(new - post).max() < tol:
+
+    def __init__(self, counts: dict[str, float], groups: tuple[tuple[int, ...], ...] | None = None, rounds: int = 500, tol: float = 1e-9) -> None:
+        patterns = sorted(counts)
+        width = max(map(len, patterns), default=0)
+        self.groups = groups if groups else tuple((i,) for i in range(width))
+        n = np.array([counts[p] for p in patterns], dtype=float)
+        self.kinds = [{"".join(v): i for i, v in enumerate(product("+-0", repeat=len(g)))} for g in self.groups]
+        start = []
+        for g in self.groups:
+            one = {k: np.array([r, 1 - r, 0.5]) for k, r in ((1, HIT), (0, NOISE))}
+            both = []
+            for k in (0, 1):
+                t = np.ones(1)
+                for _ in g:
+                    t = np.outer(t, one[k] / one[k].sum()).ravel()
+                both.append(t)
+            start.append(np.array(both))
+        self.tables, self.prior = [t.copy() for t in start], PRIOR
+        codes = self._codes(patterns)
+        post = np.zeros(len(patterns))
+        for _ in range(rounds if patterns else 0):
+            new = self._posterior(codes)
+            done = np.abs(new - post).max(initial=0.0) < tol
             post = new
-            break
-        post = new
-        for k, w in ((1, n * post), (0, n * (1 - post))):
-            seen = np.einsum("p,pfv->fv", w, onehot)
-            rates[k] = (seen + strength * start[k] + 1e-6) / (seen.sum(axis=1, keepdims=True) + strength + 2e-6)
-        prior = float(np.clip((np.sum(n * post) + 0.02 * total * PRIOR) / (1.02 * total), 1e-6, 0.5))
-    return dict(zip(patterns, post.tolist()))
+            for j, s in enumerate(start):
+                for k, w in ((1, n * post), (0, n * (1 - post))):
+                    seen = np.bincount(codes[:, j], w, minlength=s.shape[1]) + WEIGHT * s[k]
+                    self.tables[j][k] = seen / seen.sum()
+            self.prior = float(np.clip((np.sum(n * post) + WEIGHT * PRIOR) / (n.sum() + WEIGHT), 1e-7, 0.5))
+            if done:
+                break
+
+    def _codes(self, patterns: list[str]) -> np.ndarray:
+        return np.array([[kind["".join(p[i] for i in g)] for g, kind in zip(self.groups, self.kinds)] for p in patterns], dtype=np.int64).reshape(len(patterns), len(self.groups))
+
+    def _posterior(self, codes: np.ndarray) -> np.ndarray:
+        odds = np.full(len(codes), np.log(self.prior / (1 - self.prior)))
+        for j, t in enumerate(self.tables):
+            tells = np.log(t[1]) - np.log(t[0])
+            tells[-1] = 0.0  # all abstain
+            odds += tells[codes[:, j]]
+        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+
+    def posterior(self, patterns: list[str]) -> dict[str, float]:
+        return dict(zip(patterns, self._posterior(self._codes(patterns)).tolist()))
+
+
+def label_model(counts: dict[str, float], groups: tuple[tuple[int, ...], ...] | None = None) -> dict[str, float]:
+    """The posterior of the defect for each pattern of votes; counts: how many pairs show it."""
+    return LabelModel(counts, groups).posterior(sorted(counts)) if counts else {}
+
+
+def fitted(votes: DataFrame) -> tuple[dict[str, dict[str, float]], dict[str, LabelModel]]:
+    """Counts of the patterns of each defect, and the models. Only counts reach the driver: at most 3 to the power of the functions a defect."""
+    seen: dict[str, dict[str, float]] = {}
+    for r in votes.groupBy("defect", "votes").agg(F.count("*").alias("n")).collect():
+        seen.setdefault(r["defect"], {})[r["votes"]] = r["n"]
+    return seen, {d: LabelModel(c, GROUPS[d]) for d, c in seen.items()}
 
 
 def defects(pairs: DataFrame) -> DataFrame:
     """(key, defect, posterior): every defect of pairs(key long, original, rewritten, logged) whose posterior reaches its cutoff.
 
-    The label model is fitted on the counts of vote patterns of all pairs; there are at most 81 for each defect, and
-    only these counts reach the driver. Null texts are empty answers; a null original leaves copy and language without
-    votes; rows with one key have a defect if any of them has it; an empty input gives an empty result.
+    The label model is fitted on the counts of vote patterns of all pairs. A pair may have several defects. Null texts are
+    empty answers; a null original leaves copy and language without votes; rows with one key have a defect if any of
+    them has it; an empty input gives an empty result.
+    """
+    votes = cut(pair_votes_of(pairs), "votes")
+    seen, models = fitted(votes)
+    found = [(d, v, float(p)) for d in sorted(seen) for v, p in models[d].posterior(sorted(seen[d])).items() if p >= CUTOFFS[d]]
+    kept = pairs.sparkSession.createDataFrame(found, "defect string, votes string, posterior double")
+    got = votes.join(F.broadcast(kept), ["defect", "votes"])  # at most 3 to the power of the functions, for each of five defects
+    got = got.groupBy("key").agg(*[F.max(F.when(F.col("defect") == d, F.col("posterior"))).alias(d) for d in DEFECTS])
+    got = got.withColumn("language", F.when(F.col("refusal").isNull(), F.col("language")))  # a refusal answers nothing that could be in the wrong language
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("defect"), F.col(d).alias("posterior")) for d in DEFECTS]))
+    return got.select("key", each.alias("x")).select("key", "x.defect", F.round("x.posterior", 6).alias("posterior")).where("posterior IS NOT NULL")
+
+
+def model_table(pairs: DataFrame) -> DataFrame:
+    """(defect, votes, n, first, posterior, labelled): every pattern of votes, its pairs, the first function's vote and the model's."""
+    seen, models = fitted(pair_votes_of(pairs))
+    rows = [(d, v, int(n), v[0], float(p), p >= CUTOFFS[d]) for d in sorted(seen) for (v, p), n in zip(models[d].posterior(sorted(seen[d])).items(), [seen[d][v] for v in sorted(seen[d])])]
+    return pairs.sparkSession.createDataFrame(rows, "defect string, votes string, n long, first string, posterior double, labelled boolean")
+
+
+# Answers to plant, in words that the labelling functions do not list as such.
+_PLANT_EMPTY = ("", "-", "[pending]", "(no answer)", "(result)", "text")
+_PLANT_REFUSAL = ("I would need the author's permission first, so I will leave this text as it is. Sorry.", "Sorry, that is a request I have to turn down.", "Unfortunately, this text is nothing I may reword.",
+                  "I'm afraid rewriting this post is off the table for me.", "Leider bleibt mir nur, diese Anfrage abzuweisen.", "Désolé, je préfère laisser ce texte tel quel.", "Lo siento, prefiero dejar este texto como está.")
+
+
+def _plant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each batch, pairs with a planted defect, by turns: (key, original, rewritten, logged, truth)."""
+    for pdf in batches:
+        ok = [i for i, (o, r) in enumerate(zip(pdf["original"], pdf["rewritten"])) if o and r and len(o) > 400 and len(r) > 400 and r.rstrip()[-1:] in ".!?" and o.rstrip()[-1:] in ".!?"]
+        langs: dict[str | None, list[int]] = {}
+        of = {}
+        for i in ok:
+            of[i] = best(function_words(_words(pdf["rewritten"].iat[i])))
+            langs.setdefault(of[i], []).append(i)
+        out = []
+        for k, i in enumerate(ok):
+            o, r, key = pdf["original"].iat[i], pdf["rewritten"].iat[i], int(pdf["key"].iat[i])
+            truth, logged = DEFECTS[k % 5], None
+            if truth == "empty":
+                r = _PLANT_EMPTY[k // 5 % len(_PLANT_EMPTY)]
+            elif truth == "refusal":
+                r = _PLANT_REFUSAL[k // 5 % len(_PLANT_REFUSAL)]
+            elif truth == "copy":  # clauses in another order
+                parts = [x for x in o.replace("\n", " ").replace(", ", ". ").split(". ") if x]
+                r = ", ".join(parts[1::2] + parts[0::2]) + "."
+            elif truth == "language":
+                others = [j for lang in LANGUAGES if lang != of[i] for j in langs.get(lang, ())]
+                if not others or of[i] is None:
+                    continue
+                r = pdf["rewritten"].iat[others[key % len(others)]]
+            else:
+                at = 200 + key % (len(r) - 300)
+                while at < len(r) - 2 and not (r[at - 1].isalpha() and r[at - 2].isalpha() and r[at].isalpha()):
+                    at += 1
+                logged, r = (float(len(r.split())) if key % 2 else None), r[:at]
+            out.append((key, o, r, float(len(r.split())) if logged is None and truth != "truncated" else logged, truth))
+        yield pd.DataFrame(out, columns=["key", "original", "rewritten", "logged", "truth"])
+
+
+def cutoff_curve(pairs: DataFrame, cutoffs: tuple[float, ...] = (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9, 0.95)) -> DataFrame:
+    """(defect, cutoff, planted, recall, first_recall, other_share): what each cutoff finds of planted defects, and gives to pairs with another one planted.
+
+    The model is fitted on the pairs as they are; the defects are planted into sound ones afterwards, so none of the planted
+    answers takes part in the fit. first_recall is what the first labelling function alone finds. Planted refusals are not
+    counted for language, where they are not asked.
     """
     spark = pairs.sparkSession
-    pairs = pairs.where("key IS NOT NULL").select("key", "original", "rewritten", F.col("logged").cast("double").alias("logged"))
-    corpus = pairs.select(F.explode(F.array("original", "rewritten")).alias("text"))
-    was_cut = truncated(pairs.select("key", F.col("rewritten").alias("text")), corpus).select("key", F.lit(True).alias("was_cut"))
-    joined = pairs.join(cut(was_cut, "cut"), "key", "left").withColumn("was_cut", F.coalesce("was_cut", F.lit(False)))
-    votes = cut(joined.mapInPandas(_votes, "key long, defect string, votes string"), "votes")
-    found = []
-    seen: dict[str, dict[str, float]] = {}
-    for r in votes.groupBy("defect", "votes").agg(F.count("*").alias("n")).collect():
-        seen.setdefault(r["defect"], {})[r["votes"]] = r["n"]
-    for defect, counts in sorted(seen.items()):
-        found += [(defect, v, float(p)) for v, p in label_model(counts).items() if p >= CUTOFFS[defect]]
-    kept = spark.createDataFrame(found, "defect string, votes string, posterior double")
-    got = votes.join(F.broadcast(kept), ["defect", "votes"])  # at most 81 rows for each of the five defects
-    return got.groupBy("key", "defect").agg(F.round(F.max("posterior"), 6).alias("posterior"))
+    real = pairs.select("key", "original", "rewritten", F.col("logged").cast("double").alias("logged"))
+    _, models = fitted(pair_votes_of(real))
+    planted = cut(real.where("key IS NOT NULL").mapInPandas(_plant, "key long, original string, rewritten string, logged double, truth string").dropDuplicates(["key"]), "planted")
+    corpus = real.select(F.explode(F.array("original", "rewritten")).alias("text")).where("text IS NOT NULL")
+    other = (F.col("truth") != F.col("defect")) & ((F.col("defect") != "language") | (F.col("truth") != "refusal"))
+    seen = pair_votes_of(planted, corpus).join(planted.select("key", "truth"), "key").groupBy("defect", "votes").agg(
+        F.count_if(F.col("truth") == F.col("defect")).alias("hit"), F.count_if(other).alias("other")).collect()
+    rows = []
+    for d in DEFECTS:
+        mine = [r for r in seen if r["defect"] == d]
+        post = models[d].posterior([r["votes"] for r in mine]) if mine and d in models else {}
+        hit, rest = sum(r["hit"] for r in mine), sum(r["other"] for r in mine)
+        first = sum(r["hit"] for r in mine if r["votes"][0] == "+")
+        for c in cutoffs:
+            a, b = (sum(r[k] for r in mine if post.get(r["votes"], 0.0) >= c) for k in ("hit", "other"))
+            rows.append((d, c, hit, *(round(x / n, 6) if n else None for x, n in ((a, hit), (first, hit), (b, rest)))))
+    return spark.createDataFrame(rows, "defect string, cutoff double, planted long, recall double, first_recall double, other_share double")
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -175,3 +318,12 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     sizes = calls.groupBy("source").agg(F.count("*").alias("n_calls"))
     got = defects(_pairs(spark, d)).join(calls, "key").groupBy("source", "defect").agg(F.count("*").alias("n_defective"))
     return got.join(sizes, "source").select("source", "defect", "n_defective", "n_calls", F.round(F.col("n_defective") / F.col("n_calls"), 6).alias("share"))
+
+
+def p3_model(spark: SparkSession, d: str) -> DataFrame:
+    """Every pattern of votes with the first function's vote and the model's label: where they differ, the others decide."""
+    return model_table(_pairs(spark, d)).withColumn("posterior", F.round("posterior", 6))
+
+
+def p3_cutoffs(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff_curve(_pairs(spark, d))

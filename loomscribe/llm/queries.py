@@ -13,6 +13,8 @@ QUERIES = {
     "p2_report": truncation.p2_report,
     "p3_found": pairs.p3_found,
     "p3_report": pairs.p3_report,
+    "p3_model": pairs.p3_model,
+    "p3_cutoffs": pairs.p3_cutoffs,
     "p4_found": spans.p4_found,
     "p4_spans": spans.p4_spans,
     "p4_report": spans.p4_report,

@@ -57,7 +57,10 @@ def refusal_at(text: str) -> int | None:
     """Where the first refusal outside quotation stands, or None."""
     bare = text.replace("’", "'")
     low = bare.lower()
-    if not any(m in low for m in _MARKS):
+    for m in _MARKS:
+        if m in low:
+            break
+    else:
         return None
     bare = _QUOTED.sub(lambda m: " " * len(m.group()), bare)
     m = PATTERN.search(bare)

@@ -74,6 +74,50 @@ def test_label_model_without_the_defect():
     assert P.label_model({}) == {}
 
 
+def test_the_first_function_is_outvoted():
+    counts = {"-----": 9000.0, "+++++": 120.0, "++++-": 60.0, "+++-+": 30.0, "--+--": 200.0, "-+---": 40.0, "---+-": 120.0, "----+": 150.0, "-++++": 6.0, "+----": 1.0}
+    post = P.label_model(counts, P.GROUPS["refusal"])
+    assert post["-++++"] > 0.9  # the first function says no, the others overturn it
+    post = P.label_model({**counts, "+----": 900.0}, P.GROUPS["refusal"])
+    assert post["+----"] < 0.05 and post["+++++"] > 0.9  # a first function that fires everywhere is found out
+
+
+def test_every_function_can_be_outvoted():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    for defect, groups in P.GROUPS.items():
+        width = sum(map(len, groups))
+        bad = rnd.random(20_000) < 0.05
+        votes = np.where(rnd.random((20_000, width)) < np.where(bad[:, None], 0.85, 0.04), "+", "-")
+        counts = {}
+        for row in votes:
+            counts["".join(row)] = counts.get("".join(row), 0) + 1
+        post = P.LabelModel(counts, groups)
+        for f in range(width):
+            if all(len(g) < width - 1 for g in groups):
+                lone = post.posterior(["-" * f + "+" + "-" * (width - f - 1), "+" * f + "-" + "+" * (width - f - 1)])
+                assert [p >= 0.5 for p in lone.values()] == [False, True], (defect, f, lone)
+
+
+def test_planted_refusals_and_copies_that_the_first_function_misses(spark):
+    rows, _ = pairs(seed=6, n=500)
+    curve = P.cutoff_curve(spark.createDataFrame([r[:4] for r in rows], "key long, original string, rewritten string, logged double"), (0.2, 0.5)).collect()
+    got = {(r["defect"], r["cutoff"]): r for r in curve}
+    for d in ("empty", "refusal", "copy"):
+        r = got[d, P.CUTOFFS[d]]
+        assert r["planted"] > 20 and r["recall"] >= 0.95 and r["other_share"] <= 0.05, r
+    assert got["refusal", 0.2]["first_recall"] < 0.9
+
+
+def test_a_refusal_has_no_language_defect(spark):
+    rows, _ = pairs(seed=2, n=300)
+    rows = [(r[0], r[1], "Leider kann ich diesen Text nicht umformulieren." if i % 20 == 1 else r[2], r[3]) for i, r in enumerate(rows)]
+    got = {(r["key"], r["defect"]) for r in P.defects(spark.createDataFrame(rows, "key long, original string, rewritten string, logged double")).collect()}
+    refused = {k for k, d in got if d == "refusal"}
+    assert refused and not any((k, "language") in got for k in refused)
+
+
 def test_endings():
     complete = ["All is well.", "Is it?", 'He said "yes."', "More on this: https://a.example/notes/7", "#ops #tips", "Thanks for reading 🙂", "**Total: 5 %**", "| a | b |\n|---|---|\n| 1 | 2 |",
                 "They left. [...]", "(First published in issue 3)", "```\ncode\n```"]
