@@ -12,24 +12,23 @@ from pyspark.sql.window import Window as W
 from loomscribe.functions.labels import STRATA, VERTICALS, canon_label, canon_vertical, known, not_blank
 from loomscribe.runtime import cut, table
 
-MARGINS = (("stratum",), ("vertical",), ("stratum", "vertical"))
+MARGINS = (("stratum",), ("vertical",))
 ROWS_PER_BUCKET = 100_000
 
 
-def rake(cells: list[dict], margins=MARGINS, rounds: int = 200, tol: float = 1e-9) -> list[float]:
-    """Expected sample size of each cell, by iterative proportional fitting.
+def rake(cells: list[dict], margins=MARGINS, rounds: int = 2000, tol: float = 1e-9) -> list[float]:
+    """Expected sample size of each cell, by iterative proportional fitting to the target totals of several margins.
 
-    cells: dicts with the category columns, `target` (wanted records) and `have` (usable records). The fit
-    starts from the records at hand and is scaled to the wanted total of every margin in turn, never above
-    what a cell has. The finest margin is the last in each round, so that what a short cell lacks is a gap in
-    its own margins and does not push other cells off their targets. The fit ends when no cell moves by more
-    than tol from one round to the next.
+    cells: dicts with the category columns, `target` (wanted records) and `have` (usable records). The fit starts from the
+    targets of the cells and is scaled to the wanted total of every margin in turn, never above what a cell has: what a
+    short cell lacks is made up by the other cells of its stratum and of its vertical, as far as they have the records.
+    Cells without a target stay empty. The fit ends when no cell moves by more than tol in a round.
     """
     if not cells:
         return []
     want = np.array([c["target"] for c in cells], dtype=float)
     have = np.array([c["have"] for c in cells], dtype=float)
-    fit = np.where(want > 0, have, 0.0)
+    fit = np.minimum(want, have)
     groups = []
     for margin in margins:
         keys: dict = {}
@@ -37,38 +36,49 @@ def rake(cells: list[dict], margins=MARGINS, rounds: int = 200, tol: float = 1e-
     for _ in range(rounds):
         old = fit.copy()
         for g in groups:
-            goal, now = np.bincount(g, want), np.bincount(g, fit)
-            scale = np.divide(goal, now, out=np.ones(len(goal)), where=now > 0)[g]
-            fit = np.minimum(fit * scale, have)
+            goal = np.bincount(g, want)
+            for _ in range(len(cells)):  # cells that reach what they have leave the rest of the margin to the others
+                now, free = np.bincount(g, fit), (fit < have) & (fit > 0)
+                room = np.bincount(g, np.where(free, fit, 0.0))
+                grow = np.divide(goal - now + room, room, out=np.ones(len(goal)), where=room > 1e-12)
+                down = np.divide(goal, now, out=np.ones(len(goal)), where=now > 0)
+                scale = np.where(goal < now, down, grow)[g]
+                new = np.where((goal < now)[g] | free, np.minimum(fit * scale, have), fit)
+                moved = np.abs(new - fit).max(initial=0.0)
+                fit = new
+                if moved <= tol:
+                    break
         if np.abs(fit - old).max(initial=0.0) <= tol:
             break
     return fit.tolist()
 
 
 def whole_quotas(fit: list[float], have: list[int], least: list[int], n: int) -> list[int]:
-    """Whole numbers near fit that sum to n where they can: largest remainders, after every minimum is met."""
+    """Whole numbers near fit, repaired to every minimum that can be met, that sum to n where the minimums leave room for it.
+
+    The fit is rounded by largest remainders; then cells below their minimum are filled up, and cells above theirs
+    give up what lies furthest above the fit.
+    """
     low = [min(h, m) for h, m in zip(have, least)]
-    q = [max(lo, min(h, math.floor(f))) for f, h, lo in zip(fit, have, low)]
-    order = sorted(range(len(q)), key=lambda i: (math.floor(fit[i]) - fit[i], i))
-    while sum(q) < n:
-        grown = [i for i in order if q[i] < have[i] and fit[i] > 0 and q[i] < fit[i] + 1]
-        if not grown:
-            break
-        for i in grown[: n - sum(q)]:
+    q = [min(h, math.floor(f + 1e-9)) for f, h in zip(fit, have)]
+    order = sorted(range(len(q)), key=lambda i: (q[i] - fit[i], i))
+    for i in order:
+        if sum(q) < n and q[i] < have[i] and fit[i] > q[i]:
             q[i] += 1
+    q = [max(x, lo) for x, lo in zip(q, low)]
     while sum(q) > n:
-        shrunk = sorted((i for i in range(len(q)) if q[i] > low[i]), key=lambda i: (fit[i] - q[i], i))
-        if not shrunk:
+        above = [i for i in range(len(q)) if q[i] > low[i]]
+        if not above:
             break
-        for i in shrunk[: sum(q) - n]:
+        for i in sorted(above, key=lambda i: (fit[i] - q[i], i))[: sum(q) - n]:
             q[i] -= 1
     return q
 
 
 def cell_plan(posts: DataFrame, targets: DataFrame, fraction: float = 0.2) -> DataFrame:
-    """One row for each cell with posts or a target: have, needed, quota, and whether the target can be met.
+    """One row for each cell with posts or a target: have, needed, raked size, weight and quota.
 
-    posts(doc_id, stratum, vertical) are distinct and usable. n is the fraction of them, rounded down; a cell
+    posts(doc_id, stratum, vertical) are distinct and usable. n is the fraction of them, rounded down; a listed cell
     needs ceil(target_permille * n / 1000) posts and at least min_docs. Only the counts of cells reach the
     driver: one row for each pair of known labels, or listed target. Repeated targets count once (the largest).
     """
@@ -89,24 +99,24 @@ def cell_plan(posts: DataFrame, targets: DataFrame, fraction: float = 0.2) -> Da
         c["target"] = c["permille"] * n / 1000
         c["needed"] = max(-(-c["permille"] * n // 1000), c["min_docs"])
     fit = rake(cells)
-    quota = whole_quotas(fit, [c["have"] for c in cells], [c["min_docs"] for c in cells], min(n, round(sum(fit))))
-    rows = [(c["stratum"], c["vertical"], c["listed"], c["permille"], c["min_docs"], c["have"], c["needed"], float(f), q, c["listed"] and c["have"] < c["needed"])
+    least = [c["min_docs"] if c["have"] >= c["needed"] else c["have"] for c in cells]  # a cell that cannot be filled gives all it has
+    quota = whole_quotas(fit, [c["have"] for c in cells], least, min(n, round(sum(fit))))
+    rows = [(c["stratum"], c["vertical"], c["listed"], c["permille"], c["min_docs"], c["have"], c["needed"], float(c["target"]), float(f), q)
             for c, f, q in zip(cells, fit, quota)]
-    kind = "stratum string, vertical string, listed boolean, permille long, min_docs long, have long, needed long, fitted double, quota long, unmet boolean"
-    return spark.createDataFrame(rows, kind)
+    return spark.createDataFrame(rows, "stratum string, vertical string, listed boolean, permille long, min_docs long, have long, needed long, target double, fitted double, quota long")
 
 
 def draw(posts: DataFrame, plan: DataFrame, seed: int = 7, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """(doc_id, stratum, vertical, weight): of each cell the `quota` records with the smallest keys -ln(u) / weight.
 
-    weight = fitted / have of the record's cell; u is a hash of (seed, doc_id), so the draw is the same on
+    weight = fitted / have of the record's cell, quota / have where a minimum put records into a cell without a fit; u is a hash of (seed, doc_id), so the draw is the same on
     every run. A cell may hold a third of all rows: keys are counted in buckets, whole buckets below the cut
     are taken, and only the records of the bucket that holds the cut are ranked.
     """
     cells = F.broadcast(plan.where("quota > 0").select(F.col("stratum").alias("_s"), F.col("vertical").alias("_v"), "fitted", "have", "quota"))  # a row a cell
     posts = posts.select("doc_id", "stratum", "vertical")
     rows = posts.join(cells, (F.col("stratum") == F.col("_s")) & (F.col("vertical") == F.col("_v")))
-    weight = F.greatest(F.col("fitted") / F.col("have"), F.lit(1e-12))
+    weight = F.when(F.col("fitted") > 0, F.col("fitted")).otherwise(F.col("quota")) / F.col("have")
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 1) / F.lit(float(2**53))
     rows = rows.withColumn("weight", weight).withColumn("_u", u).withColumn("key", -F.log(u) / weight)
     buckets = max(1, math.ceil(posts.count() / rows_per_bucket)) * 4
@@ -134,8 +144,35 @@ def _targets(spark: SparkSession, d: str) -> DataFrame:
     return t.select(canon_label("stratum").alias("stratum"), canon_vertical("vertical").alias("vertical"), "target_permille", "min_docs")
 
 
+def filled(posts: DataFrame, targets: DataFrame) -> DataFrame:
+    """The plan with what the finished sample holds of each cell: drawn, and unmet where it holds all posts of a listed cell and they are fewer than needed."""
+    plan = cell_plan(posts, targets)
+    drawn = draw(posts, plan).groupBy("stratum", "vertical").agg(F.count("*").alias("drawn")).withColumnsRenamed({"stratum": "_s", "vertical": "_v"})
+    got = plan.join(F.broadcast(drawn), F.col("stratum").eqNullSafe(F.col("_s")) & F.col("vertical").eqNullSafe(F.col("_v")), "left").drop("_s", "_v")  # a row a cell
+    got = got.withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    return got.withColumn("unmet", F.col("listed") & (F.col("drawn") < F.col("needed")) & (F.col("drawn") >= F.col("have")))
+
+
+def gaps(cells: DataFrame) -> DataFrame:
+    """(margin, stratum, vertical, have, target, fitted, drawn, target_permille, drawn_permille, gap, unmet) of every cell, stratum and vertical.
+
+    gap is what the sample lacks of the target; cells is the result of filled, a row a cell.
+    """
+    parts = []
+    for name, by in (("cell", ("stratum", "vertical")), ("stratum", ("stratum",)), ("vertical", ("vertical",))):
+        keys = [F.col(c) if c in by else F.lit(None).cast("string").alias(c) for c in ("stratum", "vertical")]
+        sums = [F.sum(c).alias(c) for c in ("permille", "have", "target", "fitted", "drawn")]
+        got = cells.groupBy(*by).agg(*sums, F.bool_or("unmet").alias("unmet"), F.sum("needed").alias("needed"))
+        parts.append(got.select(F.lit(name).alias("margin"), *keys, "permille", "have", "needed", F.round("target", 6).alias("target"), F.round("fitted", 6).alias("fitted"), "drawn", "unmet"))
+    all_ = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    total = F.sum("drawn").over(W.partitionBy("margin"))  # some dozens of rows
+    share = F.coalesce(F.try_divide(F.lit(1000.0) * F.col("drawn"), total), F.lit(0.0))
+    return all_.withColumn("drawn_permille", F.round(share, 3)).withColumn("gap", F.round(F.greatest(F.col("target") - F.col("drawn"), F.lit(0.0)), 6))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_report(spark, d).where("unmet").select("stratum", "vertical")
+    posts = cut(usable_posts(spark, d), "posts")
+    return filled(posts, _targets(spark, d)).where("unmet").select("stratum", "vertical")
 
 
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -144,11 +181,6 @@ def p5_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    """Of each cell: usable, needed and drawn posts, drawn permille, and the gap to the target."""
+    """Of each cell, stratum and vertical: usable posts, target, raked size, drawn posts, drawn permille, and the gap to the target."""
     posts = cut(usable_posts(spark, d), "posts")
-    plan = cell_plan(posts, _targets(spark, d))
-    drawn = draw(posts, plan).groupBy("stratum", "vertical").agg(F.count("*").alias("drawn"))
-    got = plan.join(drawn, ["stratum", "vertical"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
-    return got.select("stratum", "vertical", "permille", "min_docs", "have", "needed", "quota", "drawn",
-                      F.greatest(F.col("needed") - F.col("have"), F.lit(0)).alias("gap"), "unmet",
-                      F.round(1000 * F.col("drawn") / F.sum("drawn").over(W.partitionBy(F.lit(1))), 3).alias("drawn_permille"))
+    return gaps(filled(posts, _targets(spark, d)))

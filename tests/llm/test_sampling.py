@@ -12,12 +12,37 @@ def test_rake_meets_every_margin_it_can():
     target = {("a", "x"): 10, ("a", "y"): 20, ("a", "z"): 5, ("b", "x"): 8, ("b", "y"): 30, ("b", "z"): 0}
     fit = S.rake(cells(have, target))
     assert all(abs(f - target[k]) < 1e-6 for k, f in zip(sorted(have), fit))
-    have["a", "y"] = 3  # short: a gap there, the others stay on target
+    have["a", "y"] = 18  # short by 2: made up within its stratum and its vertical, so that both margins stay on target
+    target["b", "z"] = 4
+    got = S.rake(cells(have, target))
+    fit = dict(zip(sorted(have), got))
+    least = {k: min(target[k], have[k]) for k in have}
+    assert abs(fit["a", "y"] - 18) < 1e-6 and max(abs(fit[k] - least[k]) for k in fit) > 1
+    for i, names in ((0, "ab"), (1, "xyz")):
+        for m in names:
+            want = sum(v for k, v in target.items() if k[i] == m)
+            assert abs(sum(v for k, v in fit.items() if k[i] == m) - want) < 0.01 * want
+    assert all(fit[k] <= have[k] + 1e-9 for k in fit)
+    have["a", "y"] = 0  # not feasible: no cell gets more than it has, and empty cells stay empty
     fit = dict(zip(sorted(have), S.rake(cells(have, target))))
-    assert abs(fit["a", "y"] - 3) < 1e-6 and abs(fit["b", "y"] - 30) < 1e-6
+    assert fit["a", "y"] == 0 and all(fit[k] <= have[k] + 1e-9 for k in fit)
     assert S.rake([]) == []
 
 
+def test_raking_differs_from_the_least_of_target_and_have():
+    rnd = random.Random(8)
+    differs = met = 0
+    for _ in range(60):
+        have = {(s, v): rnd.randrange(40, 200) for s in "abcd" for v in "vwxyz"}
+        target = {k: rnd.randrange(10, 60) for k in have}
+        have[rnd.choice(sorted(have))] = 5
+        fit = dict(zip(sorted(have), S.rake(cells(have, target))))
+        differs += any(abs(fit[k] - min(target[k], have[k])) > 0.5 for k in fit)
+        met += all(abs(sum(v for k, v in fit.items() if k[i] == m) - sum(v for k, v in target.items() if k[i] == m)) <= 0.01 * sum(v for k, v in target.items() if k[i] == m)
+                   for i, names in ((0, "abcd"), (1, "vwxyz")) for m in names)
+    assert differs >= 50 and met >= 50
+
+
 def test_whole_quotas():
     q = S.whole_quotas([1.4, 2.4, 0.2], [10, 10, 10], [0, 0, 1], 5)
     assert sum(q) == 5 and q[2] == 1
@@ -34,8 +59,12 @@ def test_plan_and_draw(spark):
     plan = S.cell_plan(posts, targets)
     p = {(r["stratum"], r["vertical"]): r for r in plan.collect()}
     n = 4002 // 5
-    assert p["a", "x"]["needed"] == -(-100 * n // 1000) and not p["a", "x"]["unmet"]
-    assert p["c", "x"]["unmet"] and not p["q", "z"]["unmet"]
+    got = {(r["stratum"], r["vertical"]): r for r in S.filled(posts, targets).collect()}
+    assert p["a", "x"]["needed"] == -(-100 * n // 1000) and not got["a", "x"]["unmet"]
+    assert got["c", "x"]["unmet"] and got["c", "x"]["drawn"] == 2 and not got["q", "z"]["unmet"]
+    report = {(r["margin"], r["stratum"], r["vertical"]): r for r in S.gaps(S.filled(posts, targets)).collect()}
+    assert {k[0] for k in report} == {"cell", "stratum", "vertical"} and report["stratum", "c", None]["unmet"]
+    assert sum(r["drawn"] for k, r in report.items() if k[0] == "vertical") == sum(r["drawn"] for r in got.values())
     first = None
     for per in (10, 100_000):
         got = S.draw(posts, plan, rows_per_bucket=per).collect()
@@ -60,5 +89,5 @@ def test_empty(spark):
     posts = spark.createDataFrame([], "doc_id string, stratum string, vertical string")
     targets = spark.createDataFrame([("a", "x", 990, 1)], "stratum string, vertical string, target_permille int, min_docs int")
     plan = S.cell_plan(posts, targets)
-    assert plan.first()["unmet"] and S.draw(posts, plan).count() == 0
+    assert S.filled(posts, targets).first()["unmet"] and S.draw(posts, plan).count() == 0
     assert S.cell_plan(posts, targets.limit(0)).count() == 0
