@@ -27,10 +27,10 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"\w+")
 
 
-def votes(words: list[str]) -> list[float]:
-    """Function words of each language; a word of several languages counts in parts."""
+def votes(words: list[str] | Counter) -> list[float]:
+    """Function words of each language in words, or in counts of words; a word of several languages counts in parts."""
     got = [0.0] * len(LANGUAGES)
-    counts = Counter(words)
+    counts = words if isinstance(words, Counter) else Counter(words)
     for w in counts.keys() & _VOTES.keys():
         v = _VOTES[w]
         for i in v:

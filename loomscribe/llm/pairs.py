@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import product
 
@@ -64,8 +65,8 @@ def pair_votes(original: str | None, rewritten: str | None, logged: float | None
     text = rewritten or ""
     low = text.lower()
     wr, wo = low.translate(_SEPARATORS).split(), _words(original or "")
-    bag = set(wo)
-    shared1 = sum(map(bag.__contains__, wr)) / len(wr) if wr and wo else None
+    cr, co = Counter(wr), Counter(wo)
+    shared1 = sum(n for w, n in cr.items() if w in co) / len(wr) if wr and wo else None
     votes = {"empty": _vote(not full) + _vote(len(wr) <= 2) + _vote(None if logged is None else logged <= 2) + _vote(None if not wo else not wr or shared1 == 0)}
     if not full:
         return votes | {"refusal": "-----", "copy": "------", "language": "----", "truncated": "--"}
@@ -73,32 +74,24 @@ def pair_votes(original: str | None, rewritten: str | None, logged: float | None
     tri, other = set(zip(wr, wr[1:], wr[2:])), set(zip(wo, wo[1:], wo[2:]))
     shared3 = len(tri & other) / len(tri) if tri and other else None
     shared2 = overlap = kept = None
-    if shared1 is not None and shared1 < 0.5:  # far from a copy by its single words: no need to count more
+    if shared1 is not None and shared1 < 0.7:  # too far from a copy by its single words: no need to count more
         shared2 = overlap = kept = 0.0
     elif shared1 is not None:
         two = set(zip(wr, wr[1:]))
         shared2 = len(two & set(zip(wo, wo[1:]))) / len(two) if two else None
-        counts: dict[str, int] = {}
-        for w in wo:
-            counts[w] = counts.get(w, 0) + 1
-        spare, here = dict(counts), 0
-        for w in wr:
-            if spare.get(w, 0) > 0:
-                spare[w] -= 1
-                here += 1
-        overlap = here / len(wr)
-        long_ = [(w, n) for w, n in counts.items() if len(w) >= 7]
+        overlap = sum(min(n, co[w]) for w, n in cr.items() if w in co) / len(wr)
+        long_ = [(w, n) for w, n in co.items() if len(w) >= 7]
         total = sum(n for _, n in long_)
-        kept = sum(n - spare[w] for w, n in long_) / total if total else None
+        kept = sum(min(n, cr[w]) for w, n in long_ if w in cr) / total if total else None
     declines = is_refusal(text) if declines is None else declines
     votes["refusal"] = (_vote(declines) + _vote(None if ratio is None else ratio < 0.4) + _vote(None if shared3 is None else shared3 < 0.02)
                         + _vote(_any(_SOFT, low)) + _vote(_any(_TASK, low)))
     votes["copy"] = (_vote(None if shared3 is None else shared3 >= 0.7) + _vote(None if shared2 is None else shared2 >= 0.8) + _vote(None if shared1 is None else shared1 >= 0.93)
                      + _vote(None if overlap is None else overlap >= 0.9) + _vote(None if kept is None else kept >= 0.9) + _vote(None if ratio is None else 0.85 <= ratio <= 1.2))
-    tally = function_words(wr)
+    tally = function_words(cr)
     if declines:  # a refusal counts as one in any language: it answers nothing that could be in the wrong one
-        wo = []
-    lo, lr = best(function_words(wo)), best(tally)
+        co = Counter()
+    lo, lr = best(function_words(co)), best(tally)
     if lo is None:
         in_own = po = pr = None
     elif lr == lo and tally[LANGUAGES.index(lo)] >= 0.9 * sum(tally):  # clear: sentences need not be asked
@@ -135,7 +128,9 @@ def pair_votes_of(pairs: DataFrame, corpus: DataFrame | None = None) -> DataFram
     if corpus is None:
         corpus = pairs.select(F.explode(F.array("original", "rewritten")).alias("text")).where("text IS NOT NULL")
     looked = cut(pairs.mapInPandas(_look, "key long, same long, " + ASKED + "".join(f", v_{k} string" for k in DEFECTS)), "votes")
-    found = evidence(looked, corpus, strict_prefixes(pairs.select(F.col("rewritten").alias("text")).where("text IS NOT NULL"), corpus))
+    open_ = looked.where(F.col("how").isNotNull() & (F.col("how") != COMPLETE)).select("same").distinct()
+    asks = pairs.join(open_, "same", "left_semi").select(F.col("rewritten").alias("text")).where("text IS NOT NULL")
+    found = evidence(looked, corpus, strict_prefixes(asks, corpus))
     found = found.select("same", F.col("is_cut").alias("is_cut"), "shapes")
     looked = looked.join(found, "same", "left")
     ends = (F.when(F.col("how").isNull() | (F.col("how") == COMPLETE), "---").otherwise(F.concat(

@@ -204,9 +204,11 @@ def _counted(level: int, ctx: np.ndarray, goes_on: np.ndarray, ends: np.ndarray)
     return got.assign(level=np.int32(level), word="")[["level", "ctx", "word", "goes_on", "ends"]]
 
 
-def window_counts(texts: list[str], words: _Words) -> pd.DataFrame:
+def window_counts(texts: list[str], words: _Words, wanted: np.ndarray | None = None) -> pd.DataFrame:
     """(level, ctx, word, goes_on, ends) of all places in the texts, but for final words without an end mark.
 
+    wanted: the bit map of the contexts that are asked about; places of others are left out of the first five levels, but for ANYWHERE.
+
     AFTER_TWO, AFTER_ONE, ANYWHERE: a word after two words, one word or any; LINE: a beginning of up to LINE_WORDS words of
     a line, ends counts the texts where it is the whole line; HEAD: in how many texts two words, names and numbers masked,
     begin a line or sentence; SHAPE and GROUP: places of a shape.
@@ -217,8 +219,12 @@ def window_counts(texts: list[str], words: _Words) -> pd.DataFrame:
     two, one = x.contexts()
     out = []
     zero = np.zeros(x.n, dtype=np.uint64)
-    keep = (x.h != 0) & ~x.unsure
+    asked = lambda ctx: np.ones(len(ctx), dtype=bool) if wanted is None else wanted[ctx & np.uint64(BITS - 1)]
+    every = (x.h != 0) & ~x.unsure
     for level, ctx in ((AFTER_TWO, context_hash(two, one)), (AFTER_ONE, context_hash(zero, one)), (ANYWHERE, zero)):
+        keep = every if level == ANYWHERE else every & asked(ctx)
+        if not keep.any():
+            continue
         key = context_hash(ctx ^ np.uint64(level + 1), x.h)
         inverse, values = pd.factorize(key[keep])
         first = np.empty(len(values), dtype=np.int64)
@@ -229,7 +235,7 @@ def window_counts(texts: list[str], words: _Words) -> pd.DataFrame:
         out.append(pd.DataFrame({"level": np.int32(level), "ctx": ctx[at].view(np.int64), "word": [words.text[i] for i in x.c[at]], "goes_on": total - ends, "ends": ends}))
     place = x.at - x.first
     lines = line_hashes(x.h, place, x.first, x.kind)
-    few = (place > 0) & (place < LINE_WORDS) & ~np.isin(x.stops, x.final[x.unsure[x.final]])[x.line]
+    few = (place > 0) & (place < LINE_WORDS) & ~np.isin(x.stops, x.final[x.unsure[x.final]])[x.line] & asked(lines)
     whole = few & (x.at == x.stops[x.line])
     goes_on = few & ~whole
     out.append(_counted(LINE, lines[goes_on], np.ones(goes_on.sum()), np.zeros(goes_on.sum())))
@@ -241,7 +247,9 @@ def window_counts(texts: list[str], words: _Words) -> pd.DataFrame:
     real = inside[own] & (first < x.stops[own])
     first, own = first[real], own[real]
     masked = np.array(words.mask, dtype=np.uint64)[x.c]
-    heads = pd.DataFrame({"ctx": context_hash(x.h[first], masked[first + 1]).view(np.int64), "t": x.text_of[own]}).drop_duplicates()["ctx"].to_numpy()
+    begin = context_hash(x.h[first], masked[first + 1])
+    real = asked(begin)
+    heads = pd.DataFrame({"ctx": begin[real].view(np.int64), "t": x.text_of[own[real]]}).drop_duplicates()["ctx"].to_numpy()
     out.append(_counted(HEAD, heads, np.ones(len(heads)), np.zeros(len(heads))))
     sure = ~x.unsure
     over, shape = x.over[sure], x.shape[sure].astype(np.int64)
@@ -252,29 +260,35 @@ def window_counts(texts: list[str], words: _Words) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def _count_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words, held, size = _Words(), [], 0
-    by = ["level", "ctx", "word"]
-    for pdf in batches:
-        texts = [t for t in pdf["text"] if t]
-        for i in range(0, len(texts), CHUNK):
-            if len(words) > 500_000:
-                words = _Words()
-            held.append(window_counts(texts[i : i + CHUNK], words))
-            size += len(held[-1])
-            if size > HELD_ROWS:
-                one = pd.concat(held).groupby(by, as_index=False, sort=False).sum()
-                held, size = [one], len(one)
-                if size > HELD_ROWS / 2:
-                    yield one
-                    held, size = [], 0
-    if held:
-        yield pd.concat(held).groupby(by, as_index=False, sort=False).sum()
-
-
-def windows(texts: DataFrame) -> DataFrame:
+def _count_windows(wanted: np.ndarray | None):
+    packed = None if wanted is None else np.packbits(wanted)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = None if packed is None else np.unpackbits(packed).astype(bool)
+        words, held, size = _Words(), [], 0
+        by = ["level", "ctx", "word"]
+        for pdf in batches:
+            texts = [t for t in pdf["text"] if t]
+            for i in range(0, len(texts), CHUNK):
+                if len(words) > 500_000:
+                    words = _Words()
+                held.append(window_counts(texts[i : i + CHUNK], words, bits))
+                size += len(held[-1])
+                if size > HELD_ROWS:
+                    one = pd.concat(held).groupby(by, as_index=False, sort=False).sum()
+                    held, size = [one], len(one)
+                    if size > HELD_ROWS / 2:
+                        yield one
+                        held, size = [], 0
+        if held:
+            yield pd.concat(held).groupby(by, as_index=False, sort=False).sum()
+
+    return run
+
+
+def windows(texts: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
     """(level, ctx, word, goes_on, ends) of all texts(text); equal texts count once."""
-    raw = texts.select("text").where("text IS NOT NULL").distinct().mapInPandas(_count_windows, "level int, ctx long, word string, goes_on long, ends long")
+    raw = texts.select("text").where("text IS NOT NULL").distinct().mapInPandas(_count_windows(wanted), "level int, ctx long, word string, goes_on long, ends long")
     return raw.groupBy("level", "ctx", "word").agg(F.sum("goes_on").alias("goes_on"), F.sum("ends").alias("ends"))
 
 
@@ -373,16 +387,15 @@ def strict_prefixes(values: DataFrame, corpus: DataFrame) -> DataFrame:
     strict prefix stands right before texts that it begins; a prefix that many texts share makes no group of its own.
     """
     bare = lambda c: F.rtrim(c, F.lit(" \n\r\t"))
-    mine = values.select(F.xxhash64("text").alias("same"), bare("text").alias("text"), F.lit(True).alias("asks"))
-    every = mine.unionByName(corpus.select(F.xxhash64("text").alias("same"), bare("text").alias("text"), F.lit(False).alias("asks"))).where(F.length("text") >= SHORTEST)
-    every = every.withColumn("tid", F.xxhash64("text"))
-    n = F.floor(F.log(float(GROWTH), F.length("text") / float(SHORTEST)) + 1e-9).cast("int")
-    sizes = F.transform(F.sequence(F.lit(0), n), lambda i: F.lit(SHORTEST) * F.pow(F.lit(GROWTH), i).cast("int"))
-    keyed = every.select("tid", "asks", F.posexplode(F.transform(sizes, lambda k: F.xxhash64(k, F.substring(F.col("text"), F.lit(1), k)))).alias("i", "h"), n.alias("n"))
-    keyed = keyed.groupBy("h", "tid").agg(F.max(F.col("asks") & (F.col("i") == F.col("n"))).alias("asks"))
-    keyed = cut(keyed, "prefixes")
-    shared = keyed.groupBy("h").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi"), F.max("asks").alias("asks")).where("asks AND lo <> hi").select("h")
-    ids = keyed.join(shared, "h", "left_semi").select("tid").distinct()
+    steps = lambda c: F.floor(F.log(float(GROWTH), F.length(c) / float(SHORTEST)) + 1e-9).cast("int")
+    key = lambda c, i: F.xxhash64(i, F.substring(c, F.lit(1), F.lit(SHORTEST) * F.pow(F.lit(GROWTH), i).cast("int")))
+    mine = values.select(F.xxhash64("text").alias("same"), bare("text").alias("text")).where(F.length("text") >= SHORTEST).withColumn("tid", F.xxhash64("text"))
+    every = mine.select("text", "tid").unionByName(corpus.select(bare("text").alias("text")).where(F.length("text") >= SHORTEST).withColumn("tid", F.xxhash64("text")))
+    asked = cut(mine.select("same", "tid", key(F.col("text"), steps("text")).alias("h")).distinct(), "asked")
+    begins = every.select("tid", F.explode(F.transform(F.sequence(F.lit(0), steps("text")), lambda i: key(F.col("text"), i))).alias("h"))
+    begins = cut(begins.join(asked.select("h").distinct(), "h", "left_semi").distinct(), "begins")
+    shared = begins.groupBy("h").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo <> hi").select("h")
+    ids = begins.join(shared, "h", "left_semi").select("tid").distinct()
     held = cut(every.join(ids, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text")), "candidates")
     order = held.select(F.col("tid").alias("same"), "text").repartitionByRange("text").sortWithinPartitions("text")
     got = cut(order.mapInPandas(_successors, "part int, same long, text string, follows string, joint string"), "successors")
@@ -391,7 +404,24 @@ def strict_prefixes(values: DataFrame, corpus: DataFrame) -> DataFrame:
     across = after.where(F.startswith("next", "text") & (F.length("next") > F.length("text")))
     across = across.select("same", F.expr("substring(next, length(text) + 1, 40)").alias("follows"))
     found = got.where("follows IS NOT NULL").select("same", "follows").unionByName(across).withColumnRenamed("same", "tid")
-    return every.where("asks").select("tid", "same").join(found, "tid").select("same", "follows").distinct()
+    return asked.select("tid", "same").join(found, "tid").select("same", "follows").distinct()
+
+
+BITS = 1 << 22
+
+
+def bit_map(contexts: DataFrame) -> np.ndarray:
+    """Which of BITS hash values the column ctx of contexts has: a fixed 512 KB, however many contexts there are.
+
+    A place whose bit is not set is asked about by nobody and need not be counted; with very many contexts all bits are set
+    and everything is counted.
+    """
+    at = F.pmod(F.col("ctx"), F.lit(BITS))
+    rows = contexts.select(F.floor(at / 32768).alias("b"), (at % 32768).cast("int").alias("at")).groupBy("b").agg(F.bitmap_construct_agg("at").alias("m")).collect()
+    out = np.zeros(BITS, dtype=bool)
+    for r in rows:
+        out[r["b"] * 32768 : (r["b"] + 1) * 32768] = np.unpackbits(np.frombuffer(r["m"], dtype=np.uint8), bitorder="little")
+    return out
 
 
 def evidence(asked: DataFrame, corpus: DataFrame, longer: DataFrame) -> DataFrame:
@@ -409,7 +439,8 @@ def evidence(asked: DataFrame, corpus: DataFrame, longer: DataFrame) -> DataFram
         (AFTER_TWO, F.col("c2"), ph), (AFTER_ONE, F.col("c1"), ph), (ANYWHERE, F.when(F.col("p").isNotNull(), zero), ph), (LINE, F.col("c3"), zero), (HEAD, F.col("c4"), zero),
         (FORM, F.col("form"), zero))]))
     rows = open_.select("same", asks.alias("a")).select("same", "a.level", "a.ctx", "a.ph").where("ctx IS NOT NULL AND ph IS NOT NULL")
-    w = cut(windows(corpus), "windows")
+    rows = cut(rows, "asks")
+    w = cut(windows(corpus, bit_map(rows.where(F.col("level").isin(AFTER_TWO, AFTER_ONE, LINE, HEAD)))), "windows")
     contexts = rows.where(F.col("level").isin(AFTER_TWO, AFTER_ONE)).select("level", "ctx").distinct()
     words = w.where(F.col("level").isin(AFTER_TWO, AFTER_ONE)).join(contexts, ["level", "ctx"], "left_semi").unionByName(w.where(F.col("level") == ANYWHERE))
     prefix = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.xxhash64(F.substring(F.col("word"), F.lit(1), i))))
@@ -461,7 +492,8 @@ def truncated(texts: DataFrame, corpus: DataFrame, longer_in: DataFrame | None =
     """
     keyed = texts.where("key IS NOT NULL AND text IS NOT NULL").select("key", "text", F.xxhash64("text").alias("same"))
     judged = cut(keyed.mapInPandas(_ask(rules), "key long, same long, " + ASKED).where(f"how IS NOT NULL AND how <> '{COMPLETE}'"), "endings")
-    found = evidence(judged, corpus, strict_prefixes(keyed.select("text"), corpus if longer_in is None else corpus.unionByName(longer_in)))
+    asks = keyed.join(judged.select("same").distinct(), "same", "left_semi").select("text")
+    found = evidence(judged, corpus, strict_prefixes(asks, corpus if longer_in is None else corpus.unionByName(longer_in)))
     return judged.select("key", "same").distinct().join(found.where("is_cut"), "same").groupBy("key").agg(F.min("why").alias("why"))
 
 
