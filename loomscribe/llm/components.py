@@ -3,8 +3,8 @@
 Every level runs union-find on bounded blocks of edges, one block a task, and keeps of each block only
 its forest (node, root). Where forests of several blocks share a node, their roots are linked; those
 links are the smaller graph of the next level, which is cut into fewer blocks. The merge ends when one
-block holds the rest. No task ever sees more than `edges_per_task` edges and nothing reaches the driver
-but row counts.
+block holds the rest. Edges go to blocks by a hash of both ends, so the edges of a hub are spread over all blocks and
+none holds more than `edges_per_task`; nothing reaches the driver but row counts.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from loomscribe.runtime import cut
 
 EDGES_PER_TASK = 1_000_000
+#: Blocks are planned this full, so that the uneven fall of the hash leaves none over the bound.
+FILL = 0.8
 
 
 def local_forest(a: np.ndarray, b: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +64,13 @@ def _forest(level: int):
     return run
 
 
+def blocks_of(edges: DataFrame, n: int, edges_per_task: int) -> DataFrame:
+    """The n edges in blocks of at most edges_per_task; one block where all of them fit."""
+    if n <= edges_per_task:
+        return edges.coalesce(1)
+    return edges.repartition(math.ceil(n / (FILL * edges_per_task)), F.xxhash64("a", "b"))
+
+
 def connected_components(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
     """(node, component) for every node of the edges (a, b), both strings; component is its smallest node.
 
@@ -73,10 +82,8 @@ def connected_components(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK)
     maps: list[DataFrame] = []
     level = 0
     while n := e.count():
-        blocks = math.ceil(n / edges_per_task)
-        split = e.coalesce(1) if blocks == 1 else e.repartition(blocks, "a")
-        forest = cut(split.mapInPandas(_forest(level), "node string, root string"), "forest")
-        if blocks == 1:
+        forest = cut(blocks_of(e, n, edges_per_task).mapInPandas(_forest(level), "node string, root string"), "forest")
+        if n <= edges_per_task:
             maps.append(forest)
             break
         best = cut(forest.groupBy("node").agg(F.min_by("root", F.struct(F.xxhash64(F.lit(level), "root"), "root")).alias("root")), "best")

@@ -38,6 +38,24 @@ def test_components_hot_node(spark):
     assert {r["component"] for r in connected_components(df, edges_per_task=50).collect()} == {"hub"}
 
 
+def test_blocks_of_a_star_keep_the_bound(spark):
+    from loomscribe.llm.components import blocks_of
+
+    star = spark.range(20_000).selectExpr("'hub' AS a", "concat('leaf', id) AS b")
+    sizes = [len(x) for x in blocks_of(star, 20_000, 2000).rdd.glom().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) >= 10 and max(sizes) <= 2000
+    assert {r["component"] for r in connected_components(star, edges_per_task=2000).collect()} == {"hub"}
+
+
+def test_report_of_every_source(spark, monkeypatch):
+    own = spark.createDataFrame([(f"d{i}", f"o{i % 40}", "val") for i in range(400)], "doc_id string, owner string, split string")
+    records = own.selectExpr("doc_id", "'human' AS source", "owner", "split").unionByName(own.selectExpr("doc_id", "'aster' AS source", "owner", "split"))
+    monkeypatch.setattr(S, "p1_splits", lambda *_: records)
+    got = {(r["source"], r["split"]): r for r in S.p1_report(spark, "").collect()}
+    assert got[None, "val"]["n_records"] == 800 and got["aster", "val"]["n_records"] == 400 and got["human", "val"]["n_owners"] == got[None, "val"]["n_owners"] == 40
+    assert got["human", "val"]["gap"] == round(1 - 0.14, 6)
+
+
 def test_components_empty(spark):
     assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
 
