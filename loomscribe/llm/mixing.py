@@ -13,13 +13,10 @@ from loomscribe.functions.labels import canon_label
 from loomscribe.llm.tokens import with_tokens
 from loomscribe.runtime import cut, table
 
-#: Weight of a source over training time 0..1, as knots of a piecewise linear curve; others are constant.
-SCHEDULE: Mapping[str, Sequence[tuple[float, float]]] = {
-    "reader_comments": ((0.0, 1.5), (1.0, 0.5)),
-    "community_forum": ((0.0, 1.25), (1.0, 0.75)),
-    "case_studies": ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)),
-    "help_center": ((0.0, 0.75), (1.0, 1.25)),
-}
+#: A curriculum of piecewise linear weights: the source with the shortest texts falls from 1 + SLOPE to 1 - SLOPE over the
+#: training time, that with the longest rises as much, the others lie between; any other schedule may be given instead.
+SLOPE = 0.5
+Schedule = Mapping[str, Sequence[tuple[float, float]]]
 ROWS_PER_BUCKET = 100_000
 
 
@@ -47,7 +44,7 @@ def mix_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """One row for each target: tokens at hand, wanted, reachable with max_repeats, and whether the target is met.
 
     sizes(source, n_tokens): every row counts once; the mixture has as many tokens as all rows together.
-    A source without documents has no tokens; a null max_repeats is 1, a null target 0.
+    A source without documents has no tokens; a null max_repeats is 1, a null target 0. wanted is the target in whole tokens, rounded up.
     """
     have = sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     total = have.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
@@ -57,12 +54,26 @@ def mix_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     plan = plan.withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     want, most = F.col("permille") * F.col("total"), F.col("tokens") * F.col("max_repeats") * 1000
     plan = plan.withColumn("met", most >= want)
-    return plan.withColumn("wanted", F.floor(want / 1000)).withColumn("reachable", F.least(F.col("wanted"), F.col("tokens") * F.col("max_repeats")))
+    return plan.withColumn("wanted", F.floor((want + 999) / 1000)).withColumn("reachable", F.least(F.col("wanted"), F.col("tokens") * F.col("max_repeats")))
 
 
-def mix(sizes: DataFrame, targets: DataFrame, schedule: Mapping = SCHEDULE, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def length_schedule(sizes: DataFrame, targets: DataFrame, slope: float = SLOPE) -> dict[str, list[tuple[float, float]]]:
+    """Short texts first: the weights of each source of targets(source) over time, by the rank of the mean size of its texts.
+
+    Only the mean sizes of the target sources reach the driver, a row a target.
+    """
+    mean = sizes.where("n_tokens > 0").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").groupBy("source").agg(F.avg("n_tokens").alias("m"))
+    order = [r["source"] for r in sorted(mean.collect(), key=lambda r: (r["m"], r["source"]))]
+    lean = {s: slope * (2 * i / (len(order) - 1) - 1) if len(order) > 1 else 0.0 for i, s in enumerate(order)}
+    return {s: [(0.0, 1 - x), (1.0, 1 + x)] for s, x in lean.items()}
+
+
+def mix(sizes: DataFrame, targets: DataFrame, schedule: Schedule | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """(position, doc_id, source, copy, n_tokens), sorted by training position in 0..1.
 
+    schedule: weight of a source over training time 0..1, as knots of a piecewise linear curve; sources that it does not name
+    are constant. Without one, length_schedule makes it from the sizes.
+
     sizes(doc_id, source, n_tokens). The texts of a source stand in hash order, one copy after another, as
     long as the copy's first token lies before the tokens that the source gives. The text at cumulative token c
     gets the position at which the integral of the source's weight schedule demands that token. A source may
@@ -72,6 +83,8 @@ def mix(sizes: DataFrame, targets: DataFrame, schedule: Mapping = SCHEDULE, rows
     spark = sizes.sparkSession
     sizes = cut(sizes.select("doc_id", "source", "n_tokens"), "sizes")
     plan = cut(mix_plan(sizes, targets), "plan")
+    if schedule is None:
+        schedule = length_schedule(sizes, targets)
     n = max(1, math.ceil(sizes.count() / rows_per_bucket))
     h = F.xxhash64("doc_id", "n_tokens")
     rows = sizes.where("n_tokens > 0").withColumn("_h", h).withColumn("_b", F.floor(F.shiftrightunsigned(F.col("_h"), 33) * n / 2**31))
@@ -103,9 +116,18 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
     return with_tokens(docs)
 
 
+def mix_report(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Of each target: wanted and mixed tokens, copies, reached share; met where the finished mixture holds the target's share of all tokens."""
+    got = mix(sizes, targets).groupBy("source").agg(F.sum("n_tokens").alias("mixed"), (F.max("copy") + 1).alias("copies"))
+    plan = mix_plan(sizes, targets).drop("met").join(got, "source", "left").withColumn("mixed", F.coalesce("mixed", F.lit(0)))
+    share = F.col("mixed") / F.sum("mixed").over(W.partitionBy(F.lit(1)))  # a row a target
+    return plan.select("source", "permille", "tokens", "wanted", "reachable", (F.col("mixed") * 1000 >= F.col("permille") * F.col("total")).alias("met"), "mixed",
+                       F.coalesce("copies", F.lit(0)).alias("copies"), F.round(share, 6).alias("share"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources whose share of the finished mixture stays below the target; met compares whole tokens, without rounding."""
-    return p7_report(spark, d).where("mixed <= wanted AND NOT met").select("source")
+    """Sources of which the finished mixture holds less than their target."""
+    return p7_report(spark, d).where("NOT met").select("source")
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -114,9 +136,4 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     """Of each source: target and reached share of the mixture, copies used, and whether the target is met."""
-    sizes, targets = cut(_sizes(spark, d).select("doc_id", "source", "n_tokens"), "sizes"), table(spark, d, "mix_targets")
-    got = mix(sizes, targets).groupBy("source").agg(F.sum("n_tokens").alias("mixed"), (F.max("copy") + 1).alias("copies"))
-    plan = mix_plan(sizes, targets).join(got, "source", "left")
-    share = F.coalesce(F.col("mixed"), F.lit(0)) / F.sum("mixed").over(W.partitionBy(F.lit(1)))
-    return plan.select("source", "permille", "tokens", "wanted", "reachable", "met", F.coalesce("mixed", F.lit(0)).alias("mixed"),
-                       F.coalesce("copies", F.lit(0)).alias("copies"), F.round(share, 6).alias("share"))
+    return mix_report(cut(_sizes(spark, d).select("doc_id", "source", "n_tokens"), "sizes"), table(spark, d, "mix_targets"))

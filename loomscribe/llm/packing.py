@@ -16,11 +16,15 @@ from loomscribe.runtime import cut, table
 
 @dataclass(frozen=True)
 class Capacity:
-    """What one window holds: tokens, documents, and attention cost (half the squared lengths of its texts)."""
+    """What one window holds: tokens, documents, and attention cost (half the squared lengths of its texts).
+
+    A window of one text of 2,048 tokens would cost 2048 * 2049 / 2. The default grants half of that, the cost of a text of
+    1,448 tokens, so that a few windows do not take far longer than the others; a text that alone costs more has a window of its own.
+    """
 
     tokens: int = 2048
-    documents: int = 256
-    attention: float = 2048 * 2049 / 2
+    documents: int = 32
+    attention: float = 2048 * 2049 / 4
 
     def demand(self, n: np.ndarray) -> np.ndarray:
         return np.stack([n, np.ones_like(n), n * (n + 1) / 2], axis=1).astype(float)
@@ -106,9 +110,18 @@ def over_capacity(packed: DataFrame, capacity: Capacity = Capacity()) -> DataFra
 
 
 def fill_report(packed: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
-    """One row: windows, tokens, share of the windows' room that is used, fewest windows possible."""
-    w = packed.where("window IS NOT NULL").groupBy("window").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
-    r = w.agg(F.count("*").alias("n_windows"), F.sum("t").alias("n_tokens"), F.max("t").alias("most_tokens"), F.max("n").alias("most_documents"))
+    """One row: windows, tokens, share of the windows' room that is used, fewest windows possible, and how many each capacity closes.
+
+    A window is closed by the capacity of which it has used the largest share; in by_attention and by_documents that share
+    is at least 0.9, in by_own are the texts that alone exceed the attention capacity.
+    """
+    cost = F.col("n_tokens") * (F.col("n_tokens") + 1) / 2
+    w = packed.where("window IS NOT NULL").groupBy("window").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.sum(cost).alias("c"))
+    t, n, c = F.col("t") / capacity.tokens, F.col("n") / capacity.documents, F.col("c") / capacity.attention
+    own = (F.col("n") == 1) & (c > 1)
+    r = w.agg(F.count("*").alias("n_windows"), F.sum("t").alias("n_tokens"), F.max("t").alias("most_tokens"), F.max("n").alias("most_documents"),
+              F.round(F.max(F.when(~own, c)), 6).alias("most_attention"), F.count_if(own).alias("by_own"),
+              F.count_if(~own & (c > t) & (c > n) & (c >= 0.9)).alias("by_attention"), F.count_if((n > t) & (n > c) & (n >= 0.9)).alias("by_documents"))
     used = F.round(F.col("n_tokens") / (F.col("n_windows") * capacity.tokens), 6)
     return r.select("*", F.ceil(F.col("n_tokens") / capacity.tokens).alias("least_windows"), used.alias("filled"))
 

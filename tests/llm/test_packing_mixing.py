@@ -25,6 +25,20 @@ def test_best_fit_is_near_the_least():
     assert len(set(bins.tolist())) <= np.ceil(n.sum() / 2048) * 1.01 + 1
 
 
+def test_attention_and_documents_bind(spark):
+    rnd = np.random.default_rng(1)
+    long_, tiny = np.concatenate([rnd.integers(1100, 1400, 200), rnd.integers(600, 700, 200), rnd.integers(1800, 2048, 20)]), rnd.integers(2, 6, 20_000)
+    reports = []
+    for n in (long_, tiny):
+        tight, loose = P.best_fit(n), P.best_fit(n, P.Capacity(2048, 10**6, 1e18))
+        assert len(set(tight.tolist())) > len(set(loose.tolist()))  # the other two capacities change the packing
+        sizes = spark.createDataFrame([(i, i, int(x)) for i, x in enumerate(n)], "doc_id long, text_hash long, n_tokens long")
+        reports.append(P.fill_report(P.pack(sizes)).first())
+    a, b = reports
+    assert a["by_attention"] > 0 and a["by_own"] == 20 and a["most_attention"] <= 1
+    assert b["by_documents"] > 0 and b["most_documents"] == 32
+
+
 def test_pack_keeps_texts_whole(spark):
     rows = [(i, i, n, 7) for i, n in enumerate([0, 1, 2047, 2048, 2049, 4096, 4097, 500, 500, 30])] + [(3, 3, 2048, 7), (77, 77, None, 7)]
     got = P.pack(spark.createDataFrame(rows, "doc_id long, text_hash long, n_tokens long, window int"), shard_items=4).collect()
@@ -81,6 +95,24 @@ def test_mix_reaches_targets_and_follows_the_schedule(spark):
     assert Mx.mix(spark.createDataFrame([], "doc_id long, source string, n_tokens long"), targets).count() == 0
 
 
+def test_short_texts_come_first_without_a_schedule(spark):
+    rows = [(i, "short" if i % 2 else "long", 10 if i % 2 else 100) for i in range(2000)]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("long", 500, 1), ("short", 50, 1), ("none", 10, 1)], "source string, target_permille int, max_repeats int")
+    got = Mx.mix(sizes, targets).collect()
+    mean = {s: np.mean([r["position"] for r in got if r["source"] == s]) for s in ("short", "long")}
+    assert mean["short"] < 0.45 < 0.55 < mean["long"]
+    assert Mx.length_schedule(sizes, targets)["short"] == [(0.0, 1.5), (1.0, 0.5)]
+
+
+def test_met_is_read_from_the_mixture(spark):
+    sizes = spark.createDataFrame([(1, "a", 333), (2, "a", 334), (3, "b", 333), (4, "b", 1)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 667, 1), ("b", 333, 1), ("c", 1, 5), ("e", 0, 5)], "source string, target_permille int, max_repeats int")
+    got = {r["source"]: r for r in Mx.mix_report(sizes, targets).collect()}
+    assert {s: r["met"] for s, r in got.items()} == {"a": False, "b": True, "c": False, "e": True}  # 667 of 1001 tokens are under 667 permille
+    assert got["a"]["mixed"] == 667 and got["b"]["mixed"] == 334
+
+
 def test_demand_segments_cover_the_whole():
     for knots in (((0, 1), (1, 1)), ((0, 0), (0.3, 2), (1, 0)), ((0.2, 1), (0.7, 3))):
         seg = Mx.demand_segments(knots)
