@@ -3,8 +3,10 @@
 A text is as bad as its worst sentence. Each sentence is compared with labelled examples by exact TF-IDF
 cosine through an inverted index with block maxima: a sentence whose upper bound stays under the least
 similarity cannot have a bad neighbour and is left at once; for the others whole blocks of examples are
-skipped by their bound, and the rest is scored exactly. Distance-weighted votes of the nearest examples give
-the score, the nearest bad example the evidence.
+skipped by their bound, and the rest is scored exactly. The bound needs only the terms that labelled texts have; of the
+sentences that pass it, the lengths are made exact by a join of their other terms with the counts of all documents.
+Distance-weighted votes of the nearest examples give the score, the nearest bad example the evidence; an isotonic
+curve fitted on held-out labelled documents turns the score into a probability.
 """
 
 from __future__ import annotations
@@ -31,9 +33,10 @@ NEIGHBOURS = 9
 PRIOR_WEIGHT = 0.08
 CUTOFF = 0.5
 BLOCK = 64
-#: Terms in fewer than one of so many sentences keep the weight of the rarest, unless a labelled text has them.
-RARE = 20_000
+#: Longer sentences are read in parts of so many words, each of which overlaps half of the one before.
 SENTENCE_WORDS = 40
+#: Parts of the labelled documents of which each is scored by examples from the others.
+FOLDS = 5
 #: The evidence that a bad example needs is never set higher than this by a high share of bad labels.
 MOST_EVIDENCE = 0.8
 
@@ -120,26 +123,32 @@ def fill_mask(masked: str, words: dict[int, list[str]]) -> str:
     return masked
 
 
+def parts_of(n: int) -> list[tuple[int, int]]:
+    """Starts and ends of the parts of a sentence of n words."""
+    half = SENTENCE_WORDS // 2
+    return [(0, n)] if n <= SENTENCE_WORDS else [(i, min(n, i + SENTENCE_WORDS)) for i in range(0, n - half, half)]
+
+
 def sentences(text: str, tokens: Tokens) -> Iterator[tuple[list[int], str]]:
-    """(term codes, words) of each sentence or line, long ones in parts of SENTENCE_WORDS words."""
+    """(term codes, words) of each sentence or line, long ones in parts."""
     for line in fold(text).split("\n"):
-        codes: list[int] = []
         first = 0
         raw = line.split()
-        for i, w in enumerate(raw):
-            c, stop = tokens(w)
-            if c != -2:
-                codes.append(c)
-            if stop or i + 1 - first >= SENTENCE_WORDS or i + 1 == len(raw):
-                if codes:
-                    yield codes, " ".join(raw[first : i + 1])
-                codes, first = [], i + 1
-
-
-def _batch_codes(texts: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Term codes of all texts one after another, the sentence of each, and the text of each sentence."""
+        got = [tokens(w) for w in raw]
+        for i, (_, stop) in enumerate(got):
+            if stop or i + 1 == len(raw):
+                for a, b in parts_of(i + 1 - first):
+                    codes = [c for c, _ in got[first + a : first + b] if c != -2]
+                    if codes:
+                        yield codes, " ".join(raw[first + a : first + b])
+                first = i + 1
+
+
+def _batch_codes(texts: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all sentences or parts of the texts one after another: term codes, the sentence of each code, the text of each sentence, and the raw word of each code."""
     flat: list[int] = []
     ends: list[bool] = []
+    words: list[str] = []
     owner_of_line: list[int] = []
     sizes: list[int] = []
     for k, t in enumerate(texts):
@@ -147,6 +156,7 @@ def _batch_codes(texts: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarr
             raw = line.split()
             if raw:
                 got = [tokens(w) for w in raw]
+                words += raw
                 flat += [c for c, _ in got]
                 ends += [s for _, s in got]
                 ends[-1] = True
@@ -154,13 +164,18 @@ def _batch_codes(texts: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarr
                 sizes.append(len(raw))
     codes, end = np.array(flat, dtype=np.int64), np.array(ends, dtype=bool)
     if not len(codes):
-        return codes, codes, codes
+        return codes, codes, codes, codes
     owner = np.repeat(owner_of_line, sizes)
     sid = np.concatenate([[0], np.cumsum(end)[:-1]])
-    at = np.arange(len(sid)) - np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]])[sid]
-    part = np.r_[True, (sid[1:] != sid[:-1]) | (at[1:] % SENTENCE_WORDS == 0)]  # long sentences in parts
-    sid = np.cumsum(part) - 1
-    return codes, sid, owner[np.flatnonzero(part)]
+    at = np.arange(len(codes))
+    counts = np.bincount(sid)
+    if counts.max() > SENTENCE_WORDS:
+        firsts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        places = [(f + a, f + b) for f, n in zip(firsts.tolist(), counts.tolist()) for a, b in parts_of(n)]
+        at = np.concatenate([np.arange(a, b) for a, b in places])
+        sid = np.repeat(np.arange(len(places)), [b - a for a, b in places])
+    starts = np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]])
+    return codes[at], sid, owner[at[starts]], np.array(words, dtype=object)[at]
 
 
 def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,7 +183,7 @@ def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         texts = [t for t in pdf["text"] if t]
         for i in range(0, len(texts), 500):
-            codes, sid, owner = _batch_codes(texts[i : i + 500], tokens)
+            codes, sid, owner, _ = _batch_codes(texts[i : i + 500], tokens)
             ok = codes >= 0
             pair = np.unique(sid[ok] * np.int64(len(tokens.names) + 1) + codes[ok])
             df = np.bincount(pair % np.int64(len(tokens.names) + 1), minlength=len(tokens.names)) if len(pair) else np.zeros(0, int)
@@ -198,11 +213,11 @@ def document_labels(labels: DataFrame) -> DataFrame:
 class Index:
     """Examples as unit TF-IDF vectors: postings by term, and the largest weight of each term in each block."""
 
-    def __init__(self, weights: np.ndarray, default: float, rows: list[list[int]], bad: np.ndarray, kinds: list[str], texts: list[str]) -> None:
+    def __init__(self, weights: np.ndarray, rows: list[list[int]], bad: np.ndarray, kinds: list[str], texts: list[str]) -> None:
         order = np.argsort(~bad, kind="stable")  # bad examples first, so that blocks are nearly pure
         rows, self.bad = [rows[i] for i in order], bad[order]
         self.kinds, self.texts = [kinds[i] for i in order], [texts[i] for i in order]
-        self.weights, self.default = weights, default
+        self.weights = weights
         ids, terms, values = [], [], []
         for i, row in enumerate(rows):
             t, v = self.vector(row)
@@ -226,18 +241,20 @@ class Index:
         np.maximum.at(self.bad_max, terms[mine], self.values[mine])
         self.bad_blocks = -(-n_bad // BLOCK)
 
-    def vector(self, codes) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of the vocabulary and their weights in the unit vector of a sentence; each term counts once."""
+    def vector(self, codes, other: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of the vocabulary and their weights in the unit vector of a sentence; each term counts once.
+
+        other: the squared weights of the sentence's terms outside the vocabulary.
+        """
         codes = np.asarray(codes)
-        out = np.count_nonzero(codes == -1) * self.default**2
         t = np.unique(codes[codes >= 0])
         w = self.weights[t]
-        length = np.sqrt((w**2).sum() + out)
+        length = np.sqrt((w**2).sum() + other)
         return t, w / length if length else w
 
-    def neighbours(self, codes) -> tuple[np.ndarray, np.ndarray]:
+    def neighbours(self, codes, other: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Examples at least LEAST_SIMILARITY near, and their cosine, nearest first; empty where no bad one can be."""
-        t, q = self.vector(codes)
+        t, q = self.vector(codes, other)
         inside = self.local[t] >= 0
         t, q = t[inside], q[inside]
         none = np.zeros(0, np.int64), np.zeros(0)
@@ -270,7 +287,7 @@ def bad_share(docs: list[tuple[str, str]], stands_for: tuple[float, float]) -> f
     return bad / (bad + ok) if docs else 0.0
 
 
-def choose_examples(docs: list[tuple[str, str]], tokens: Tokens, weights: np.ndarray, default: float, stands_for: tuple[float, float] = (1.0, 1.0)) -> tuple[list, np.ndarray, list, list]:
+def choose_examples(docs: list[tuple[str, str]], tokens: Tokens, weights: np.ndarray, stands_for: tuple[float, float] = (1.0, 1.0)) -> tuple[list, np.ndarray, list, list]:
     """Examples from labelled documents (kind, text): term codes, whether bad, kind, sentence.
 
     stands_for: how many labelled documents each bad and each ok one of docs stands for, where docs are a sample.
@@ -295,8 +312,7 @@ def choose_examples(docs: list[tuple[str, str]], tokens: Tokens, weights: np.nda
     def evidence(codes: list[int]) -> float:
         t = [c for c in set(codes) if c >= 0]
         w = weights[t] if t else np.zeros(0)
-        other = len({i for i, c in enumerate(codes) if c == -1}) * default
-        return float((w @ share[t] + other * base) / (w.sum() + other)) if len(t) else 0.0
+        return float(w @ share[t] / w.sum()) if len(t) else 0.0
 
     def core(codes: list[int]) -> list[int]:
         """The part from the first to the last telling term, with two words around: a sentence may run into a harmless one."""
@@ -321,7 +337,7 @@ def choose_examples(docs: list[tuple[str, str]], tokens: Tokens, weights: np.nda
                 bad.append(True)
                 kinds.append(kind)
                 texts.append(s)
-    probe = Index(weights, default, rows, np.array(bad, dtype=bool), kinds, texts) if rows else None
+    probe = Index(weights, rows, np.array(bad, dtype=bool), kinds, texts) if rows else None
     for kind, got in parts:
         if kind != "ok" or probe is None:
             continue
@@ -336,82 +352,208 @@ def choose_examples(docs: list[tuple[str, str]], tokens: Tokens, weights: np.nda
     return rows, np.array(bad, dtype=bool), kinds, texts
 
 
-def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, score, kind, sentence, example, similarity) of docs(doc_id, text).
+class Judge:
+    """The index of the labelled documents (kind, text), with what is needed to score other texts by it.
 
-    score is 0..1; kind, sentence and example are the evidence: the worst sentence and its nearest bad example.
-    Null and empty texts score 0 without evidence, and so do all texts where nothing is labelled bad. Term counts are
-    made over all documents; examples come from at most MAX_LABELLED labelled documents of each kind, which are weighted
-    to the numbers of all labelled documents.
+    df: in how many sentences of all documents each term of the labelled texts stands; total: all sentences.
     """
-    counts = cut(term_counts(docs), "terms")
+
+    def __init__(self, docs: list[tuple[str, str]], df: dict[str, int], total: int, stands_for: tuple[float, float] = (1.0, 1.0)) -> None:
+        names = sorted(df)
+        self.index_of = {w: i for i, w in enumerate(names)}
+        self.weights = np.array([term_weight(total, df[w]) for w in names] or [1.0])
+        self.masks: dict[int, list[str]] = {}
+        per_bad = stands_for[1] / stands_for[0]
+        bad_words = Counter(w for k, t in docs if k != "ok" for w in {term(x) for x in fold(t).split()} if w and "*" not in w)
+        ok_words = Counter(w for k, t in docs if k == "ok" for w in {term(x) for x in fold(t).split()})
+        for w, n in sorted(bad_words.items(), key=lambda x: (-x[1] / (x[1] + per_bad * ok_words[x[0]]), -x[1], x[0])):
+            if n >= 2 and n > per_bad * ok_words[w] and w.isalpha() and len(w) > 3:
+                self.masks.setdefault(len(w), []).append(w)
+        rows, bad, kinds, texts = choose_examples(docs, self.tokens(), self.weights, stands_for)
+        self.index = Index(self.weights, rows, bad, kinds, texts) if len(rows) else None
+        self.prior = bad_share(docs, stands_for)
+
+    def tokens(self) -> Tokens:
+        return Tokens(self.index_of, self.masks)
+
+    def candidates(self, texts: list[str], tokens: Tokens) -> list[tuple[int, int, list[int], list[str]]]:
+        """(text, sentence, codes, other terms) of the sentences that may have a bad neighbour: the bound takes their other terms for nothing."""
+        out: list[tuple[int, int, list[int], list[str]]] = []
+        for lo in range(0, len(texts) if self.index else 0, 500):
+            codes, sid, owner, words = _batch_codes(texts[lo : lo + 500], tokens)
+            if not len(codes):
+                continue
+            known = codes >= 0
+            w = np.where(known, self.weights[np.maximum(codes, 0)], 0.0)
+            once = np.zeros(len(codes), dtype=bool)
+            once[np.unique(sid * np.int64(len(self.weights) + 2) + codes, return_index=True)[1]] = True
+            once &= known
+            starts = np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]])
+            length = np.sqrt(np.add.reduceat(w * w * once, starts))
+            bound = np.add.reduceat(w * np.where(known, self.index.bad_max[np.maximum(codes, 0)], 0.0) * once, starts)
+            ends = np.append(starts[1:], len(codes))
+            for s in np.flatnonzero((bound >= LEAST_SIMILARITY * length) & (length > 0)):
+                mine = codes[starts[s] : ends[s]]
+                other = {fill_mask(x, self.masks) if "*" in x else x for x in map(term, words[starts[s] : ends[s]][mine == -1])} if (mine == -1).any() else ()
+                if len(self.index.neighbours(mine)[0]):
+                    out.append((lo + int(owner[s]), int(s - np.searchsorted(owner, owner[s])), np.unique(mine[mine >= 0]).tolist(), sorted(other)))
+        return out
+
+    def score(self, codes: list[int], other: float) -> tuple[float, str, str, float] | None:
+        """(score, kind, example, similarity) of a sentence, or None where no bad example is near."""
+        near, sim = self.index.neighbours(np.asarray(codes, dtype=np.int64), other)
+        bads = np.flatnonzero(self.index.bad[near]) if len(near) else []
+        if not len(bads):
+            return None
+        best = near[bads[0]]
+        return self.index.vote(near, sim, self.prior), self.index.kinds[best], self.index.texts[best], float(sim[bads[0]])
+
+
+def term_weight(total: float, df: float) -> float:
+    return float(np.log((1 + total) / (1 + df)) + 0.05)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, str]], tuple[float, float], list]:
+    """At most MAX_LABELLED labelled documents (kind, text) of each kind, how many each stands for, and their ids."""
     chosen = document_labels(labels)
     same = W.partitionBy(F.col("kind") == "ok")
     rank = F.row_number().over(same.orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = chosen.withColumn("_n", F.count("*").over(same)).withColumn("_r", rank).where(F.col("_r") <= MAX_LABELLED).drop("_r")
     sample = docs.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("kind", "text", "doc_id", "_n")  # at most 2 MAX_LABELLED rows
-    sample = sorted(tuple(r) for r in sample.dropDuplicates(["doc_id"]).collect())
-    all_bad, all_ok = (max((n for k, _, _, n in sample if (k == "ok") == ok), default=1) for ok in (False, True))
-    stands_for = max(1.0, all_bad / MAX_LABELLED), max(1.0, all_ok / MAX_LABELLED)
-    sample = [(k, t) for k, t, _, _ in sample]
+    rows = sorted(tuple(r) for r in sample.dropDuplicates(["doc_id"]).collect())
+    all_bad, all_ok = (max((n for k, _, _, n in rows if (k == "ok") == ok), default=1) for ok in (False, True))
+    return [(k, t) for k, t, _, _ in rows], (max(1.0, all_bad / MAX_LABELLED), max(1.0, all_ok / MAX_LABELLED)), [i for _, _, i, _ in rows]
+
+
+def labelled_counts(counts: DataFrame, sample: list[tuple[str, str]]) -> tuple[dict[str, int], int]:
+    """The counts of the terms of the labelled sample, and the number of all sentences; no other terms reach the driver."""
     own = Tokens()
     for _, t in sample:
         for _ in sentences(t, own):
             pass
-    spark = docs.sparkSession
     total = counts.where("term = ''").agg(F.sum("df")).first()[0] or 0
-    mine = spark.createDataFrame([(w,) for w in own.names], "term string")
-    frequent = counts.where(F.col("df") * RARE >= total)  # at most RARE * SENTENCE_WORDS terms
-    kept = frequent.unionByName(counts.join(F.broadcast(mine), "term", "left_semi")).where("term <> ''").distinct()
-    table_ = sorted((r["term"], r["df"]) for r in kept.collect())
-    default = float(np.log1p(total))
-    weights = np.array([np.log((1 + total) / (1 + n)) + 0.05 for _, n in table_] or [1.0])
-    index_of = {w: i for i, (w, _) in enumerate(table_)}
-    masks: dict[int, list[str]] = {}
-    per_bad = stands_for[1] / stands_for[0]
-    bad_words = Counter(w for k, t in sample if k != "ok" for w in {term(x) for x in fold(t).split()} if w and "*" not in w)
-    ok_words = Counter(w for k, t in sample if k == "ok" for w in {term(x) for x in fold(t).split()})
-    for w, n in sorted(bad_words.items(), key=lambda x: (-x[1] / (x[1] + per_bad * ok_words[x[0]]), -x[1], x[0])):
-        if n >= 2 and n > per_bad * ok_words[w] and w.isalpha() and len(w) > 3:
-            masks.setdefault(len(w), []).append(w)
-    rows, bad, kinds, texts = choose_examples(sample, Tokens(index_of, masks), weights, default, stands_for)
-    index = Index(weights, default, rows, bad, kinds, texts) if len(rows) else None
-    prior = bad_share(sample, stands_for)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = Tokens(index_of, masks)
+    mine = counts.sparkSession.createDataFrame([(w,) for w in own.names], "term string")
+    return {r["term"]: r["df"] for r in counts.join(F.broadcast(mine), "term", "left_semi").where("term <> ''").collect()}, total  # the bounded sample's terms
+
+
+def isotonic(raw: np.ndarray, bad: np.ndarray) -> list[tuple[float, float]]:
+    """Knots (score, probability) of the rising curve nearest to the observed shares, by pooling neighbours that fall."""
+    order = np.argsort(raw, kind="stable")
+    pools: list[list[float]] = []  # sum of scores, sum of bad, n
+    for x, y in zip(raw[order], bad[order]):
+        pools.append([float(x), float(y), 1.0])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+    return [(a / n, b / n) for a, b, n in pools]
+
+
+def held_out(spark: SparkSession, sample: list[tuple[str, str]], df: dict[str, int], total: int, stands_for: tuple[float, float], folds: int = FOLDS) -> pd.DataFrame:
+    """(bad, score) of every labelled document, scored by examples from the other folds only, one fold a task.
+
+    Terms outside the other folds' texts count with the weight of a term never seen.
+    """
+    rows = spark.createDataFrame(sample, "kind string, text string").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = int(pdf["fold"].iat[0])
+        all_ = list(zip(pdf["kind"], pdf["text"]))
+        train, test = [x for x in all_ if hash_fold(x[1], folds) != f], [x for x in all_ if hash_fold(x[1], folds) == f]
+        names = Tokens()
+        for _, t in train:
+            for _ in sentences(t, names):
+                pass
+        judge = Judge(train, {w: df[w] for w in names.names if w in df}, total, stands_for)
+        got = np.zeros(len(test))
+        for k, _, codes, other in judge.candidates([t for _, t in test], judge.tokens()):
+            hit = judge.score(codes, sum(term_weight(total, df.get(w, 0)) ** 2 for w in other))
+            got[k] = max(got[k], hit[0]) if hit else got[k]
+        return pd.DataFrame({"bad": [k != "ok" for k, _ in test], "score": got})
+
+    if not sample:
+        return pd.DataFrame({"bad": np.zeros(0, bool), "score": np.zeros(0)})
+    return rows.repartition(folds, "fold").groupBy("fold").applyInPandas(run, "bad boolean, score double").toPandas()
+
+
+def hash_fold(text: str, folds: int) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text) % folds
+
+
+def scores(docs: DataFrame, labels: DataFrame, calibrate: bool = False) -> DataFrame:
+    """(doc_id, score, kind, sentence, example, similarity) of docs(doc_id, text); with calibrate also probability.
+
+    score is 0..1; kind, sentence and example are the evidence: the worst sentence and its nearest bad example.
+    Null and empty texts score 0 without evidence, and so do all texts where nothing is labelled bad. Term counts are
+    made over all documents, and every term of a sentence counts with its own; examples come from at most MAX_LABELLED
+    labelled documents of each kind, which are weighted to the numbers of all labelled documents. Rows with one doc_id have
+    the highest score of them.
+    """
+    spark = docs.sparkSession
+    counts = cut(term_counts(docs), "terms")
+    sample, stands_for, _ = labelled_sample(docs, labels)
+    df, total = labelled_counts(counts, sample)
+    judge = Judge(sample, df, total, stands_for)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens = judge.tokens()
         for pdf in batches:
-            texts_ = [t or "" for t in pdf["text"]]
-            out = [(i, 0.0, None, None, None, None) for i in pdf["doc_id"]]
-            for lo in range(0, len(texts_) if index else 0, 500):
-                codes, sid, owner = _batch_codes(texts_[lo : lo + 500], tokens)
-                if not len(codes):
-                    continue
-                w = np.where(codes >= 0, weights[np.maximum(codes, 0)], np.where(codes == -1, default, 0.0))
-                key = sid * np.int64(len(weights) + 2) + codes
-                once = np.zeros(len(codes), dtype=bool)
-                once[np.unique(key, return_index=True)[1]] = True
-                once |= codes == -1
-                starts = np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]])
-                length = np.sqrt(np.add.reduceat(w * w * once, starts))
-                bound = np.add.reduceat(w * np.where(codes >= 0, index.bad_max[np.maximum(codes, 0)], 0.0) * once, starts)
-                ends = np.append(starts[1:], len(codes))
-                for s in np.flatnonzero(bound >= LEAST_SIMILARITY * length):
-                    if not length[s]:
-                        continue
-                    near, sim = index.neighbours(codes[starts[s] : ends[s]])
-                    bads = np.flatnonzero(index.bad[near]) if len(near) else []
-                    if len(bads):
-                        k = lo + owner[s]
-                        score = index.vote(near, sim, prior)
-                        if score > out[k][1]:
-                            best = near[bads[0]]
-                            out[k] = (out[k][0], score, index.kinds[best], int(s - np.searchsorted(owner, owner[s])), index.texts[best], float(sim[bads[0]]))
-            yield pd.DataFrame(out, columns=["doc_id", "score", "kind", "sentence", "example", "similarity"])
+            ids, hashes = pdf["doc_id"].tolist(), pdf["text_hash"].tolist()
+            got = [(ids[k], hashes[k], s, codes, other) for k, s, codes, other in judge.candidates([t or "" for t in pdf["text"]], tokens)]
+            yield pd.DataFrame(got, columns=["doc_id", "text_hash", "sentence", "codes", "other"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double, kind string, sentence int, example string, similarity double")
-    return got.withColumn("score", F.round("score", 6)).withColumn("similarity", F.round("similarity", 6))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    found = cut(rows.mapInPandas(find, f"doc_id {kind}, text_hash long, sentence int, codes array<int>, other array<string>"), "candidates")
+    by = ["doc_id", "text_hash", "sentence"]
+    weight = F.log((1.0 + F.lit(float(total))) / (1.0 + F.coalesce(F.col("df"), F.lit(0)))) + 0.05
+    terms = found.select(*by, F.explode("other").alias("term")).distinct()
+    lengths = terms.join(counts, "term", "left").groupBy(*by).agg(F.sum(weight * weight).alias("rest"))
+    exact = found.join(lengths, by, "left").select(*by, "codes", F.coalesce("rest", F.lit(0.0)).alias("rest"))
+
+    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, s, codes, rest in zip(pdf["doc_id"], pdf["sentence"], pdf["codes"], pdf["rest"]):
+                hit = judge.score(codes, rest)
+                if hit:
+                    out.append((i, s, *hit))
+            yield pd.DataFrame(out, columns=["doc_id", "sentence", "score", "kind", "example", "similarity"])
+
+    rated = exact.mapInPandas(rate, f"doc_id {kind}, sentence int, score double, kind string, example string, similarity double")
+    worst = rated.groupBy("doc_id").agg(F.max_by(F.struct("score", "kind", "sentence", "example", "similarity"), F.struct("score", -F.col("sentence"), "similarity", "example")).alias("w"))
+    got = docs.select("doc_id").join(worst, "doc_id", "left").select(
+        "doc_id", F.round(F.coalesce("w.score", F.lit(0.0)), 6).alias("score"), "w.kind", "w.sentence", "w.example", F.round("w.similarity", 6).alias("similarity"))
+    if not calibrate:
+        return got
+    seen = held_out(spark, sample, df, total, stands_for)
+    knots = isotonic(seen["score"].to_numpy(), seen["bad"].to_numpy(dtype=float)) or [(0.0, 0.0)]
+    x, y = [k[0] for k in knots], [k[1] for k in knots]
+    p = F.lit(y[0])
+    for a, b, u, v in zip(x, x[1:], y, y[1:]):
+        p = F.when(F.col("score") >= b, v).when(F.col("score") > a, u + (F.col("score") - a) / (b - a) * (v - u)).otherwise(p) if b > a else p
+    return got.withColumn("probability", F.round(p, 6))
+
+
+def reliability(docs: DataFrame, labels: DataFrame, bins: int = 5) -> DataFrame:
+    """(low, high, n, mean_score, bad_share, recall, precision): held-out labelled documents by bins of their score.
+
+    Every document is scored by examples from other folds. recall and precision are those of CUTOFF over all bins, against the
+    verdicts as they are, raters' errors included.
+    """
+    counts = cut(term_counts(docs), "terms")
+    sample, stands_for, _ = labelled_sample(docs, labels)
+    df, total = labelled_counts(counts, sample)
+    seen = held_out(docs.sparkSession, sample, df, total, stands_for)
+    hit, bad = (seen["score"] >= CUTOFF).to_numpy(), seen["bad"].to_numpy(dtype=bool)
+    recall, precision = (float((hit & bad).sum() / n) if n else None for n in (bad.sum(), hit.sum()))
+    rows = []
+    for k in range(bins):
+        mine = seen[(seen["score"] >= k / bins) & ((seen["score"] < (k + 1) / bins) | (k + 1 == bins))]
+        if len(mine):
+            rows.append((k / bins, (k + 1) / bins, len(mine), round(float(mine["score"].mean()), 6), round(float(mine["bad"].mean()), 6), recall, precision))
+    return docs.sparkSession.createDataFrame(rows, "low double, high double, n long, mean_score double, bad_share double, recall double, precision double")
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
@@ -423,7 +565,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _scores(spark, d)
+    """Every document with score, evidence, and the probability by the calibration curve."""
+    return scores(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "review_labels"), calibrate=True)
+
+
+def p8_reliability(spark: SparkSession, d: str) -> DataFrame:
+    return reliability(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "review_labels"))
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:

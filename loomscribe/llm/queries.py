@@ -29,6 +29,7 @@ QUERIES = {
     "p7_report": mixing.p7_report,
     "p8_found": abuse.p8_found,
     "p8_scores": abuse.p8_scores,
+    "p8_reliability": abuse.p8_reliability,
     "p8_report": abuse.p8_report,
 }
 
@@ -44,7 +45,20 @@ _COMPANY = (
     + r"))+$', ''), ' ', ''), '')"
 )
 
+_SPANS = r"""
+WITH t AS (SELECT call_id, text FROM mirrors UNION ALL SELECT call_id, rewritten_text FROM rewrites),
+w AS (SELECT DISTINCT call_id, md5(text) AS tid, list_filter(string_split_regex(text, '[\s\p{Z}\x1c-\x1f\x0b\x85]+'), lambda x: x <> '') AS w FROM t WHERE text IS NOT NULL),
+g AS (SELECT call_id, tid, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT call_id, tid, w, unnest(generate_series(1, len(w) - 49)) AS i FROM w WHERE len(w) >= 50)),
+s AS (SELECT h FROM g GROUP BY 1 HAVING min(call_id) <> max(call_id)),
+k AS (SELECT call_id, tid, i, i - lag(i) OVER (PARTITION BY call_id, tid ORDER BY i) AS gap FROM g WHERE h IN (SELECT h FROM s)),
+f AS (SELECT call_id, tid, i, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY call_id, tid ORDER BY i) AS span FROM k),
+m AS (SELECT call_id, tid, min(i) AS a, max(i) + 49 AS b FROM f GROUP BY call_id, tid, span)"""
+
 ORACLE = {
+    "p4_spans": _SPANS + " SELECT DISTINCT call_id, a - 1 AS start_word, b - a + 1 AS n_words, array_to_string(w[a:b], ' ') AS span FROM m JOIN w USING (call_id, tid)",
+    "p4_report": _SPANS + """, n AS (SELECT call_id, tid, sum(b - a + 1) AS shared, count(*) AS spans FROM m GROUP BY 1, 2)
+SELECT call_id, sum(len(w)) AS n_words, coalesce(sum(shared), 0) AS shared_words, coalesce(sum(spans), 0) AS n_spans, round(coalesce(coalesce(sum(shared), 0)::DOUBLE / nullif(sum(len(w)), 0), 0), 6) AS share
+FROM w LEFT JOIN n USING (call_id, tid) GROUP BY 1""",
     "p1_found": f"""
 WITH RECURSIVE c AS (SELECT DISTINCT {_SITE} AS site, {_COMPANY} AS k FROM site_frame),
 r(a, b) AS (SELECT DISTINCT site, site FROM c WHERE site IS NOT NULL UNION SELECT r.a, y.site FROM r JOIN c x ON x.site = r.b JOIN c y ON y.k = x.k WHERE y.site IS NOT NULL),

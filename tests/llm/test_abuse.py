@@ -64,18 +64,19 @@ def test_index_equals_brute_force():
     weights = r.uniform(0.1, 5, 120)
     rows = [r.integers(-1, 120, r.integers(2, 15)).tolist() for _ in range(700)]
     bad = r.random(700) < 0.3
-    index = A.Index(weights, 6.0, rows, bad, ["abusive" if b else "ok" for b in bad], [str(i) for i in range(700)])
+    index = A.Index(weights, rows, bad, ["abusive" if b else "ok" for b in bad], [str(i) for i in range(700)])
     full = np.zeros((700, 120))
     for i, name in enumerate(index.texts):
         t, w = index.vector(rows[int(name)])
         full[i, t] = w
     for _ in range(200):
         q = r.integers(-1, 120, r.integers(1, 15)).tolist()
-        t, w = index.vector(q)
+        other = 36.0 * q.count(-1)
+        t, w = index.vector(q, other)
         sim = full[:, t] @ w
         near = np.flatnonzero(sim >= A.LEAST_SIMILARITY)
         near = near[np.lexsort((near, -sim[near]))][: A.NEIGHBOURS]
-        got, s = index.neighbours(q)
+        got, s = index.neighbours(q, other)
         if len(got):
             assert np.allclose(s, sim[got]) and np.allclose(s, sim[near])
         else:
@@ -92,9 +93,9 @@ def test_whole_and_batched_splitting_agree():
     tokens = A.Tokens()
     texts = ["One two. Three four!\nfive six", "", "aa bb " * 100, "x"]
     want = [codes for t in texts for codes, _ in A.sentences(t, tokens)]
-    codes, sid, owner = A._batch_codes(texts, tokens)
+    codes, sid, owner, words = A._batch_codes(texts, tokens)
     got = [[int(c) for c in codes[sid == s] if c != -2] for s in range(sid.max() + 1)]
-    assert got == want and owner.tolist() == [0, 0, 0, *[2] * 5, 3]
+    assert got == want and owner.tolist() == [0, 0, 0, *[2] * 9, 3] and len(words) == len(codes)  # 200 words in parts of 40, each half in the one before
 
 
 def test_more_labels_than_examples(spark, monkeypatch):
@@ -116,5 +117,52 @@ def test_examples_are_weighted_to_all_labels():
     index_of = {w: i for i, w in enumerate(own.names)}
     assert A.bad_share(half, (1.0, 9.0)) == 0.1 and A.bad_share(half, (1.0, 1.0)) == 0.5 and A.bad_share([], (1.0, 1.0)) == 0
     for stands_for in ((1.0, 1.0), (1.0, 9.0), (2.0, 1.0)):
-        _, bad, _, texts = A.choose_examples(half, A.Tokens(index_of), np.ones(len(index_of)), 8.0, stands_for)
+        _, bad, _, texts = A.choose_examples(half, A.Tokens(index_of), np.ones(len(index_of)), stands_for)
         assert bad.any() and all(("you" in t or "stupid" in t) for t, b in zip(texts, bad) if b), stands_for
+
+
+def test_abuse_across_the_parts_of_a_long_sentence():
+    assert A.parts_of(40) == [(0, 40)] and A.parts_of(41)[-1] == (20, 41)
+    for n in (41, 60, 61, 99, 200):
+        parts = A.parts_of(n)
+        assert parts[0][0] == 0 and parts[-1][1] == n and all(b - a <= 40 for a, b in parts)
+        assert all(any(a <= i and i + 20 <= b for a, b in parts) for i in range(n - 20))  # any twenty words stand whole in one part
+
+
+def test_cosine_is_exact_over_all_terms(spark):
+    import math
+    from collections import Counter
+
+    docs, labels, _ = corpus(300)
+    r = random.Random(5)
+    docs = [(i, t + f" Rare{r.randrange(40)} words{r.randrange(90)}x here too.", c) for i, t, c in docs] + [(700, "You pathetic morons, nobody wants your qqzzy webinar wrrx.", "")]
+    d, v = frames(spark, docs, labels[:60])
+    got = {x["doc_id"]: x for x in A.scores(d, v).collect()}[700]
+    tokens = A.Tokens()
+    df, total = Counter(), 0
+    for _, t, _ in docs:
+        for codes, _ in A.sentences(t, tokens):
+            df.update(set(codes))
+            total += 1
+    w = lambda c: math.log((1 + total) / (1 + df[c])) + 0.05
+    vec = lambda text: {c: w(c) for codes, _ in A.sentences(text, tokens) for c in codes}
+    a, b = vec(docs[-1][1]), vec(got["example"])
+    size = lambda x: math.sqrt(sum(y * y for y in x.values()))
+    whole = sum(a[c] * b[c] for c in a.keys() & b.keys()) / size(a) / size(b)
+    assert got["similarity"] >= whole - 1e-6  # an example may be the telling part of its sentence
+    assert abs(got["similarity"] - whole) < 0.25 and 0 < got["similarity"] < 1
+
+
+def test_isotonic_and_reliability(spark):
+    knots = A.isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.9]), np.array([0, 1, 0, 1, 1]))
+    assert [y for _, y in knots] == sorted(y for _, y in knots) and knots[0][1] == 0 and knots[-1][1] == 1
+    assert A.isotonic(np.zeros(0), np.zeros(0)) == []
+    docs, labels, truth = corpus(600, seed=4)
+    labels = [(i, "r1", "abusive" if i in truth else "ok", i) for i in range(600)]
+    d, v = frames(spark, docs, labels)
+    rows = A.reliability(d, v).collect()
+    assert sum(r["n"] for r in rows) == 600 and rows[0]["recall"] >= 0.9 and rows[0]["precision"] >= 0.9
+    assert rows[0]["bad_share"] < 0.05 and rows[-1]["bad_share"] > 0.9
+    got = A.scores(d, v, calibrate=True).collect()
+    assert all(0 <= r["probability"] <= 1 for r in got) and max(r["probability"] for r in got if r["doc_id"] in truth) > 0.9
+    assert A.reliability(d, v.limit(0)).count() == 0
