@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_WORK: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def session(app: str = "loomscribe", master: str | None = None, **conf) -> SparkSession:
@@ -41,10 +43,16 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def workdir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir); a temporary one only on a local master, where that is unset.
+
+    On a cluster a machine's own folder would hold only the parts its executors wrote, so there it is an error.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(?:\[.*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_WORK:
         _LOCAL_WORK[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -56,8 +64,23 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
     This cuts lineage so that a lost executor costs no recomputation of the steps before, and gives
     the reader real sizes, so that Spark broadcasts the table only when it is under its threshold.
+    The table stays until `release`.
     """
     spark = df.sparkSession
     path = f"{workdir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that `cut` wrote so far in this application, and returns how many.
+
+    To be called when results are written or collected: a query that still reads one of the tables fails after it.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
