@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from loomscribe.runtime import cut
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK, ROW_BLOCK = 4096, 16384
 LINK_BLOCK = 8192
 
 
@@ -23,40 +23,48 @@ def unit_vector(c: Column) -> Column:
     return F.element_at(F.transform(F.array(length), scaled), 1)  # bound once: inside the inner lambda it would be summed for every element
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def _nearest_in(q: pd.DataFrame, x: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest rows x of each query q, other than itself and, where both have a group, than its own group."""
+    out = [pd.DataFrame({"query": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "distance": np.zeros(0)})]
+    if not len(q) or not len(x):
+        return out[0]
+    names, own = q["id"].to_numpy(), x["id"].to_numpy()
+    v, m = np.stack(q["vec"].to_numpy()).astype(np.float64), np.stack(x["vec"].to_numpy()).astype(np.float64)
+    groups = (q["apart"].to_numpy(), x["apart"].to_numpy()) if "apart" in q else None
+    square = (m**2).sum(axis=1)
+    for a in range(0, len(names), 256):
+        part = v[a : a + 256]
+        d = square[None, :] - 2 * part @ m.T  # the order of the distances, up to rounding
+        d[names[a : a + 256][:, None] == own[None, :]] = np.inf
+        if groups:
+            d[groups[0][a : a + 256][:, None] == groups[1][None, :]] = np.inf
+        slack = 1e-9 * (1 + square.max(initial=0.0))
+        worst = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(part), np.inf)
+        for i in range(len(part)):
+            near = np.flatnonzero((d[i] <= worst[i] + slack) & np.isfinite(d[i]))
+            exact = np.sqrt(((m[near] - part[i]) ** 2).sum(axis=1))
+            first = np.lexsort((own[near], exact))[:k]
+            out.append(pd.DataFrame({"query": names[a + i], "id": own[near][first], "distance": exact[first]}))
+    return pd.concat(out)
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK, apart: str | None = None) -> DataFrame:
     """(query, id, distance): the k nearest rows (id, vec) of each query (id, vec), by Euclidean distance, without itself.
 
-    Exact search in blocks: at most `block` query vectors at a time go to the tasks, each task keeps the k best of
-    its rows, and the final choice sees k rows a task and query. Equal distances go to the smaller id.
+    apart: a column of both tables; rows that share a query's value of it are not asked. Exact search: queries stand in
+    blocks and rows in shards by hash of the id; each block meets each shard in one task, which keeps k rows a query; the
+    final choice sees k rows a shard and query. Nothing but the two numbers of rows reaches the driver. Equal distances go
+    to the smaller id; null ids and vectors take no part.
     """
-    ids = [r[0] for r in queries.select("id").orderBy("id").collect()]
-    parts = []
-    for lo in range(0, len(ids), block):
-        chosen = [(r["id"], r["vec"]) for r in queries.where(F.col("id").between(ids[lo], ids[min(lo + block, len(ids)) - 1])).orderBy("id").collect()]
-        names, matrix = np.array([c[0] for c in chosen]), np.array([c[1] for c in chosen], dtype=np.float64)
-
-        def run(batches: Iterator[pd.DataFrame], names=names, matrix=matrix) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                own, x = pdf["id"].to_numpy(), np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-                for a in range(0, len(names), 256):
-                    q = matrix[a : a + 256]
-                    d = np.sqrt(np.maximum(((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0)) if len(x) < 4096 else np.stack([np.sqrt(((x - v) ** 2).sum(axis=1)) for v in q])
-                    d[names[a : a + 256][:, None] == own[None, :]] = np.inf
-                    order = np.lexsort((np.broadcast_to(own, d.shape), d), axis=1)[:, :k]
-                    got = np.take_along_axis(d, order, axis=1)
-                    out = pd.DataFrame({"query": np.repeat(names[a : a + 256], order.shape[1]), "id": own[order].ravel(), "distance": got.ravel()})
-                    yield out[np.isfinite(out["distance"])]
-
-        parts.append(rows.select("id", "vec").mapInPandas(run, "query long, id long, distance double"))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], "query long, id long, distance double")
-    best = parts[0]
-    for p in parts[1:]:
-        best = best.unionAll(p)
+    extra = [F.col(apart).alias("apart")] if apart else []
+    queries, rows = (x.where("id IS NOT NULL AND vec IS NOT NULL").select("id", "vec", *extra) for x in (queries, rows))
+    blocks, shards = max(1, -(-queries.count() // block)), max(1, -(-rows.count() // row_block))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    q = queries.withColumn("_b", part(blocks)).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    x = rows.withColumn("_s", part(shards)).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = q.groupBy("_b", "_s").cogroup(x.groupBy("_b", "_s")).applyInPandas(lambda a, b: _nearest_in(a, b, k), "query long, id long, distance double")
     w = W.partitionBy("query").orderBy("distance", "id")
-    return best.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    return met.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
 def links(rows: DataFrame, least: float, block: int = LINK_BLOCK) -> DataFrame:
@@ -112,11 +120,14 @@ def dispersion(long: DataFrame, group: str, item: str, place: str, value: str) -
     return d.groupBy(group).agg(F.avg("_d").alias("mean_distance"), F.count("*").alias("n"))
 
 
-def smallest_reachable(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, cluster) of undirected edges (a, b): the smallest node each one reaches, by label propagation to a fixed point."""
+def smallest_reachable(edges: DataFrame) -> DataFrame:
+    """(node, cluster) of undirected edges (a, b): the smallest node each one reaches, by label propagation to a fixed point.
+
+    Every round also takes each label to its own label's label, so long chains need few rounds; labels only ever fall, so it ends.
+    """
     both = cut(edges.select("a", "b").unionAll(edges.select("b", "a")).distinct(), "edges")
     label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("cluster")), "label")
-    for _ in range(rounds):
+    while True:
         near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("cluster").alias("_c"))
         new = label.join(near, label.node == near.a, "left").select("node", F.least("cluster", F.coalesce("_c", "cluster")).alias("cluster"), F.col("cluster").alias("_old"))
         hop = new.select(F.col("node").alias("cluster"), F.col("cluster").alias("_up"))
@@ -124,7 +135,6 @@ def smallest_reachable(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if new.where("cluster <> _old").isEmpty():
             return new.drop("_old")
         label = new.drop("_old")
-    raise RuntimeError("clusters did not settle")
 
 
 def discriminant_axes(sums: list[tuple[object, int, list[float], list[list[float]]]], axes: int = 2) -> np.ndarray:

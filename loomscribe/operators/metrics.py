@@ -100,3 +100,15 @@ def mcnemar_p(b: int, c: int) -> float:
         total += term
         k -= 1
     return min(1.0, 2 * math.exp(largest + math.log(total)))
+
+
+def chi_squared_tail(x: float, df: int) -> float:
+    """P(chi-squared with df degrees of freedom >= x): from the tail of one or two degrees up by steps of two."""
+    if x <= 0:
+        return 1.0
+    half = x / 2
+    tail, at = (math.erfc(math.sqrt(half)), 1) if df % 2 else (math.exp(-half), 2)
+    while at < df:
+        tail += math.exp(at / 2 * math.log(half) - half - math.lgamma(at / 2 + 1))
+        at += 2
+    return min(1.0, tail)

@@ -65,6 +65,22 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]
     return out.select(*df.columns, *[(F.col(f"_b_{k}") + F.col(f"_i_{k}")).alias(k) for k in sums])
 
 
+def ranked_upto(df: DataFrame, group: Sequence[str], hash_: str, key: str, limits: DataFrame, upto: Column, rows_per_bucket: int = 100_000) -> DataFrame:
+    """df with rank, from 1, in its group by (hash_, key), up to a limit of the group from limits (a row a group).
+
+    hash_ is a whole number of 32 bits. A group may hold most rows: its rows are ranked in buckets of the hash, after the
+    number of rows in the buckets before, and buckets beyond the limit are never ranked.
+    """
+    n = max(1, math.ceil(df.count() / rows_per_bucket))
+    rows = df.withColumn("_b", F.floor(F.col(hash_) * n / 2**32))
+    counts = rows.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
+    over = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(over), F.lit(0))).join(limits.select(*group, upto.alias("_upto")), list(group)).where("_before < _upto")
+    rows = rows.join(counts.drop("_n"), [*group, "_b"])
+    rows = rows.withColumn("rank", F.col("_before") + F.row_number().over(W.partitionBy(*group, "_b").orderBy(hash_, key)))
+    return rows.where("rank <= _upto").drop("_b", "_before", "_upto")
+
+
 def prefix_sum_split(groups: DataFrame, size: str, order: Sequence[Column], cuts: Sequence[tuple[str, float]]) -> DataFrame:
     """The split of each group by the share of all rows before it in order."""
     total = groups.agg(F.sum(size).alias("_all"))

@@ -7,9 +7,11 @@ from pyspark.sql.window import Window as W
 
 from loomscribe.functions import text as T
 from loomscribe.functions.hashing import draw
+from loomscribe.functions.style import MEASURES, style_sql, style_vector
 from loomscribe.functions.urls import LEGAL_FORMS, company_key, host_of
 from loomscribe.operators.dedup import greedy_near_duplicates
-from loomscribe.operators.relational import capped, keep_last, keep_one, prefix_sum_split, quota, running_sums
+from loomscribe.operators.weights import tfidf
+from loomscribe.operators.relational import capped, keep_last, keep_one, prefix_sum_split, quota, ranked_upto, running_sums
 from loomscribe.plans.base import (MIRRORS_SQL, POSTS_SQL, canon_label, canon_vertical, host_sql, in_sql, known, label_sql, mirror_texts, posts, query, r6,
                                    site_of, site_sql, table, vertical_sql)
 from loomscribe.runtime import cut, spread
@@ -52,6 +54,23 @@ def f12_drop_cascade(spark, d):
     return out.select(F.col("found").alias("language"), F.col("why").alias("outcome"), "n", r6(F.col("n") / F.sum("n").over(W.partitionBy("found"))).alias("share"))
 
 
+@query()
+def f12_cascade_with_near_duplicates(spark, d):
+    """By source: the cascade with its near-duplicate step before the cap: a post is dropped if it is like one kept before it in its source."""
+    t = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+    s = t.select("doc_id", F.coalesce(F.nullif(F.lower(F.trim("source")), F.lit("")), F.lit("-")).alias("src"), "text", T.word_count("text").alias("n"), T.language(T.language_votes("text")).alias("found"))
+    why = (F.when(F.col("text").isNull() | ~F.col("text").rlike(r"[^ \t\r\n]"), "fetch").when(F.col("found") != "en", "language")
+           .when(~F.col("n").between(60, 2500), "length").when(F.col("text").rlike(r"(?i)<div|<p>"), "genre"))
+    f = cut(s.withColumn("why", why).select("doc_id", "src", "why", F.when(F.col("why").isNull(), F.col("text")).alias("text")), "cascade")
+    alike = greedy_near_duplicates(f.where("why IS NULL"), "src", "doc_id", "text").where("NOT kept").select("src", "doc_id")
+    dropped = f.where("why IS NOT NULL").select("src", "doc_id", "why").unionByName(alike.withColumn("why", F.lit("near_duplicate")))
+    left = cut(f.select("src", "doc_id").join(dropped.select("src", "doc_id"), ["src", "doc_id"], "left_anti"), "left")
+    kept = capped(left, ["src"], [F.col("doc_id")], 200).groupBy("src").agg(F.count("*").alias("k"))
+    over = left.groupBy("src").agg(F.count("*").alias("n")).join(kept, "src")
+    over = over.select("src", F.explode(F.array(F.struct(F.lit("kept").alias("why"), F.col("k").alias("n")), F.struct(F.lit("cap").alias("why"), (F.col("n") - F.col("k")).alias("n")))).alias("x")).select("src", "x.why", "x.n").where("n > 0")
+    return dropped.groupBy("src", "why").agg(F.count("*").alias("n")).unionByName(over).select(F.col("src").alias("source"), F.col("why").alias("outcome"), "n")
+
+
 @query(f"""SELECT coalesce({label_sql('stratum')}, '-') AS stratum, count(*) AS n, count(DISTINCT {host_sql('domain')}) AS hosts, count(nullif(trim(industry_raw), '')) AS with_industry
 FROM site_frame WHERE nullif(trim(domain), '') IS NOT NULL GROUP BY 1""")
 def src1_frame_reader(spark, d):
@@ -85,11 +104,9 @@ def src18_l2_normalise(spark, d):
     return e.select("vec_id", F.round(F.sqrt(sq), 5).alias("length"), F.round(F.element_at(unit_vector(F.col("embedding")), 1), 5).alias("first"))
 
 
-@query(r"""SELECT doc_id, length(x) AS n_chars, md5(x) AS text_md5 FROM (SELECT doc_id, replace(replace(replace(replace(replace(replace(
-regexp_replace(regexp_replace(text, '(?i)<(?:br|/p|/div|/h[1-6]|/li|/tr)[^>]*>', chr(10), 'g'), '<[^>\n]{0,300}>', '', 'g'),
-'&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS x FROM documents WHERE text LIKE '%<%>%' AND NOT regexp_matches(text, '(?i)<(script|style|nav|header|footer)'))""")
+@query(f"SELECT doc_id, length(x) AS n_chars, md5(x) AS text_md5 FROM (SELECT doc_id, {T.strip_tags_sql('text')} AS x FROM documents WHERE text LIKE '%<%>%')")
 def x17_strip_tags(spark, d):
-    t = table(spark, d, "documents").where(F.col("text").like("%<%>%") & ~F.col("text").rlike("(?i)<(script|style|nav|header|footer)"))
+    t = table(spark, d, "documents").where(F.col("text").like("%<%>%"))
     return t.select("doc_id", T.strip_tags("text").alias("x")).select("doc_id", F.length("x").cast("long").alias("n_chars"), F.md5("x").alias("text_md5"))
 
 
@@ -129,12 +146,18 @@ def f3_keyword_vertical(spark, d):
 _SLUG = r"regexp_extract(rtrim(regexp_replace(url, '[?#].*$', ''), '/'), '[^/]*$')"
 
 
+# Parts of paths and endings of files that are no articles.
+NO_ARTICLE_PATHS = ("tag", "tags", "category", "categories", "author", "page", "archive", "feed", "amp", "search")
+NO_ARTICLE_FILES = ("xml", "json", "jpg", "jpeg", "png", "gif", "svg", "css", "js", "pdf")
+NO_ARTICLE = f"/({'|'.join(NO_ARTICLE_PATHS)})/|[?#]|[.]({'|'.join(NO_ARTICLE_FILES)})$"
+
+
 @query(f"""SELECT is_article, count(*) AS n, count(DISTINCT slug) AS slugs FROM (SELECT {_SLUG} AS slug,
- NOT regexp_matches(lower(url), '/(tag|category|author|page|feed)/|[?]|[.](png|jpg|css|js|pdf|xml)$') AND length({_SLUG}) >= 12 AND contains({_SLUG}, '-') AS is_article
+ NOT regexp_matches(lower(url), '{NO_ARTICLE}') AND length({_SLUG}) >= 12 AND contains({_SLUG}, '-') AS is_article
  FROM story_human_frozen WHERE url IS NOT NULL) GROUP BY 1""")
 def f4_article_url(spark, d):
     slug = F.substring_index(F.rtrim(F.regexp_replace("url", "[?#].*$", ""), F.lit("/")), "/", -1)
-    bad = F.lower("url").rlike("/(tag|category|author|page|feed)/|[?]|[.](png|jpg|css|js|pdf|xml)$")
+    bad = F.lower("url").rlike(NO_ARTICLE)
     t = table(spark, d, "story_human_frozen").where("url IS NOT NULL").select(slug.alias("slug"), (~bad & (F.length(slug) >= 12) & F.contains(slug, F.lit("-"))).alias("is_article"))
     return t.groupBy("is_article").agg(F.count("*").alias("n"), F.count_distinct("slug").alias("slugs"))
 
@@ -310,12 +333,19 @@ hg AS (SELECT doc_id, {grams_sql('t', 13)} AS g FROM h), mg AS (SELECT doc_id, s
 SELECT source, count(*) AS pairs, count(*) FILTER (WHERE list_has_any(hg.g, mg.g)) AS hits FROM hg JOIN mg USING (doc_id) GROUP BY 1"""
 
 
+def shared_windows(h, m, n=13):
+    """By source: mirrors, and those that share n words in a row with their post. Texts are joined; windows exist only inside the tasks, as places in the words."""
+    both = h.join(m.select("doc_id", "source", "text"), "doc_id").select("source", T.words("post").alias("a"), T.words("text").alias("b"))
+    grams = lambda c: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.xxhash64(F.slice(c, i, n)))).otherwise(F.array().cast("array<bigint>"))
+    met = both.select("source", "a", "b", F.arrays_overlap(grams(F.col("a")), grams(F.col("b"))).alias("hit"))
+    sure = F.col("hit") & F.arrays_overlap(T.ngrams(F.col("a"), n), T.ngrams(F.col("b"), n))  # equal hashes are compared as words
+    return met.groupBy("source").agg(F.count("*").alias("pairs"), F.count_if(sure).alias("hits"))
+
+
 @query(_J7)
 def j7_ngram_containment(spark, d):
     """Mirrors that repeat thirteen words of the post they were written from."""
-    h = posts(spark, d).select("doc_id", T.words("text").alias("t")).select("doc_id", T.ngrams(F.col("t"), 13).alias("g"))
-    m = mirror_texts(spark, d).select("doc_id", "source", T.words("text").alias("t")).select("doc_id", "source", T.ngrams(F.col("t"), 13).alias("mg"))
-    return h.join(m, "doc_id").groupBy("source").agg(F.count("*").alias("pairs"), F.count_if(F.arrays_overlap("g", "mg")).alias("hits"))
+    return shared_windows(posts(spark, d).select("doc_id", F.col("text").alias("post")), mirror_texts(spark, d))
 
 
 @query(f"""WITH {POSTS_SQL}, {MIRRORS_SQL}, r AS (SELECT doc_id, text, row_number() OVER (ORDER BY md5('13|' || doc_id), doc_id) AS k, count(*) OVER () AS n FROM posts),
@@ -329,10 +359,8 @@ def j8_shuffled_control(spark, d):
     before = p.groupBy("b").agg(F.count("*").alias("c"))
     before = before.withColumn("before", F.coalesce(F.sum("c").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("c").over(W.partitionBy(F.lit(1))))
     r = p.join(F.broadcast(before), "b").withColumn("k", F.col("before") + F.row_number().over(W.partitionBy("b").orderBy("h", "doc_id")))  # 256 buckets
-    nx = r.select("doc_id", (F.col("k") % F.col("n") + 1).alias("k")).join(r.select("k", "text"), "k")
-    h = nx.select("doc_id", T.words("text").alias("t")).select("doc_id", T.ngrams(F.col("t"), 13).alias("g"))
-    m = mirror_texts(spark, d).select("doc_id", "source", T.words("text").alias("t")).select("doc_id", "source", T.ngrams(F.col("t"), 13).alias("mg"))
-    return h.join(m, "doc_id").groupBy("source").agg(F.count("*").alias("pairs"), F.count_if(F.arrays_overlap("g", "mg")).alias("hits"))
+    nx = r.select("doc_id", (F.col("k") % F.col("n") + 1).alias("k")).join(r.select("k", F.col("text").alias("post")), "k")
+    return shared_windows(nx.select("doc_id", "post"), mirror_texts(spark, d))
 
 
 @query(f"""WITH {MIRRORS_SQL}, w AS (SELECT doc_id, source, {BLANKS.format('text')} AS n FROM mir)
@@ -449,14 +477,14 @@ def t5_seeded_sample(spark, d):
 
 @query(f"""WITH {POSTS_SQL}, c AS (SELECT stratum, count(*) AS n, sum(count(*)) OVER () AS t FROM posts WHERE stratum IS NOT NULL GROUP BY 1), k AS (SELECT stratum, greatest(1, round_even(300.0 * n / t, 0)) AS k FROM c),
 r AS (SELECT doc_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY ('0x' || substr(md5('5|' || doc_id), 1, 8))::UBIGINT, doc_id) AS r FROM posts)
-SELECT doc_id, stratum FROM r JOIN k USING (stratum) WHERE r <= k""")
+SELECT doc_id, stratum FROM r JOIN k USING (stratum) WHERE r <= k ORDER BY r, ('0x' || substr(md5('5|' || doc_id), 1, 8))::UBIGINT, doc_id LIMIT 300""")
 def t6_stratified_sample(spark, d):
-    """300 posts in proportion to the strata, at least one of each; the ranks stop at the sample's size."""
+    """300 posts in proportion to the strata, at least one of each; what rounding adds is cut off from the last ranks."""
     p = posts(spark, d).where("stratum IS NOT NULL").select("doc_id", "stratum", draw(5, "doc_id").alias("h"))
     c = p.groupBy("stratum").agg(F.count("*").alias("n"))
     k = c.withColumn("k", F.greatest(F.lit(1), F.bround(F.lit(300.0) * F.col("n") / F.sum("n").over(W.partitionBy(F.lit(1))), 0)))
     r = p.withColumn("r", F.row_number().over(W.partitionBy("stratum").orderBy("h", "doc_id"))).where("r <= 300")
-    return r.join(F.broadcast(k), "stratum").where("r <= k").select("doc_id", "stratum")  # a row a stratum
+    return r.join(F.broadcast(k), "stratum").where("r <= k").orderBy("r", "h", "doc_id").limit(300).select("doc_id", "stratum")  # a row a stratum
 
 
 @query(f"""WITH {MIRRORS_SQL} SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY ('0x' || substr(md5('8|' || doc_id), 1, 8))::UBIGINT, doc_id) AS r FROM mir) WHERE r <= 50""")
@@ -465,21 +493,28 @@ def t8_sample_per_source(spark, d):
     return capped(m, ["source"], [F.col("h"), F.col("doc_id")], 50).select("doc_id", "source")
 
 
-@query(f"""WITH {POSTS_SQL}, b AS (SELECT doc_id, floor(words / 50)::INT AS bin FROM posts WHERE words IS NOT NULL), hn AS (SELECT bin, count(*) AS n FROM b WHERE ('0x' || substr(md5('1|' || doc_id), 1, 8))::UBIGINT % 10 = 0 GROUP BY 1),
-r AS (SELECT doc_id, bin, row_number() OVER (PARTITION BY bin ORDER BY ('0x' || substr(md5('9|' || doc_id), 1, 8))::UBIGINT, doc_id) AS r FROM b WHERE ('0x' || substr(md5('1|' || doc_id), 1, 8))::UBIGINT % 10 <> 0)
-SELECT bin, count(*) AS matched, max(n) AS n FROM r JOIN hn USING (bin) WHERE r <= 5 * n GROUP BY 1""")
+_OWN = "('0x' || substr(md5('1|' || doc_id), 1, 8))::UBIGINT % 10 = 0"
+
+
+@query(f"""WITH {POSTS_SQL}, p AS (SELECT doc_id, words, {_OWN} AS own FROM posts WHERE words IS NOT NULL), q AS (SELECT quantile_cont(words, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM p WHERE own),
+b AS (SELECT doc_id, own, len(list_filter(q.e, lambda x: x <= words)) AS bin FROM p, q), hn AS (SELECT bin, count(*) AS n FROM b WHERE own GROUP BY 1),
+r AS (SELECT doc_id, bin, row_number() OVER (PARTITION BY bin ORDER BY ('0x' || substr(md5('9|' || doc_id), 1, 8))::UBIGINT, doc_id) AS turn FROM b WHERE NOT own)
+SELECT doc_id, bin, turn FROM r JOIN hn USING (bin) WHERE turn <= 5 * n""")
 def t7_matched_sample(spark, d):
-    """For each length bin at most five others for each of a tenth of the posts."""
-    b = posts(spark, d).where("words IS NOT NULL").select("doc_id", F.floor(F.col("words") / 50).cast("int").alias("bin"), (draw(1, "doc_id") % 10 == 0).alias("own"), draw(9, "doc_id").alias("h"))
+    """Posts matched by length to a tenth of the posts: of each of their length deciles the first five for each of them, in hash order."""
+    p = posts(spark, d).where("words IS NOT NULL").select("doc_id", "words", (draw(1, "doc_id") % 10 == 0).alias("own"), draw(9, "doc_id").alias("h"))
+    e = p.where("own").agg(F.percentile("words", F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("e"))
+    b = p.crossJoin(F.broadcast(e)).select("doc_id", "own", "h", F.size(F.filter("e", lambda x: x <= F.col("words"))).alias("bin"))  # e is one row
     hn = b.where("own").groupBy("bin").agg(F.count("*").alias("n"))
-    others = b.where("NOT own").groupBy("bin").agg(F.count("*").alias("m"))
-    return others.join(hn, "bin").select("bin", F.least("m", 5 * F.col("n")).alias("matched"), "n")
+    return ranked_upto(b.where("NOT own"), ["bin"], "h", "doc_id", hn, 5 * F.col("n")).select("doc_id", "bin", F.col("rank").alias("turn"))
 
 
-@query("""SELECT doc_id, b.k AS fraction_percent FROM documents, (VALUES (25), (50), (75)) b(k) WHERE ('0x' || substr(md5('4|' || b.k || '|' || doc_id), 1, 8))::UBIGINT % 100 < b.k""")
+@query("""SELECT doc_id, k AS fraction_percent FROM (SELECT doc_id, b.k, row_number() OVER (PARTITION BY b.k ORDER BY ('0x' || substr(md5('4|' || b.k || '|' || doc_id), 1, 8))::UBIGINT, doc_id) AS r, count(*) OVER (PARTITION BY b.k) AS n FROM documents, (VALUES (25), (50), (75)) b(k)) WHERE r <= floor(k * n / 100.0)""")
 def t9_fraction_subsets(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.explode(F.array(*map(F.lit, (25, 50, 75)))).alias("fraction_percent"))
-    return t.where(draw(4, "fraction_percent", "doc_id") % 100 < F.col("fraction_percent"))
+    """A quarter, a half and three quarters of the documents, rounded down, in hash order."""
+    t = table(spark, d, "documents").select("doc_id", F.explode(F.array(*map(F.lit, (25, 50, 75)))).alias("fraction_percent")).withColumn("h", draw(4, "fraction_percent", "doc_id"))
+    n = t.groupBy("fraction_percent").agg(F.count("*").alias("n"))
+    return ranked_upto(t, ["fraction_percent"], "h", "doc_id", n, F.floor(F.col("fraction_percent") * F.col("n") / 100)).select("doc_id", "fraction_percent")
 
 
 @query(f"""WITH a AS (SELECT {site_sql('domain')} AS s FROM site_frame), b AS (SELECT {site_sql('domain')} AS s FROM documents), c AS (SELECT {site_sql('domain')} AS s FROM splits)
@@ -537,26 +572,20 @@ def a5_first_titles(spark, d):
     return p.groupBy("vertical").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "title"))), lambda x: x.title), " | ").alias("titles"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
- '(?m)^[ \t]{0,3}#{1,6}[ \t]+', '', 'g'), '\*\*([^*\n]+)\*\*', '\1', 'g'), '__([^_\n]+)__', '\1', 'g'), '(?m)^[ \t]*[-*+][ \t]+', '', 'g'), '(?m)^[ \t]*[0-9]{1,3}[.)][ \t]+', '', 'g'), '(?m)^[ \t]*>[ \t]?', '', 'g'),
- '\*([^*\n]+)\*', '\1', 'g'), '`([^`\n]*)`', '\1', 'g'), '!\[([^\]\n]*)\]\([^)\n]*\)', '', 'g'), '\[([^\]\n]*)\]\([^)\n]*\)', '\1', 'g'), '(?m)^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$', '', 'g') AS x FROM documents WHERE text NOT LIKE '%' || chr(13) || '%')
-SELECT doc_id, length(x) AS n_chars, md5(x) AS text_md5 FROM m""")
+@query(f"SELECT doc_id, length(x) AS n_chars, md5(x) AS text_md5 FROM (SELECT doc_id, {T.strip_markdown_sql('text')} AS x FROM documents)")
 def x1_strip_markdown(spark, d):
-    t = table(spark, d, "documents").where(~F.contains("text", F.lit("\r")))
+    t = table(spark, d, "documents")
     return t.select("doc_id", T.strip_markdown("text").alias("x")).select("doc_id", F.length("x").cast("long").alias("n_chars"), F.md5("x").alias("text_md5"))
 
 
-@query()
+@query(f"SELECT doc_id, length(text) AS before, length(x) AS after, md5(x) AS text_md5 FROM (SELECT doc_id, text, {T.normalised_sql('text')} AS x FROM documents)")
 def x3_normalised_texts(spark, d):
     """Markdown and page furniture removed, blanks collapsed: hash and length before and after, of every document."""
     t = table(spark, d, "documents").select("doc_id", F.length("text").alias("before"), T.normalised("text").alias("x"))
     return t.select("doc_id", "before", F.length("x").alias("after"), F.md5("x").alias("text_md5"))
 
 
-_FURN = r"(?i)^[ \t]*(?:table of contents|contents|share (?:this|on)|subscribe|sign up|read more|related posts|comments?|back to top|skip to|posted (?:on|by)|by [a-z]+ [a-z]+$|[0-9]+ min(?:ute)?s? read|cookie|all rights reserved|home *[>|/])"
-
-
-@query(rf"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '[^ \t\r\f]+')) <= 9 AND regexp_matches(x, '{_FURN}')) AS f FROM documents WHERE text IS NOT NULL)
+@query(rf"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '[^ \t\r\f]+')) <= 9 AND regexp_matches(x, '{T.FURNITURE}')) AS f FROM documents WHERE text IS NOT NULL)
 SELECT len(f) AS dropped_lines, count(*) AS n FROM l GROUP BY 1""")
 def x2_furniture_lines(spark, d):
     lines = F.filter(F.split("text", "\n"), lambda x: (F.regexp_count(x, F.lit(r"[^ \t\r\f]+")) <= 9) & x.rlike(T.FURNITURE))
@@ -628,17 +657,23 @@ def x11_stylometry(spark, d):
                     r6(F.regexp_count("text", F.lit(",")) / n).alias("commas"), r6(F.regexp_count("text", F.lit("[?]")) / n).alias("questions"), r6(F.size(F.filter("w", lambda x: F.length(x) >= 7)) / n).alias("long_words"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS w FROM documents), tf AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY 1, 2), df AS (SELECT w, count(*) AS d, sum(c) AS c FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
-v AS (SELECT w, d FROM df ORDER BY c DESC, w LIMIT 2000), x AS (SELECT doc_id, w, (1 + ln(c)) * (ln((1 + n.n) / (1.0 + d)) + 1) AS x FROM tf JOIN v USING (w), n)
-SELECT doc_id, count(*) AS terms, round(sqrt(sum(x * x)), 5) AS length, arg_max(w, (round(x, 6), w)) AS top_term FROM x GROUP BY 1""")
+@query(style_sql())
+def x11_style_vector(spark, d):
+    """The full style vector of 144 measures of every document."""
+    v = style_vector(spread(table(spark, d, "documents").select("doc_id", "text")))
+    return v.select("doc_id", *[F.round(F.col(m) + 1e-9, 5).alias(m) for m in MEASURES])
+
+
+_TFIDF = f"""WITH t AS (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents), g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS w FROM t),
+tf AS (SELECT doc_id, w, count(*) AS c FROM g GROUP BY 1, 2), df AS (SELECT w, count(*) AS d FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
+x AS (SELECT doc_id, w, (1 + ln(c)) * (ln((1 + n.n) / (1.0 + d)) + 1) AS x FROM tf JOIN df USING (w), n WHERE d >= 3)"""
+
+
+@query(_TFIDF + " SELECT doc_id, count(*) AS terms, round(sqrt(sum(x * x)), 5) AS length, arg_max(w, (round(x, 6), w)) AS top_term, round(max(x) / sqrt(sum(x * x)), 5) AS top_weight FROM x GROUP BY 1")
 def x14_tfidf(spark, d):
-    """Sublinear TF-IDF over the 2000 most frequent words, smooth IDF plus one: length and heaviest word of each document."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    tf = spread(docs).select("doc_id", F.explode(T.words("text")).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("c"))
-    n = docs.count()
-    v = tf.groupBy("w").agg(F.count("*").alias("d"), F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(2000)
-    x = tf.join(F.broadcast(v.select("w", "d")), "w").withColumn("x", (1 + F.log("c")) * (F.log(F.lit(1 + n) / (1.0 + F.col("d"))) + 1))  # 2000 rows
-    return x.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 5).alias("length"), F.max_by("w", F.struct(r6("x"), "w")).alias("top_term"))
+    """TF-IDF over all words and pairs of words in at least three documents: size, length before scaling, and heaviest term of each document's unit vector."""
+    x = tfidf(spread(table(spark, d, "documents").select("doc_id", "text")))
+    return x.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.first("length"), 5).alias("length"), F.max_by("term", F.struct(F.round(F.col("weight") * F.col("length"), 6), "term")).alias("top_term"), F.round(F.max("weight"), 5).alias("top_weight"))
 
 
 @query(f"""WITH c AS (SELECT DISTINCT {site_sql('domain')} AS site, regexp_replace(regexp_replace(trim(regexp_replace(lower(regexp_replace(company, '[.''’]', '', 'g')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '(?: (?:{'|'.join(LEGAL_FORMS)}))+$', ''), ' ', '', 'g') AS k FROM site_frame)

@@ -13,6 +13,7 @@ from loomscribe.operators import models as L
 from loomscribe.operators.relational import running_sums
 from loomscribe.plans.base import ENCODED_SQL, FEATURES, encoded, predicted, query, r6, table
 from loomscribe.plans.corpus import doc_splits
+from loomscribe.runtime import cut
 
 _LONG = f"l AS (UNPIVOT (SELECT doc_id, source, label_ai, {', '.join(FEATURES)} FROM enc) ON {', '.join(FEATURES)} INTO NAME col VALUE v)"
 
@@ -86,12 +87,21 @@ def ml11_rarity(spark, d):
     return m.withColumn("x", F.round("m", 9)).join(c, "x").select(F.col("query").alias("vec_id"), "label", F.round("m", 5).alias("rarity"), r6("percentile").alias("percentile"))
 
 
-@query(f"WITH {_NN}, m AS (SELECT q, any_value(la) AS label, avg(dist) AS m FROM nn WHERE r <= 25 GROUP BY 1), t AS (SELECT quantile_cont(m, 0.9) AS t FROM m) SELECT label, count(*) AS n, count(*) FILTER (WHERE m >= t) AS in_rarest_tenth FROM m, t GROUP BY 1")
+_TAILS = """b AS (SELECT 'all' AS basis, m FROM m UNION ALL SELECT 'first_label', m FROM m WHERE label = (SELECT min(label) FROM m)),
+t AS (SELECT basis, unnest([5, 10, 25]) AS tail_percent, unnest(quantile_cont(m, [0.95, 0.9, 0.75])) AS t FROM b GROUP BY 1)"""
+
+
+@query(f"""WITH {_NN}, m AS (SELECT q, any_value(la) AS label, avg(dist) AS m FROM nn WHERE r <= 25 GROUP BY 1), {_TAILS}
+SELECT basis, tail_percent, label, count(*) AS n, count(*) FILTER (WHERE m >= t) AS in_tail FROM m, t GROUP BY 1, 2, 3""")
 def ml12_rarity_tails(spark, d):
+    """By label, how many vectors are among the rarest 5, 10 and 25 percent of all, and beyond the same quantiles of the first label alone."""
     q, e = _queries_and_rows(spark, d)
     m = G.nearest(q, e, 25).groupBy("query").agg(F.avg("distance").alias("m")).join(q.select(F.col("id").alias("query"), "label"), "query")
-    t = m.agg(F.percentile("m", F.lit(0.9)).alias("t"))
-    return m.crossJoin(F.broadcast(t)).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("m") >= F.col("t")).alias("in_rarest_tenth"))  # t is one row
+    first = F.col("label") == m.agg(F.min("label")).first()[0]
+    at = F.percentile("m", F.array(*[F.lit(1 - s / 100.0) for s in (5, 10, 25)]))
+    bases = m.agg(at.alias("q")).withColumn("basis", F.lit("all")).unionByName(m.where(first).agg(at.alias("q")).withColumn("basis", F.lit("first_label")))
+    t = bases.select("basis", F.posexplode("q").alias("i", "t")).withColumn("tail_percent", F.element_at(F.array(*map(F.lit, (5, 10, 25))), F.col("i") + 1))
+    return m.crossJoin(F.broadcast(t)).groupBy("basis", "tail_percent", "label").agg(F.count("*").alias("n"), F.count_if(F.col("m") >= F.col("t")).alias("in_tail"))  # t is six rows
 
 
 @query(f"WITH {_NN} SELECT la AS label, count(*) AS n, round(avg(dist), 5) AS radius FROM nn WHERE r = 10 GROUP BY 1")
@@ -107,12 +117,9 @@ s AS (SELECT a.vec_id, a.label, max(list_dot_product(a.u, b.u)) AS best FROM e a
 def ml18_coverage(spark, d):
     """Share of the query vectors with a vector of another label at cosine 0.3 or more: the nearest unit vector decides."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), G.unit_vector(F.col("embedding")).alias("vec"), "label")
-    parts = None
-    for label in [r[0] for r in e.select("label").distinct().orderBy("label").collect()]:
-        near = G.nearest(e.where((F.col("id") % 20 == 0) & (F.col("label") == label)), e.where(F.col("label") != label), 1)
-        x = near.select(F.lit(label).alias("label"), ((2 - F.col("distance") * F.col("distance")) / 2).alias("cos"))
-        parts = x if parts is None else parts.unionAll(x)
-    return parts.groupBy("label").agg(F.count("*").alias("n"), r6(F.avg((F.col("cos") >= 0.3).cast("int"))).alias("covered"))
+    near = G.nearest(e.where(F.col("id") % 20 == 0), e, 1, apart="label").join(e.select(F.col("id").alias("query"), "label"), "query")
+    cos = (2 - F.col("distance") * F.col("distance")) / 2
+    return near.groupBy("label").agg(F.count("*").alias("n"), r6(F.avg((cos >= 0.3).cast("int"))).alias("covered"))
 
 
 @query()
@@ -125,9 +132,10 @@ def ml14_discriminant_projection(spark, d):
 
         acc = {}
         for pdf in batches:
-            for label, v in zip(pdf["label"], pdf["v"]):
+            for label, part in pdf.groupby("label"):
+                m = np.stack(part["v"].to_numpy())
                 n, s, o = acc.get(label, (0, 0.0, 0.0))
-                acc[label] = (n + 1, s + v, o + np.outer(v, v))
+                acc[label] = (n + len(m), s + m.sum(axis=0), o + m.T @ m)
         yield pd.DataFrame([(k, n, s.tolist(), o.ravel().tolist()) for k, (n, s, o) in acc.items()], columns=["label", "n", "s", "o"])
 
     got: dict = {}
@@ -140,7 +148,15 @@ def ml14_discriminant_projection(spark, d):
     return e.select("vec_id", "label", F.round(dot(axes[:, 0]), 6).alias("x"), F.round(dot(axes[:, 1]), 6).alias("y"))
 
 
-@query()
+_LINK = """WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings),
+p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.u, b.u) AS c FROM e a, e b WHERE a.vec_id <> b.vec_id AND list_dot_product(a.u, b.u) >= 0.3),
+k AS (SELECT * FROM (VALUES (0.3), (0.7), (0.75), (0.8), (0.85), (0.9), (0.95)) k(k)),
+r(k, a, b) AS (SELECT k, vec_id, vec_id FROM e, k UNION SELECT r.k, r.a, p.b FROM r JOIN p ON p.a = r.b AND p.c >= r.k),
+m AS (SELECT k, a, min(b) AS m FROM r GROUP BY 1, 2), l AS (SELECT a, count(*) AS links FROM p GROUP BY 1)
+SELECT e.vec_id, max(m) FILTER (WHERE k = 0.3) AS cluster, coalesce(any_value(links), 0) AS links, """ + ", ".join(f"max(m) FILTER (WHERE k = {k / 100}) AS cluster_{k}" for k in (70, 75, 80, 85, 90, 95)) + " FROM e JOIN m ON m.a = e.vec_id LEFT JOIN l ON l.a = e.vec_id GROUP BY 1"
+
+
+@query(_LINK)
 def ml17_single_linkage(spark, d):
     """Each vector's single-linkage cluster at cosine 0.3 or more, its number of links, and its clusters at .70 to .95."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), G.unit_vector(F.col("embedding")).alias("vec"))
@@ -165,7 +181,8 @@ def m25_cosine_silhouette(spark, d):
 
 def _parts(spark, d, columns=FEATURES):
     e = L.assembled(predicted(spark, d), columns).join(doc_splits(spark, d), "doc_id").withColumn("label", F.col("label_ai").cast("double"))
-    return e.where("split = 'train'").cache(), e.where("split = 'val'").cache(), e.where("split = 'test'").cache()
+    e = cut(e, "parts")  # fits read their rows many times
+    return e.where("split = 'train'"), e.where("split = 'val'"), e.where("split = 'test'")
 
 
 @query()
@@ -235,11 +252,85 @@ def ml9_fingerprints(spark, d):
     return first.select("col", "top_source", r6(F.col("top") / F.col("t")).alias("share"))
 
 
-@query(f"""WITH {ENCODED_SQL}, s AS (SELECT coalesce(site, doc_id) AS g, count(*) AS n FROM pred GROUP BY 1), f AS (SELECT g, n, ('0x' || substr(md5('21|' || g), 1, 8))::UBIGINT % 5 AS fold FROM s) SELECT fold, count(*) AS groups, sum(n)::BIGINT AS n FROM f GROUP BY 1""")
-def ml15_group_folds(spark, d):
-    """Five folds in which a site stands whole, by hash of the site."""
+_FOLDS = """s AS (SELECT coalesce(site, doc_id) AS g, count(*) AS n FROM pred GROUP BY 1), o AS (SELECT g, n, row_number() OVER (ORDER BY n DESC, md5('21|' || g), g) - 1 AS r FROM s),
+f AS (SELECT g, n, CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS fold FROM o)"""
+
+
+def group_folds(spark, d):
+    """(g, n, fold): sites by size, the largest first, dealt to five folds forth and back, so that the folds are alike in size."""
     s = predicted(spark, d).groupBy(F.coalesce("site", "doc_id").alias("g")).agg(F.count("*").alias("n"))
-    return s.groupBy((draw(21, "g") % 5).alias("fold")).agg(F.count("*").alias("groups"), F.sum("n").alias("n"))
+    r = running_sums(s, [F.desc("n"), F.md5(F.concat(F.lit("21|"), "g")), F.col("g")], {"r": F.lit(1)})
+    at = F.col("r") % 5
+    return r.select("g", "n", F.when(F.floor(F.col("r") / 5) % 2 == 0, at).otherwise(4 - at).cast("int").alias("fold"))
+
+
+@query(f"WITH {ENCODED_SQL}, {_FOLDS} SELECT fold, count(*) AS groups, sum(n)::BIGINT AS n FROM f GROUP BY 1")
+def ml15_group_folds(spark, d):
+    """Five folds of nearly one size in which a site stands whole."""
+    return group_folds(spark, d).groupBy("fold").agg(F.count("*").alias("groups"), F.sum("n").alias("n"))
+
+
+@query()
+def ml15_cross_validation(spark, d):
+    """Macro-F1 on each fold of trees fitted on the others, their mean, and whether the mean is above that of always saying the most frequent label."""
+    rows = predicted(spark, d).withColumn("g", F.coalesce("site", "doc_id")).join(group_folds(spark, d).select("g", "fold"), "g").withColumn("label", F.col("label_ai").cast("double"))
+    e = cut(L.assembled(rows, FEATURES).select("fold", "label", "features"), "folds")
+    most = e.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n")).first()["label"]
+    plain = M.macro_f1(e.withColumn("prediction", F.lit(most)), "label", "prediction").first()["macro_f1"]
+    got = [(k, float(M.macro_f1(L.boosted(e.where(F.col("fold") != k), e.where(F.col("fold") == k), "label", trees=5, depth=3), "label", "prediction").first()["macro_f1"])) for k in range(5)]
+    mean = sum(f for _, f in got) / 5
+    return spark.createDataFrame([(k, round(f, 6), round(mean, 6), mean > plain) for k, f in got], "fold int, macro_f1 double, mean double, learns boolean")
+
+
+@query()
+def ml16_learning_curve(spark, d):
+    """Macro-F1 on the test split of trees fitted on a quarter, a half, three quarters and all of the training posts, with three seeds of the draw."""
+    train, val, test = _parts(spark, d)
+    fit = train.unionByName(val)
+    out = []
+    for percent in (25, 50, 75, 100):
+        for seed in (1, 2, 3) if percent < 100 else (1,):
+            part = fit.where(draw(seed, "doc_id") % 100 < percent)
+            r = M.macro_f1(L.boosted(part, test, "label", trees=5, depth=3), "label", "prediction").first()
+            out.append((percent, seed, float(r["macro_f1"])))
+    return spark.createDataFrame(out, "percent int, seed int, macro_f1 double").select("percent", "seed", r6("macro_f1").alias("macro_f1"))
+
+
+BOOTS, NULLS = 8, 4
+
+
+@query()
+def ml8_core_values(spark, d):
+    """Core columns by all six conditions: mean importance in the upper quarter and above the 95th of fits to shuffled labels, in
+    the upper quarter in 55 % and among the first three in 60 % of the fits, gap of human and machine values 0.2 or more, spread of the machines 0.35 or less.
+
+    Importance is that of boosted trees (gain), over hash halves of the posts; share is a column's part of it.
+    """
+    from pyspark.ml.classification import GBTClassifier
+
+    rows = predicted(spark, d).join(doc_splits(spark, d).where("split <> 'test'"), "doc_id").withColumn("label", F.col("label_ai").cast("double"))
+    e = cut(L.assembled(rows, FEATURES).select("doc_id", "source", "label", "features"), "core")
+    gbt = GBTClassifier(labelCol="y", featuresCol="features", maxIter=5, maxDepth=3, stepSize=0.2, seed=7)
+
+    def importance(df) -> list[float]:
+        v = gbt.fit(df).featureImportances.toArray()
+        return [float(v[2 * i] + v[2 * i + 1]) for i in range(len(FEATURES))]  # a column and its indicator of nulls
+
+    boots = [(b, c, x) for b in range(BOOTS) for c, x in zip(FEATURES, importance(e.where(draw(40 + b, "doc_id") % 2 == 0).withColumn("y", F.col("label"))))]
+    share = e.agg(F.avg("label")).first()[0]
+    shuffled = lambda b: (draw(80 + b, "doc_id", "source") < float(share) * 2**32).cast("double")
+    nulls = [(b, c, x) for b in range(NULLS) for c, x in zip(FEATURES, importance(e.withColumn("y", shuffled(b))))]
+    kind = "b int, col string, v double"
+    s, z = spark.createDataFrame(boots, kind), spark.createDataFrame(nulls, kind)
+    w = W.partitionBy("b")
+    q = s.groupBy("b").agg(F.percentile("v", F.lit(0.75)).alias("q"))
+    s = s.withColumn("r", F.rank().over(w.orderBy(F.desc("v")))).join(q, "b")
+    m = s.groupBy("col").agg(F.avg("v").alias("importance"), F.avg((F.col("v") >= F.col("q")).cast("int")).alias("stability"), F.avg((F.col("r") <= 3).cast("int")).alias("in_top"))
+    one = W.partitionBy(F.lit(1))  # a row a column
+    m = m.withColumn("share", F.col("importance") / F.sum("importance").over(one)).join(m.agg(F.percentile("importance", F.lit(0.75)).alias("q75")), F.lit(True))
+    m = m.join(z.groupBy("col").agg(F.percentile("v", F.lit(0.95)).alias("null95")), "col").join(ml8_core_rule(spark, d).select("col", "gap", "spread"), "col", "left")
+    core = (F.col("importance") >= F.col("q75")) & (F.col("stability") >= 0.55) & (F.col("in_top") >= 0.6) & (F.col("importance") > F.col("null95")) & (F.abs("gap") >= 0.2) & (F.col("spread") <= 0.35)
+    return m.select("col", *[r6(c).alias(c) for c in ("importance", "share", "stability", "in_top", "null95", "gap", "spread")], F.coalesce(core, F.lit(False)).alias("core"))
 
 
 @query()
@@ -250,8 +341,6 @@ def ml16_ablation(spark, d):
         train, val, test = _parts(spark, d, [c for c in FEATURES if not c.startswith(gone)])
         r = M.macro_f1(L.boosted(train.unionByName(val), test, "label", trees=5, depth=3), "label", "prediction").first()
         out.append((gone, float(r["macro_f1"])))
-        for x in (train, val, test):
-            x.unpersist()
     return spark.createDataFrame(out, "without string, macro_f1 double").select("without", r6("macro_f1").alias("macro_f1"))
 
 

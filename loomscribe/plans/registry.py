@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomscribe.plans import base, corpus, learning, more, stats, streams  # noqa: F401
+from loomscribe.plans import base, corpus, exchange, learning, more, stats, streams  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLE = base.ORACLE

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from loomscribe.functions import text as T
+from loomscribe.functions.hashing import draw
 from loomscribe.operators import metrics as M
 from loomscribe.operators.relational import average_rank, keep_one, running_sums
 from loomscribe.operators.resample import binary_macro_f1, bootstrap_counts, unit_counts
-from loomscribe.plans.base import (ENCODED_SQL, FEATURES, MIRRORS_SQL, POSTS_SQL, canon_label, encoded, label_sql, mirror_texts, posts, predicted, query, r6, table)
+from loomscribe.plans.base import (ENCODED_SQL, FEATURES, MIRRORS_SQL, POSTS_SQL, canon_label, encoded, label_sql, mirror_texts, posts, predicted, query, r6, site_of, site_sql, table)
 from loomscribe.plans.corpus import BLANKS, doc_splits
 
 H = "('0x' || substr(md5({0}), 1, 8))::UBIGINT"
@@ -115,11 +116,15 @@ def a19_gap_by_stratum(spark, d):
     return predicted(spark, d).where("stratum IS NOT NULL").groupBy("stratum").agg(F.count("*").alias("n"), r6(x(0) - x(1)).alias("gap"))
 
 
-@query(f"""WITH {POSTS_SQL}, s AS (SELECT site, count(*) AS probed, count(*) FILTER (WHERE words >= 100) AS usable FROM posts WHERE site IS NOT NULL GROUP BY 1)
-SELECT site, probed, usable, CASE WHEN probed = 0 THEN 0 ELSE round_even(usable::DOUBLE / probed * 37, 0) END::BIGINT AS estimated FROM s""")
+@query(f"""WITH {POSTS_SQL}, s AS (SELECT site, count(*) AS probed, count(*) FILTER (WHERE words >= 100) AS usable FROM posts WHERE site IS NOT NULL GROUP BY 1),
+u AS (SELECT {site_sql('url')} AS site, count(DISTINCT url) AS urls FROM story_human_frozen GROUP BY 1)
+SELECT site, probed, usable, coalesce(urls, 0) AS urls, CASE WHEN probed = 0 THEN 0 ELSE round_even(usable::DOUBLE / probed * coalesce(urls, 0), 0) END::BIGINT AS estimated FROM s LEFT JOIN u USING (site)""")
 def a20_extrapolated_yield(spark, d):
+    """Usable posts that a site's addresses would give at the share of usable ones among those probed."""
     s = posts(spark, d).where("site IS NOT NULL").groupBy("site").agg(F.count("*").alias("probed"), F.count_if(F.col("words") >= 100).alias("usable"))
-    return s.select("site", "probed", "usable", F.coalesce(F.bround(F.try_divide("usable", "probed") * 37, 0), F.lit(0)).cast("long").alias("estimated"))
+    u = table(spark, d, "story_human_frozen").groupBy(site_of("url").alias("site")).agg(F.count_distinct("url").alias("urls"))
+    s = s.join(u, "site", "left").withColumn("urls", F.coalesce("urls", F.lit(0)))
+    return s.select("site", "probed", "usable", "urls", F.coalesce(F.bround(F.try_divide("usable", "probed") * F.col("urls"), 0), F.lit(0)).cast("long").alias("estimated"))
 
 
 def _f1_sql(src: str, y: str, p: str, by: str = "") -> str:
@@ -226,14 +231,42 @@ def m11_total_variation(spark, d):
     return c.withColumn("x", F.abs(F.col("h") / F.sum("h").over(w) - F.col("a") / F.sum("a").over(w))).groupBy("feature").agg(r6(F.sum("x") * 0.5).alias("tvd"))
 
 
-@query(f"""WITH {ENCODED_SQL}, h AS (SELECT {H.format("'3|' || doc_id || '|' || source")} % 40 AS b, f02__ord AS x, p1 FROM pred WHERE f02__ord IS NOT NULL), s AS (SELECT b, avg(p1) AS m FROM h GROUP BY 1)
-SELECT round(quantile_disc(m, 0.95), 6) AS noise95, round(2 * quantile_disc(m, 0.95) + 0.05, 6) AS threshold, count(*) AS draws FROM s""")
-def m12_noise_threshold(spark, d):
-    """The noise level of a rate over forty hash draws: 95th of the sorted values, and the threshold twice that plus 0.05."""
-    from loomscribe.functions.hashing import draw
+NOISE_DRAWS = 40
+_LONG_ANSWERS = "l AS (UNPIVOT (SELECT doc_id, source, " + ", ".join(f"coalesce({c}::VARCHAR, '-') AS {c}" for c in FEATURES) + f" FROM enc) ON {', '.join(FEATURES)} INTO NAME feature VALUE v)"
+
 
-    s = predicted(spark, d).where("f02__ord IS NOT NULL").groupBy((draw(3, "doc_id", "source") % 40).alias("b")).agg(F.avg("p1").alias("m"))
-    return s.agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY m)").alias("q"), F.count("*").alias("draws")).select(r6("q").alias("noise95"), r6(2 * F.col("q") + 0.05).alias("threshold"), "draws")
+@query(f"""WITH {ENCODED_SQL}, {_LONG_ANSWERS},
+d AS (SELECT b, doc_id, {H.format("'3|' || b || '|' || doc_id")} % 2 AS half FROM (SELECT DISTINCT doc_id FROM enc WHERE source = 'human'), generate_series(1, {NOISE_DRAWS}) g(b)),
+c AS (SELECT b, feature, v, count(*) FILTER (WHERE half = 0)::DOUBLE AS x, count(*) FILTER (WHERE half = 1)::DOUBLE AS y FROM l JOIN d USING (doc_id) WHERE source = 'human' GROUP BY 1, 2, 3),
+t AS (SELECT b, feature, 0.5 * sum(abs(x / greatest(sx, 1) - y / greatest(sy, 1))) AS tvd FROM (SELECT *, sum(x) OVER (PARTITION BY b, feature) AS sx, sum(y) OVER (PARTITION BY b, feature) AS sy FROM c) GROUP BY 1, 2),
+n AS (SELECT feature, quantile_disc(tvd, 0.95) AS noise95 FROM t GROUP BY 1),
+h AS (SELECT feature, v, count(*)::DOUBLE AS h FROM l WHERE source = 'human' GROUP BY 1, 2), hs AS (SELECT feature, sum(h) AS s FROM h GROUP BY 1),
+a AS (SELECT source AS arm, feature, v, count(*)::DOUBLE AS a FROM l WHERE source <> 'human' GROUP BY 1, 2, 3), s AS (SELECT arm, feature, sum(a) AS s FROM a GROUP BY 1, 2),
+x AS (SELECT s.arm, s.feature, h.v FROM s JOIN h USING (feature) UNION SELECT arm, feature, v FROM a),
+r AS (SELECT x.arm, x.feature, 0.5 * sum(abs(coalesce(a.a, 0) / s.s - coalesce(h.h, 0) / hs.s)) AS tvd FROM x JOIN s USING (arm, feature) JOIN hs USING (feature) LEFT JOIN a ON a.arm = x.arm AND a.feature = x.feature AND a.v = x.v LEFT JOIN h ON h.feature = x.feature AND h.v = x.v GROUP BY 1, 2)
+SELECT arm, feature, round(noise95, 6) AS noise95, round(2 * noise95 + 0.05, 6) AS threshold, round(tvd, 6) AS tvd, tvd > 2 * noise95 + 0.05 AS flagged FROM r JOIN n USING (feature)""")
+def m12_noise_threshold(spark, d):
+    """Features whose answers a source changes by more than noise: distance of its answers from those on human texts, against
+    twice the 95th of forty distances between random halves of the human texts plus 0.05."""
+    l = encoded(spark, d).select("doc_id", "source", *[F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in FEATURES]).unpivot(["doc_id", "source"], list(FEATURES), "feature", "v")
+    human = l.where("source = 'human'")
+    halves = human.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(NOISE_DRAWS)))).withColumn("half", draw(3, "b", "doc_id") % 2)
+    c = halves.groupBy("b", "feature", "v").agg(F.count_if(F.col("half") == 0).alias("x"), F.count_if(F.col("half") == 1).alias("y"))
+    noise = total_variation(c, ["b", "feature"], "x", "y").groupBy("feature").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY tvd)").alias("noise95"))
+    arms = l.where("source <> 'human'").groupBy(F.col("source").alias("arm"), "feature", "v").agg(F.count("*").alias("x"))
+    own = human.groupBy("feature", "v").agg(F.count("*").alias("y"))
+    every = arms.select("arm", "feature").distinct().join(own.select("feature", "v"), "feature").unionByName(arms.select("arm", "feature", "v")).distinct()
+    both = every.join(arms, ["arm", "feature", "v"], "left").join(own, ["feature", "v"], "left").fillna(0, ["x", "y"])
+    r = total_variation(both, ["arm", "feature"], "x", "y").join(noise, "feature")
+    limit = 2 * F.col("noise95") + 0.05
+    return r.select("arm", "feature", r6("noise95").alias("noise95"), r6(limit).alias("threshold"), r6("tvd").alias("tvd"), (F.col("tvd") > limit).alias("flagged"))
+
+
+def total_variation(counts, by, x, y):
+    """(by, tvd): half the summed differences of the shares that values have of the counts x and y."""
+    w = W.partitionBy(*by)
+    share = lambda c: F.col(c) / F.greatest(F.sum(c).over(w), F.lit(1))
+    return counts.withColumn("_d", F.abs(share(x) - share(y))).groupBy(*by).agg((F.sum("_d") * 0.5).alias("tvd"))
 
 
 @query(f"WITH {ENCODED_SQL} SELECT count(*) AS n, count(*) FILTER (WHERE p1 = label_ai AND p2 <> label_ai) AS only_first, count(*) FILTER (WHERE p1 <> label_ai AND p2 = label_ai) AS only_second, count(*) FILTER (WHERE p1 <> label_ai AND p2 <> label_ai) AS both_wrong, round(count(*) FILTER (WHERE p1 <> label_ai AND p2 <> label_ai)::DOUBLE / greatest(count(*) FILTER (WHERE p1 <> label_ai OR p2 <> label_ai), 1), 6) AS jaccard FROM pred")
@@ -242,11 +275,12 @@ def m13_m14_error_overlap(spark, d):
     return predicted(spark, d).agg(F.count("*").alias("n"), F.count_if(~a & b).alias("only_first"), F.count_if(a & ~b).alias("only_second"), F.count_if(a & b).alias("both_wrong"), r6(F.count_if(a & b) / F.greatest(F.count_if(a | b), F.lit(1))).alias("jaccard"))
 
 
-@query()
+@query(f"""WITH {ENCODED_SQL}, c AS (SELECT count(*) FILTER (WHERE p1 = label_ai AND p2 <> label_ai) AS a, count(*) FILTER (WHERE p1 <> label_ai AND p2 = label_ai) AS b FROM pred)
+SELECT a AS only_first, b AS only_second, printf('%.9e', CASE WHEN a + b = 0 THEN 1 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(a + b + 1.0) - lgamma(i + 1.0) - lgamma(a + b - i + 1.0) - (a + b) * ln(2.0))) FROM range(0, least(a, b) + 1) r(i))) END)::DOUBLE AS p FROM c""")
 def m13_mcnemar(spark, d):
     """Exact two-sided p of the discordant pairs; only the two counts reach the driver."""
     r = m13_m14_error_overlap(spark, d).first()
-    return spark.createDataFrame([(r["only_first"], r["only_second"], M.mcnemar_p(r["only_first"], r["only_second"]))], "only_first long, only_second long, p double")
+    return spark.createDataFrame([(r["only_first"], r["only_second"], float(f"{M.mcnemar_p(r['only_first'], r['only_second']):.9e}"))], "only_first long, only_second long, p double")
 
 
 @query(f"""WITH {ENCODED_SQL}, r AS (SELECT vertical, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM pred WHERE vertical IS NOT NULL), n AS (SELECT count(*)::DOUBLE AS n FROM r), g AS (SELECT count(*) AS k, sum(s * s / c) AS s FROM (SELECT vertical, sum(r) AS s, count(*) AS c FROM r GROUP BY 1)),
@@ -255,17 +289,31 @@ def m15_kruskal_wallis(spark, d):
     return M.kruskal_wallis(predicted(spark, d).where("vertical IS NOT NULL"), "vertical", "score").select("groups", "n", F.round("h", 4).alias("h"))
 
 
+@query()
+def m15_kruskal_wallis_p(spark, d):
+    """The same over verticals with at least twenty texts, with the p of its chi-squared tail."""
+    p = predicted(spark, d).where("vertical IS NOT NULL")
+    enough = p.groupBy("vertical").agg(F.count("*").alias("n")).where("n >= 20").select("vertical")
+    r = M.kruskal_wallis(p.join(F.broadcast(enough), "vertical", "left_semi"), "vertical", "score").first()  # a row a vertical
+    tail = M.chi_squared_tail(r["h"], r["groups"] - 1) if r and r["h"] is not None and r["groups"] > 1 else None
+    return spark.createDataFrame([(r["groups"], r["n"], round(r["h"], 4) if r["h"] is not None else None, tail)], "groups long, n long, h double, p double")
+
+
 _CUTS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
 _TIMES = " + ".join(f"(u >= {c})::INT" for c in _CUTS)
 
 
-def _boot_sql(p: str, replicates: int = 100) -> str:
+#: Replicates of every bootstrap.
+REPLICATES = 10_000
+
+
+def _boot_sql(p: str, replicates: int = REPLICATES) -> str:
     return f"""u{p} AS (SELECT coalesce(site, doc_id) AS unit, count(*) FILTER (WHERE label_ai = 1 AND {p} = 1) AS tp, count(*) FILTER (WHERE label_ai = 0 AND {p} = 1) AS fp, count(*) FILTER (WHERE label_ai = 1 AND {p} = 0) AS fn, count(*) FILTER (WHERE label_ai = 0 AND {p} = 0) AS tn FROM pred GROUP BY 1),
 b{p} AS (SELECT b, sum(t * tp) AS tp, sum(t * fp) AS fp, sum(t * fn) AS fn, sum(t * tn) AS tn FROM (SELECT *, {_TIMES} AS t FROM (SELECT *, {H.format("'11|' || unit || '|' || b")} / 4294967296.0::DOUBLE AS u FROM u{p}, generate_series(1, {replicates}) g(b))) GROUP BY 1),
 f{p} AS (SELECT b, (coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2.0 * tn / nullif(2 * tn + fp + fn, 0), 0)) / 2 AS f FROM b{p})"""
 
 
-def _replicates(spark, d, p, n=100):
+def _replicates(spark, d, p, n=REPLICATES):
     e = predicted(spark, d).withColumn("unit", F.coalesce("site", "doc_id"))
     return bootstrap_counts(unit_counts(e, "unit", "label_ai", p), "unit", n, 11).select("b", binary_macro_f1().alias("f"))
 

@@ -42,13 +42,35 @@ def fenced_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def html_rows(pages: DataFrame, html: str, least_cells: int = 1) -> DataFrame:
     """Table rows of pages: one row for each <tr>, with its cells as an array of plain texts; other columns are kept."""
-    rows = F.explode(F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1))
-    cells = F.regexp_extract_all("_tr", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), 1)
-    plain = F.transform(cells, lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\[[0-9a-z]{1,3}\]", ""), "<[^>]+>", ""), r"\s+", " ")))
+    piece = lambda c, tag: F.slice(F.split(c, tag), 2, 1_000_000)  # noqa: E731  what follows each opening tag
+    rows = F.explode(piece(F.col(html), r"(?i)<tr\b[^>]*>"))
+    cells = F.transform(piece(F.col("_tr"), r"(?i)<t[dh]\b[^>]*>"), lambda c: F.get(F.split(c, r"(?i)</(?:t[dhr]|table|tbody)\s*>"), F.lit(0)))
+    note, tags = r"\[[0-9a-z]{1,3}\]", r"<[^<>]*>"
+    plain = F.transform(cells, lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, f"{note}|{tags}", ""), r"\s+", " ")))
     out = pages.select("*", rows.alias("_tr")).select("*", plain.alias("cells")).drop("_tr", html)
     return out.where(F.size("cells") >= least_cells)
 
 
+def pick_table(pages: DataFrame, html: str, header: str, least_rows: int = 20, key: str = "page_id") -> DataFrame:
+    """(key, cells): the rows below the header of each page's first table whose first row matches the pattern and that has at least least_rows rows."""
+    tables = F.posexplode(F.slice(F.split(F.col(html), r"(?i)<table\b[^>]*>"), 2, 1_000_000)).alias("_at", "_table")
+    t = pages.select(key, tables).withColumn("_table", F.get(F.split("_table", r"(?i)</table\s*>"), F.lit(0)))
+    first = F.get(F.split("_table", r"(?i)</tr\s*>"), F.lit(0))
+    t = t.where(first.rlike(header) & (F.regexp_count("_table", F.lit(r"(?i)<tr\b")) >= least_rows + 1))
+    t = t.groupBy(key).agg(F.min_by("_table", "_at").alias("_table"))
+    return html_rows(t.withColumn("_body", F.regexp_replace("_table", r"(?is)^.*?</tr\s*>", "")).select(key, "_body"), "_body")
+
+
+def archive_lines(spark: SparkSession, path: str, upto: str = "99999999999999") -> DataFrame:
+    """(timestamp, url, mimetype, status) of archive index files up to a time; headers and broken lines are left out.
+
+    The files are read as text by all executors, wherever they lie.
+    """
+    part = F.split("value", " ")
+    rows = spark.read.text(path).where((F.size(part) == 4) & part[3].rlike("^[0-9]+$") & (part[0] <= upto))
+    return rows.select(part[0].alias("timestamp"), part[1].alias("url"), part[2].alias("mimetype"), part[3].cast("int").alias("status"))
+
+
 def html_links(pages: DataFrame, html: str, per_page: int = 50, key: str = "page_id", reject: str = r"(?i)^(home|log ?in|sign up|privacy|terms|contact|next|previous|more)$") -> DataFrame:
     """Links of pages with their label, in order, labels of navigation left out, the first of each label, at most per_page a page."""
     pat = r"""(?is)<a\s[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
@@ -60,13 +82,20 @@ def html_links(pages: DataFrame, html: str, per_page: int = 50, key: str = "page
     return capped(first, [key], [F.col("place")], per_page)
 
 
+# How much of a page is read for its title, and how long title and description may be.
+HEAD_CHARS, TITLE_CHARS, DESCRIPTION_CHARS = 20_000, 150, 200
+
+
 def page_title(html: str) -> Column:
-    """Title and meta description of a page, from its first 20,000 characters, capped at 150 and 200."""
-    head = F.substring(html, 1, 20_000)
-    clean = lambda c, n: F.substring(F.trim(F.regexp_replace(c, r"\s+", " ")), 1, n)
-    title = clean(F.regexp_extract(head, r"(?is)<title[^>]*>(.*?)</title>", 1), 150)
-    meta = clean(F.regexp_extract(head, r"""(?is)<meta[^>]+name=["']description["'][^>]+content=["']([^"']*)["']""", 1), 200)
-    return F.concat_ws(" | ", F.nullif(title, F.lit("")), F.nullif(meta, F.lit("")))
+    """Title and meta description of a page, from the part of it that may hold them; the description's attributes in any order."""
+    head = F.substring(html, 1, HEAD_CHARS)
+    tidy = lambda c, n: F.nullif(F.substring(F.trim(F.regexp_replace(c, r"\s+", " ")), 1, n), F.lit(""))
+    inside = F.substring_index(F.regexp_substr(head, F.lit(r"(?is)<title\b[^>]*>[^<]*")), ">", -1)
+    tags = F.regexp_extract_all(head, F.lit(r"(?is)(<meta\s[^>]*>)"), 1)
+    about = F.filter(tags, lambda x: x.rlike(r"""(?i)\bname\s*=\s*["']?description\b"""))
+    said = F.coalesce(F.get(about, F.lit(0)), F.lit(""))
+    double, single = (F.regexp_extract(said, rf"(?is)\bcontent\s*=\s*{q}([^{q}]*){q}", 1) for q in ('"', "'"))
+    return F.concat_ws(" | ", tidy(inside, TITLE_CHARS), tidy(F.coalesce(F.nullif(double, F.lit("")), single), DESCRIPTION_CHARS))
 
 
 class ArchiveIndex(DataSource):

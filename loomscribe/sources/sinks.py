@@ -37,3 +37,23 @@ def manifest(df: DataFrame, name: str) -> DataFrame:
     """(name, rows, digest): a digest of the rows that does not depend on their order or files."""
     row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in sorted(df.columns)])
     return df.agg(F.count("*").alias("rows"), F.sum(row.cast("decimal(38,0)")).alias("s")).select(F.lit(name).alias("name"), "rows", F.substring(F.sha2(F.coalesce(F.col("s").cast("string"), F.lit("")), 256), 1, 16).alias("digest"))
+
+
+def json_report(df: DataFrame, path: str, **facts) -> None:
+    """One JSON line a row, with the same facts (version, seed, ...) in each; refuses to overwrite."""
+    df.select(*[F.lit(v).alias(k) for k, v in sorted(facts.items())], "*").write.mode("errorifexists").option("ignoreNullFields", False).json(path)
+
+
+def markdown_rows(df: DataFrame, digits: int = 3) -> DataFrame:
+    """(line) of a Markdown table's rows: numbers with a fixed number of digits, bars escaped, nulls as a dash."""
+    def cell(f):
+        kind = f.dataType.typeName()
+        c = F.col(f"`{f.name}`")
+        text = F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c)) if kind in ("double", "float") else c.cast("string")
+        return F.coalesce(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("-"))
+
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(f) for f in df.schema.fields]), F.lit(" |")).alias("line"))
+
+
+def markdown_head(columns: Sequence[str]) -> tuple[str, str]:
+    return "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)

@@ -184,3 +184,94 @@ def test_mcnemar_is_exact_at_every_size(spark, monkeypatch):
         monkeypatch.setattr(stats, "m13_m14_error_overlap", lambda s, d, b=b, c=c: s.createDataFrame([(b, c)], "only_first long, only_second long"))
         assert stats.m13_mcnemar(spark, "").first()["p"] == pytest.approx(want, rel=1e-9), (b, c)
     assert 0 < metrics.mcnemar_p(10_000_000, 10_009_000) < 0.05
+
+
+def test_nearest_against_brute_force_in_blocks(spark):
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(150, 6)).round(1)
+    x[20:26] = x[3]  # ties
+    rows = [(i, x[i].tolist(), i % 3) for i in range(150)] + [(500, None, 1), (None, x[0].tolist(), 1)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label int")
+    for apart in (None, "label"):
+        for block, row_block in ((7, 11), (4096, 16384)):
+            got = {}
+            for r in geometry.nearest(df.where("id % 4 = 0"), df, 5, block=block, row_block=row_block, apart=apart).collect():
+                got.setdefault(r["query"], []).append((round(r["distance"], 9), r["id"]))
+            assert set(got) == set(range(0, 150, 4))
+            for q in got:
+                d = [(round(float(np.sqrt(((x[q] - x[j]) ** 2).sum())), 9), j) for j in range(150) if j != q and (apart is None or j % 3 != q % 3)]
+                assert sorted(got[q]) == sorted(d)[:5]
+    assert geometry.nearest(df.limit(0), df, 5).count() == 0 and geometry.nearest(df, df.limit(0), 5).count() == 0
+
+
+def test_long_chains_settle(spark):
+    edges = spark.range(200).selectExpr("id AS a", "id + 1 AS b")
+    assert {r["cluster"] for r in geometry.smallest_reachable(edges).collect()} == {0}
+
+
+def test_ranks_upto_a_limit_in_buckets(spark):
+    df = spark.range(3000).selectExpr("id AS k", "id % 2 AS g", "crc32(cast(id AS string)) AS h", "1 AS rank")
+    limits = spark.createDataFrame([(0, 700), (1, 5)], "g long, n int")
+    from pyspark.sql import functions as F
+
+    from loomscribe.operators.relational import ranked_upto
+
+    want = {}
+    for r in sorted(df.collect(), key=lambda r: (r["h"], r["k"])):
+        want.setdefault(r["g"], []).append(r["k"])
+    for per in (50, 100_000):
+        got = {}
+        for r in ranked_upto(df.drop("rank"), ["g"], "h", "k", limits, F.col("n"), rows_per_bucket=per).collect():
+            got.setdefault(r["g"], []).append((r["rank"], r["k"]))
+        assert {g: [k for _, k in sorted(v)] for g, v in got.items()} == {0: want[0][:700], 1: want[1][:5]}
+
+
+def test_tfidf_against_numpy(spark):
+    from collections import Counter
+
+    from loomscribe.operators.weights import tfidf
+
+    docs = ["a b a", "b c", "A b C d", "", None, "a"]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(docs)], "doc_id long, text string, term string")
+    terms = [Counter(w + [f"{p} {q}" for p, q in zip(w, w[1:])]) for w in ((t or "").lower().split() for t in docs)]
+    count = Counter(t for d in terms for t in d)
+    for most in (None, 2):
+        keep = {t for t in count if count[t] >= 2}
+        if most:
+            total = Counter({t: sum(d[t] for d in terms) for t in keep})
+            keep = {t for t, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:most]}
+        got = {(r["doc_id"], r["term"]): r["weight"] for r in tfidf(df, min_docs=2, most_terms=most).collect()}
+        want = {}
+        for i, d in enumerate(terms):
+            v = {t: (1 + np.log(n)) * (np.log((1 + len(docs)) / (1 + count[t])) + 1) for t, n in d.items() if t in keep}
+            size = np.sqrt(sum(x * x for x in v.values()))
+            want |= {(i, t): x / size for t, x in v.items()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert tfidf(df.limit(0)).count() == 0
+
+
+def test_chi_squared_tail():
+    from loomscribe.operators.metrics import chi_squared_tail
+
+    for x, df, p in ((3.841459, 1, 0.05), (5.991465, 2, 0.05), (11.0705, 5, 0.05), (18.307, 10, 0.05), (9.047, 5, 0.1072), (0, 3, 1.0)):
+        assert abs(chi_squared_tail(x, df) - p) < 1e-4
+
+
+def test_tables_are_released_and_clusters_need_a_shared_folder(spark, monkeypatch):
+    import os
+
+    from loomscribe import runtime
+
+    runtime.release(spark)
+    path = runtime.cut(spark.range(3), "mine").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and runtime.release(spark) == 1 and not os.path.exists(path)
+
+    class Far:
+        class sparkContext:
+            master, applicationId = "spark://far:7077", "x"
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.workdir(Far)

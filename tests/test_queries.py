@@ -7,7 +7,7 @@ import pytest
 from loomscribe.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"ml3_boosted_trees", "ml5_six_way", "ml6_length_logistic", "ml7_permutation_importance", "ml16_ablation"}
+LEARNED = {"ml3_boosted_trees", "ml5_six_way", "ml6_length_logistic", "ml7_permutation_importance", "ml8_core_values", "ml15_cross_validation", "ml16_ablation", "ml16_learning_curve"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not there")
 
@@ -35,7 +35,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - LEARNED))
 def test_query_against_sql(spark, duck, name):
     df = registry.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
@@ -48,6 +48,46 @@ def test_query_against_sql(spark, duck, name):
         assert plain(got) == plain([[r[i] for i in order] for r in rel.fetchall()])
 
 
+def rows(spark, name, sf=SF):
+    return [r.asDict() for r in registry.QUERIES[name](spark, sf).collect()]
+
+
+def test_classifiers_beat_the_most_frequent_label(spark):
+    from loomscribe.plans.base import predicted
+    from loomscribe.plans.corpus import doc_splits
+
+    sf = SF.replace("0.001", "0.01")  # the smallest tables have some fifty texts to test on
+    test = predicted(spark, sf).join(doc_splits(spark, sf), "doc_id").where("split = 'test'")
+    share = test.agg({"label_ai": "avg"}).first()[0]
+    plain = max(share, 1 - share) / (1 + max(share, 1 - share))  # macro-F1 of one label: half its F1
+    trees = rows(spark, "ml3_boosted_trees", sf)[0]
+    assert plain < trees["macro_f1"] <= 1 and 0 < trees["auprc"] <= 1 and trees["trees"] in (5, 10)
+    assert 0 < rows(spark, "ml6_length_logistic", sf)[0]["macro_f1"] <= 1
+    six = rows(spark, "ml5_six_way", sf)
+    assert sum(r["n"] for r in six if r["source"] == r["predicted"]) >= max(sum(r["n"] for r in six if r["source"] == s) for s in {r["source"] for r in six}) * 0.8
+
+
+def test_importance_and_core(spark):
+    imp = rows(spark, "ml7_permutation_importance")
+    assert len(imp) == 8 and all(-1 <= r["importance"] <= 1 for r in imp) and max(r["importance"] for r in imp) > 0
+    core = rows(spark, "ml8_core_values")
+    assert len(core) == 8 and abs(sum(r["share"] for r in core) - 1) < 1e-4
+    for r in core:
+        assert 0 <= r["stability"] <= 1 and 0 <= r["in_top"] <= 1
+        assert not r["core"] or (r["importance"] > r["null95"] and r["stability"] >= 0.55 and r["in_top"] >= 0.6 and abs(r["gap"]) >= 0.2 and r["spread"] <= 0.35)
+
+
+def test_folds_ablation_and_curve(spark):
+    folds = rows(spark, "ml15_cross_validation")
+    assert [r["fold"] for r in sorted(folds, key=lambda r: r["fold"])] == [0, 1, 2, 3, 4] and len({r["mean"] for r in folds}) == 1
+    assert all(0 <= r["macro_f1"] <= 1 for r in folds) and folds[0]["learns"]
+    gone = {r["without"]: r["macro_f1"] for r in rows(spark, "ml16_ablation")}
+    assert set(gone) == {"none", "f01", "f02", "f03", "f04", "f05", "f06"} and all(0 <= v <= 1 for v in gone.values())
+    curve = rows(spark, "ml16_learning_curve")
+    assert sorted((r["percent"], r["seed"]) for r in curve) == [(p, s) for p in (25, 50, 75) for s in (1, 2, 3)] + [(100, 1)]
+    assert rows(spark, "ml16_learning_curve") == curve  # the draws repeat
+
+
 def test_entry_lists_every_query():
     import __spark_entry__ as e
 

@@ -39,6 +39,35 @@ def test_html(spark):
     assert df.select(readers.page_title("html").alias("t")).first()["t"] == "My page | About us"
 
 
+def test_title_with_attributes_in_any_order(spark):
+    pages = ['<meta content="One" name=description><TITLE lang="x">T</TITLE>', "<title>only</title>", "<meta name='description' content='It\"s'>", "", None, "<title>" + "x" * 400 + "</title>"]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "page_id int, html string")
+    assert [r["t"] for r in df.orderBy("page_id").select(readers.page_title("html").alias("t")).collect()] == ["T | One", "only", 'It"s', "", "", "x" * 150]
+
+
+def test_picked_table(spark):
+    rows = "".join(f"<tr><td>{i}</td><td>n{i}</td></tr>" for i in range(4))
+    page = f"<table><tr><th>Nav</th></tr>{rows}</table><table><tr><th>Rank</th><th>Name</th></tr>{rows[:30]}</table><TABLE x=1><tr><th>Rank</th><th>Name</th></tr>{rows}</TABLE><table><tr><th>Rank</th></tr>{rows}</table>"
+    df = spark.createDataFrame([(1, page), (2, "no table"), (3, None)], "page_id int, html string")
+    got = readers.pick_table(df, "html", "<th>Rank", 3).collect()
+    assert [(r["page_id"], r["cells"]) for r in got] == [(1, [str(i), f"n{i}"]) for i in range(4)]
+
+
+def test_archive_lines(spark, tmp_path):
+    (tmp_path / "i").write_text("timestamp url mime status\n20200101000000 http://a/x text/html 200\n20230101000000 http://a/y text/html 200\nbad line\n")
+    assert [(r["url"], r["status"]) for r in readers.archive_lines(spark, str(tmp_path / "i"), "20221031").collect()] == [("http://a/x", 200)]
+
+
+def test_reports(spark, tmp_path):
+    df = spark.createDataFrame([("a|b", 1, 0.12345), (None, None, None)], "k string, n int, x double")
+    assert [r["line"] for r in sinks.markdown_rows(df).collect()] == ["| a\\|b | 1 | 0.123 |", "| - | - | - |"]
+    assert sinks.markdown_head(["k", "n"]) == ("| k | n |", "|---|---|")
+    sinks.json_report(df, str(tmp_path / "r"), seed=7)
+    assert {(r["k"], r["seed"]) for r in spark.read.json(str(tmp_path / "r")).collect()} == {("a|b", 7), (None, 7)}
+    with pytest.raises(Exception):
+        sinks.json_report(df, str(tmp_path / "r"))
+
+
 def test_archive_index(spark, tmp_path):
     (tmp_path / "i").write_text("timestamp url mime status\n20200101000000 http://a/x text/html 200\n20230101000000 http://a/y text/html 200\nbad line\n")
     spark.dataSource.register(readers.ArchiveIndex)
