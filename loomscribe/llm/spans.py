@@ -22,6 +22,8 @@ from loomscribe.runtime import cut, table
 WINDOW = 50
 PIECE = 20
 HOT_BUCKET = 20_000
+#: A super-k-mer is cut after so many windows: a text that repeats itself has one minimiser for all of them.
+MOST_WINDOWS = 1024
 _CHUNK_CHARS = 2_000_000
 
 
@@ -72,6 +74,8 @@ def minimisers(h: np.ndarray, lengths: np.ndarray, k: int = WINDOW, m: int = PIE
     value, owner = low[at], text[at]
     fresh = np.ones(len(at), dtype=bool)
     fresh[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+    place = np.arange(len(at))
+    fresh |= (place - np.maximum.accumulate(np.where(fresh, place, 0))) % MOST_WINDOWS == 0
     first = np.flatnonzero(fresh)
     count = np.diff(np.append(first, len(at)))
     starts = ends - lengths

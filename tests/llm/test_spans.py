@@ -44,6 +44,17 @@ def test_found_equals_brute_force_also_when_every_bucket_is_hot(spark):
             assert got == want
 
 
+def test_repetitive_texts_are_cut_into_bounded_strings(spark, monkeypatch):
+    monkeypatch.setattr(X, "MOST_WINDOWS", 7)
+    records = made(4)
+    df = spark.createDataFrame(records, "rec long, text string")
+    got = {r["rec"] for r in X.shared_windows(df, 20, 8).select("rec").distinct().collect()}
+    assert got == brute(records, 20) and {96, 97} <= got and 95 not in got
+    assert max(r["windows"] for r in X.super_kmers(df.where("rec IS NOT NULL AND text IS NOT NULL").selectExpr("rec", "rec AS text_id", "text"), 20, 8).collect()) == 7
+    spans = {(r["rec"], r["start"], r["n_words"]) for r in X.merged_spans(X.shared_windows(df.where("rec IN (96, 97)"), 20, 8), 20).collect()}
+    assert spans == {(96, 0, 200), (97, 0, 200)}
+
+
 def test_spans_are_maximal_and_exact(spark):
     run = [f"w{i}" for i in range(70)]
     a = ["x"] * 3 + run + ["y"] * 4
