@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscribe.functions.hashing import draw
-
 
 def unit_counts(df: DataFrame, unit: str, y: str, p: str) -> DataFrame:
     """(unit, tp, fp, fn, tn) of a binary prediction."""
@@ -21,10 +19,12 @@ def bootstrap_counts(units: DataFrame, key: str, replicates: int, seed: int) ->
     units, so every unit draws its own multiplicity from a hash: no unit needs to know the others, and the job is
     one map and one aggregate however many units there are.
     """
-    u = draw(seed, key, "b") / F.lit(2.0**32)
+    u = F.conv(F.substring("_h", 1 + 8 * F.col("_i"), F.lit(8)), 16, 10).cast("long") / F.lit(2.0**32)
     cuts = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
     times = sum((F.when(u >= c, 1).otherwise(0) for c in cuts[1:]), F.when(u >= cuts[0], 1).otherwise(0))
-    rep = units.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_t", times)
+    hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col("_k").cast("string")))  # one hash has the draws of four replicates
+    rep = units.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4)))).withColumn("_h", hashed)
+    rep = rep.withColumn("_i", F.explode(F.array(*map(F.lit, range(4))))).withColumn("b", 4 * F.col("_k") + F.col("_i") + 1).where(F.col("b") <= replicates).withColumn("_t", times)
     return rep.groupBy("b").agg(*[F.sum(F.col("_t") * F.col(c)).alias(c) for c in ("tp", "fp", "fn", "tn")])
 
 

@@ -189,6 +189,14 @@ def f8_persona_drop(spark, d):
         F.count("*").alias("n"), F.count_distinct(site_of("domain")).alias("sites"))
 
 
+@query(f"""SELECT DISTINCT {site_sql('domain')} AS site, regexp_matches({_P}, 'staffing|wholesale|insurance') AND NOT regexp_matches({_P}, 'software|analytics') AS dropped FROM site_frame WHERE {site_sql('domain')} IS NOT NULL""")
+def f8_persona_sets(spark, d):
+    """The kept and the dropped sites themselves."""
+    x = F.lower(F.concat_ws(" ", "industry_raw", "company"))
+    t = table(spark, d, "site_frame").select(site_of("domain").alias("site"), (x.rlike("staffing|wholesale|insurance") & ~x.rlike("software|analytics")).alias("dropped"))
+    return t.where("site IS NOT NULL").distinct()
+
+
 @query(f"""SELECT matched, count(*) AS n FROM (SELECT len(list_filter(regexp_extract_all(lower(company), '[a-z0-9]+'), lambda w: length(w) >= 4 AND contains(replace({site_sql('domain')}, '-', ''), w))) > 0 AS matched
  FROM site_frame WHERE company IS NOT NULL AND {site_sql('domain')} IS NOT NULL) GROUP BY 1""")
 def f9_name_in_domain(spark, d):

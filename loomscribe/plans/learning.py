@@ -11,7 +11,7 @@ from loomscribe.operators import geometry as G
 from loomscribe.operators import metrics as M
 from loomscribe.operators import models as L
 from loomscribe.operators.relational import running_sums
-from loomscribe.plans.base import ENCODED_SQL, FEATURES, encoded, predicted, query, r6, table
+from loomscribe.plans.base import ENCODED_SQL, FEATURES, canon_label, encoded, mirror_texts, posts, predicted, query, r6, table
 from loomscribe.plans.corpus import doc_splits
 from loomscribe.runtime import cut
 
@@ -51,12 +51,27 @@ def ml2_variant_sets(spark, d):
     return long_form(spark, d).groupBy(v.alias("variant")).agg(F.count_distinct("col").alias("columns"), F.count("*").alias("answers"), F.count_distinct("doc_id", "source").alias("texts"))
 
 
-@query(f"""WITH {ENCODED_SQL}, {_LONG}, c AS (SELECT label_ai, col, avg(v) AS m FROM l GROUP BY 1, 2), x AS (SELECT l.label_ai, doc_id, source, sqrt(sum(pow(v - m, 2))) AS d FROM l JOIN c USING (label_ai, col) GROUP BY 1, 2, 3)
-SELECT label_ai, round(avg(d), 6) AS mean_distance, count(*) AS n FROM x GROUP BY 1""")
+@query(f"""WITH {ENCODED_SQL}, {_LONG}, c AS (SELECT label_ai, col, avg(v) AS m FROM l GROUP BY 1, 2), x AS (SELECT l.label_ai, doc_id, source, sqrt(sum(pow(v - m, 2))) AS d FROM l JOIN c USING (label_ai, col) GROUP BY 1, 2, 3),
+g AS (SELECT label_ai, avg(d) AS d, count(*) AS n FROM x GROUP BY 1), z AS (SELECT sqrt(sum(pow(a.m - b.m, 2))) AS z FROM c a JOIN c b USING (col) WHERE a.label_ai = 0 AND b.label_ai = 1)
+SELECT label_ai, round(d, 6) AS mean_distance, n, round(d / (SELECT d FROM g WHERE label_ai = 0), 6) AS ratio_to_human, round(z, 6) AS between_centroids FROM g, z""")
 def a16_dispersion(spark, d):
+    """Mean distance of the texts of each label to their centroid, its ratio to that of human texts, and the distance of the two centroids."""
     l = long_form(spark, d).withColumn("item", F.concat_ws("|", "doc_id", "source"))
     x = G.dispersion(l, "label_ai", "item", "col", "v")
-    return x.select("label_ai", r6("mean_distance").alias("mean_distance"), "n")
+    c = l.groupBy("col").agg(*[F.avg(F.when(F.col("label_ai") == k, F.col("v"))).alias(f"m{k}") for k in (0, 1)])
+    z = c.agg(F.sqrt(F.sum(F.pow(F.col("m0") - F.col("m1"), 2))).alias("z"))
+    h = F.max(F.when(F.col("label_ai") == 0, F.col("mean_distance"))).over(W.partitionBy(F.lit(1)))  # two rows
+    return x.withColumn("h", h).crossJoin(F.broadcast(z)).select("label_ai", r6("mean_distance").alias("mean_distance"), "n", r6(F.col("mean_distance") / F.col("h")).alias("ratio_to_human"), r6("z").alias("between_centroids"))  # z is one row
+
+
+@query(f"""WITH {ENCODED_SQL}, {_LONG}, m AS (SELECT col, avg(v) AS m, CASE WHEN stddev_pop(v) = 0 THEN 1 ELSE stddev_pop(v) END AS s FROM l GROUP BY 1)
+SELECT source, col, count(*) AS n, round(avg((v - m) / s), 6) AS mean_z, round(max((v - m) / s), 6) AS most_z FROM l JOIN m USING (col) GROUP BY 1, 2""")
+def a12_z_scores(spark, d):
+    """Answers as z-scores of their column: mean and largest of each source."""
+    l = long_form(spark, d)
+    m = l.groupBy("col").agg(F.avg("v").alias("m"), F.when(F.stddev_pop("v") == 0, 1.0).otherwise(F.stddev_pop("v")).alias("s"))
+    z = (F.col("v") - F.col("m")) / F.col("s")
+    return l.join(F.broadcast(m), "col").groupBy("source", "col").agg(F.count("*").alias("n"), r6(F.avg(z)).alias("mean_z"), r6(F.max(z)).alias("most_z"))  # a row a column
 
 
 def _queries_and_rows(spark, d):
@@ -353,3 +368,33 @@ def ml20_durability(spark, d):
     x = predicted(spark, d).join(rw, ["doc_id", "source"], "left").withColumn("attacked", F.coalesce("attacked", F.lit(False)))
     after = F.when(F.col("attacked"), F.col("p2")).otherwise(F.col("p1"))
     return x.groupBy("source").agg(F.count("*").alias("n"), F.count_if("attacked").alias("n_attacked"), r6(F.avg((F.col("p1") == F.col("label_ai")).cast("int"))).alias("accuracy_before"), r6(F.avg((after == F.col("label_ai")).cast("int"))).alias("accuracy_after"))
+
+
+@query()
+def ml10_core_importance(spark, d):
+    """Share of all importance that the core columns of `ml8_core_values` have."""
+    v = ml8_core_values(spark, d)
+    return v.agg(F.count_if("core").alias("n_core"), r6(F.coalesce(F.sum(F.when(F.col("core"), F.col("share"))), F.lit(0.0))).alias("core_share"))
+
+
+@query()
+def ml20_frozen_model(spark, d):
+    """Trees on style vectors, fitted on the training posts and their mirrors as they were, then asked about the test posts before and
+    after mirrors are replaced by their rewordings: by source, accuracy before and after."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from loomscribe.functions.style import MEASURES, style_vector
+
+    new = table(spark, d, "rewrites").where(F.col("rewritten_text").rlike(r"[^ \t\r\n]")).groupBy("doc_id", canon_label("source").alias("source")).agg(F.max_by("rewritten_text", "call_id").alias("new"))
+    texts = posts(spark, d).select("doc_id", F.lit("human").alias("source"), "text").unionByName(mirror_texts(spark, d).select("doc_id", "source", "text"))
+    split = doc_splits(spark, d).select("doc_id", "split").distinct()
+    both = texts.join(split, "doc_id").join(new, ["doc_id", "source"], "left")
+    was = both.select("doc_id", "source", "split", "text", F.lit("before").alias("stage"), F.col("new").isNotNull().alias("attacked"))
+    now = both.where("split = 'test'").select("doc_id", "source", "split", F.coalesce("new", "text").alias("text"), F.lit("after").alias("stage"), F.col("new").isNotNull().alias("attacked"))
+    v = style_vector(was.unionByName(now), keep=("doc_id", "source", "split", "stage", "attacked")).withColumn("label", (F.col("source") != "human").cast("double"))
+    v = cut(VectorAssembler(inputCols=list(MEASURES), outputCol="features").transform(v).select("source", "split", "stage", "attacked", "label", "features"), "style")
+    model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=5, maxDepth=3, stepSize=0.2, seed=7).fit(v.where("split <> 'test' AND stage = 'before'"))
+    got = model.transform(v.where("split = 'test'")).withColumn("right", (F.col("prediction") == F.col("label")).cast("int"))
+    at = lambda s: F.avg(F.when(F.col("stage") == s, F.col("right")))
+    return got.groupBy("source").agg(F.count_if(F.col("stage") == "before").alias("n"), F.count_if((F.col("stage") == "before") & F.col("attacked")).alias("n_attacked"), r6(at("before")).alias("accuracy_before"), r6(at("after")).alias("accuracy_after"))

@@ -309,7 +309,7 @@ REPLICATES = 10_000
 
 def _boot_sql(p: str, replicates: int = REPLICATES) -> str:
     return f"""u{p} AS (SELECT coalesce(site, doc_id) AS unit, count(*) FILTER (WHERE label_ai = 1 AND {p} = 1) AS tp, count(*) FILTER (WHERE label_ai = 0 AND {p} = 1) AS fp, count(*) FILTER (WHERE label_ai = 1 AND {p} = 0) AS fn, count(*) FILTER (WHERE label_ai = 0 AND {p} = 0) AS tn FROM pred GROUP BY 1),
-b{p} AS (SELECT b, sum(t * tp) AS tp, sum(t * fp) AS fp, sum(t * fn) AS fn, sum(t * tn) AS tn FROM (SELECT *, {_TIMES} AS t FROM (SELECT *, {H.format("'11|' || unit || '|' || b")} / 4294967296.0::DOUBLE AS u FROM u{p}, generate_series(1, {replicates}) g(b))) GROUP BY 1),
+b{p} AS (SELECT b, sum(t * tp) AS tp, sum(t * fp) AS fp, sum(t * fn) AS fn, sum(t * tn) AS tn FROM (SELECT *, {_TIMES} AS t FROM (SELECT *, 4 * k + i + 1 AS b, ('0x' || substr(h, 1 + 8 * i, 8))::UBIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT *, md5('11|' || unit || '|' || k) AS h FROM u{p}, generate_series(0, {(replicates - 1) // 4}) g(k)), (VALUES (0), (1), (2), (3)) v(i)) WHERE b <= {replicates}) GROUP BY 1),
 f{p} AS (SELECT b, (coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2.0 * tn / nullif(2 * tn + fp + fn, 0), 0)) / 2 AS f FROM b{p})"""
 
 

@@ -7,7 +7,7 @@ import pytest
 from loomscribe.plans import registry
 
 SF = "/root/testdata/sf0.001"
-LEARNED = {"ml3_boosted_trees", "ml5_six_way", "ml6_length_logistic", "ml7_permutation_importance", "ml8_core_values", "ml15_cross_validation", "ml16_ablation", "ml16_learning_curve"}
+LEARNED = {"ml3_boosted_trees", "ml5_six_way", "ml6_length_logistic", "ml7_permutation_importance", "ml8_core_values", "ml15_cross_validation", "ml16_ablation", "ml16_learning_curve", "ml10_core_importance", "ml20_frozen_model"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not there")
 
@@ -77,6 +77,12 @@ def test_importance_and_core(spark):
         assert not r["core"] or (r["importance"] > r["null95"] and r["stability"] >= 0.55 and r["in_top"] >= 0.6 and abs(r["gap"]) >= 0.2 and r["spread"] <= 0.35)
 
 
+def test_frozen_model_on_reworded_texts(spark):
+    got = {r["source"]: r for r in rows(spark, "ml20_frozen_model")}
+    assert got["human"]["n_attacked"] == 0 and got["human"]["accuracy_before"] == got["human"]["accuracy_after"]
+    assert all(0 <= r["accuracy_after"] <= 1 and r["n_attacked"] <= r["n"] for r in got.values()) and sum(r["n_attacked"] for r in got.values()) > 0
+
+
 def test_folds_ablation_and_curve(spark):
     folds = rows(spark, "ml15_cross_validation")
     assert [r["fold"] for r in sorted(folds, key=lambda r: r["fold"])] == [0, 1, 2, 3, 4] and len({r["mean"] for r in folds}) == 1
