@@ -53,6 +53,17 @@ class _Words(dict):
         self.mask: list[int] = []
         self.mark: list[int] = []
         self.markup: list[tuple[int, int, int, int, int, int, int]] = []
+        self.bar: list[bool] = []
+        self._arrays: dict[str, np.ndarray] = {}
+
+    def array(self, name: str, kind) -> np.ndarray:
+        """One of the lists as an array; only what is new since the last call is converted."""
+        have, all_ = self._arrays.get(name), getattr(self, name)
+        n = 0 if have is None else len(have)
+        if n < len(all_):
+            new = np.array(all_[n:], dtype=kind)
+            have = self._arrays[name] = new if have is None else np.concatenate([have, new])
+        return have
 
     def __missing__(self, raw: str) -> int:
         import xxhash
@@ -64,6 +75,7 @@ class _Words(dict):
         self.text.append(w)
         self.mask.append(xxhash.xxh64_intdigest(mask(raw)))
         self.mark.append(mark_of(raw))
+        self.bar.append(raw.endswith("|"))
         if raw.isalnum():
             self.markup.append((0, 0, 0, 0, 0, 0, 0))
         else:
@@ -113,6 +125,7 @@ class Places:
         final: list[int] = []
         for k, t in enumerate(texts):
             open_fences, last_pipes, waiting = 0, 0, 0
+            coded = "```" in t
             for line in t.split("\n"):
                 raw = line.split()
                 if not raw:
@@ -125,7 +138,8 @@ class Places:
                     waiting, last_pipes = 1, cells
                     continue
                 fenced = open_fences % 2
-                open_fences += line.count("```")
+                if coded:
+                    open_fences += line.count("```")
                 got = list(map(words.__getitem__, raw))
                 skip = 0
                 while skip < len(got) and not words.text[got[skip]]:  # list marks, heading marks
@@ -148,8 +162,9 @@ class Places:
         self.starts, self.text_of = np.array(starts), np.array(text_of)
         self.stops = np.append(self.starts[1:], len(c)) - 1
         self.final = np.array(final)
-        self.h = np.array(words.hash, dtype=np.uint64)[c]
-        self.mark = np.array(words.ends)[c]
+        self.h = words.array("hash", np.uint64)[c]
+        self.mark = words.array("ends", bool)[c]
+        mark = words.array("mark", np.int64)[c]
         self.line = line = np.repeat(np.arange(len(self.starts)), self.stops - self.starts + 1)
         self.first = first = self.starts[line]
         self.at = at = np.arange(len(c))
@@ -160,24 +175,30 @@ class Places:
         self.start[1:] |= self.end[:-1]
         # The final word of a text tells nothing where it has no end mark: that is what is asked.
         self.unsure = np.zeros(len(c), dtype=bool)
-        closing = np.array([0 < m < 8 for m in words.mark])[c]
-        self.unsure[self.final] = ~(self.mark | closing)[self.final]
-        markup = np.array(words.markup, dtype=np.int64)[c]
-        sums = np.concatenate([np.zeros((1, 7), np.int64), np.cumsum(markup, axis=0)])
-        run = sums[1:] - sums[first]
-        event = np.maximum.accumulate(np.where(markup[:, 4] != 0, at, -1))
-        tag = (event >= first) & (markup[np.maximum(event, 0), 4] > 0)
-        flags = (run[:, 0] % 2) + 2 * (run[:, 1] % 2) + 4 * (run[:, 2] > 0) + 8 * (run[:, 3] > 0) + 16 * tag
-        fence = (np.array(fences)[line] + run[:, 6]) % 2 == 1
+        self.unsure[self.final] = ~(self.mark[self.final] | ((mark[self.final] > 0) & (mark[self.final] < 8)))
         self.kind = kind = np.array(kinds)[line]
+        fences_, cells = np.array(fences)[line], np.array(pipes)[line]
+        flags = np.zeros(len(c), dtype=np.int64)
+        table = words.array("markup", np.int64)
+        some = np.logical_or.reduceat(table.any(axis=1)[c], self.starts)
+        where = np.flatnonzero(some[line])  # the words of the few lines with any markup
+        if len(where):
+            markup = table[c[where]]
+            own = np.searchsorted(where, first[where])
+            sums = np.concatenate([np.zeros((1, 7), np.int64), np.cumsum(markup, axis=0)])
+            run = sums[1:] - sums[own]
+            event = np.maximum.accumulate(np.where(markup[:, 4] != 0, np.arange(len(where)), -1))
+            tag = (event >= own) & (markup[np.maximum(event, 0), 4] > 0)
+            flags[where] = (run[:, 0] % 2) + 2 * (run[:, 1] % 2) + 4 * (run[:, 2] > 0) + 8 * (run[:, 3] > 0) + 16 * tag
+            cells[where] += run[:, 5]
+            fences_[where] += run[:, 6]
+        fence = fences_ % 2 == 1
         wide = np.array(before)[line]
-        cells = np.array(pipes)[line] + run[:, 5]
-        closed = np.array([x == "|" or x.endswith("|") for x in words])[c]
+        closed = words.array("bar", bool)[c]
         # Words of the sentence so far, and whether one ended before it in the line.
         stop = np.maximum.accumulate(np.where(np.concatenate([[False], self.mark[:-1]]), at, -1))
         later = stop > first
         far = np.minimum(at - np.where(later, stop, first) + 1, 20)
-        mark = np.array(words.mark)[c]
         shape = np.where(mark > 0, MARK + mark, PLAIN + 64 * kind + 32 * later + far)
         shape = np.where(flags > 0, MARKUP + flags, shape)
         shape = np.where(kind == 3, TABLE + closed + 2 * (cells < wide), shape)
@@ -246,7 +267,7 @@ def window_counts(texts: list[str], words: _Words, wanted: np.ndarray | None = N
     own = x.line[first]
     real = inside[own] & (first < x.stops[own])
     first, own = first[real], own[real]
-    masked = np.array(words.mask, dtype=np.uint64)[x.c]
+    masked = words.array("mask", np.uint64)[x.c]
     begin = context_hash(x.h[first], masked[first + 1])
     real = asked(begin)
     heads = pd.DataFrame({"ctx": begin[real].view(np.int64), "t": x.text_of[own[real]]}).drop_duplicates()["ctx"].to_numpy()
