@@ -31,10 +31,17 @@ def votes(words: list[str] | Counter) -> list[float]:
     """Function words of each language in words, or in counts of words; a word of several languages counts in parts."""
     got = [0.0] * len(LANGUAGES)
     counts = words if isinstance(words, Counter) else Counter(words)
-    for w in counts.keys() & _VOTES.keys():
-        v = _VOTES[w]
-        for i in v:
-            got[i] += counts[w] / len(v)
+    if len(counts) < len(_VOTES):
+        for w, n in counts.items():
+            if w in _VOTES:
+                v = _VOTES[w]
+                for i in v:
+                    got[i] += n / len(v)
+        return got
+    for w, v in _VOTES.items():
+        if w in counts:
+            for i in v:
+                got[i] += counts[w] / len(v)
     return got
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import product
@@ -36,8 +37,9 @@ GROUPS = {
 HIT, NOISE, WEIGHT = 0.6, 0.02, 4.0
 PRIOR = 0.04
 
-# Punctuation that separates words, words that often stand in refusals, and words for the task itself.
-_SEPARATORS = str.maketrans({c: " " for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~“”„«»…•–—· '’"})
+_WORD = re.compile(r"[^\W_]+")
+
+# Words that often stand in refusals, and words for the task itself.
 _SOFT = ("sorry", "unfortunately", "apologi", "afraid", "declin", "unable", "guidelines", "leider", "bedaure", "tut mir leid", "désolé", "regrette", "malheureusement", "lo siento", "lamentablemente", "lamento",
          "happy to help", "let me know", "excerpt")
 _TASK = ("rewrit", "reword", "rephras", "paraphras", "this request", "this task", "your request", "this edit", "this draft", "this prompt", "umformulier", "umschreib", "überarbeit", "diese anfrage", "diese bitte", "diesen text", "diesen beitrag",
@@ -45,7 +47,7 @@ _TASK = ("rewrit", "reword", "rephras", "paraphras", "this request", "this task"
 
 
 def _words(text: str) -> list[str]:
-    return text.lower().translate(_SEPARATORS).split()
+    return _WORD.findall(text.lower())
 
 
 def _vote(yes: bool | None) -> str:
@@ -64,7 +66,7 @@ def pair_votes(original: str | None, rewritten: str | None, logged: float | None
     full = has_content(rewritten) if full is None else full
     text = rewritten or ""
     low = text.lower()
-    wr, wo = low.translate(_SEPARATORS).split(), _words(original or "")
+    wr, wo = _WORD.findall(low), _words(original or "")
     cr, co = Counter(wr), Counter(wo)
     shared1 = sum(n for w, n in cr.items() if w in co) / len(wr) if wr and wo else None
     votes = {"empty": _vote(not full) + _vote(len(wr) <= 2) + _vote(None if logged is None else logged <= 2) + _vote(None if not wo else not wr or shared1 == 0)}

@@ -318,11 +318,14 @@ _COMPLETE = (COMPLETE, None, None, None, None, None, None, None, None)
 
 
 def ask(texts: list[str | None], words: _Words, rules: bool = True, refuses: list[bool] | None = None) -> list[tuple]:
-    """What is asked about the ending of each text, in the order of ASKED; how is null for texts without content and refusals."""
+    """What is asked about the ending of each text, in the order of ASKED; how is null for texts without content and refusals.
+
+    refuses: whether each text is a refusal, where that is known; null texts are then those without content.
+    """
     out: list[tuple] = []
     open_: list[tuple[int, str]] = []
     for i, t in enumerate(texts):
-        if not has_content(t) or (refuses[i] if refuses else is_refusal(t)):
+        if (t is None or refuses[i]) if refuses else (not has_content(t) or is_refusal(t)):
             out.append((None, *_COMPLETE[1:]))
             continue
         how = ending(t)
