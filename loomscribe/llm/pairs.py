@@ -103,7 +103,7 @@ def pair_votes(original: str | None, rewritten: str | None, logged: float | None
         in_own = here_[lo] if sum(here_.values()) else None
         po, pr = by_pieces(original or ""), by_pieces(text)
     votes["language"] = (_vote(None if in_own is None else in_own < 0.5) + _vote(None if lo is None or lr is None else lo != lr)
-                         + _vote(None if po is None or pr is None else po != pr) + _vote(None if shared1 is None or declines else shared1 < 0.12))
+                         + _vote(None if po is None or pr is None else po != pr) + _vote(None if shared1 is None or declines or len(wr) < 8 else shared1 < 0.12))  # a few words have no language
     votes["truncated"] = _vote(None if logged is None else logged > len(text.split()) + 2) + _vote(None if ratio is None else ratio < 0.6)
     return votes
 
