@@ -44,6 +44,8 @@ MOST_EVIDENCE = 0.8
 HOMOGLYPHS = str.maketrans("аеорсухіјѕԁһԛѡтмкнвзгΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορτυχνικ", "aeopcyxijsdhqwtmkhb3rABEZHIKMNOPTYXaoptuxvik")
 LEET = str.maketrans("@$013457!|€£", "asoieastiiel")
 _INVISIBLE = re.compile(r"[­​-‏⁠﻿︀-️]")
+_ACCENTS = re.compile("[\u0300-\u036f]+")
+_MAY_COMBINE = re.compile("[\u0483-\u1dff\u20d0-\u20ff\u2cef-\ufe2f\U000101fd-\U0001efff]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_]([ .\-_*·]))(?:[^\W\d_]\1){1,}[^\W\d_](?![^\W_])")
 _NUMBERED = re.compile(r"(?<=[^\W\d_])\d{2,}$")
 _REPEATED = re.compile(r"([^\W\d_])\1{2,}")
@@ -57,7 +59,9 @@ def fold(text: str) -> str:
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
         if re.search(r"[Ͱ-ӿԀ-ԯ]", text):
             text = text.translate(HOMOGLYPHS)
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+        text = _ACCENTS.sub("", unicodedata.normalize("NFD", text))
+        if _MAY_COMBINE.search(text):
+            text = "".join(c for c in text if not unicodedata.combining(c))
     text = text.lower().replace("ß", "ss")
     return _SPACED.sub(lambda m: re.sub(r"[\W_]", "", m.group()), text)
 
@@ -85,13 +89,21 @@ def term(raw: str) -> str:
 
 
 class Tokens:
-    """Codes of raw words, kept for the words met so far: index of the term, and whether a sentence ends there."""
+    """Codes of raw words, kept for the words met so far: index of the term, and whether a sentence ends there.
+
+    -2 is no term. Where a vocabulary is given, a term outside it has a code below -2, and other[-3 - code] is the term.
+    """
 
     def __init__(self, terms: dict[str, int] | None = None, masks: dict[int, list[str]] | None = None) -> None:
         self.terms, self.masks = terms, masks
-        self.code: dict[str, tuple[int, bool]] = {}
         self.names: list[str] = []
         self.index: dict[str, int] = {}
+        self.reset()
+
+    def reset(self) -> None:
+        self.code: dict[str, tuple[int, bool]] = {}
+        self.other: list[str] = []
+        self.other_at: dict[str, int] = {}
 
     def __call__(self, raw: str) -> tuple[int, bool]:
         got = self.code.get(raw)
@@ -100,18 +112,24 @@ class Tokens:
             if "*" in w and self.masks is not None:
                 w = fill_mask(w, self.masks)
             if not w:
-                c = -2  # no term
-            elif self.terms is not None:
-                c = self.terms.get(w, -1)  # -1: a term outside the vocabulary
-            else:
+                c = -2
+            elif self.terms is None:
                 c = self.index.setdefault(w, len(self.index))
                 if c == len(self.names):
                     self.names.append(w)
-            if len(self.code) > 1_000_000:
-                self.code.clear()
+            elif (c := self.terms.get(w, -1)) < 0:
+                k = self.other_at.setdefault(w, len(self.other))
+                if k == len(self.other):
+                    self.other.append(w)
+                c = -3 - k
             got = self.code[raw] = (c, stop)
         return got
 
+    def spare(self) -> None:
+        """To be called between texts: forgets the words met once there are a million."""
+        if len(self.code) > 1_000_000:
+            self.reset()
+
 
 def fill_mask(masked: str, words: dict[int, list[str]]) -> str:
     """The first word that a masked one such as f*ck can stand for, else the masked word itself."""
@@ -144,11 +162,11 @@ def sentences(text: str, tokens: Tokens) -> Iterator[tuple[list[int], str]]:
                 first = i + 1
 
 
-def _batch_codes(texts: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all sentences or parts of the texts one after another: term codes, the sentence of each code, the text of each sentence, and the raw word of each code."""
+def _batch_codes(texts: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all sentences or parts of the texts one after another: term codes, the sentence of each code, and the text of each sentence."""
+    tokens.spare()
     flat: list[int] = []
     ends: list[bool] = []
-    words: list[str] = []
     owner_of_line: list[int] = []
     sizes: list[int] = []
     for k, t in enumerate(texts):
@@ -156,7 +174,6 @@ def _batch_codes(texts: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarr
             raw = line.split()
             if raw:
                 got = [tokens(w) for w in raw]
-                words += raw
                 flat += [c for c, _ in got]
                 ends += [s for _, s in got]
                 ends[-1] = True
@@ -164,7 +181,7 @@ def _batch_codes(texts: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarr
                 sizes.append(len(raw))
     codes, end = np.array(flat, dtype=np.int64), np.array(ends, dtype=bool)
     if not len(codes):
-        return codes, codes, codes, codes
+        return codes, codes, codes
     owner = np.repeat(owner_of_line, sizes)
     sid = np.concatenate([[0], np.cumsum(end)[:-1]])
     at = np.arange(len(codes))
@@ -175,7 +192,7 @@ def _batch_codes(texts: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarr
         at = np.concatenate([np.arange(a, b) for a, b in places])
         sid = np.repeat(np.arange(len(places)), [b - a for a, b in places])
     starts = np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]])
-    return codes[at], sid, owner[at[starts]], np.array(words, dtype=object)[at]
+    return codes[at], sid, owner[at[starts]]
 
 
 def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,7 +200,7 @@ def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         texts = [t for t in pdf["text"] if t]
         for i in range(0, len(texts), 500):
-            codes, sid, owner, _ = _batch_codes(texts[i : i + 500], tokens)
+            codes, sid, owner = _batch_codes(texts[i : i + 500], tokens)
             ok = codes >= 0
             pair = np.unique(sid[ok] * np.int64(len(tokens.names) + 1) + codes[ok])
             df = np.bincount(pair % np.int64(len(tokens.names) + 1), minlength=len(tokens.names)) if len(pair) else np.zeros(0, int)
@@ -380,23 +397,21 @@ class Judge:
         """(text, sentence, codes, other terms) of the sentences that may have a bad neighbour: the bound takes their other terms for nothing."""
         out: list[tuple[int, int, list[int], list[str]]] = []
         for lo in range(0, len(texts) if self.index else 0, 500):
-            codes, sid, owner, words = _batch_codes(texts[lo : lo + 500], tokens)
+            codes, sid, owner = _batch_codes(texts[lo : lo + 500], tokens)
             if not len(codes):
                 continue
             known = codes >= 0
             w = np.where(known, self.weights[np.maximum(codes, 0)], 0.0)
-            once = np.zeros(len(codes), dtype=bool)
-            once[np.unique(sid * np.int64(len(self.weights) + 2) + codes, return_index=True)[1]] = True
-            once &= known
+            bad = w * np.where(known, self.index.bad_max[np.maximum(codes, 0)], 0.0)
             starts = np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]])
-            length = np.sqrt(np.add.reduceat(w * w * once, starts))
-            bound = np.add.reduceat(w * np.where(known, self.index.bad_max[np.maximum(codes, 0)], 0.0) * once, starts)
             ends = np.append(starts[1:], len(codes))
-            for s in np.flatnonzero((bound >= LEAST_SIMILARITY * length) & (length > 0)):
-                mine = codes[starts[s] : ends[s]]
-                other = {fill_mask(x, self.masks) if "*" in x else x for x in map(term, words[starts[s] : ends[s]][mine == -1])} if (mine == -1).any() else ()
-                if len(self.index.neighbours(mine)[0]):
-                    out.append((lo + int(owner[s]), int(s - np.searchsorted(owner, owner[s])), np.unique(mine[mine >= 0]).tolist(), sorted(other)))
+            # repeated terms make this bound larger, and no sentence is shorter than its heaviest term
+            for s in np.flatnonzero((np.add.reduceat(bad, starts) >= LEAST_SIMILARITY * np.maximum.reduceat(w, starts)) & (np.maximum.reduceat(bad, starts) > 0)):
+                mine, once = np.unique(codes[starts[s] : ends[s]], return_index=True)
+                ws = w[starts[s] : ends[s]][once]
+                if bad[starts[s] : ends[s]][once].sum() < LEAST_SIMILARITY * np.sqrt((ws**2).sum()) or not len(self.index.neighbours(mine)[0]):
+                    continue
+                out.append((lo + int(owner[s]), int(s - np.searchsorted(owner, owner[s])), mine[mine >= 0].tolist(), sorted(tokens.other[-3 - c] for c in mine[mine < -2])))
         return out
 
     def score(self, codes: list[int], other: float) -> tuple[float, str, str, float] | None:
