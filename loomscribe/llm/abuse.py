@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,6 +48,8 @@ _INVISIBLE = re.compile(r"[­​-‏⁠﻿︀-️]")
 _ACCENTS = re.compile("[\u0300-\u036f]+")
 _MAY_COMBINE = re.compile("[\u0483-\u1dff\u20d0-\u20ff\u2cef-\ufe2f\U000101fd-\U0001efff]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_]([ .\-_*·]))(?:[^\W\d_]\1){1,}[^\W\d_](?![^\W_])")
+#: Every match of _SPACED holds this, which is searched faster: it begins with one of a few signs.
+_MAY_SPACE = re.compile(r"([ .\-_*·])[^\W\d_]\1[^\W\d_](?![^\W_])")
 _NUMBERED = re.compile(r"(?<=[^\W\d_])\d{2,}$")
 _REPEATED = re.compile(r"([^\W\d_])\1{2,}")
 _EDGE = ".,;:?\"'“”‘’«»()[]{}<>…_`~#+=–—-"
@@ -63,7 +66,7 @@ def fold(text: str) -> str:
         if _MAY_COMBINE.search(text):
             text = "".join(c for c in text if not unicodedata.combining(c))
     text = text.lower().replace("ß", "ss")
-    return _SPACED.sub(lambda m: re.sub(r"[\W_]", "", m.group()), text)
+    return _SPACED.sub(lambda m: re.sub(r"[\W_]", "", m.group()), text) if _MAY_SPACE.search(text) else text
 
 
 def term(raw: str) -> str:
@@ -88,10 +91,23 @@ def term(raw: str) -> str:
     return w[:-1] if len(w) > 4 and w.endswith("s") and not w.endswith("ss") else w
 
 
+class Known(dict):
+    """Values by key, each made by a function when it is first asked for: a lookup of a known key runs no Python."""
+
+    def __init__(self, make: Callable) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str):
+        got = self[key] = self.make(key)
+        return got
+
+
 class Tokens:
     """Codes of raw words, kept for the words met so far: index of the term, and whether a sentence ends there.
 
     -2 is no term. Where a vocabulary is given, a term outside it has a code below -2, and other[-3 - code] is the term.
+    packed has 2 * code, and 1 more where a sentence ends.
     """
 
     def __init__(self, terms: dict[str, int] | None = None, masks: dict[int, list[str]] | None = None) -> None:
@@ -101,33 +117,34 @@ class Tokens:
         self.reset()
 
     def reset(self) -> None:
-        self.code: dict[str, tuple[int, bool]] = {}
+        self.packed = Known(self._pack)
         self.other: list[str] = []
         self.other_at: dict[str, int] = {}
 
+    def _pack(self, raw: str) -> int:
+        w = term(raw)
+        if "*" in w and self.masks is not None:
+            w = fill_mask(w, self.masks)
+        if not w:
+            c = -2
+        elif self.terms is None:
+            c = self.index.setdefault(w, len(self.index))
+            if c == len(self.names):
+                self.names.append(w)
+        elif (c := self.terms.get(w, -1)) < 0:
+            k = self.other_at.setdefault(w, len(self.other))
+            if k == len(self.other):
+                self.other.append(w)
+            c = -3 - k
+        return 2 * c + bool(_STOP.search(raw))
+
     def __call__(self, raw: str) -> tuple[int, bool]:
-        got = self.code.get(raw)
-        if got is None:
-            w, stop = term(raw), bool(_STOP.search(raw))
-            if "*" in w and self.masks is not None:
-                w = fill_mask(w, self.masks)
-            if not w:
-                c = -2
-            elif self.terms is None:
-                c = self.index.setdefault(w, len(self.index))
-                if c == len(self.names):
-                    self.names.append(w)
-            elif (c := self.terms.get(w, -1)) < 0:
-                k = self.other_at.setdefault(w, len(self.other))
-                if k == len(self.other):
-                    self.other.append(w)
-                c = -3 - k
-            got = self.code[raw] = (c, stop)
-        return got
+        p = self.packed[raw]
+        return p >> 1, bool(p & 1)
 
     def spare(self) -> None:
         """To be called between texts: forgets the words met once there are a million."""
-        if len(self.code) > 1_000_000:
+        if len(self.packed) > 1_000_000:
             self.reset()
 
 
@@ -165,23 +182,22 @@ def sentences(text: str, tokens: Tokens) -> Iterator[tuple[list[int], str]]:
 def _batch_codes(texts: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all sentences or parts of the texts one after another: term codes, the sentence of each code, and the text of each sentence."""
     tokens.spare()
-    flat: list[int] = []
-    ends: list[bool] = []
+    flat = array("q")
     owner_of_line: list[int] = []
     sizes: list[int] = []
+    code_of = tokens.packed.__getitem__
     for k, t in enumerate(texts):
         for line in fold(t).split("\n"):
             raw = line.split()
             if raw:
-                got = [tokens(w) for w in raw]
-                flat += [c for c, _ in got]
-                ends += [s for _, s in got]
-                ends[-1] = True
+                flat.extend(map(code_of, raw))
                 owner_of_line.append(k)
                 sizes.append(len(raw))
-    codes, end = np.array(flat, dtype=np.int64), np.array(ends, dtype=bool)
+    packed = np.frombuffer(flat, dtype=np.int64) if flat else np.zeros(0, np.int64)
+    codes, end = packed >> 1, (packed & 1).astype(bool)
     if not len(codes):
         return codes, codes, codes
+    end[np.cumsum(sizes) - 1] = True
     owner = np.repeat(owner_of_line, sizes)
     sid = np.concatenate([[0], np.cumsum(end)[:-1]])
     at = np.arange(len(codes))
@@ -191,10 +207,15 @@ def _batch_codes(texts: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarr
         places = [(f + a, f + b) for f, n in zip(firsts.tolist(), counts.tolist()) for a, b in parts_of(n)]
         at = np.concatenate([np.arange(a, b) for a, b in places])
         sid = np.repeat(np.arange(len(places)), [b - a for a, b in places])
-    starts = np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]])
+    starts = _firsts(sid)
     return codes[at], sid, owner[at[starts]]
 
 
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins; x is not empty."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+
+
 def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     tokens = Tokens()
     for pdf in batches:
@@ -202,8 +223,9 @@ def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i in range(0, len(texts), 500):
             codes, sid, owner = _batch_codes(texts[i : i + 500], tokens)
             ok = codes >= 0
-            pair = np.unique(sid[ok] * np.int64(len(tokens.names) + 1) + codes[ok])
-            df = np.bincount(pair % np.int64(len(tokens.names) + 1), minlength=len(tokens.names)) if len(pair) else np.zeros(0, int)
+            each = np.int64(len(tokens.names) + 1)
+            pair = np.sort(sid[ok] * each + codes[ok])
+            df = np.bincount(pair[_firsts(pair)] % each, minlength=len(tokens.names)) if len(pair) else np.zeros(0, int)
             seen = np.flatnonzero(df)
             yield pd.DataFrame({"term": [*(tokens.names[j] for j in seen), ""], "df": np.append(df[seen], len(owner))})
 
@@ -381,8 +403,9 @@ class Judge:
         self.weights = np.array([term_weight(total, df[w]) for w in names] or [1.0])
         self.masks: dict[int, list[str]] = {}
         per_bad = stands_for[1] / stands_for[0]
-        bad_words = Counter(w for k, t in docs if k != "ok" for w in {term(x) for x in fold(t).split()} if w and "*" not in w)
-        ok_words = Counter(w for k, t in docs if k == "ok" for w in {term(x) for x in fold(t).split()})
+        term_of = Known(term)
+        bad_words = Counter(w for k, t in docs if k != "ok" for w in {term_of[x] for x in fold(t).split()} if w and "*" not in w)
+        ok_words = Counter(w for k, t in docs if k == "ok" for w in {term_of[x] for x in fold(t).split()})
         for w, n in sorted(bad_words.items(), key=lambda x: (-x[1] / (x[1] + per_bad * ok_words[x[0]]), -x[1], x[0])):
             if n >= 2 and n > per_bad * ok_words[w] and w.isalpha() and len(w) > 3:
                 self.masks.setdefault(len(w), []).append(w)
@@ -396,22 +419,34 @@ class Judge:
     def candidates(self, texts: list[str], tokens: Tokens) -> list[tuple[int, int, list[int], list[str]]]:
         """(text, sentence, codes, other terms) of the sentences that may have a bad neighbour: the bound takes their other terms for nothing."""
         out: list[tuple[int, int, list[int], list[str]]] = []
+        if self.index:  # code -1 is the last place, for all terms outside the vocabulary
+            weight, bad_weight = np.append(self.weights, 0.0), np.append(self.weights * self.index.bad_max, 0.0)
         for lo in range(0, len(texts) if self.index else 0, 500):
             codes, sid, owner = _batch_codes(texts[lo : lo + 500], tokens)
             if not len(codes):
                 continue
-            known = codes >= 0
-            w = np.where(known, self.weights[np.maximum(codes, 0)], 0.0)
-            bad = w * np.where(known, self.index.bad_max[np.maximum(codes, 0)], 0.0)
-            starts = np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]])
-            ends = np.append(starts[1:], len(codes))
+            w, bad = weight[np.maximum(codes, -1)], bad_weight[np.maximum(codes, -1)]
+            starts = _firsts(sid)
             # repeated terms make this bound larger, and no sentence is shorter than its heaviest term
-            for s in np.flatnonzero((np.add.reduceat(bad, starts) >= LEAST_SIMILARITY * np.maximum.reduceat(w, starts)) & (np.maximum.reduceat(bad, starts) > 0)):
-                mine, once = np.unique(codes[starts[s] : ends[s]], return_index=True)
-                ws = w[starts[s] : ends[s]][once]
-                if bad[starts[s] : ends[s]][once].sum() < LEAST_SIMILARITY * np.sqrt((ws**2).sum()) or not len(self.index.neighbours(mine)[0]):
+            loose = (np.add.reduceat(bad, starts) >= LEAST_SIMILARITY * np.maximum.reduceat(w, starts)) & (np.maximum.reduceat(bad, starts) > 0)
+            if not loose.any():
+                continue
+            # of the sentences that pass it, each term once: codes by sentence, in rising order
+            at = np.flatnonzero(loose[sid])
+            low, each = codes.min(), np.int64(codes.max() - codes.min() + 1)
+            pair = np.sort(sid[at] * each + (codes[at] - low))
+            pair = pair[_firsts(pair)]
+            mine_of, mine = pair // each, pair % each + low
+            w, bad = weight[np.maximum(mine, -1)], bad_weight[np.maximum(mine, -1)]
+            starts = _firsts(mine_of)
+            ends = np.append(starts[1:], len(mine))
+            # the sums are in another order than those of `neighbours`, which decides
+            near = np.add.reduceat(bad, starts) >= LEAST_SIMILARITY * np.sqrt(np.add.reduceat(w**2, starts)) - 1e-9
+            for a, b in zip(starts[near], ends[near]):
+                if not len(self.index.neighbours(mine[a:b])[0]):
                     continue
-                out.append((lo + int(owner[s]), int(s - np.searchsorted(owner, owner[s])), mine[mine >= 0].tolist(), sorted(tokens.other[-3 - c] for c in mine[mine < -2])))
+                s, c = int(mine_of[a]), mine[a:b]
+                out.append((lo + int(owner[s]), int(s - np.searchsorted(owner, owner[s])), c[c >= 0].tolist(), sorted(tokens.other[-3 - x] for x in c[c < -2])))
         return out
 
     def score(self, codes: list[int], other: float) -> tuple[float, str, str, float] | None:

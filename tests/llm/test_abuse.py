@@ -166,3 +166,62 @@ def test_isotonic_and_reliability(spark):
     got = A.scores(d, v, calibrate=True).collect()
     assert all(0 <= r["probability"] <= 1 for r in got) and max(r["probability"] for r in got if r["doc_id"] in truth) > 0.9
     assert A.reliability(d, v.limit(0)).count() == 0
+
+
+def python_calls(run):
+    """How many Python functions run() calls."""
+    import sys
+
+    n = 0
+
+    def count(_frame, event, _arg):
+        nonlocal n
+        n += event == "call"
+
+    before = sys.getprofile()
+    sys.setprofile(count)
+    try:
+        run()
+    finally:
+        sys.setprofile(before)
+    return n
+
+
+def test_no_python_call_a_word_or_sentence():
+    docs, labels, truth = corpus(200)
+    half = [("abusive" if i in truth else "ok", t) for i, t, _ in docs]
+    own = A.Tokens()
+    df = A.Counter(c for _, t in half for codes, _ in A.sentences(t, own) for c in set(codes))
+    judge = A.Judge(half, {own.names[c]: n for c, n in df.items()}, 1000)
+    texts = ["The planners review the weekly report " * 40 + "in plain language." for _ in range(100)]  # 24,300 words in 1,200 parts, none bad
+    tokens = judge.tokens()
+    assert judge.candidates(texts, tokens) == []
+    assert python_calls(lambda: judge.candidates(texts, tokens)) < 3000
+    assert python_calls(lambda: A._batch_codes(texts, tokens)) < 1500
+
+
+def test_spaced_letters_are_joined_wherever_they_stand():
+    r = random.Random(2)
+    for _ in range(20_000):
+        text = "".join(r.choice("ab1_.-*· \n!()é") for _ in range(r.randrange(1, 13)))
+        assert bool(A._SPACED.search(text)) <= bool(A._MAY_SPACE.search(text)), text
+    assert A.fold("x (i d i o t s), y") == "x (idiots), y" and A.fold("a.b") == "a.b" and A.fold("p·i·g") == "pig"
+
+
+def test_bound_leaves_out_no_sentence_with_a_bad_neighbour():
+    docs, labels, truth = corpus(300, seed=6)
+    half = [("abusive" if i in truth else "ok", t) for i, t, _ in docs]
+    own = A.Tokens()
+    df = A.Counter(c for _, t in half for codes, _ in A.sentences(t, own) for c in set(codes))
+    judge = A.Judge(half, {own.names[c]: n for c, n in df.items()}, 2000)
+    r, words = random.Random(7), [w for _, t in half for w in t.split()] + ["qqzzy", "***", "2024"]
+    texts = ["", *(" ".join(r.choice(words) for _ in range(r.randrange(90))) for _ in range(700)), "you " * 90, "You pathetic qqzzy pigs pigs."]
+    tokens = judge.tokens()
+    want = []
+    for k, t in enumerate(texts):
+        codes, sid, _ = A._batch_codes([t], tokens)
+        for s in range(sid.max() + 1 if len(sid) else 0):
+            mine = set(codes[sid == s].tolist())
+            if len(judge.index.neighbours(sorted(mine))[0]):
+                want.append((k, s, sorted(c for c in mine if c >= 0), sorted(tokens.other[-3 - c] for c in mine if c < -2)))
+    assert len(want) > 50 and judge.candidates(texts, tokens) == want
