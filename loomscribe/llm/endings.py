@@ -78,6 +78,9 @@ def has_content(text: str | None) -> bool:
     """False for null and blank texts and for placeholders such as N/A, {}, [], <p></p>, (empty), ##."""
     if not text:
         return False
+    start = text[:120]
+    if "<" not in start and sum(len(w) > 1 and w.isalpha() for w in start.split()) >= 6:
+        return True
     if len(_WORDS.findall(_TAG.sub(" ", text[:400]))) >= 6:
         return True
     bare = BLANK.sub(" ", _TAG.sub(" ", text)).strip(" .,:;!?-–—_*#|()[]{}<>`\"'“”«»…~=+/\\")

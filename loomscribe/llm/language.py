@@ -13,10 +13,11 @@ FUNCTION_WORDS = {
     "es": "el la los las y es una un en para con por que del al no más son este esta estos sus su se como pero sin sobre entre desde hasta cuando porque antes después cada muy ha han lo le nos si ya también fue nuestros".split(),
 }
 LANGUAGES = tuple(FUNCTION_WORDS)
-_VOTES: dict[str, tuple[int, ...]] = {}
+#: Of each function word, the places of its languages.
+FUNCTION_WORD_OF: dict[str, tuple[int, ...]] = {}
 for _i, _l in enumerate(LANGUAGES):
     for _w in FUNCTION_WORDS[_l]:
-        _VOTES[_w] = (*_VOTES.get(_w, ()), _i)
+        FUNCTION_WORD_OF[_w] = (*FUNCTION_WORD_OF.get(_w, ()), _i)
 _PIECES = {
     "en": ("th", "ing ", "ed ", "wh", "sh", " a ", "ow", "ly "),
     "de": ("sch", "ung", "ch ", "ei", "en ", "ä", "ü", "ß"),
@@ -31,14 +32,14 @@ def votes(words: list[str] | Counter) -> list[float]:
     """Function words of each language in words, or in counts of words; a word of several languages counts in parts."""
     got = [0.0] * len(LANGUAGES)
     counts = words if isinstance(words, Counter) else Counter(words)
-    if len(counts) < len(_VOTES):
+    if len(counts) < len(FUNCTION_WORD_OF):
         for w, n in counts.items():
-            if w in _VOTES:
-                v = _VOTES[w]
+            if w in FUNCTION_WORD_OF:
+                v = FUNCTION_WORD_OF[w]
                 for i in v:
                     got[i] += n / len(v)
         return got
-    for w, v in _VOTES.items():
+    for w, v in FUNCTION_WORD_OF.items():
         if w in counts:
             for i in v:
                 got[i] += counts[w] / len(v)
@@ -67,7 +68,11 @@ def share_by_sentence(text: str) -> dict[str, float]:
     got = dict.fromkeys(LANGUAGES, 0.0)
     for s in _SENTENCE.split(text.lower()):
         words = _WORD.findall(s)
-        lang = best(votes(words), 1.0)
+        tally = [0.0] * len(LANGUAGES)
+        for v in filter(None, map(FUNCTION_WORD_OF.get, words)):
+            for i in v:
+                tally[i] += 1 / len(v)
+        lang = best(tally, 1.0)
         if lang:
             got[lang] += len(words)
     total = sum(got.values())

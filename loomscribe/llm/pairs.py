@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from loomscribe.functions.labels import canon_label
 from loomscribe.llm.endings import COMPLETE, CUT, has_content
-from loomscribe.llm.language import LANGUAGES, best, by_pieces, share_by_sentence
+from loomscribe.llm.language import FUNCTION_WORD_OF, LANGUAGES, best, by_pieces, share_by_sentence
 from loomscribe.llm.language import votes as function_words
+from loomscribe.llm.refusals import _MARKS as _REFUSES
 from loomscribe.llm.refusals import is_refusal
 from loomscribe.llm.truncation import ASKED, _Words, as_frame, ask, evidence, strict_prefixes
 from loomscribe.runtime import cut, table
@@ -50,10 +51,6 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _vote(yes: bool | None) -> str:
-    return "0" if yes is None else "+" if yes else "-"
-
-
 def _any(marks: tuple[str, ...], low: str) -> bool:
     for m in marks:
         if m in low:
@@ -61,67 +58,243 @@ def _any(marks: tuple[str, ...], low: str) -> bool:
     return False
 
 
-def pair_votes(original: str | None, rewritten: str | None, logged: float | None, full: bool | None = None, declines: bool | None = None) -> dict[str, str]:
-    """The votes (+, -, or 0 to abstain) of each defect's labelling functions; of `truncated` only those two that need no other text."""
-    full = has_content(rewritten) if full is None else full
-    text = rewritten or ""
-    low = text.lower()
-    wr, wo = _WORD.findall(low), _words(original or "")
-    cr, co = Counter(wr), Counter(wo)
-    shared1 = sum(n for w, n in cr.items() if w in co) / len(wr) if wr and wo else None
-    votes = {"empty": _vote(not full) + _vote(len(wr) <= 2) + _vote(None if logged is None else logged <= 2) + _vote(None if not wo else not wr or shared1 == 0)}
-    if not full:
-        return votes | {"refusal": "-----", "copy": "------", "language": "----", "truncated": "--"}
-    ratio = len(wr) / len(wo) if wo else None
-    tri, other = set(zip(wr, wr[1:], wr[2:])), set(zip(wo, wo[1:], wo[2:]))
-    shared3 = len(tri & other) / len(tri) if tri and other else None
-    shared2 = overlap = kept = None
-    if shared1 is not None and shared1 < 0.7:  # too far from a copy by its single words: no need to count more
-        shared2 = overlap = kept = 0.0
-    elif shared1 is not None:
-        two = set(zip(wr, wr[1:]))
-        shared2 = len(two & set(zip(wo, wo[1:]))) / len(two) if two else None
-        overlap = sum(min(n, co[w]) for w, n in cr.items() if w in co) / len(wr)
-        long_ = [(w, n) for w, n in co.items() if len(w) >= 7]
-        total = sum(n for _, n in long_)
-        kept = sum(min(n, cr[w]) for w, n in long_ if w in cr) / total if total else None
-    declines = is_refusal(text) if declines is None else declines
-    votes["refusal"] = (_vote(declines) + _vote(None if ratio is None else ratio < 0.4) + _vote(None if shared3 is None else shared3 < 0.02)
-                        + _vote(_any(_SOFT, low)) + _vote(_any(_TASK, low)))
-    votes["copy"] = (_vote(None if shared3 is None else shared3 >= 0.7) + _vote(None if shared2 is None else shared2 >= 0.8) + _vote(None if shared1 is None else shared1 >= 0.93)
-                     + _vote(None if overlap is None else overlap >= 0.9) + _vote(None if kept is None else kept >= 0.9) + _vote(None if ratio is None else 0.85 <= ratio <= 1.2))
-    tally = function_words(cr)
-    if declines:  # a refusal counts as one in any language: it answers nothing that could be in the wrong one
-        co = Counter()
-    lo, lr = best(function_words(co)), best(tally)
-    if lo is None:
-        in_own = po = pr = None
-    elif lr == lo and tally[LANGUAGES.index(lo)] >= 0.9 * sum(tally):  # clear: sentences need not be asked
-        in_own, po, pr = 1.0, lo, lo
-    else:
-        here_ = share_by_sentence(text)
-        in_own = here_[lo] if sum(here_.values()) else None
-        po, pr = by_pieces(original or ""), by_pieces(text)
-    votes["language"] = (_vote(None if in_own is None else in_own < 0.5) + _vote(None if lo is None or lr is None else lo != lr)
-                         + _vote(None if po is None or pr is None else po != pr) + _vote(None if shared1 is None or declines or len(wr) < 8 else shared1 < 0.12))  # a few words have no language
-    votes["truncated"] = _vote(None if logged is None else logged > len(text.split()) + 2) + _vote(None if ratio is None else ratio < 0.6)
-    return votes
+class _Marks:
+    """Which lists of marks a raw word, or two in a row, may bring into a text; bit k is the list k.
+
+    A mark without blanks stands inside one raw word, which is all there is to ask. Of a mark with blanks the first two
+    parts end one raw word and begin the next; whether the text has it is asked of the text.
+    """
+
+    def __init__(self, *lists: tuple[str, ...]) -> None:
+        self.inside = [re.compile("|".join(re.escape(m) for m in marks if " " not in m)) for marks in lists]
+        self.single = [(k, m.strip(), m[0] == " ", m[-1] == " ") for k, marks in enumerate(lists) for m in marks if " " in m and " " not in m.strip()]
+        pairs = [(k, *m.strip().split(" ")[:2]) for k, marks in enumerate(lists) for m in marks if " " in m.strip()]
+        self.firsts = {x: i for i, x in enumerate(sorted({(k, a) for k, a, _ in pairs}))}
+        self.seconds: dict[str, int] = {}
+        for k, a, b in pairs:
+            self.seconds[b] = self.seconds.get(b, 0) | 1 << self.firsts[k, a]
+        self.of_list = [sum(1 << i for (k, _), i in self.firsts.items() if k == j) for j in range(len(lists))]
+        self.ends, self.begins = tuple({a for _, a in self.firsts}), tuple(self.seconds)
+
+    def look(self, raw: str) -> tuple[int, int, int]:
+        """The lists that the raw word brings, and bits of the pairs that it may be first and second of."""
+        brings = first = second = 0
+        for k, pattern in enumerate(self.inside):
+            if pattern.search(raw):
+                brings |= 1 << k
+        for k, m, begins, ends in self.single:
+            if m in raw and (not begins or raw.startswith(m)) and (not ends or raw.endswith(m)):
+                brings |= 1 << k
+        if raw.endswith(self.ends):
+            for (_, a), i in self.firsts.items():
+                if raw.endswith(a):
+                    first |= 1 << i
+        if raw.startswith(self.begins):
+            for b, bits in self.seconds.items():
+                if raw.startswith(b):
+                    second |= bits
+        return brings, first, second
+
+
+_LISTS = _Marks(_REFUSES, _SOFT, _TASK)
+#: Words are numbered below this, so that three numbers make one whole number.
+BASE = 1 << 21
+#: Pairs looked at together.
+ROWS = 1000
+
+
+class _Raw(dict):
+    """The code of each raw lower-case word met so far; patterns and marks are asked of it once, and known by its code from then on."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat: list[int] = []
+        self.rows: list[tuple[int, int, int, int, int]] = []
+        self.long: list[bool] = []
+        self.spoken: list[tuple[float, ...]] = []
+        self._arrays: dict[str, np.ndarray] = {}
+
+    def array(self, name: str, kind) -> np.ndarray:
+        """One of the lists as an array; only what is new since the last call is converted."""
+        have, all_ = self._arrays.get(name), getattr(self, name)
+        n = 0 if have is None else len(have)
+        if n < len(all_):
+            new = np.array(all_[n:], dtype=kind)
+            have = self._arrays[name] = new if have is None else np.concatenate([have, new])
+        return have
+
+    def __missing__(self, raw: str) -> int:
+        c = self[raw] = len(self.rows)
+        words = [raw] if raw.isalnum() else _WORD.findall(raw)
+        self.rows.append((len(self.flat), len(words), *_LISTS.look(raw.replace("’", "'"))))
+        for w in words:
+            k = self.known.get(w)
+            if k is None:
+                k = self.known[w] = len(self.long)
+                self.long.append(len(w) >= 7)
+                in_ = FUNCTION_WORD_OF.get(w, ())
+                self.spoken.append(tuple(in_.count(i) / max(len(in_), 1) for i in range(len(LANGUAGES))))
+            self.flat.append(k)
+        return c
+
+
+def _grams(w: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each two and each three words in a row; equal numbers are equal words."""
+    if n_words < BASE:
+        two = w[:-1] * BASE + w[1:]
+        return two, two[:-1] * BASE + w[2:]
+    two = pd.factorize((w[:-1] << 31) + w[1:])[0].astype(np.int64)
+    return two, (two[:-1] << 31) + w[2:]
+
+
+def _in_both(r: np.ndarray, o: np.ndarray) -> int:
+    """How many words of r are matched one to one by equal words of o."""
+    cr, co = Counter(r.tolist()), Counter(o.tolist())
+    both = list(cr.keys() & co.keys())
+    return sum(map(min, map(cr.__getitem__, both), map(co.__getitem__, both)))
+
+
+def _best(tally: np.ndarray) -> np.ndarray:
+    """`best` of each row: the place of its language, or -1."""
+    order = np.sort(tally, axis=1)
+    return np.where((order[:, -1] >= 2.0) & (order[:, -1] > order[:, -2]), tally.argmax(axis=1), -1)
+
+
+def _signs(*functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The votes of some functions, each given as (yes, known), as a string a row: +, -, or 0 to abstain."""
+    code = np.zeros(len(functions[0][0]), dtype=np.int64)
+    for yes, known in functions:
+        code = code * 3 + np.where(known, np.where(yes, 0, 1), 2)
+    return np.array(["".join(v) for v in product("+-0", repeat=len(functions))], dtype=object)[code]
+
+
+def pair_votes(originals: list[str | None], texts: list[str | None], logged: np.ndarray, words: _Raw, full: list[bool] | None = None) -> tuple[dict[str, np.ndarray], list[bool]]:
+    """The votes of each defect's labelling functions on some pairs, and whether each answer declines; of `truncated` only those two that need no other text.
+
+    logged is nan where it is not known; words are those met so far.
+    """
+    n = len(texts)
+    full = np.array([has_content(t) for t in texts] if full is None else full, dtype=bool)
+    lows = [(t or "").lower() for t in texts]
+    split: list[str] = []
+    bounds = [0]
+    for low in [(t or "").lower() for t in originals] + lows:
+        split += low.split()
+        bounds.append(len(split))
+    raw, at = np.fromiter(map(words.__getitem__, split), np.int64, len(split)), np.array(bounds)
+    sizes = np.diff(at)
+    del split
+    table = words.array("rows", np.int64).reshape(-1, 5) if len(raw) else np.zeros((0, 5), dtype=np.int64)
+    # Words of the raw words, one after another.
+    many = table[:, 1][raw]
+    to = np.concatenate([[0], np.cumsum(many)])
+    flat = words.array("flat", np.int64)
+    w = flat[np.repeat(table[:, 0][raw] - to[:-1], many) + np.arange(to[-1])] if to[-1] else np.zeros(0, dtype=np.int64)
+    at_w = to[at]
+    n_o, n_r = np.diff(at_w)[:n], np.diff(at_w)[n:]
+
+    # Marks of the answers.
+    mine = raw[at[n] :]
+    brings, pair = table[:, 2][mine], np.zeros(len(mine), dtype=np.int64)
+    pair[:-1] = table[:, 3][mine[:-1]] & table[:, 4][mine[1:]]
+    any_of = np.zeros((2, n), dtype=np.int64)
+    has = np.flatnonzero(sizes[n:])
+    if len(has):
+        any_of[:, has] = [np.bitwise_or.reduceat(x, at[n:-1][has] - at[n]) for x in (brings, pair)]
+    sure = [any_of[0] >> k & 1 == 1 for k in range(3)]
+    maybe = [any_of[1] & m != 0 for m in _LISTS.of_list]
+    declines = np.zeros(n, dtype=bool)
+    for i in np.flatnonzero(full & (sure[0] | maybe[0])).tolist():
+        declines[i] = is_refusal(texts[i])
+    soft, task = sure[1], sure[2]
+    for got, k, marks in ((soft, 1, _SOFT), (task, 2, _TASK)):
+        for i in np.flatnonzero(full & maybe[k] & ~got).tolist():
+            got[i] = _any(marks, lows[i])
+
+    # Shares of words, of two and of three in a row.
+    shared1, shared2, shared3, overlap, kept = np.full((5, n), np.nan)
+    two, three = _grams(w, len(words.known))
+    long_ = words.array("long", bool)
+    seen = np.zeros(len(words.known), dtype=bool)
+    edges = at_w.tolist()
+    for i, whole in enumerate(full.tolist()):
+        a, b, c, d = edges[i], edges[i + 1], edges[n + i], edges[n + i + 1]
+        if a == b or c == d:
+            continue
+        o = w[a:b]
+        seen[o] = True
+        shared = shared1[i] = np.count_nonzero(seen[w[c:d]]) / (d - c)
+        seen[o] = False
+        if not whole:
+            continue
+        if b - a > 2 and d - c > 2:
+            tri = set(three[c : d - 2].tolist())
+            shared3[i] = len(tri.intersection(three[a : b - 2].tolist())) / len(tri) if shared else 0.0
+        if shared < 0.7:  # too far from a copy by its single words: no need to count more
+            shared2[i] = overlap[i] = kept[i] = 0.0
+            continue
+        if d - c > 1:
+            duo = set(two[c : d - 1].tolist())
+            shared2[i] = len(duo.intersection(two[a : b - 1].tolist())) / len(duo)
+        r = w[c:d]
+        overlap[i] = _in_both(r, o) / (d - c) if shared >= 0.9 else 0.0  # it never exceeds the share of single words
+        r, o = r[long_[r]], o[long_[o]]
+        if len(o):
+            kept[i] = _in_both(r, o) / len(o)
+    ratio = np.full(n, np.nan)
+    np.divide(n_r, n_o, out=ratio, where=n_o > 0)
+
+    # Languages by function words.
+    tally = np.zeros((2 * n, len(LANGUAGES)))
+    if len(w):
+        spoken = words.array("spoken", float)
+        where = np.flatnonzero(spoken.any(axis=1)[w])
+        text_of = np.repeat(np.arange(2 * n), np.diff(at_w))[where]
+        for j in range(len(LANGUAGES)):
+            tally[:, j] = np.bincount(text_of, spoken[:, j][w[where]], minlength=2 * n)
+    lo, lr = _best(tally[:n]), _best(tally[n:])
+    lo[declines] = -1  # a refusal counts as one in any language: it answers nothing that could be in the wrong one
+    own = np.where(lo >= 0, tally[n:][np.arange(n), lo], 0.0)
+    clear = (lo >= 0) & (lr == lo) & (own >= 0.9 * tally[n:].sum(axis=1))  # clear: sentences need not be asked
+    wrong, asked, other, told = np.zeros(n, dtype=bool), clear.copy(), np.zeros(n, dtype=bool), clear.copy()
+    for i in np.flatnonzero(full & (lo >= 0) & ~clear).tolist():
+        here_ = share_by_sentence(texts[i])
+        asked[i], wrong[i] = sum(here_.values()) > 0, here_[LANGUAGES[lo[i]]] < 0.5
+        po, pr = by_pieces(originals[i]), by_pieces(texts[i])
+        told[i], other[i] = po is not None and pr is not None, po != pr
+
+    yes = np.ones(n, dtype=bool)
+    is_known = lambda x: ~np.isnan(x)
+    votes = {
+        "empty": _signs((~full, yes), (n_r <= 2, yes), (logged <= 2, is_known(logged)), ((n_r == 0) | (shared1 == 0), n_o > 0)),
+        "refusal": _signs((declines, yes), (ratio < 0.4, is_known(ratio)), (shared3 < 0.02, is_known(shared3)), (soft, yes), (task, yes)),
+        "copy": _signs((shared3 >= 0.7, is_known(shared3)), (shared2 >= 0.8, is_known(shared2)), (shared1 >= 0.93, is_known(shared1)), (overlap >= 0.9, is_known(overlap)),
+                       (kept >= 0.9, is_known(kept)), ((ratio >= 0.85) & (ratio <= 1.2), is_known(ratio))),
+        "language": _signs((wrong, asked), (lo != lr, (lo >= 0) & (lr >= 0)), (other, told), (shared1 < 0.12, is_known(shared1) & ~declines & (n_r >= 8))),  # a few words have no language
+        "truncated": _signs((logged > sizes[n:] + 2, is_known(logged)), (ratio < 0.6, is_known(ratio))),
+    }
+    for k, none in (("refusal", "-----"), ("copy", "------"), ("language", "----"), ("truncated", "--")):
+        votes[k][~full] = none
+    return votes, declines.tolist()
 
 
 def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One pass over the texts: votes that need only the pair, and what is asked about its ending."""
-    words = _Words()
+    words, raw = _Words(), _Raw()
     for pdf in batches:
-        texts = pdf["rewritten"].tolist()
-        full = [has_content(t) for t in texts]
-        declines = [f and is_refusal(t) for t, f in zip(texts, full)]
-        votes = [pair_votes(o, t, None if pd.isna(n) else n, f, d) for o, t, n, f, d in zip(pdf["original"], texts, pdf["logged"], full, declines)]
-        out = as_frame(ask([t if f else None for t, f in zip(texts, full)], words, refuses=declines))
-        for k in DEFECTS:
-            out[f"v_{k}"] = [v[k] for v in votes]
-        out.insert(0, "same", pdf["same"].to_numpy())
-        out.insert(0, "key", pdf["key"].to_numpy())
-        yield out
+        for i in range(0, len(pdf), ROWS):
+            part = pdf.iloc[i : i + ROWS]
+            if len(raw) > 500_000:
+                raw = _Raw()
+            texts = part["rewritten"].tolist()
+            full = [has_content(t) for t in texts]
+            votes, declines = pair_votes(part["original"].tolist(), texts, part["logged"].to_numpy(dtype=float, na_value=np.nan), raw, full)
+            out = as_frame(ask([t if f else None for t, f in zip(texts, full)], words, refuses=declines))
+            for k in DEFECTS:
+                out[f"v_{k}"] = votes[k]
+            out.insert(0, "same", part["same"].to_numpy())
+            out.insert(0, "key", part["key"].to_numpy())
+            yield out
 
 
 def pair_votes_of(pairs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:

@@ -114,13 +114,8 @@ class Places:
     """All words of some texts, one after another, with line, sentence and markup around each."""
 
     def __init__(self, texts: list[str], words: _Words) -> None:
-        codes: list[int] = []
-        starts: list[int] = []
-        text_of: list[int] = []
-        kinds: list[int] = []
-        pipes: list[int] = []
-        before: list[int] = []
-        fences: list[int] = []
+        raws: list[str] = []
+        rows: list[tuple[int, int, int, int, int, int]] = []
         rules = 0
         final: list[int] = []
         for k, t in enumerate(texts):
@@ -140,26 +135,24 @@ class Places:
                 fenced = open_fences % 2
                 if coded:
                     open_fences += line.count("```")
-                got = list(map(words.__getitem__, raw))
-                skip = 0
-                while skip < len(got) and not words.text[got[skip]]:  # list marks, heading marks
-                    skip += 1
-                if skip < len(got):
-                    starts.append(len(codes))
-                    codes += got[skip:]
-                    text_of.append(k)
-                    kinds.append(kind)
-                    pipes.append(sum(words.markup[c][5] for c in got[:skip]))
-                    before.append(last_pipes)
-                    fences.append(fenced)
+                bars = 0
+                if not raw[0][0].isalpha() and not norm(raw[0]):  # list marks, heading marks
+                    skip = 1
+                    while skip < len(raw) and not norm(raw[skip]):
+                        skip += 1
+                    bars = sum(r.count("|") for r in raw[:skip])
+                    raw = raw[skip:]
+                if raw:
+                    rows.append((len(raws), k, kind, bars, last_pipes, fenced))
+                    raws += raw
                 last_pipes = cells
-            if starts and text_of[-1] == k:
-                final.append(len(codes) - 1)
-        self.n, self.words, self.rules = len(codes), words, rules
-        if not codes:
+            if rows and rows[-1][1] == k:
+                final.append(len(raws) - 1)
+        self.n, self.words, self.rules = len(raws), words, rules
+        if not raws:
             return
-        self.c = c = np.array(codes)
-        self.starts, self.text_of = np.array(starts), np.array(text_of)
+        self.c = c = np.fromiter(map(words.__getitem__, raws), np.int64, len(raws))
+        self.starts, self.text_of, kinds, pipes, before, fences = np.array(rows).T.copy()
         self.stops = np.append(self.starts[1:], len(c)) - 1
         self.final = np.array(final)
         self.h = words.array("hash", np.uint64)[c]
@@ -176,8 +169,8 @@ class Places:
         # The final word of a text tells nothing where it has no end mark: that is what is asked.
         self.unsure = np.zeros(len(c), dtype=bool)
         self.unsure[self.final] = ~(self.mark[self.final] | ((mark[self.final] > 0) & (mark[self.final] < 8)))
-        self.kind = kind = np.array(kinds)[line]
-        fences_, cells = np.array(fences)[line], np.array(pipes)[line]
+        self.kind = kind = kinds[line]
+        fences_, cells = fences[line], pipes[line]
         flags = np.zeros(len(c), dtype=np.int64)
         table = words.array("markup", np.int64)
         some = np.logical_or.reduceat(table.any(axis=1)[c], self.starts)
@@ -193,7 +186,7 @@ class Places:
             cells[where] += run[:, 5]
             fences_[where] += run[:, 6]
         fence = fences_ % 2 == 1
-        wide = np.array(before)[line]
+        wide = before[line]
         closed = words.array("bar", bool)[c]
         # Words of the sentence so far, and whether one ended before it in the line.
         stop = np.maximum.accumulate(np.where(np.concatenate([[False], self.mark[:-1]]), at, -1))
@@ -246,13 +239,21 @@ def window_counts(texts: list[str], words: _Words, wanted: np.ndarray | None = N
         keep = every if level == ANYWHERE else every & asked(ctx)
         if not keep.any():
             continue
-        key = context_hash(ctx ^ np.uint64(level + 1), x.h)
-        inverse, values = pd.factorize(key[keep])
+        kept = np.flatnonzero(keep)
+        if level == ANYWHERE:  # raw words are counted, then those of one normal form are put together
+            total, ends = np.bincount(x.c[kept]), np.bincount(x.c[kept], weights=x.end[kept])
+            some = np.flatnonzero(total)
+            first = np.zeros(len(total), dtype=np.int64)
+            first[x.c[kept[::-1]]] = kept[::-1]
+            kept, total, ends = first[some], total[some], ends[some]
+        else:
+            total, ends = np.ones(len(kept)), x.end[kept].astype(float)
+        inverse, values = pd.factorize(context_hash(ctx[kept] ^ np.uint64(level + 1), x.h[kept]))
         first = np.empty(len(values), dtype=np.int64)
         first[inverse[::-1]] = np.arange(len(inverse))[::-1]
-        at = np.flatnonzero(keep)[first]
-        ends = np.bincount(inverse, weights=x.end[keep], minlength=len(at)).astype(np.int64)
-        total = np.bincount(inverse, minlength=len(at))
+        at = kept[first]
+        ends = np.bincount(inverse, weights=ends, minlength=len(at)).astype(np.int64)
+        total = np.bincount(inverse, weights=total, minlength=len(at)).astype(np.int64)
         out.append(pd.DataFrame({"level": np.int32(level), "ctx": ctx[at].view(np.int64), "word": [words.text[i] for i in x.c[at]], "goes_on": total - ends, "ends": ends}))
     place = x.at - x.first
     lines = line_hashes(x.h, place, x.first, x.kind)
@@ -410,11 +411,13 @@ def strict_prefixes(values: DataFrame, corpus: DataFrame) -> DataFrame:
     choose what may match: a value's longest such prefix must begin another text. These candidates are range-sorted, where a
     strict prefix stands right before texts that it begins; a prefix that many texts share makes no group of its own.
     """
-    bare = lambda c: F.rtrim(c, F.lit(" \n\r\t"))
+    blank_end = lambda c: F.endswith(c, F.lit(" ")) | F.endswith(c, F.lit("\n")) | F.endswith(c, F.lit("\r")) | F.endswith(c, F.lit("\t"))
+    bare = lambda c: F.when(blank_end(F.col(c)), F.rtrim(F.col(c), F.lit(" \n\r\t"))).otherwise(F.col(c))  # noqa: E731  (trimming goes through the whole text)
+    enough = F.length(F.substring("text", 1, SHORTEST)) >= SHORTEST
     steps = lambda c: F.floor(F.log(float(GROWTH), F.length(c) / float(SHORTEST)) + 1e-9).cast("int")
     key = lambda c, i: F.xxhash64(i, F.substring(c, F.lit(1), F.lit(SHORTEST) * F.pow(F.lit(GROWTH), i).cast("int")))
-    mine = values.select(F.xxhash64("text").alias("same"), bare("text").alias("text")).where(F.length("text") >= SHORTEST).withColumn("tid", F.xxhash64("text"))
-    every = mine.select("text", "tid").unionByName(corpus.select(bare("text").alias("text")).where(F.length("text") >= SHORTEST).withColumn("tid", F.xxhash64("text")))
+    mine = values.select(F.xxhash64("text").alias("same"), bare("text").alias("text")).where(enough).withColumn("tid", F.xxhash64("text"))
+    every = mine.select("text", "tid").unionByName(corpus.select(bare("text").alias("text")).where(enough).withColumn("tid", F.xxhash64("text")))
     asked = cut(mine.select("same", "tid", key(F.col("text"), steps("text")).alias("h")).distinct(), "asked")
     begins = every.select("tid", F.explode(F.transform(F.sequence(F.lit(0), steps("text")), lambda i: key(F.col("text"), i))).alias("h"))
     begins = cut(begins.join(asked.select("h").distinct(), "h", "left_semi").distinct(), "begins")
