@@ -44,7 +44,7 @@ FENCE, TABLE_RULE, TABLE, MARKUP, MARK, PLAIN = 1, 2, 8, 64, 128, 256
 
 
 class _Words(dict):
-    """The code of each raw word met so far, with what is known of it by code: hashes, end mark, markup."""
+    """The code of each raw word met so far, with what is known of it by code: hashes, end mark, markup, and what it makes of its line."""
 
     def __init__(self) -> None:
         self.hash: list[int] = []
@@ -54,6 +54,7 @@ class _Words(dict):
         self.mark: list[int] = []
         self.markup: list[tuple[int, int, int, int, int, int, int]] = []
         self.bar: list[bool] = []
+        self.line: list[tuple[int, bool, int, int, bool]] = []
         self._arrays: dict[str, np.ndarray] = {}
 
     def array(self, name: str, kind) -> np.ndarray:
@@ -71,11 +72,12 @@ class _Words(dict):
         w = norm(raw)
         c = self[raw] = len(self.hash)
         self.hash.append(xxhash.xxh64_intdigest(w) if w else 0)
-        self.ends.append(bool(TERMINAL.search(raw)) and not is_abbreviation(raw))
+        self.ends.append(not raw.isalnum() and bool(TERMINAL.search(raw)) and not is_abbreviation(raw))
         self.text.append(w)
         self.mask.append(xxhash.xxh64_intdigest(mask(raw)))
         self.mark.append(mark_of(raw))
         self.bar.append(raw.endswith("|"))
+        self.line.append((kind_of_line(raw), not w, raw.count("|"), raw.count("```"), bool(raw.strip("|:-"))))
         if raw.isalnum():
             self.markup.append((0, 0, 0, 0, 0, 0, 0))
         else:
@@ -114,47 +116,51 @@ class Places:
     """All words of some texts, one after another, with line, sentence and markup around each."""
 
     def __init__(self, texts: list[str], words: _Words) -> None:
+        stop = "\x01"  # a word for the end of a line, which no text has
+        while any(stop in t for t in texts):
+            stop += "\x01"
         raws: list[str] = []
-        rows: list[tuple[int, int, int, int, int, int]] = []
-        rules = 0
-        final: list[int] = []
-        for k, t in enumerate(texts):
-            open_fences, last_pipes, waiting = 0, 0, 0
-            coded = "```" in t
-            for line in t.split("\n"):
-                raw = line.split()
-                if not raw:
-                    last_pipes = 0
-                    continue
-                kind = kind_of_line(raw[0])
-                cells = line.count("|") if kind == 3 else 0
-                rules, waiting = rules + waiting, 0
-                if cells and SEPARATOR.fullmatch(line):
-                    waiting, last_pipes = 1, cells
-                    continue
-                fenced = open_fences % 2
-                if coded:
-                    open_fences += line.count("```")
-                bars = 0
-                if not raw[0][0].isalpha() and not norm(raw[0]):  # list marks, heading marks
-                    skip = 1
-                    while skip < len(raw) and not norm(raw[skip]):
-                        skip += 1
-                    bars = sum(r.count("|") for r in raw[:skip])
-                    raw = raw[skip:]
-                if raw:
-                    rows.append((len(raws), k, kind, bars, last_pipes, fenced))
-                    raws += raw
-                last_pipes = cells
-            if rows and rows[-1][1] == k:
-                final.append(len(raws) - 1)
-        self.n, self.words, self.rules = len(raws), words, rules
-        if not raws:
+        sizes: list[int] = []
+        for t in texts:
+            raws += t.replace("\n", f" {stop} ").split()
+            raws.append(stop)
+            sizes.append(len(raws))
+        end, c = words[stop], np.fromiter(map(words.__getitem__, raws), np.int64, len(raws))
+        del raws
+        known = words.array("line", np.int64).reshape(-1, 5)  # by code: kind of a line that begins so, no normal form, bars, fences, other than bars and rules
+        stops = np.flatnonzero(c == end)
+        starts = np.concatenate([[0], stops[:-1] + 1])
+        number = np.flatnonzero(stops > starts)  # of the lines that are not blank
+        starts, stops = starts[number], stops[number]
+        text_of = np.searchsorted(sizes, stops, side="right")
+        total = lambda what: np.concatenate([[0], np.cumsum(known[:, what][c])])
+        kinds = known[:, 0][c[starts]]
+        bars, fences, cells, rule = total(2), np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=bool)
+        tables = np.flatnonzero(kinds == 3)
+        if len(tables):
+            cells[tables] = bars[stops[tables]] - bars[starts[tables]]
+            other = total(4)
+            rule[tables] = other[stops[tables]] == other[starts[tables]]
+        again = np.concatenate([[False], text_of[1:] == text_of[:-1]])  # not the first line of its text
+        self.rules = int(np.count_nonzero(rule[:-1] & again[1:]))
+        if known[:, 3].any():
+            fences = total(3)[starts]
+            fences -= fences[np.maximum.accumulate(np.where(again, 0, np.arange(len(starts))))]
+        before = np.zeros(len(starts), dtype=np.int64)
+        before[1:] = np.where(again[1:] & (number[1:] == number[:-1] + 1), cells[:-1], 0)
+        real = np.flatnonzero(known[:, 1][c] == 0)  # the others are list marks, heading marks
+        begin = np.append(real, len(c))[np.searchsorted(real, starts)]
+        some = np.flatnonzero(~rule & (begin < stops))
+        starts, stops, begin, kinds, text_of, before, fences = (x[some] for x in (starts, stops, begin, kinds, text_of, before, fences))
+        pipes = bars[begin] - bars[starts]
+        many = stops - begin
+        self.words, self.n = words, int(many.sum())
+        if not self.n:
             return
-        self.c = c = np.fromiter(map(words.__getitem__, raws), np.int64, len(raws))
-        self.starts, self.text_of, kinds, pipes, before, fences = np.array(rows).T.copy()
-        self.stops = np.append(self.starts[1:], len(c)) - 1
-        self.final = np.array(final)
+        self.stops = np.cumsum(many) - 1
+        self.starts, self.text_of = self.stops + 1 - many, text_of
+        self.c = c = c[np.repeat(begin - self.starts, many) + np.arange(self.n)]
+        self.final = self.stops[np.append(text_of[1:] != text_of[:-1], True)]
         self.h = words.array("hash", np.uint64)[c]
         self.mark = words.array("ends", bool)[c]
         mark = words.array("mark", np.int64)[c]

@@ -130,3 +130,13 @@ def test_blanks_at_the_end_do_not_count(spark):
     same = {r["same"]: r["text"] for r in df.selectExpr("xxhash64(text) AS same", "text").collect()}
     got = {(same[r["same"]], r["follows"]) for r in T.strict_prefixes(df, df).collect()}
     assert got == {(t, " here") for t in texts[:2]}
+
+
+def test_lines_of_places():
+    texts = ["", "One two\n\n```\n| a |\n```\n \x01 \x01\x01 here\n", " \n", "| a | b |\n|---|---|\n| c | d |\n|:-:|\n\n|---|"]
+    x = T.Places(texts, T._Words())
+    lines = [[x.words.text[c] for c in x.c[a : b + 1] if x.words.text[c]] for a, b in zip(x.starts, x.stops)]
+    assert lines == [["one", "two"], ["a"], ["\x01", "\x01\x01", "here"], ["a", "b"], ["c", "d"]]
+    assert x.text_of.tolist() == [1, 1, 1, 3, 3] and x.kind[x.starts].tolist() == [0, 3, 0, 3, 3] and x.rules == 2
+    assert [x.words.text[x.c[i - 1]] for i in x.final] == ["\x01\x01", "d"] and (x.shape[x.starts] == T.FENCE).tolist() == [False, True, False, False, False]
+    assert T.Places([], T._Words()).n == 0 and T.Places(["\n"], T._Words()).n == 0
